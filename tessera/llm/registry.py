@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, sharding
+from tessera.llm import decontamination, mixing, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_counts": tokens.op2_token_counts,
         "op4_poisson_mix": mixing.op4_poisson_mix,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
+        "op10_winnowing": decontamination.op10_winnowing,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_poisson_mix": mixing.OP4_SQL,
         "op9_rendezvous_shards": sharding.OP9_SQL,
+        "op10_winnowing": decontamination.OP10_SQL,
     }
