@@ -11,6 +11,8 @@ from tessera.llm.common import read, text_or_empty, uniform_bits
 TEMPERATURE = 0.5
 #: A source's rate is dealt to this many draws at most a unit, so that the table of one draw stays short.
 DRAW_MEAN = 16.0
+#: Sources up to which their table, of 1 KB a row at most, is broadcast; past it, the join is Spark's choice.
+BROADCAST_SOURCES = 10_000
 _SPAN = float(1 << 52)
 
 
@@ -39,37 +41,38 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, sourc
         named = [F.when(F.col("mix_source") == F.lit(k), F.lit(float(w))) for k, w in weights.items()]
         raw = F.coalesce(*named, F.lit(0.0))
     sizes = sizes.withColumn("raw", F.when(F.col("n_bytes") > 0, raw).otherwise(F.lit(0.0)))
-    sums = sizes.agg(F.sum("raw").alias("raw"), F.sum("n_bytes").alias("n_bytes")).first()
+    sums = sizes.agg(F.sum("raw").alias("raw"), F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("n")).first()
     whole, size = float(sums["raw"] or 0.0), float(total if total is not None else sums["n_bytes"] or 0)
     rate = F.when(F.col("n_bytes") > 0, F.col("raw") / F.lit(whole or 1.0) * F.lit(size) / F.col("n_bytes")).otherwise(F.lit(0.0))
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(DRAW_MEAN))).cast("int")
-    return (
+    rates = (
         sizes.withColumn("rate", rate)
         .withColumn("draws", draws)
         .select("mix_source", "n_bytes", (F.col("raw") / F.lit(whole or 1.0)).alias("weight"), "rate", "draws", poisson_table(F.col("rate") / F.col("draws")).alias("table"))
     )
+    return F.broadcast(rates) if sums["n"] <= BROADCAST_SOURCES else rates
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix", key: str = "doc_id", source: str = "source", text: str = "text", total: float | None = None) -> DataFrame:
     """Repeats every row a Poisson number of times, with its source's rate as mean, and shuffles the copies.
 
-    A row's number depends on its key, text, source and the seed: rows equal in these, null included, share it,
-    whatever else the table holds. Rows of null source are a source of their own. Sources that hold only empty
+    A row's number depends on its key, its source's rate and the seed: rows equal in these, null included, share it. Rows of null source are a source of their own. Sources that hold only empty
     texts have rate 0 and vanish, as no number of copies reaches their weight. An empty table gives no rows.
-    Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key, the order of the rows; other columns pass.
+    The copies are dealt to partitions by the hash of mix_key, a random order, and sorted by it there: a global shuffle
+    that needs no sampling of ranges. Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key; other columns pass.
     Columns of these names in the input are replaced.
     """
     rates = source_rates(docs, weights, source, text, total)
     base = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
     drawn = F.transform(
         F.sequence(F.lit(1), F.col("__draws")),
-        lambda i: F.size(F.filter(F.col("__table"), lambda p: p <= uniform_bits(F.lit(seed), i, F.col(key), F.md5(text_or_empty(text))) / F.lit(_SPAN))),
+        lambda i: F.size(F.filter(F.col("__table"), lambda p: p <= uniform_bits(F.lit(seed), i, F.col(key)) / F.lit(_SPAN))),
     )
     rates = rates.select(F.col("mix_source").alias("__source"), F.col("rate").alias("mix_rate"), F.col("draws").alias("__draws"), F.col("table").alias("__table"))
     counted = base.join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("mix_copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).filter("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    order = uniform_bits(F.lit(f"{seed}-order"), F.col("mix_copy"), F.col(key), F.md5(text_or_empty(text)))
-    return copies.withColumn("mix_key", order).drop("__source", "__draws", "__table").orderBy("mix_key")
+    order = uniform_bits(F.lit(f"{seed}-order"), F.col("mix_copy"), F.col(key))
+    return copies.withColumn("mix_key", order).drop("__source", "__draws", "__table").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +90,7 @@ steps(source, k, p, total) AS (
   SELECT source, 0, exp(-mean), exp(-mean) FROM means
   UNION ALL SELECT s.source, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM steps s JOIN means m ON s.source IS NOT DISTINCT FROM m.source WHERE k < ceil(mean + 12.0 * sqrt(mean) + 24.0)
 ), tables AS (SELECT source, list(total ORDER BY k) AS cdf FROM steps GROUP BY source),
-keyed AS (SELECT d.*, rate, draws, cdf, coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS key
+keyed AS (SELECT d.*, rate, draws, cdf, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key
   FROM documents d JOIN means m ON d.source IS NOT DISTINCT FROM m.source JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
 counted AS (SELECT *, CAST(list_sum(list_transform(range(1, draws + 1), lambda i: len(list_filter(cdf, lambda p: p <= CAST('0x' || substr(md5('mix|' || CAST(i AS VARCHAR) || '|' || key), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS BIGINT) AS mix_copies FROM keyed),
 copies AS (SELECT *, unnest(range(mix_copies)) AS mix_copy FROM counted)
