@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, sharding, tokens
+from tessera.llm import decontamination, mixing, neardup, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": tokens.op2_token_counts,
         "op4_poisson_mix": mixing.op4_poisson_mix,
+        "op6_ngram_jaccard": neardup.op6_ngram_jaccard,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
         "op10_winnowing": decontamination.op10_winnowing,
     }
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_poisson_mix": mixing.OP4_SQL,
+        "op6_ngram_jaccard": neardup.OP6_SQL,
         "op9_rendezvous_shards": sharding.OP9_SQL,
         "op10_winnowing": decontamination.OP10_SQL,
     }
