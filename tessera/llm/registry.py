@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, neardup, sharding, tokens
+from tessera.llm import decontamination, mixing, neardup, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": tokens.op2_token_counts,
+        "op3_quality_votes": quality.op3_quality_votes,
         "op4_poisson_mix": mixing.op4_poisson_mix,
         "op6_ngram_jaccard": neardup.op6_ngram_jaccard,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
