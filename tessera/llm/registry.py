@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, neardup, quality, sharding, tokens
+from tessera.llm import decontamination, mixing, neardup, pii, quality, secrets, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_votes": quality.op3_quality_votes,
         "op4_poisson_mix": mixing.op4_poisson_mix,
         "op6_ngram_jaccard": neardup.op6_ngram_jaccard,
+        "op7_pii_spans": pii.op7_pii_spans,
+        "op8_secret_layers": secrets.op8_secret_layers,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
         "op10_winnowing": decontamination.op10_winnowing,
     }
