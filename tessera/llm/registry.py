@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, neardup, pii, quality, secrets, sharding, tokens
+from tessera.llm import decontamination, mixing, neardup, pii, quality, secrets, sharding, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_histogram_top_k": topk.op1_histogram_top_k,
         "op2_token_counts": tokens.op2_token_counts,
         "op3_quality_votes": quality.op3_quality_votes,
         "op4_poisson_mix": mixing.op4_poisson_mix,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_histogram_top_k": topk.OP1_SQL,
         "op4_poisson_mix": mixing.OP4_SQL,
         "op6_ngram_jaccard": neardup.OP6_SQL,
         "op9_rendezvous_shards": sharding.OP9_SQL,
