@@ -32,11 +32,11 @@ COMBINE = 2
 #: Sets in which a shingle must be to count as frequent.
 FREQUENT = 256
 #: Bits of the largest maps of repeated and of frequent shingles. A full map costs speed, not links.
-REPEATED_BITS, FREQUENT_BITS = 28, 24
+REPEATED_BITS, FREQUENT_BITS = 27, 24
 #: Bytes and sets of a block of a cluster; a task compares two blocks at most.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
 #: Shingles that a task sorts at once while it counts.
-SORTED = 1 << 22
+SORTED = 1 << 21
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -57,7 +57,7 @@ def set_id(tokens: np.ndarray) -> int:
 class Classes:
     """Whether shingles are in more than one set, and in many: bits by the first bits of their hash."""
 
-    def __init__(self, repeated: bytes, frequent: bytes):
+    def __init__(self, repeated: bytes | bytearray, frequent: bytes | bytearray):
         self.repeated, self.frequent = np.frombuffer(repeated, np.uint8), np.frombuffer(frequent, np.uint8)
 
     @staticmethod
@@ -146,10 +146,10 @@ def count_classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT)
     packed = docs.select(text_or_empty(text).alias("t")).mapInArrow(gather, "r int, heads binary, lows binary")
     maps = packed.repartition("r").sortWithinPartitions("r").mapInArrow(classify, "r int, repeated binary, frequent binary")
     tables = [bytearray(1 << (w - 3)) for w in wide]
-    for row in maps.collect():  # of fixed size together: the two maps
+    for row in maps.toLocalIterator():  # of fixed size together: the two maps
         for table, part in zip(tables, (row["repeated"], row["frequent"]), strict=True):
             table[row["r"] * len(part) : (row["r"] + 1) * len(part)] = part
-    return Classes(bytes(tables[0]), bytes(tables[1]))
+    return Classes(*tables)
 
 
 def _info(docs: DataFrame, key: str, text: str, classes: Classes) -> DataFrame:
@@ -304,7 +304,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH RECURSIVE worded AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE worded AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 grams AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0) t),
 sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
 shared AS (SELECT a.r AS x, b.r AS y, count(*) AS meet FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
