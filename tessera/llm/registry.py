@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, neardup, pii, quality, secrets, sharding, tokens, topk
+from tessera.llm import decontamination, htmltext, mixing, neardup, pii, quality, secrets, sharding, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": tokens.op2_token_counts,
         "op3_quality_votes": quality.op3_quality_votes,
         "op4_poisson_mix": mixing.op4_poisson_mix,
+        "op5_page_differencing": htmltext.op5_page_differencing,
         "op6_ngram_jaccard": neardup.op6_ngram_jaccard,
         "op7_pii_spans": pii.op7_pii_spans,
         "op8_secret_layers": secrets.op8_secret_layers,
