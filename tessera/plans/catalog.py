@@ -1,4 +1,8 @@
-"""The engine's queries by name, and their SQL for the oracle."""
+"""The engine's queries by name, and their SQL for the oracle.
+
+Queries run operators of the library over the views of `tessera.sources.corpus`. The SQL is written apart, for an engine
+that shares no code with it; where SQL can't express an operator there is none.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import graphs, searching, states
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**searching.QUERIES, **graphs.QUERIES, **states.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**searching.SQL, **graphs.SQL, **states.SQL}
