@@ -125,6 +125,8 @@ def blocks(page: str) -> list[Block]:
             if following.isalpha() or following == "/":  # a broken tag ends at the next sign of one
                 end = page.find(">", lt)
                 at = size if end < 0 else end + 1
+                if skip_at is None:
+                    pieces.append(" ")
             else:
                 if skip_at is None:
                     pieces.append("<")
