@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.cluster import cut
 from tessera.functions import kinds as K
 from tessera.functions.text import content_id, last_segment, normalized_path, parent_path
 
@@ -202,18 +203,19 @@ def _declarations(observations: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("d_language", *[F.col(c).alias(f"d_{c}") for c in names])
 
 
-def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, dests: DataFrame) -> DataFrame:
+def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, dests: DataFrame, decl: DataFrame | None = None) -> DataFrame:
     """Declarations that files give out under a name, also through re-exports of re-exports.
 
     requests: SITE, category, o_attributes, file, name, rule. A pair of file and name that is on the way already ends that
     way, so cycles end; a way has REEXPORTS steps at most. Steps without open requests end the loop.
     """
-    decl = _declarations(observations, files)
+    decl = _declarations(observations, files) if decl is None else decl
     lang = files.select(F.col("relative_path").alias("l_path"), "language")
     exports = observations.filter("category = 'import' AND kind IN ('reexport', 'export')").select(F.col("relative_path").alias("x_path"), F.col("observation_id").alias("x_id"), F.col("kind").alias("x_kind"), F.col("spelling").alias("x_spelling"), F.col("alias").alias("x_alias"), F.col("attributes").alias("x_attributes"))
     targets = dests.filter("outcome = 'local'").select(F.col("relative_path").alias("t_path"), F.col("observation_id").alias("t_id"), F.col("target_path").alias("t_target"))
     site = [*SITE, "category", "o_attributes"]
     open_ = requests.join(lang, F.col("file") == F.col("l_path")).select(*site, "file", "name", "rule", "language", F.array(F.concat_ws("\0", "file", "name")).alias("way"))
+    open_ = cut(open_)
     found = []
     for _ in range(REEXPORTS + 1):
         fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
@@ -231,7 +233,7 @@ def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, des
         step = out.filter(~plain).join(targets, (F.col("x_path") == F.col("t_path")) & (F.col("x_id") == F.col("t_id"))).join(lang.withColumnRenamed("language", "t_language"), F.col("t_target") == F.col("l_path"))
         mark = F.concat_ws("\0", "t_target", "local")
         step = step.filter(~F.array_contains("way", mark))
-        open_ = step.select(*site, F.col("t_target").alias("file"), F.col("local").alias("name"), F.lit("bounded-reexport-v1").alias("rule"), F.col("t_language").alias("language"), F.concat("way", F.array(mark)).alias("way")).distinct()
+        open_ = cut(step.select(*site, F.col("t_target").alias("file"), F.col("local").alias("name"), F.lit("bounded-reexport-v1").alias("rule"), F.col("t_language").alias("language"), F.concat("way", F.array(mark)).alias("way")).distinct())
         if open_.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)
@@ -265,8 +267,8 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     nearest imports that give the name. Stage 2: other files of the same package or namespace.
     """
     dests = destinations(observations, files, manifests) if dests is None else dests
-    occ = occurrences(observations, files).filter("NOT dynamic")
-    decl = _declarations(observations, files)
+    occ = cut(occurrences(observations, files).filter("NOT dynamic"))
+    decl = cut(_declarations(observations, files))
     fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
     site = [*SITE, "category", "o_attributes"]
     out = [*site, "d_relative_path", "d_observation_id", "d_start_byte", "rule", "evidence"]
@@ -275,7 +277,7 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
         return df.select(*out).withColumn("stage", F.lit(n))
 
     nearest = Window.partitionBy(*SITE).orderBy("distance")
-    chained = _chained(occ, observations)
+    chained = cut(_chained(occ, observations))
     lexical = chained.filter("NOT uncertain").join(decl, (F.col("source_path") == F.col("d_relative_path")) & (F.col("name") == F.col("d_spelling")) & (F.col("ancestor_id") == F.col("d_scope_id")))
     lexical = lexical.filter(fits & ~(F.col("d_kind").isin(*K.ORDER_SENSITIVE) & (F.col("d_start_byte") > F.col("o_start")))).withColumn("place", F.rank().over(nearest)).filter("place = 1")
     lexical = lexical.withColumn("rule", F.lit("lexical-scope-v1")).withColumn("evidence", F.array(F.concat(F.lit("scope_distance:"), F.col("distance").cast("string")), F.concat(F.lit("name:"), "name")))
@@ -285,7 +287,7 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     near = chained.join(imports, (F.col("source_path") == F.col("i_path")) & (F.col("ancestor_id") == F.col("i_scope")))
     near = near.withColumn("wanted", K.imported_name(F.col("language"), F.col("i_attributes"), F.col("i_alias"), F.col("i_spelling"), F.col("qualifier"), F.col("name"))).filter("wanted IS NOT NULL")
     near = near.withColumn("place", F.rank().over(nearest)).filter("place = 1 AND outcome = 'local'")
-    imported = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests)
+    imported = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
     modules = declared_modules(observations, files).filter(F.col("language").isin("go", "java", "csharp"))
     mine = modules.select(F.col("relative_path").alias("m_path"), "module")
     theirs = modules.select(F.col("relative_path").alias("y_path"), F.col("language").alias("y_language"), F.col("module").alias("y_module"))
@@ -331,8 +333,8 @@ def emitted(candidates: DataFrame, sites: DataFrame, reason: str) -> DataFrame:
 
 def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, externals, diagnostics) of one generation; edges once by id."""
-    around = enclosing(observations)
-    dests = destinations(observations, files, manifests)
+    observations, files = cut(observations), cut(files)
+    around, dests = cut(enclosing(observations)), cut(destinations(observations, files, manifests))
     nested = containment(observations).select(*_edge(
         "contains", source_path=F.col("relative_path"), source_observation_id=F.col("container_id"), source_category="symbol", source_start_byte=F.col("start_byte"), source_end_byte=F.col("end_byte"), source_symbol_id=F.col("container_id"),
         target_path=F.col("relative_path"), target_symbol_id=F.col("child_id"), resolution="lexically_resolved", rule="lexical-containment-v1", candidate_count=1, reason="smallest enclosing declaration",
@@ -341,7 +343,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     occ = occurrences(observations, files)
     sites = occ.join(around, (F.col("source_path") == F.col("e_path")) & (F.col("source_category") == F.col("e_category")) & (F.col("source_observation_id") == F.col("e_id")), "left")
     sites = sites.withColumn("relationship", F.when(F.col("category") == "call_site", "calls").otherwise("references"))
-    bound = bindings(observations, files, manifests, dests)
+    sites, bound = cut(sites), cut(bindings(observations, files, manifests, dests))
     flags = occ.select(*SITE, "uncertain")
     bound = bound.join(flags, list(SITE)).withColumn("rule", F.when(F.col("uncertain"), "receiver-name-candidate-v1").otherwise(F.col("rule"))).withColumn("evidence", F.when(F.col("uncertain"), F.concat("evidence", K.strings("receiver_type_not_inferred"))).otherwise(F.col("evidence")))
     linked = emitted(bound, sites.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship"), "bounded rules selected declarations")
@@ -358,6 +360,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     local = imports.filter("outcome = 'local'")
     asked = local.withColumn("name", K.binding_name(F.col("language"), F.col("o_attributes"), F.col("spelling"))).filter("name IS NOT NULL")
     named = exported(asked.select(*SITE, F.lit("reference").alias("category"), "o_attributes", F.col("target_path").alias("file"), "name", F.lit("explicit-import-v1").alias("rule")), observations, files, dests)
+    named = cut(named)
     named_edges = emitted(named, imports.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship").distinct(), "an import names declarations")
     whole = local.join(named.select(*SITE).distinct(), list(SITE), "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SITE)))
     whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*SITE).orderBy("target_path"))).filter(F.col("place") <= CANDIDATES)
@@ -368,6 +371,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     lost = imports.filter("outcome = 'unresolved'")
     lost_edges = lost.select(*_edge("imports", **base, resolution="unresolved", rule=F.col("rule"), candidate_count=0, reason=F.col("code")))
     edges = reduce(DataFrame.unionByName, [nested, linked, loose, named_edges, file_edges, outside_edges, lost_edges]).dropDuplicates(["edge_id"])
+    edges = cut(edges)
     externals = outside.select(F.col("node").alias("external_node_id"), "language", F.col("node_kind").alias("kind"), F.col("spelling").alias("label")).distinct()
     many = bound.groupBy(*SITE).agg(F.countDistinct("d_relative_path", "d_observation_id").alias("n")).filter(F.col("n") > CANDIDATES).select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message"))
     diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
