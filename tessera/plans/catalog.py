@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, searching, states
+from tessera.plans import graphs, searching, sources, states
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**searching.QUERIES, **graphs.QUERIES, **states.QUERIES}
+    return {**searching.QUERIES, **graphs.QUERIES, **states.QUERIES, **sources.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**searching.SQL, **graphs.SQL, **states.SQL}
+    return {**searching.SQL, **graphs.SQL, **states.SQL, **sources.SQL}

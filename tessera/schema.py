@@ -18,8 +18,12 @@ GENERATION_STATES = ("building", "active", "superseded", "abandoned")
 PARSE_STATES = ("complete", "partial", "failed")
 
 
-def table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def table(columns: str) -> T.StructType:
+    """A schema from 'name type, ...'; Spark's own reader of such text needs a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 FILES = table("generation_id string, relative_path string, language string, content_hash string, analysis_key string, byte_length long, parse_status string")

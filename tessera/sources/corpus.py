@@ -180,3 +180,59 @@ def sql(views: str, body: str, recursive: bool = False, more: str = "") -> str:
     """An oracle query over the named views and further expressions."""
     parts = [SQL[v] for v in views.split()] + ([more] if more else [])
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}"
+
+
+#: Dialects of the generated sources, by file number, with their file endings.
+GENERATED = (("rust", "rs"), ("go", "go"), ("java", "java"), ("csharp", "cs"), ("dart", "dart"), ("javascript", "js"), ("jsx", "jsx"), ("typescript", "ts"), ("tsx", "tsx"))
+#: A line of source by dialect: {k} is a part, {t} the part that it calls. Comments and strings hold calls that are none.
+LINES = {
+    "rust": 'pub fn fn_{k}(a: i32) -> i32 {{ let v = a; fn_{t}(v) }} // phantom_call({k})',
+    "go": 'func Fn{k}(a int) int {{ v := "phantom_call({k})"; return Fn{t}(v) }} /* phantom_call() */',
+    "java": 'class C{k} {{ int m{k}(int a) {{ int v = a; return m{t}(v); }} }} // phantom_call({k})',
+    "csharp": 'class C{k} {{ int M{k}(int a) {{ var v = @"phantom_call()"; return M{t}(v); }} }}',
+    "dart": "int fn{k}(int a) {{ var v = 'phantom_call()'; return fn{t}(v); }}",
+    "javascript": "export function fn{k}(a) {{ const v = `phantom_call()`; return fn{t}(v); }}",
+    "jsx": "export function fn{k}(a) {{ const v = /phantom_call\\(/; return fn{t}(v); }}",
+    "typescript": "export function fn{k}(a: number): number {{ const v = a; return fn{t}(v); }} // phantom_call()",
+    "tsx": "export function fn{k}(a: number): number {{ const v = a; return fn{t}(v); }} /* é phantom_call() */",
+}
+
+
+def _called(key):
+    return (key * 7 + 3) % F.col("parts")
+
+
+def _lines(spark: SparkSession, folder: str, language, dialects: tuple[str, ...]) -> DataFrame:
+    """(f, key, line) of each part: the line of its file's dialect."""
+    key = F.col("p_partkey")
+    parts = read(spark, folder, "part").agg(F.count(F.lit(1)).alias("parts"))
+    rows = read(spark, folder, "part").select("p_partkey").join(F.broadcast(parts))  # one row
+    rows = rows.select(F.floor(key / PER_FILE).alias("f"), key.alias("key"), key.cast("string").alias("k"), _called(key).cast("string").alias("t"))
+    chain = F.lit(None).cast("string")
+    for d in dialects:
+        pieces = LINES[d].replace("{{", "\1").replace("}}", "\2").replace("{k}", "\3k\3").replace("{t}", "\3t\3").split("\3")
+        line = F.concat(*[F.col(x) if x in ("k", "t") else F.lit(x.replace("\1", "{").replace("\2", "}")) for x in pieces])
+        chain = F.when(language(F.col("f")) == d, line).otherwise(chain)
+    return rows.select("f", "key", chain.alias("line"))
+
+
+def _gathered(lines: DataFrame, head) -> DataFrame:
+    """A file's lines under its head; a file holds PER_FILE lines."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "line"))), lambda r: r["line"]), "\n")
+    return lines.groupBy("f").agg(F.encode(F.concat(head, text, F.lit("\n")), "UTF-8").alias("content"))
+
+
+def dialect_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """(relative_path, language, content): sources of all dialects, a line a part."""
+    language = lambda f: _pick(tuple(d for d, _ in GENERATED), f % len(GENERATED))
+    files = _gathered(_lines(spark, folder, language, tuple(d for d, _ in GENERATED)), F.lit(""))
+    path = F.concat(F.lit("src/file"), F.col("f").cast("string"), F.lit("."), _pick(tuple(e for _, e in GENERATED), F.col("f") % len(GENERATED)))
+    return files.select(path.alias("relative_path"), language(F.col("f")).alias("language"), "content")
+
+
+def go_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """(relative_path, language, content): Go packages of ten directories, whose functions call across files."""
+    f = F.col("f")
+    head = F.concat(F.lit("package p"), (F.first(f) % 10).cast("string"), F.lit("\n"))
+    files = _gathered(_lines(spark, folder, lambda _: F.lit("go"), ("go",)), head)
+    return files.select(F.concat(F.lit("src/pkg"), (f % 10).cast("string"), F.lit("/file"), f.cast("string"), F.lit(".go")).alias("relative_path"), F.lit("go").alias("language"), "content")
