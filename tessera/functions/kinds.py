@@ -36,7 +36,7 @@ def has(attributes: Column, value: str) -> Column:
 
 def attribute(attributes: Column, prefix: str) -> Column:
     """What follows the prefix in the first attribute that begins with it; null if none does."""
-    return F.substring(F.filter(F.coalesce(attributes, strings()), lambda a: a.startswith(prefix))[0], len(prefix) + 1, 1 << 30)
+    return F.substring(F.get(F.filter(F.coalesce(attributes, strings()), lambda a: a.startswith(prefix)), 0), len(prefix) + 1, 1 << 30)
 
 
 def any_of(values: Column, wanted: tuple[str, ...]) -> Column:

@@ -69,6 +69,8 @@ class Reader:
         self.t = [x for x in tokens(text, language) if x.kind != "pound"]
         self.pound = [x for x in tokens(text, language) if x.kind == "pound"] if language == "csharp" else []
         self.partner, self.sound = pairs(self.t)
+        self.n = len(self.t)
+        self.t += [Token("end", "", len(text), len(text), True)] * 8  # a construct that is cut off looks past the end
         self.out: list[Observation] = []
         self.declared: set[int] = set()
         self.seen: dict[tuple, int] = {}
@@ -93,7 +95,7 @@ class Reader:
 
     def declare(self, kind: str, i: int, sa: int, sb: int, ctx: Context, **more) -> Observation:
         self.declared.add(i)
-        body = next((j for j in range(i, min(sb, len(self.t))) if self.t[j].text == "{" and self.t[j].kind == "op"), sb)
+        body = next((j for j in range(i, min(sb, self.n)) if self.t[j].text == "{" and self.t[j].kind == "op"), sb)
         signature = self.text[self.t[sa].start : self.t[body - 1].end if body > sa else self.t[i].end].strip()
         more.setdefault("container", ctx.container)
         return self.put("symbol", kind, self.t[i].text, i, i + 1, sa, sb, ctx.scope, ctx.where, signature=signature, **more)
@@ -105,7 +107,7 @@ class Reader:
     # -- statements
 
     def read(self) -> list[Observation]:
-        n = len(self.t)
+        n = self.n
         o = Observation("scope", "file", "file", 0, len(self.text), 0, len(self.text))
         o.id = hashlib.sha256("\0".join((self.language, self.path, "scope", "file", "")).encode()).hexdigest()
         self.out.append(o)

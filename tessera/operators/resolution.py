@@ -128,7 +128,7 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     key = ("relative_path", "observation_id")
     by_path = keyed.select(*key, F.explode(F.array_distinct("candidates")).alias("candidate")).join(files.select(F.col("relative_path").alias("target_path")), F.col("candidate") == F.col("target_path")).select(*key, "target_path")
     # Rust: a module of that name inside the same file
-    inline = keyed.filter("language = 'rust'").select(*key, F.filter(parts, lambda p: ~p.isin("crate", "self", "super"))[0].alias("inline"))
+    inline = keyed.filter("language = 'rust'").select(*key, F.get(F.filter(parts, lambda p: ~p.isin("crate", "self", "super")), 0).alias("inline"))
     inside = of(observations, "symbol", "i_", "relative_path", "kind", "spelling").filter("i_kind = 'module'").select("i_relative_path", "i_spelling").distinct()
     inline = inline.join(by_path, list(key), "left_anti").join(inside, (F.col("relative_path") == F.col("i_relative_path")) & (F.col("inline") == F.col("i_spelling"))).select(*key, F.col("relative_path").alias("target_path"))
     # Go: the files of the directory that the module prefix leads to
