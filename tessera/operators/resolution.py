@@ -216,8 +216,10 @@ def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, des
     site = [*SITE, "category", "o_attributes"]
     open_ = requests.join(lang, F.col("file") == F.col("l_path")).select(*site, "file", "name", "rule", "language", F.array(F.concat_ws("\0", "file", "name")).alias("way"))
     open_ = cut(open_)
-    found = []
+    found = [open_.filter(F.lit(False)).select(*site, F.col("file").alias("d_relative_path"), F.col("file").alias("d_observation_id"), F.lit(0).cast("long").alias("d_start_byte"), "rule", K.strings().alias("evidence"))]
     for _ in range(REEXPORTS + 1):
+        if open_.isEmpty():
+            break
         fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
         visible = K.module_visible(F.col("language"), F.col("d_attributes"), F.col("d_spelling"), F.col("d_signature"))
         level = (F.col("language") == "rust") | F.col("d_top") | K.has(F.col("o_attributes"), "static_import")
@@ -234,8 +236,6 @@ def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, des
         mark = F.concat_ws("\0", "t_target", "local")
         step = step.filter(~F.array_contains("way", mark))
         open_ = cut(step.select(*site, F.col("t_target").alias("file"), F.col("local").alias("name"), F.lit("bounded-reexport-v1").alias("rule"), F.col("t_language").alias("language"), F.concat("way", F.array(mark)).alias("way")).distinct())
-        if open_.isEmpty():
-            break
     return reduce(DataFrame.unionByName, found)
 
 
