@@ -88,13 +88,13 @@ def labelled_edges(edges: DataFrame, observations: DataFrame, externals: DataFra
 def line_excerpts(sources: DataFrame, expected: DataFrame, first_line: int, last_line: int, most_bytes: int = LIMITS.snippet_bytes) -> DataFrame:
     """Whole lines first_line to last_line, from 1, of each expected (relative_path, content_hash), within most_bytes.
 
-    status: ok, content_changed (the hash differs), source_deleted (no such file). Lines past the bytes are cut off
-    whole; a first line that alone is too long is cut at a character. truncated tells either.
+    status: ok, source_deleted (no such file), content_changed (the hash differs), invalid_range (the file has fewer
+    lines), response_too_large (the first line alone is). truncated tells whether lines were left out.
     """
     check_limit(last_line - first_line + 1, LIMITS.read_lines, "lines")
     check_limit(first_line, 1 << 31, "first_line")
-    text = F.decode("content", "UTF-8")
-    have = sources.select(F.col("relative_path").alias("__path"), F.sha2("content", 256).alias("__hash"), F.split(text, "(?<=\n)").alias("__lines"))
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "(?<=\n)"), lambda x: x != "")
+    have = sources.select(F.col("relative_path").alias("__path"), F.sha2("content", 256).alias("__hash"), lines.alias("__lines"))
     wanted = F.slice("__lines", F.lit(first_line), F.lit(last_line - first_line + 1))
     fold = F.aggregate(
         wanted,
@@ -104,9 +104,26 @@ def line_excerpts(sources: DataFrame, expected: DataFrame, first_line: int, last
         ),
     )
     rows = expected.join(have, F.col("relative_path") == F.col("__path"), "left").withColumn("__fold", fold)
-    status = F.when(F.col("__path").isNull(), "source_deleted").when(F.col("__hash") != F.col("content_hash"), "content_changed").otherwise("ok")
-    ok = status == "ok"
-    return rows.select("relative_path", status.alias("status"), F.when(ok, F.col("__fold.text")).alias("text"), F.when(ok, F.col("__fold.lines")).alias("lines"), F.when(ok, F.col("__fold.full")).alias("truncated"))
+    status = F.when(F.col("__path").isNull(), "source_deleted").when(F.col("__hash") != F.col("content_hash"), "content_changed").when(F.size("__lines") < last_line, "invalid_range").when(F.col("__fold.lines") == 0, "response_too_large").otherwise("ok")
+    ok = F.col("status") == "ok"
+    rows = rows.withColumn("status", status)
+    return rows.select("relative_path", "status", F.when(ok, F.col("__fold.text")).alias("text"), F.when(ok, F.col("__fold.lines")).alias("lines"), F.when(ok, F.col("__fold.full")).alias("truncated"))
+
+
+def byte_excerpts(sources: DataFrame, ranges: DataFrame, most_bytes: int = LIMITS.snippet_bytes) -> DataFrame:
+    """Ranges (relative_path, start_byte, end_byte) with their code and lines, cut to most_bytes before a character.
+
+    A range that is empty or ends past its file gives no row.
+    """
+    have = sources.select(F.col("relative_path").alias("__path"), "content")
+    rows = ranges.join(have, F.col("relative_path") == F.col("__path")).filter((F.col("start_byte") < F.col("end_byte")) & (F.col("end_byte") <= F.octet_length("content")))
+    size = F.least(F.col("end_byte") - F.col("start_byte"), F.lit(most_bytes)).cast("int")
+    cut = [F.substring("content", F.col("start_byte").cast("int") + 1, size - k).cast("string") for k in range(4)]
+    code = F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cut])
+    before = F.substring("content", F.lit(1), F.col("start_byte").cast("int")).cast("string")
+    breaks = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("code", code).filter(F.octet_length("code") > 0).withColumn("start_line", breaks(before) + 1)
+    return rows.withColumn("end_line", F.col("start_line") + breaks(F.col("code"))).withColumn("end_byte", F.col("start_byte") + F.octet_length("code")).drop("__path", "content")
 
 
 def suppress_overlaps(ranges: DataFrame, partition: str, order: list[str], start: str = "start_byte", end: str = "end_byte") -> DataFrame:
@@ -123,15 +140,18 @@ def suppress_overlaps(ranges: DataFrame, partition: str, order: list[str], start
     return lists.select(F.explode(kept).alias("__r")).select(*[F.col(f"__r.__{c}").alias(c) for c in ranges.columns])
 
 
-def context_symbols(found: DataFrame, edges: DataFrame, symbols: int = LIMITS.context_symbols, roots: int = 12, relations: int = 16) -> tuple[DataFrame, DataFrame]:
-    """The first symbols of a search without overlapping ranges, and the first relations of the best of them in both directions."""
-    best = found.orderBy("tier", "score", "relative_path", "spelling", "start_byte", "symbol_id").limit(symbols)
-    best = best.withColumn("rank", F.row_number().over(Window.orderBy("tier", "score", "relative_path", "spelling", "start_byte", "symbol_id")))  # of `symbols` rows
-    chosen = suppress_overlaps(best.select("rank", "relative_path", "symbol_id", "spelling", F.col("syntax_start_byte").alias("start_byte"), F.col("syntax_end_byte").alias("end_byte")), "relative_path", ["rank"])
-    top = F.broadcast(chosen.filter(F.col("rank") <= roots).select(F.col("symbol_id").alias("__root"), "rank"))
+def context_symbols(found: DataFrame, edges: DataFrame, symbols: int = LIMITS.context_symbols, roots: int = 12, relations: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(symbols, snippet ranges, relations): the first symbols of a search with their rank, those of them whose ranges don't overlap
+    one of a better rank, and the first relations of the best ones in both directions, once each.
+    """
+    order = ("tier", "score", "relative_path", "spelling", "start_byte", "symbol_id")
+    best = found.orderBy(*order).limit(symbols)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of `symbols` rows
+    ranges = best.filter("syntax_start_byte < syntax_end_byte").select("rank", "relative_path", "symbol_id", "spelling", F.col("syntax_start_byte").alias("start_byte"), F.col("syntax_end_byte").alias("end_byte"))
+    chosen = suppress_overlaps(ranges, "relative_path", ["rank"])
+    top = F.broadcast(best.filter(F.col("rank") <= roots).select(F.col("symbol_id").alias("__root")).distinct())  # of `roots` rows
     out = []
-    for direction, column in (("outgoing", "source_symbol_id"), ("incoming", "target_symbol_id")):
-        rows = edges.join(top, F.col(column) == F.col("__root")).withColumn("direction", F.lit(direction))
+    for column in ("source_symbol_id", "target_symbol_id"):
         first = F.row_number().over(Window.partitionBy("__root").orderBy("source_path", "source_start_byte", "edge_id"))
-        out.append(rows.withColumn("place", first).filter(F.col("place") <= relations))
-    return chosen, out[0].unionByName(out[1]).withColumnRenamed("__root", "root_symbol_id")
+        out.append(edges.join(top, F.col(column) == F.col("__root")).withColumn("__place", first).filter(F.col("__place") <= relations).select(*edges.columns))
+    return best, chosen, out[0].unionByName(out[1]).dropDuplicates(["edge_id"])

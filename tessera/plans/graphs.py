@@ -73,6 +73,21 @@ def scope_chains(spark, folder):
     return resolution.scope_chains(_observations(spark, folder)).select("relative_path", "scope_id", "ancestor_id", F.col("distance").cast("long").alias("distance"))
 
 
+def smallest_scopes(spark, folder):
+    """The smallest scope around each symbol."""
+    from tessera.operators import extraction
+
+    return extraction.smallest_scopes(_observations(spark, folder)).select("relative_path", F.col("id").alias("symbol_id"), "scope")
+
+
+def context_relations(spark, folder):
+    """First relations of the best symbols of a search, both ways, once each."""
+    from tessera.operators import search
+
+    found = search.search_symbols(corpus.symbols(spark, folder), "old", limit=24, tokens=False)
+    return retrieval.context_symbols(found, corpus.edges(spark, folder))[2].select("edge_id", "source_symbol_id", "target_symbol_id")
+
+
 def resolution_stats(spark, folder):
     return resolution.stats(corpus.edges(spark, folder))
 
@@ -100,6 +115,8 @@ QUERIES = {
     "analyze_impact": impact,
     "containment": containment,
     "scope_chains": scope_chains,
+    "smallest_scopes": smallest_scopes,
+    "context_relations": context_relations,
     "resolution_stats": resolution_stats,
     "candidate_emission": emission,
 }
@@ -123,6 +140,11 @@ SQL = {
     ).replace(" SELECT DISTINCT p AS", ", reached AS (SELECT * FROM sparse_edges WHERE target_symbol_id IN (SELECT node FROM walk) OR target_path = 'src/pkg4/file4.rs') SELECT DISTINCT p AS", 1),
     "containment": sql("symbols", "SELECT relative_path, child_id, container_id FROM (SELECT c.relative_path, c.symbol_id AS child_id, o.symbol_id AS container_id, row_number() OVER (PARTITION BY c.relative_path, c.symbol_id ORDER BY o.syntax_end_byte - o.syntax_start_byte, o.start_byte, o.symbol_id) AS n FROM symbols c JOIN symbols o ON c.relative_path = o.relative_path AND c.symbol_id <> o.symbol_id AND o.syntax_start_byte <= c.start_byte AND o.syntax_end_byte >= c.end_byte AND o.kind IN ('module', 'class', 'function', 'method', 'local')) x WHERE n = 1"),
     "scope_chains": sql("symbols", "SELECT relative_path, s AS scope_id, o AS ancestor_id, row_number() OVER (PARTITION BY s ORDER BY s <> o, size, is_file, o) - 1 AS distance FROM (SELECT s.relative_path, s.id AS s, o.id AS o, o.b - o.a AS size, o.is_file FROM scopes s JOIN scopes o ON s.relative_path = o.relative_path AND (s.id = o.id OR (NOT s.is_file AND o.a <= s.a AND o.b >= s.b AND (o.a, o.b) <> (s.a, s.b)))) x", more=_SCOPES),
+    "smallest_scopes": sql("symbols", "SELECT relative_path, symbol_id, scope FROM (SELECT s.relative_path, symbol_id, id AS scope, row_number() OVER (PARTITION BY s.relative_path, symbol_id ORDER BY b - a, is_file, id) AS n FROM symbols s JOIN scopes c ON s.relative_path = c.relative_path AND a <= s.start_byte AND s.end_byte <= b) x WHERE n = 1", more=_SCOPES),
+    "context_relations": sql("symbols edges", """SELECT DISTINCT edge_id, source_symbol_id, target_symbol_id FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY way, root ORDER BY source_path, source_start_byte, edge_id) AS n FROM (
+    SELECT e.*, 1 AS way, source_symbol_id AS root FROM edges e WHERE source_symbol_id IN (SELECT symbol_id FROM roots) UNION ALL SELECT e.*, 2, target_symbol_id FROM edges e WHERE target_symbol_id IN (SELECT symbol_id FROM roots)) e) x WHERE n <= 16""",
+        more="roots AS (SELECT symbol_id FROM (SELECT *, CASE WHEN spelling = 'old' THEN 1 WHEN lower(spelling) = 'old' THEN 2 WHEN starts_with(spelling, 'old') THEN 3 ELSE 4 END AS tier FROM symbols WHERE starts_with(lower(spelling), 'old')) t ORDER BY tier, relative_path, spelling, start_byte, symbol_id LIMIT 12)"),
     "resolution_stats": sql("edges", "SELECT count(*) FILTER (resolution = 'lexically_resolved') AS resolved, count(*) FILTER (resolution = 'candidate') AS candidate, count(*) FILTER (resolution = 'unresolved') AS unresolved, count(*) FILTER (resolution = 'syntax_observation') AS external FROM edges"),
     "candidate_emission": sql("edges", """SELECT source_symbol_id AS source_observation_id, target_path, target_symbol_id, CASE WHEN n = 1 AND NOT forced THEN 'lexically_resolved' ELSE 'candidate' END AS resolution, rule, n AS candidate_count
 FROM (SELECT *, count(*) OVER w AS n, bool_or(rule = 'receiver-name-candidate-v1') OVER w AS forced, row_number() OVER (PARTITION BY source_symbol_id ORDER BY target_path, start, target_symbol_id) AS place FROM (

@@ -132,7 +132,42 @@ def content_ranges(spark, folder):
     return docs.select("doc_id", F.hex(T.byte_slice(F.col("text"), F.lit(7), F.lit(31))).alias("bytes"), T.line_of(F.col("text"), F.octet_length("text") - 5).cast("long").alias("line"))
 
 
+def _document_sources(spark, folder):
+    docs = corpus.read(spark, folder, "documents")
+    return docs.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("relative_path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def read_code(spark, folder):
+    """Second and third lines of documents: some hashes are old, some files are gone, some have fewer lines."""
+    sources, key = _document_sources(spark, folder), F.col("doc_id")
+    expected = sources.select("relative_path", F.when(key % 7 == 0, F.lit("0" * 64)).otherwise(F.sha2("content", 256)).alias("content_hash"))
+    return retrieval.line_excerpts(sources.filter(key % 11 != 0).select("relative_path", "content"), expected, 2, 3, 200).fillna({"text": "", "lines": 0, "truncated": False})
+
+
+def byte_excerpts(spark, folder):
+    """Starts of documents, cut to 40 bytes before a character."""
+    sources = _document_sources(spark, folder)
+    ranges = sources.select("relative_path", F.lit(0).cast("long").alias("start_byte"), (F.col("doc_id") % 60).alias("end_byte"))
+    return retrieval.byte_excerpts(sources.select("relative_path", "content"), ranges, 40).select("relative_path", "start_byte", F.col("end_byte").cast("long").alias("end_byte"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "code")
+
+
+def greedy_snippets(spark, folder):
+    """Ranges of all symbols, those left out that overlap one of a better rank in their file; rank goes by name."""
+    ranges = corpus.symbols(spark, folder).filter("kind <> 'module'").select("relative_path", "symbol_id", F.concat("spelling", F.lit(":"), "symbol_id").alias("rank"), F.col("syntax_start_byte").alias("start_byte"), F.col("syntax_end_byte").alias("end_byte"))
+    return retrieval.suppress_overlaps(ranges, "relative_path", ["rank"]).select("relative_path", "symbol_id")
+
+
+def value_percentiles(spark, folder):
+    """Percentiles, mean and extremes of samples by kind, as of latencies."""
+    v = F.col("value")
+    return corpus.read(spark, folder, "events").groupBy("event_type").agg(F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
 QUERIES = {
+    "read_code": read_code,
+    "byte_excerpts": byte_excerpts,
+    "greedy_snippets": greedy_snippets,
+    "value_percentiles": value_percentiles,
     "search_symbols_direct": _search("redring", limit=200, tokens=False),
     "search_symbols_prefix": _search("red", limit=200, tokens=False),
     "search_symbols_filtered": _search("hot", limit=200, tokens=False, language="rust", kind="class", path_prefix="src"),
@@ -153,6 +188,17 @@ QUERIES = {
 }
 
 SQL = {
+    "read_code": """WITH s AS (SELECT doc_id, 'doc_' || doc_id::VARCHAR AS relative_path, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT *, CASE WHEN parts[len(parts)] = '' THEN len(parts) - 1 ELSE len(parts) END AS n FROM s),
+c AS (SELECT *, parts[2] || chr(10) AS second, parts[3] || CASE WHEN len(parts) > 3 THEN chr(10) ELSE '' END AS third FROM l),
+o AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'source_deleted' WHEN doc_id % 7 = 0 THEN 'content_changed' WHEN n < 3 THEN 'invalid_range' WHEN strlen(second) > 200 THEN 'response_too_large' ELSE 'ok' END AS status, strlen(second) + strlen(third) > 200 AS cut FROM c)
+SELECT relative_path, status, CASE WHEN status = 'ok' THEN CASE WHEN cut THEN second ELSE second || third END ELSE '' END AS text, CAST(CASE WHEN status = 'ok' THEN CASE WHEN cut THEN 1 ELSE 2 END ELSE 0 END AS INTEGER) AS lines, status = 'ok' AND cut AS truncated FROM o""",
+    "byte_excerpts": """WITH s AS (SELECT 'doc_' || doc_id::VARCHAR AS relative_path, doc_id % 60 AS e, text, list_transform(range(1, length(text) + 1), lambda i: strlen(text[1:i])) AS ends FROM (SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS text, strlen(coalesce(text, '')) AS size FROM documents) d WHERE doc_id % 60 > 0 AND doc_id % 60 <= size),
+c AS (SELECT *, text[1:len(list_filter(ends, lambda n: n <= least(e, 40)))] AS code FROM s)
+SELECT relative_path, CAST(0 AS BIGINT) AS start_byte, CAST(strlen(code) AS BIGINT) AS end_byte, CAST(1 AS BIGINT) AS start_line, CAST(1 + strlen(code) - strlen(replace(code, chr(10), '')) AS BIGINT) AS end_line, code FROM c WHERE code <> ''""",
+    "greedy_snippets": sql("symbols", """SELECT relative_path, symbol_id FROM (SELECT relative_path, unnest(list_reduce(list_prepend([], list_transform(rows, lambda r: [r])), lambda kept, r: CASE WHEN len(list_filter(kept, lambda k: k.a < r[1].b AND r[1].a < k.b)) = 0 THEN kept || r ELSE kept END)).id AS symbol_id
+FROM (SELECT relative_path, list({'a': syntax_start_byte, 'b': syntax_end_byte, 'id': symbol_id} ORDER BY spelling || ':' || symbol_id) AS rows FROM symbols WHERE kind <> 'module' GROUP BY 1) g) x"""),
+    "value_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1",
     "search_symbols_direct": _direct_sql("redring"),
     "search_symbols_prefix": _direct_sql("red"),
     "search_symbols_filtered": _direct_sql("hot", "language = 'rust' AND kind = 'class' AND (relative_path = 'src' OR starts_with(lower(relative_path), 'src/'))"),

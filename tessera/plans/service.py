@@ -140,15 +140,24 @@ class Service:
         wanted = spark.createDataFrame([(path, content_hash)], "relative_path string, content_hash string")
         row = retrieval.line_excerpts(self.index.sources.select("relative_path", "content"), wanted, first_line, last_line).first()
         if row["status"] != "ok":
-            raise RequestError(row["status"].upper(), path)
+            raise RequestError("INVALID_ARGUMENT" if row["status"] == "invalid_range" else row["status"].upper(), path)
         return {"path": path, "text": row["text"], "lines": row["lines"], "truncated": row["truncated"]}
 
-    def build_context(self, query: str, max_bytes=LIMITS.response_bytes, **filters) -> dict:
-        found = search.search_symbols(self.index.symbols, query, limit=LIMITS.context_symbols, **filters)
-        chosen, related = retrieval.context_symbols(found, self.index.edges)
-        value = {"query": query, "snippets": [r.asDict() for r in chosen.orderBy("rank").collect()], "relations": [_dict(r, (*_EDGE, "direction", "root_symbol_id")) for r in related.orderBy("rank", "direction", "place").collect()], "truncated": False}
-        value = self._answer(value, max_bytes, "relations", "snippets")
-        return paging.with_token_estimate(value)
+    def build_context(self, query: str, scope=None, include_candidates=True, max_bytes=LIMITS.response_bytes) -> dict:
+        """What a reader of a few symbols needs: the symbols, their code, their relations, and a token estimate."""
+        found = search.search_symbols(self.index.symbols, query, path_prefix=scope, limit=LIMITS.context_symbols)
+        best, ranges, related = retrieval.context_symbols(found, graph.relations(self.index.edges, "any", include_candidates))
+        snippets = retrieval.byte_excerpts(self.index.sources, ranges) if self.index.sources is not None else ranges
+        value = {
+            "query": query,
+            "symbols": [{**_dict(r, _SYMBOL), "match_kind": r["match_kind"]} for r in best.orderBy("rank").collect()],
+            "snippets": [r.asDict() for r in snippets.orderBy("rank").collect()],
+            "relations": [_dict(r, _EDGE) for r in related.orderBy(*graph.RELATION_ORDER).collect()],
+            "repository_id": self.index.repository_id, "generation_id": self.index.generation_id, "coverage": self.coverage(), "truncated": False,
+        }
+        paging.with_token_estimate(value)
+        drop = paging.drop_last("relations", "snippets", "symbols")
+        return paging.fit(value, max_bytes, lambda v: drop(v) and bool(paging.with_token_estimate(v)))
 
     # -- notes
 

@@ -83,7 +83,8 @@ def test_excerpts_keep_whole_lines(spark):
     sources = spark.createDataFrame([("a", bytearray("one\ntwé\nthree\n".encode())), ("b", bytearray(b"x"))], "relative_path string, content binary")
     good = sources.select("relative_path", F.sha2("content", 256).alias("content_hash"))
     rows = {r["relative_path"]: r for r in retrieval.line_excerpts(sources, good, 1, 2, 8).collect()}
-    assert rows["a"]["text"] == "one\n" and rows["a"]["truncated"] and rows["b"]["text"] == "x" and not rows["b"]["truncated"]
+    assert rows["a"]["text"] == "one\n" and rows["a"]["truncated"] and rows["b"]["status"] == "invalid_range"
+    assert {r["status"] for r in retrieval.line_excerpts(sources, good, 1, 1, 0).collect()} == {"response_too_large"}
     assert retrieval.line_excerpts(sources, good, 2, 3, 100).filter("relative_path = 'a'").first()["text"] == "twé\nthree\n"
 
 

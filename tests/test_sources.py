@@ -200,8 +200,10 @@ def test_service(spark, index):
         service.read_code("other.go", "0" * 64, 1, 1)
     with pytest.raises(RequestError, match="SOURCE_DELETED"):
         service.read_code("zzz.go", "0" * 64, 1, 1)
+    with pytest.raises(RequestError, match="INVALID_ARGUMENT"):
+        service.read_code("other.go", row["content_hash"], 2, 9)
     context = service.build_context("helper")
-    assert context["snippets"] and context["approximate_tokens"] > 0
+    assert context["snippets"][0]["code"] and context["approximate_tokens"] > 0
     assert service.repository_status()["files"] == index.files.count()
 
 
