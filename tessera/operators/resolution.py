@@ -289,10 +289,14 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     near = near.withColumn("place", F.rank().over(nearest)).filter("place = 1 AND outcome = 'local'")
     imported = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
     modules = declared_modules(observations, files).filter(F.col("language").isin("go", "java", "csharp"))
-    mine = modules.select(F.col("relative_path").alias("m_path"), "module")
-    theirs = modules.select(F.col("relative_path").alias("y_path"), F.col("language").alias("y_language"), F.col("module").alias("y_module"))
-    same = occ.join(mine, F.col("source_path") == F.col("m_path")).join(decl, F.col("name") == F.col("d_spelling")).join(theirs, F.col("d_relative_path") == F.col("y_path"))
-    same = same.filter((F.col("source_path") != F.col("y_path")) & (F.col("language") == F.col("y_language")) & (F.col("module") == F.col("y_module")) & ((F.col("language") != "go") | (parent_path(F.col("source_path")) == parent_path(F.col("y_path")))))
+    # keyed by language, module, directory for Go, and name, so that only names of one module meet
+    place = F.when(F.col("language") == "go", parent_path(F.col("relative_path"))).otherwise(F.lit(""))
+    modules = modules.select("relative_path", F.col("language").alias("m_language"), "module", place.alias("m_place"))
+    mine = modules.withColumnRenamed("relative_path", "m_path")
+    theirs = modules.select(F.col("relative_path").alias("y_path"), F.col("m_language").alias("y_language"), F.col("module").alias("y_module"), F.col("m_place").alias("y_place"))
+    open_to_all = decl.filter(F.col("d_top") | F.col("d_kind").isin(*K.MEMBER)).join(theirs, F.col("d_relative_path") == F.col("y_path"))
+    same = occ.join(mine, F.col("source_path") == F.col("m_path"))
+    same = same.join(open_to_all, (F.col("name") == F.col("d_spelling")) & (F.col("m_language") == F.col("y_language")) & (F.col("module") == F.col("y_module")) & (F.col("m_place") == F.col("y_place")) & (F.col("source_path") != F.col("y_path")))
     same = same.filter(fits & F.when(F.col("uncertain"), F.col("d_kind").isin(*K.MEMBER)).otherwise(F.col("d_top")))
     same = same.withColumn("rule", F.lit("same-module-v1")).withColumn("evidence", F.array(F.concat(F.lit("module:"), "module")))
     every = stage(lexical, 0).unionByName(stage(member, 0)).unionByName(stage(imported, 1)).unionByName(stage(same, 2))
