@@ -1,7 +1,8 @@
 """Secrets in texts and in the layers that are encoded in them.
 
 A worklist holds layers: the text, and whatever its URL, Unicode, base64 and compressed parts decode to. Each layer is
-scanned and searched for further encoded parts until none is left; a layer that was met before is not searched again.
+scanned and searched for further encoded parts until none is left; a layer that was met before at the same place is not
+placed again, and one of the same content is not searched again.
 Each layer knows the span of the text that it came from, so a secret is reported where it stands in the text.
 """
 
@@ -78,10 +79,28 @@ def _inflate(data: bytes) -> tuple[str, bytes] | None:
     return None
 
 
-def _layers(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+def _decoded(part: str) -> tuple[str, str] | None:
+    """The encodings of a base64 part and its text, if it has one."""
+    raw = part.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(raw) % 4 == 1 or not _plausible(raw):
+        return None
+    try:
+        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+    except binascii.Error:
+        return None
+    names, opened = "base64", _inflate(data)
+    while opened is not None:
+        names, data = f"{names}.{opened[0]}", opened[1]
+        opened = _inflate(data)
+    body = _printable(data)
+    return (names, body) if body else None
+
+
+def _layers(text: str, known: dict[str, tuple[str, str] | None]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(encodings, pieces with their start and end) of each layer that is encoded in this one.
 
     URL and Unicode escapes decode to one layer with all that surrounds them, as a secret may be escaped in part.
+    Base64 parts that were decoded before are taken from known.
     """
     if "%" in text:
         pieces, at = [], 0
@@ -109,19 +128,10 @@ def _layers(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
             pieces.append((text[at:], at, len(text)))
             yield "unicode", pieces
     for m in _BASE64.finditer(text):
-        raw = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(raw) % 4 == 1 or not _plausible(raw):
-            continue
-        try:
-            data = base64.b64decode(raw + "=" * (-len(raw) % 4))
-        except binascii.Error:
-            continue
-        names, opened = "base64", _inflate(data)
-        while opened is not None:
-            names, data = f"{names}.{opened[0]}", opened[1]
-            opened = _inflate(data)
-        body = _printable(data)
-        if body:
+        if m[0] not in known:
+            known[m[0]] = _decoded(m[0])
+        if known[m[0]] is not None:
+            names, body = known[m[0]]
             yield names, [(body, m.start(), m.end())]
 
 
@@ -131,20 +141,38 @@ def _plausible(raw: str) -> bool:
     return all(0x20 <= b < 0x7F or b in b"\t\r\n" or b >= 0xC2 for b in head) or head[:2] == b"\x1f\x8b" or head[0] == 0x78 or head[:3] == b"\x28\xb5\x2f"
 
 
+def _origin(pieces: list[tuple[str, int, int]]) -> tuple[tuple[int, int, int], ...]:
+    """Where the characters of a layer come from, however it is cut: lengths, starts and ends; runs that map by character are joined."""
+    out: list[tuple[int, int, int]] = []
+    for p, a, b in pieces:
+        if p and out and len(p) == b - a and out[-1][0] == out[-1][2] - out[-1][1] and out[-1][2] == a:
+            out[-1] = (out[-1][0] + len(p), out[-1][1], b)
+        elif p:
+            out.append((len(p), a, b))
+    return tuple(out)
+
+
 def nested(text: str) -> list[tuple[str, int, int]]:
     """Secrets of the layers below the text, where those stand in it: kind.encodings, start, end; once each.
 
     A layer is text in pieces; a piece whose length is that of its origin maps by character, any other as a whole.
+    The same layer may stand in many places and is placed in each; a layer that is the text again closes a cycle.
     """
     found: set[tuple[str, int, int]] = set()
-    seen = {text}
-    work = deque((name, pieces) for name, pieces in _layers(text))
+    seen: set[tuple[str, tuple[tuple[int, int, int], ...]]] = set()
+    known: dict[str, tuple[str, str] | None] = {}
+    searched: dict[str, tuple[list, list]] = {}
+    work = deque(_layers(text, known))
     while work:
         name, pieces = work.popleft()
         body = "".join(p[0] for p in pieces)
-        if body in seen:
+        origin = _origin(pieces)
+        if body == text or (body, origin) in seen:
             continue
-        seen.add(body)
+        seen.add((body, origin))
+        if body not in searched:
+            searched[body] = scan(body), list(_layers(body, known))
+        secrets, layers = searched[body]
         starts, at = [], 0
         for p, _, _ in pieces:
             starts.append(at)
@@ -160,12 +188,12 @@ def nested(text: str) -> list[tuple[str, int, int]]:
                 return a + i - starts[k] + end, False
             return (b if end else a), True
 
-        for kind, a, b in scan(body):
+        for kind, a, b in secrets:
             (x, left), (y, right) = place(a, False), place(b - 1, True)
             touched = left or right or any(s < b and s + len(p) > a and len(p) != q - o for (p, o, q), s in zip(pieces, starts, strict=True) if a <= s < b)
             if touched:
                 found.add((f"{kind}.{name}", x, y))
-        for inner, parts in _layers(body):
+        for inner, parts in layers:
             outer = []
             for p, a, b in parts:
                 if a == b:

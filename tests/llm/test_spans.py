@@ -73,6 +73,21 @@ def test_layers_are_unwrapped_and_mapped():
     assert layers("a%2525b token=abcdef 100%25 sure") == [("assign", "token=abcdef")]
 
 
+def test_every_occurrence_of_a_layer_is_reported():
+    plain = "password = hunter2secret"
+    b = base64.b64encode(plain.encode()).decode()
+    bb = base64.b64encode(f"key {b} end".encode()).decode()
+    t = f"x {b} y {b}\n{bb} {b} %41 {bb}"
+    places = lambda part: [(m.start(), m.end()) for m in re.finditer(f"(?<![A-Za-z0-9]){re.escape(part)}", t)]
+    got = secrets.nested(t)
+    assert [(x, y) for k, x, y in got if k == "assign.base64"] == places(b) and len(places(b)) == 3
+    assert [(x, y) for k, x, y in got if k == "assign.base64.base64"] == places(bb) and len(places(bb)) == 2
+    assert len(got) == 5
+    copies = " ".join([b] * 5000)
+    began = time.time()
+    assert len(secrets.nested(copies)) == 5000 and time.time() - began < 5
+
+
 def test_cycles_and_bombs_end():
     assert layers("%25" * 2000) == []
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.INFLATED + 10), mtime=0)).decode()
