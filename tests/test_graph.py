@@ -59,6 +59,33 @@ def test_walk_equals_the_queue(spark, depth, nodes, most):
         assert cut == want[2]
 
 
+def test_registered_walks_read_all_edges_within_their_caps(spark, folder):
+    from tessera.limits import DEFAULTS
+    from tessera.plans import catalog
+    from tessera.plans.graphs import EDGE as NAMES
+    from tessera.plans.graphs import ROOT
+    from tessera.sources import corpus
+
+    run = lambda name: catalog.queries()[name](spark, folder).collect()
+    order = ("edge_id", "relationship", "source_symbol_id", "target_symbol_id", "resolution", "source_path", "target_path", "source_start_byte")
+    frame = corpus.edges(spark, folder)
+    edges = [tuple(r) for r in frame.select(*order).collect()]
+    back = [(e[0], e[1], e[3], e[2], *e[4:]) for e in edges]
+    assert len({e[1] for e in edges}) == 3 and len(run("labelled_edges_all")) == len(edges)
+    for name, way in (("walk_outgoing_all", edges), ("walk_incoming_all", back)):
+        nodes, _, cut = loop(way, [ROOT], 3, DEFAULTS.nodes, DEFAULTS.edges)
+        assert cut and [r["symbol_id"] for r in run(name)] == nodes
+    traced = loop([e for e in back if e[1] == "calls"], [ROOT], 3, DEFAULTS.nodes, DEFAULTS.edges)[1]
+    assert NAMES == order and [r["edge_id"] for r in run("trace_calls_all")] == list(dict.fromkeys(traced))
+    path = "src/pkg4/file4.rs"
+    own = sorted(r["symbol_id"] for r in corpus.symbols(spark, folder).filter(F.col("relative_path") == path).collect())
+    into = sorted((e for e in edges if e[6] == path), key=lambda e: (e[5], e[7], e[0]))[: DEFAULTS.edges]
+    seeds = sorted({ROOT, *own, *(e[2] for e in into)})
+    walked = set(loop(back, seeds, 2, DEFAULTS.nodes, max(1, DEFAULTS.edges - len(into)))[1]) | {e[0] for e in into}
+    reached = {path} | {p for e in edges if e[0] in walked for p in (e[5], e[6])}
+    assert [r["relative_path"] for r in run("analyze_impact_all")] == sorted(reached)
+
+
 def test_walk_limits(spark):
     df = spark.createDataFrame([], EDGE)
     assert graph.walk(df, ["a"]) == (["a"], [], False)
