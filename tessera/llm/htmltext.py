@@ -3,7 +3,8 @@
 A page is read into blocks of text with their place in the page. Blocks of menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments go by their elements. Pages are then paired with the nearest URL of their host, their
 blocks are aligned by longest common subsequence, and what the pair shares goes as a template, too: but not inside an
-element that marks the article, where a shared block is a quotation or a copied article.
+element that marks the article, where a shared block is a quotation or a copied article. Of what is left, articles stand
+for the page if they hold most of it; a teaser does not.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ MARKS = frozenset(
 )
 #: Elements that mark the page's own part, by rank: an article in a main part is narrower than it.
 ARTICLE = {"main": 1, "article": 2}
-#: Share of the text of the own part that articles must hold to stand for it; else they are teasers.
-NARROW = 0.3
+#: Share of a page's own text that articles, or a main part, must pass to stand for it; else they are teasers.
+MOST = 0.5
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -215,22 +216,25 @@ def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return _aligned(a[:middle], b[:cut]) + [(i + middle, j + cut) for i, j in _aligned(a[middle:], b[cut:])]
 
 
-#: Share of a page's characters outside of articles past which a shared part is a copy of the page, no template.
+#: Share of a page's characters past which a shared part is a copy of the page, no template.
 COPIED = 0.9
 
 
 def main_text(own: list[Block], near: list[list[Block]]) -> str:
-    """The page's blocks, or those of its articles if it has any, without what it shares with the pages near it."""
-    inside, narrow = [b.text for b in own if b.inside], [b.text for b in own if b.inside == 2]
-    if inside:
-        return " ".join(narrow if sum(map(len, narrow)) >= NARROW * sum(map(len, inside)) else inside)
+    """The page's blocks without those that it shares with the pages near it, articles aside; of these, its articles alone if they hold most."""
     texts = [b.text for b in own]
     whole, gone = sum(map(len, texts)), set()
     for other in near:
         shared, _ = shared_blocks(texts, [b.text for b in other])
         if sum(len(texts[i]) for i in shared) <= COPIED * whole:
-            gone |= shared
-    return " ".join(t for i, t in enumerate(texts) if i not in gone)
+            gone |= {i for i in shared if not own[i].inside}
+    kept = [b for i, b in enumerate(own) if i not in gone]
+    size = sum(len(b.text) for b in kept)
+    for rank in (2, 1):
+        part = [b.text for b in kept if b.inside >= rank]
+        if sum(map(len, part)) > MOST * size:
+            return " ".join(part)
+    return " ".join(b.text for b in kept)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

@@ -29,6 +29,16 @@ def test_teasers_do_not_stand_for_the_article():
     assert text("<main><p>" + "long text " * 20 + "</p><article>teaser</article></main>").startswith("long text")
 
 
+def test_differencing_decides_beside_articles():
+    body = "own words of the page " * 9
+    page = lambda body: blocks(f"<div>Top bar</div><div><p>{body}</p></div><article>teaser</article><div>Bottom line</div>")
+    assert main_text(page(body), [page("others " * 20)]) == f"{body.strip()} teaser"
+    assert main_text(page(body), []) == f"Top bar {body.strip()} teaser Bottom line"
+    assert text(f"<main><article>{'a' * 40}</article><p>{'b' * 60}</p></main>") == "a" * 40 + " " + "b" * 60
+    framed = lambda t: blocks(f"<div>{'menu ' * 30}</div><div>{t[:3]}</div><article>{t}</article>")
+    assert main_text(framed("mine " * 9), [framed("other " * 9)]) == ("mine " * 9).strip()
+
+
 def test_longest_common_subsequence():
     def table(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
