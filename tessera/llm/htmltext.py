@@ -1,7 +1,7 @@
 """Main text of web pages: page structure, then differencing against the page of the nearest URL.
 
 A page is read into blocks of text with their place in the page. Blocks of menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments go by their elements. Pages are then paired with the nearest URL of their host, their
+adverts, forms and reader comments go by their elements, unless such an element holds the page itself. Pages are then paired with the nearest URL of their host, their
 blocks are aligned by longest common subsequence, and what the pair shares goes as a template, too: but not inside an
 element that marks the article, where a shared block is a quotation or a copied article. Of what is left, articles stand
 for the page if they hold most of it; a teaser does not.
@@ -40,6 +40,10 @@ MARKS = frozenset(
     "masthead menu menubar nav navbar navigation newsletter notice pagination pager paywall popup promo promoted related replies reply "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
+#: Words beside a mark that make it a note on the page's layout or the article's topic: has-sidebar, comments-open, category-social.
+NOTES = frozenset("no has with without hide category tag open closed".split())
+#: Shares of a page's text past which an element is its frame, whatever it is marked as: by a mark among other words, by a mark alone.
+FRAME = {1: 0.5, 2: 0.9}
 #: Elements that mark the page's own part, by rank: an article in a main part is narrower than it.
 ARTICLE = {"main": 1, "article": 2}
 #: Share of a page's own text that articles, or a main part, must pass to stand for it; else they are teasers.
@@ -61,43 +65,90 @@ class Block:
 
 
 @lru_cache(4096)
-def _marked(name: str, attributes: str) -> bool:
-    """Whether an element's class, id, role or hiding says that it is not part of the article."""
-    if name in AROUND or name in HIDDEN:
-        return True
+def _marked(name: str, attributes: str) -> int:
+    """How surely an element's name, class, id, role or hiding says that it is not part of the article.
+
+    0 not at all, 1 by a mark among other words, or as a form, 2 by a mark alone, 3 beyond doubt.
+    """
+    if name in HIDDEN or (name in AROUND and name != "form"):
+        return 3
+    level = int(name == "form")
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return level
     for key, value in _MARK.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key in ("class", "id", "role") and any(w.lower() in MARKS for w in _WORD.findall(value)):
-            return True
-    return False
+            return 3
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                words = {w.lower() for w in _WORD.findall(token)}
+                if words & MARKS and not words & NOTES:
+                    level = max(level, 2 if words <= MARKS else 1)
+    return level
+
+
+class Region:
+    """A marked element: how surely it is marked, its depth, the marked element around it, what it holds."""
+
+    __slots__ = ("article", "depth", "level", "own", "parent", "text")
+
+    def __init__(self, level: int, depth: int, parent: Region | None):
+        self.level, self.depth, self.parent = level, depth, parent
+        self.article, self.own, self.text = False, 0, 0
+
+
+def _dropped(parts: list[tuple[str, int, Region | None, bool]], regions: list[Region]) -> set[Region]:
+    """The marked elements that go: not those that hold an article or most of the page's text.
+
+    One that is marked by nothing else must hold most of what articles and main parts hold, as sidebars hold teasers.
+    """
+    whole = most = 0
+    for raw, rank, region, _ in parts:
+        size = len(raw.strip())
+        own = size if rank else 0
+        whole, most = whole + size, most + own
+        if region is not None:
+            region.text, region.own = region.text + size, region.own + own
+    for r in reversed(regions):
+        if r.parent is not None:
+            r.parent.text, r.parent.own, r.parent.article = r.parent.text + r.text, r.parent.own + r.own, r.parent.article or r.article
+    gone: set[Region] = set()
+    for r in regions:
+        if r.parent in gone or not (r.text > FRAME[r.level] * whole or (r.article and (r.level == 1 or r.own > MOST * most))):
+            gone.add(r)
+    return gone
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page outside of marked elements, in page order.
+    """The blocks of a page outside of marked elements that do not hold the page itself, in page order.
 
     Tags may be unclosed: an end tag closes all elements down to its own; one without a start is skipped.
     A header counts as the page's unless it stands in an article. A title or a comment never is text.
     """
-    out: list[Block] = []
+    parts: list[tuple[str, int, Region | None, bool]] = []  # text, rank, marked element around it, whether it goes on from the part before
     open_names: list[str] = []
+    regions: list[Region] = []
+    region: Region | None = None
     skip_at: int | None = None  # depth of the element that is left out
     articles: list[int] = []  # ranks of the open elements that mark one
     pieces: list[str] = []
-    at, size = 0, len(page)
+    at, size, goes_on = 0, len(page), False
 
-    def flush() -> None:
+    def flush(inline: bool = False) -> None:
+        nonlocal goes_on
         if pieces:
-            text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
-            if text:
-                out.append(Block(text, max(articles, default=0)))
+            parts.append(("".join(pieces), max(articles, default=0), region, goes_on))
             pieces.clear()
+            goes_on = inline
+        elif not inline:
+            goes_on = False
 
     def close(depth: int) -> None:
-        nonlocal skip_at
+        nonlocal skip_at, region
+        if region is not None and region.depth >= depth:
+            flush(open_names[region.depth] not in BLOCKS)
+            while region is not None and region.depth >= depth:
+                region = region.parent
         while len(open_names) > depth:
             if open_names.pop() in ARTICLE:
                 articles.pop()
@@ -149,9 +200,17 @@ def blocks(page: str) -> list[Block]:
                     close(last)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
-        if skip_at is None and (_marked(name, m[3]) or (name == "header" and not articles)):
+        level = 0 if skip_at is not None else 3 if name == "header" and not articles else _marked(name, m[3])
+        if level == 3:
             flush()
             skip_at = len(open_names)
+        elif skip_at is None and name in ARTICLE and 2 not in articles:  # its words are its topics and layout
+            if level == 0 and region is not None:
+                region.article = True
+        elif level:
+            flush(name not in BLOCKS)
+            region = Region(level, len(open_names), region)
+            regions.append(region)
         open_names.append(name)
         if name in ARTICLE:
             articles.append(ARTICLE[name])
@@ -161,7 +220,17 @@ def blocks(page: str) -> list[Block]:
                 pieces.append(page[at:end])
             at = end
     flush()
-    return out
+    gone = _dropped(parts, regions)
+    texts: list[tuple[str, int]] = []
+    for i, (raw, rank, around, after) in enumerate(parts):
+        if around in gone:
+            continue
+        if after and texts and parts[i - 1][2] not in gone:
+            texts[-1] = (texts[-1][0] + raw, max(rank, texts[-1][1]))
+        else:
+            texts.append((raw, rank))
+    found = ((_SPACE.sub(" ", entities.unescape(raw)).strip(), rank) for raw, rank in texts)
+    return [Block(text, rank) for text, rank in found if text]
 
 
 _ENDS: dict[str, re.Pattern] = {}

@@ -39,6 +39,23 @@ def test_differencing_decides_beside_articles():
     assert main_text(framed("mine " * 9), [framed("other " * 9)]) == ("mine " * 9).strip()
 
 
+def test_marks_do_not_drop_the_page():
+    body = "<p>" + "own words " * 20 + "</p>"
+    want = ("own words " * 20).strip()
+    for start, end in (
+        ("<article class='post no-sidebar'>", "</article>"), ("<article class='category-social comments-open'>", "</article>"), ("<div class='layout has-sidebar'><article>", "</article></div>"),
+        ("<div class='layout has-sidebar'>", "</div>"), ("<form id=aspnetForm><div>", "</div></form>"), ("<div id='page-widget'>", "</div>"), ("<div class=social><main>", "</main></div>"),
+        ("<article class='related'>", "</article>"), ("<form><article class='post paywall'>", "</article></form>"),
+    ):
+        assert text(f"<nav>Home</nav>{start}{body}<div class='sidebar'>Other</div>{end}<div class=ad>Buy</div>") == want, start
+    listed = "".join(f"<li class='post-social'><article class='post tag-sponsored'><p>{i} words</p></article></li>" for i in "abc")
+    assert text(f"<ul>{listed}</ul>") == "a words b words c words"
+    aside = "<div class=related><article>teaser</article></div><div id=comments><article class=comment-body>Nice!</article></div>"
+    assert text(f"<article>{body}</article>{aside}") == want
+    assert text(f"<form>U<span class='x-widget'>S</span>A {want}</form>") == f"U A {want}" and text("<b id='x-widget'>U</b>SA") == "SA"
+    assert text("<p>a<b class='my-banner'>bcdef</b>g</p>") == "abcdefg"
+
+
 def test_longest_common_subsequence():
     def table(a, b):
         rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
