@@ -1,6 +1,7 @@
 """Secrets in texts and in the layers that are encoded in them.
 
-A worklist holds layers: the text, and whatever its URL, Unicode, base64 and compressed parts decode to. Each layer is
+A worklist holds layers: the text, and whatever its URL, Unicode, UTF-16, base64 and compressed parts decode to, bytes
+that are no UTF-8 replaced. Each layer is
 scanned and searched for further encoded parts until none is left; a layer that was met before at the same place is not
 placed again, and one of the same content is not searched again.
 Each layer knows the span of the text that it came from, so a secret is reported where it stands in the text.
@@ -9,8 +10,6 @@ Each layer knows the span of the text that it came from, so a secret is reported
 from __future__ import annotations
 
 import base64
-import binascii
-import gzip
 import re
 import zlib
 from bisect import bisect_right
@@ -38,6 +37,11 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Base64 in lines: the first of 16 characters or more, the last one at the end of its line or padded.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?![A-Za-z0-9+/_=-])(?![ \t]+\S))")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: ASCII in UTF-16 of either order, read as UTF-8.
+_WIDE = re.compile(r"\0(?:[\x01-\x7f]\0)+[\x01-\x7f]|(?:[\x01-\x7f]\0){2,}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -51,52 +55,90 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "replace")
+
 
+def _inflate(data: bytes) -> tuple[str, bytes, bytes] | None:
+    """The name and content of a compressed part, in the formats that begin with a mark of their own, and what follows it.
 
-def _inflate(data: bytes) -> tuple[str, bytes] | None:
-    """The name and content of a compressed part, in the formats that begin with a mark of their own."""
+    Members of one format that follow each other are one content.
+    """
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-            name, machine = ("gzip", zlib.decompressobj(31)) if data[:1] == b"\x1f" else ("zlib", zlib.decompressobj())
-            out = machine.decompress(data, INFLATED)
-            return (name, out) if machine.eof else None
         if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return "zstd", zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(data, max_output_size=INFLATED)
-    except (zlib.error, gzip.BadGzipFile, EOFError, ValueError, ImportError) as error:
+            return "zstd", zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(data, max_output_size=INFLATED), b""
+    except Exception as error:  # zstandard has its own
         if isinstance(error, ImportError):
             raise
-    except Exception as error:  # zstandard has its own
-        if type(error).__name__ != "ZstdError":
+        if not isinstance(error, (EOFError, ValueError)) and type(error).__name__ != "ZstdError":
             raise
-    return None
-
-
-def _decoded(part: str) -> tuple[str, str] | None:
-    """The encodings of a base64 part and its text, if it has one."""
-    raw = part.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(raw) % 4 == 1 or not _plausible(raw):
-        return None
-    try:
-        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
-    except binascii.Error:
-        return None
-    names, opened = "base64", _inflate(data)
-    while opened is not None:
-        names, data = f"{names}.{opened[0]}", opened[1]
-        opened = _inflate(data)
-    body = _printable(data)
-    return (names, body) if body else None
-
-
-def _layers(text: str, known: dict[str, tuple[str, str] | None]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    name = "gzip" if data[:2] == b"\x1f\x8b" else "zlib"
+    out: list[bytes] = []
+    left = INFLATED
+    while left > 0 and (data[:2] == b"\x1f\x8b" if name == "gzip" else len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
+        machine = zlib.decompressobj(31 if name == "gzip" else 15)
+        try:
+            content = machine.decompress(data, left)
+        except zlib.error:
+            break
+        if not machine.eof:
+            break
+        out.append(content)
+        left, data = left - len(content), machine.unused_data
+    return (name, b"".join(out), data) if out else None
+
+
+def _bytes(raw: str) -> bytes:
+    """What base64 characters decode to; one that is left over by itself holds no byte."""
+    raw = raw.rstrip("=").replace("-", "+").replace("_", "/")
+    raw = raw[:-1] if len(raw) % 4 == 1 else raw
+    return base64.b64decode(raw + "=" * (-len(raw) % 4))
+
+
+def _opened(data: bytes) -> list[tuple[str, bytes]]:
+    """The encodings and content of decoded base64: what its compressed parts hold, and what stands behind them."""
+    out, work, seen = [], deque([("base64", data)]), set()
+    while work:
+        names, data = work.popleft()
+        opened = None if data in seen else _inflate(data)
+        seen.add(data)
+        if opened is None:
+            out.append((names, data))
+        else:
+            work += [(f"{names}.{opened[0]}", opened[1]), (names, opened[2])]
+    return [(names, data) for names, data in out if data]
+
+
+def _wrapped(text: str) -> Iterator[list[re.Match]]:
+    """Lines of base64 that belong together: lines of one length, then one that is shorter."""
+    for m in _LINES.finditer(text):
+        lines, i = list(_LINE.finditer(text, m.start(), m.end())), 0
+        while i < len(lines):
+            size, j = len(lines[i][0]), i + 1
+            while j < len(lines) and len(lines[j][0]) == size:
+                j += 1
+            end = j + 1 if j < len(lines) and len(lines[j][0]) < size else j
+            if end > i + 1 and size >= 16:
+                yield lines[i:end]
+            i = j
+
+
+def _by_line(data: bytes, lines: list[re.Match]) -> list[tuple[str, int, int]]:
+    """The text of bytes in pieces, each with the place of the line that it begins in."""
+    pieces, at, count = [], 0, 0
+    for line in lines:
+        count += len(line[0])
+        end = max(at, min(len(data), count * 3 // 4)) if line is not lines[-1] else len(data)
+        while end < len(data) and 0x80 <= data[end] < 0xC0:
+            end += 1
+        pieces.append((_text(data[at:end]), line.start(), line.end()))
+        at = end
+    return pieces
+
+
+def _layers(text: str, known: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """(encodings, pieces with their start and end) of each layer that is encoded in this one.
 
     URL and Unicode escapes decode to one layer with all that surrounds them, as a secret may be escaped in part.
@@ -105,11 +147,9 @@ def _layers(text: str, known: dict[str, tuple[str, str] | None]) -> Iterator[tup
     if "%" in text:
         pieces, at = [], 0
         for m in _PERCENT.finditer(text):
-            body = _printable(bytes.fromhex(m[0].replace("%", "")))
-            if body is not None:
-                pieces.append((text[at : m.start()], at, m.start()))
-                pieces.append((body, m.start(), m.end()))
-                at = m.end()
+            pieces.append((text[at : m.start()], at, m.start()))
+            pieces.append((_text(bytes.fromhex(m[0].replace("%", ""))), m.start(), m.end()))
+            at = m.end()
         if pieces:
             pieces.append((text[at:], at, len(text)))
             yield "url", pieces
@@ -127,18 +167,27 @@ def _layers(text: str, known: dict[str, tuple[str, str] | None]) -> Iterator[tup
         if pieces:
             pieces.append((text[at:], at, len(text)))
             yield "unicode", pieces
+    if "\0" in text:
+        pieces, at = [], 0
+        for m in _WIDE.finditer(text):
+            pieces.append((text[at : m.start()], at, m.start()))
+            pieces.append((m[0].replace("\0", ""), m.start(), m.end()))
+            at = m.end()
+        if pieces:
+            pieces.append((text[at:], at, len(text)))
+            yield "utf16", pieces
     for m in _BASE64.finditer(text):
         if m[0] not in known:
-            known[m[0]] = _decoded(m[0])
-        if known[m[0]] is not None:
-            names, body = known[m[0]]
+            known[m[0]] = [(names, _text(data)) for names, data in _opened(_bytes(m[0]))]
+        for names, body in known[m[0]]:
             yield names, [(body, m.start(), m.end())]
-
-
-def _plausible(raw: str) -> bool:
-    """Whether the first four characters decode to printable ASCII or to the mark of a compressed part."""
-    head = base64.b64decode(raw[:4])
-    return all(0x20 <= b < 0x7F or b in b"\t\r\n" or b >= 0xC2 for b in head) or head[:2] == b"\x1f\x8b" or head[0] == 0x78 or head[:3] == b"\x28\xb5\x2f"
+    for lines in _wrapped(text):
+        data = _bytes("".join(line[0] for line in lines))
+        for names, content in _opened(data):
+            if content is data or content == data:
+                yield names, _by_line(data, lines)
+            else:
+                yield names, [(_text(content), lines[0].start(), lines[-1].end())]
 
 
 def _origin(pieces: list[tuple[str, int, int]]) -> tuple[tuple[int, int, int], ...]:
@@ -160,7 +209,7 @@ def nested(text: str) -> list[tuple[str, int, int]]:
     """
     found: set[tuple[str, int, int]] = set()
     seen: set[tuple[str, tuple[tuple[int, int, int], ...]]] = set()
-    known: dict[str, tuple[str, str] | None] = {}
+    known: dict[str, list[tuple[str, str]]] = {}
     searched: dict[str, tuple[list, list]] = {}
     work = deque(_layers(text, known))
     while work:

@@ -88,6 +88,37 @@ def test_every_occurrence_of_a_layer_is_reported():
     assert len(secrets.nested(copies)) == 5000 and time.time() - began < 5
 
 
+def test_layers_with_other_bytes_lines_and_members():
+    plain = "password = hunter2secret"
+    b64 = lambda data: base64.b64encode(data).decode()
+    for data in (b"\0" + plain.encode(), plain.encode() + b"\x1b[0m", b"\xff\xfe\x00" + plain.encode() + b"\xe9"):
+        assert layers(f"x {b64(data)} y") == [("assign.base64", b64(data))]
+    for code in ("utf-16", "utf-16-le", "utf-16-be"):
+        part = b64(f"né {plain}".encode(code))
+        assert layers(f"x {part} y") == [("assign.base64.utf16", part)]
+    tar = b64(gzip.compress(b"a.env" + bytes(507) + plain.encode() + bytes(400), mtime=0))
+    assert layers(tar) == [("assign.base64.gzip", tar)]
+    run = "%ff%00" + "".join(f"%{c:02x}" for c in plain.encode())
+    assert layers(f"q {run} z") == [("assign.url", run)]
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ghijklmnop qrstuvw") for _ in range(400))
+    for size in (16, 38, 64, 76):
+        lines = lambda part, size=size: [part[i : i + size] for i in range(0, len(part), size)]
+        for data, kind in ((gzip.compress(f"{noise} {plain} {noise}".encode(), mtime=0), "assign.base64.gzip"), (zlib.compress((noise + plain).encode()), "assign.base64.zlib")):
+            wrapped = "\n".join(lines(b64(data)))
+            assert layers(f"head\n{wrapped}\ntail of it") == [(kind, wrapped)]
+        for before in range(60):
+            wrapped = lines(b64((noise[:before] + " " + plain + " " + noise).encode()))
+            t = "key:\r\n  " + "\r\n  ".join(wrapped) + "\r\nend here"
+            first, last = (next(k for k in range(len(wrapped)) if size * (k + 1) * 3 // 4 > at) for at in (before + 1, before + len(plain)))
+            place = t.index(wrapped[first]), t.index(wrapped[last]) + len(wrapped[last])
+            assert ("assign.base64", *place) in secrets.nested(t), (size, before)
+    more = b64(gzip.compress(b"first") + gzip.compress(b" passw") + gzip.compress(b"ord = hunter2secret"))
+    assert layers(more) == [("assign.base64.gzip", more)]
+    rest = b64(zlib.compress(b"first") + plain.encode())
+    assert layers(rest) == [("assign.base64", rest)]
+
+
 def test_cycles_and_bombs_end():
     assert layers("%25" * 2000) == []
     bomb = base64.b64encode(gzip.compress(b"a" * (secrets.INFLATED + 10), mtime=0)).decode()
