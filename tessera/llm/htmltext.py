@@ -320,22 +320,59 @@ def _ordered(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2]
 
 
-class Ranges:
-    """Ranges of the order (host, path, key) by their first and last pages."""
+def _beside(a: tuple | None, b: tuple) -> bool:
+    """Whether two (host, path, key) are of one host and of different paths."""
+    return a is not None and a[0] == b[0] and a[1] != b[1]
+
 
-    def __init__(self, ends: list[tuple[tuple, tuple]]):
-        self.firsts, self.lasts = [_ordered(a) for a, _ in ends], [_ordered(b) for _, b in ends]
+class Ranges:
+    """Ranges of the order (host, path, key), and the pages of other ranges that their first and last paths are paired with."""
+
+    def __init__(self, ends: list[tuple[tuple, tuple, tuple | None, tuple | None]]):
+        """ends: first page, last page, first page of the second path, last page of the last path but one of each range, in order."""
+        self.firsts = [_ordered(e[0]) for e in ends]
+        self.foreign: dict[tuple, list[int]] = {}
+        before: list[tuple | None] = []
+        for r, (first, _, _, _) in enumerate(ends):
+            found = None
+            if r:
+                _, last, _, inner = ends[r - 1]
+                found = last if last[:2] != first[:2] else inner or before[r - 1]
+            before.append(found)
+            self._send(found, first, r)
+        after: tuple | None = None
+        for r in range(len(ends) - 1, -1, -1):
+            last = ends[r][1]
+            if r + 1 < len(ends):
+                first, _, inner, _ = ends[r + 1]
+                after = first if first[:2] != last[:2] else inner or after
+            self._send(after, last, r)
+
+    def _send(self, page: tuple | None, to: tuple, r: int) -> None:
+        if _beside(page, to):
+            self.foreign.setdefault(_ordered(page), []).append(r)
 
     def of(self, row: tuple) -> list[tuple[int, bool]]:
-        """(range, whether the page is the range's own): its range, and those that it is the neighbour of."""
+        """(range, whether the page is the range's own): its range, and those that it is a neighbour of."""
         place = _ordered(row)
         own = max(0, bisect_right(self.firsts, place) - 1)
-        out = [(own, True)]
-        if place == self.firsts[own] and own > 0:
-            out.append((own - 1, False))
-        if place == self.lasts[own] and own + 1 < len(self.firsts):
-            out.append((own + 1, False))
-        return out
+        return [(own, True), *((r, False) for r in self.foreign.get(place, ()))]
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a range of pages in order: its first and last page, and those of the paths next to theirs."""
+    first = last = second = inner = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first is None:
+                first = row
+            elif row[:2] != last[:2]:
+                inner, second = last, second or row
+            last = row
+    if first is not None:
+        kinds = [batch.schema.field(i).type for i in range(3)]
+        columns = [pa.array([page[i] if page else None], kinds[i]) for page in (first, last, second, inner) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([second is not None])], [f"{c}{n}" for n in range(4) for c in "hpk"] + ["more"])
 
 
 #: Ranges of pages to a shuffle partition; they are dealt out by hash, so several even out.
@@ -345,9 +382,10 @@ RANGES = 4
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: key, url, text, n_chars (code points).
 
-    A page is paired with the pages before and after it in the order of (host, path, key), if they are of its host and of
-    another path: the nearest URLs. The order is cut into ranges, so that a large host is shared out; the first and last
-    page of a range also go to the ranges beside it, so the cuts change no pair. Pages are read once into blocks, and only
+    A page is paired with the last page of the path before its own and the first page of the path after it, in the order of
+    (host, path, key), if they are of its host: the nearest URLs of other paths, however many pages share its path. The order
+    is cut into ranges, so that a large host or path is shared out; pages that pair with another range also go there, so the
+    cuts change no pair. Pages are read once into blocks, and only
     blocks are shuffled. A null page is empty and has no text; null URLs are a host of their own. Pages without
     neighbours keep all blocks that their structure leaves. Repeated rows stay; other columns are not read; an empty table
     gives no rows.
@@ -356,9 +394,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host, path = url_parts(F.col(url))
     place = pages.select(host.alias("host"), path.alias("path"), F.col(key).alias("k"))
     count = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = place.repartitionByRange(count, "host", "path", "k").groupBy(F.spark_partition_id().alias("r"))
-    ends = ends.agg(F.min(F.struct("host", "path", "k")).alias("first"), F.max(F.struct("host", "path", "k")).alias("last")).orderBy("r").collect()
-    shared = spark.sparkContext.broadcast(Ranges([(tuple(r["first"]), tuple(r["last"])) for r in ends]))
+    kind = pages.schema[key].dataType.simpleString()
+    ends = place.repartitionByRange(count, "host", "path", "k").sortWithinPartitions("host", "path", "k")
+    ends = ends.mapInArrow(_ends, ", ".join(f"h{n} string, p{n} string, k{n} {kind}" for n in range(4)) + ", more boolean").collect()
+    ends = [tuple(tuple(e[3 * n : 3 * n + 3]) if n < 2 or e["more"] else None for n in range(4)) for e in ends]
+    shared = spark.sparkContext.broadcast(Ranges(sorted(ends, key=lambda e: _ordered(e[0]))))
 
     def place_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = shared.value
@@ -375,7 +415,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 arrays += [pa.array(column, kind) for column, kind in zip(columns, (pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["k", "u", "host", "path", "r", "own", "texts", "inside"])
 
-    kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html), F.lit("")).alias("page"))
     placed = rows.mapInArrow(place_blocks, f"k {kind}, u string, host string, path string, r int, own boolean, texts array<string>, inside array<int>")
     placed = placed.repartition("r").sortWithinPartitions("r", "host", "path", "k", "u")
@@ -383,26 +422,28 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages of each range, which come in order: a page is done when the next is there."""
-    before: tuple | None = None
-    now: tuple | None = None
-
-    def near(other: tuple | None) -> list[list[Block]]:
-        return [other[6]] if other and other[4] == now[4] and other[2] == now[2] and other[3] != now[3] else []
+    """Texts of the pages of each range, which come in order: the pages of a path are done when the next path is there."""
+    before: tuple | None = None  # the last page of the path before
+    group: list[tuple] = []  # the pages of this path
 
     def done(after: tuple | None) -> list[tuple]:
-        if now is None or not now[5]:
-            return []
-        text = main_text(now[6], near(before) + near(after))
-        return [(now[0], now[1], text, len(text))]
+        near = [other[6] for other in (before, after) if other and other[4] == group[0][4] and other[2] == group[0][2]] if group else []
+        out = []
+        for row in group:
+            if row[5]:
+                text = main_text(row[6], near)
+                out.append((row[0], row[1], text, len(text)))
+        return out
 
     schema = None
     for batch in batches:
         schema, out = batch.schema, []
         for *row, texts, inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             row = (*row, [Block(t, i) for t, i in zip(texts, inside, strict=True)])
-            out += done(row)
-            before, now = now, row
+            if group and (group[0][4], group[0][2], group[0][3]) != (row[4], row[2], row[3]):
+                out += done(row)
+                before, group = group[-1], []
+            group.append(row)
         yield _texts(out, schema)
     if schema is not None:
         yield _texts(done(None), schema)

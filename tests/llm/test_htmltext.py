@@ -92,3 +92,18 @@ def test_rows(spark):
     few = extract(df.coalesce(1)).collect()
     assert {(r["page_id"], r["url"]): r["text"] for r in few} == got
     assert all(r["n_chars"] == len(r["text"]) for r in few)
+
+
+def test_pages_of_one_path_pair_with_the_paths_beside_it(spark):
+    page = lambda t: f"<div>Top bar</div><p>{t}</p><div>Bottom line</div>"
+    rows = [(i, f"http://h.example/{p}", page(f"{p} text")) for i, p in enumerate("abde")]
+    rows += [(100 + i, f"http://h.example/c?v={i}", page(f"version {i}")) for i in range(40)]
+    rows += [(200 + i, f"http://h.example/f?v={i}", page("copy of one")) for i in range(30)]
+    rows += [(300 + i, f"http://other.example/c?v={i}", page("alone")) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {r["page_id"]: r["text"] for r in extract(df.repartition(parts)).collect()}
+        assert len(got) == len(rows)
+        assert [got[i] for i in range(4)] == [f"{p} text" for p in "abde"]
+        assert all(got[100 + i] == f"version {i}" for i in range(40)) and all(got[200 + i] == "copy of one" for i in range(30))
+        assert all(got[300 + i] == "Top bar alone Bottom line" for i in range(30))
