@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import read, stored, text_or_empty
 from tessera.llm.components import components
@@ -274,28 +275,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_shingles 0 and link with nothing. Sets are told apart by 64-bit hashes. Rows with a null key link like others;
     component_id is the least key that is not null, null if there is none. Repeated rows stay. Other columns are not read.
     """
+    return _rooted(docs, key, text).select(F.col("k").alias(key), "n_shingles", "component_id")
+
+
+def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, n_shingles, id, root, component_id) of every document: its set and the set that stands for its component, null without words."""
     info = stored(_info(docs, key, text, count_classes(docs, text)))
     edges = stored(_links(docs, info, key, text))
     roots = components(edges).withColumnRenamed("node", "n")
     own = info.filter("id IS NOT NULL").groupBy("id").agg(F.min("k").alias("least"))
     own = own.join(roots, F.col("id") == F.col("n"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = own.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
-    of_set = own.join(least, F.col("root") == F.col("r")).select(F.col("id").alias("s"), "component")
+    of_set = own.join(least, F.col("root") == F.col("r")).select(F.col("id").alias("s"), "root", "component")
     whole = info.select("k", "n_shingles", "id").join(of_set, F.col("id") == F.col("s"), "left")
-    return whole.select(F.col("k").alias(key), "n_shingles", F.when(F.col("id").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"))
+    return whole.select("k", "n_shingles", "id", "root", F.when(F.col("id").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"))
+
+
+def _with_set(docs: DataFrame, text: str) -> DataFrame:
+    """Documents with the id of their set, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [set_id(tokens) if len(tokens) else None for _, tokens in shingle_sets(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.int64())], [*batch.schema.names[1:], "__set"])
+
+    rows = docs.select(text_or_empty(text).alias("__words"), *docs.columns)
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that of its least key. Of rows that repeat this key, one with the longest, then least text stays.
+    """One row of each component: that of its least key. Of its rows that repeat this key, one with the longest, then least text stays.
 
-    Rows without words and rows of null key all stay.
+    Rows of one key that are in different components are told apart by their sets. Rows without words stay, one of each
+    key, and rows of null key all stay.
     """
-    found = near_duplicates(docs, key, text).select(F.col(key).alias("k"), "component_id", "n_shingles")
-    first = found.filter("k IS NULL OR k = component_id").groupBy("k").agg(F.count(F.lit(1)).alias("__rows")).withColumnRenamed("k", "__first")
+    found = stored(_rooted(docs, key, text))
+    leads = F.col("k").isNull() | F.col("k").eqNullSafe(F.col("component_id"))
+    first = found.groupBy("k").agg(F.count(F.lit(1)).alias("__rows"), F.max(leads).alias("__leads")).filter("__leads").select(F.col("k").alias("__first"), "__rows")
     kept = docs.join(first, F.col(key).eqNullSafe(F.col("__first")))
     single = kept.filter(F.col("__first").isNull() | (F.col("__rows") == 1)).select(*[docs[c] for c in docs.columns])
-    spare = Window.partitionBy("__first").orderBy(F.length(text).desc_nulls_last(), F.col(text))
-    again = kept.filter("__first IS NOT NULL AND __rows > 1").withColumn("__turn", F.row_number().over(spare)).filter("__turn = 1")
+    sets = found.filter("k IS NOT NULL AND k = component_id").select(F.col("k").alias("__k"), F.col("id").alias("__id"), F.col("root").alias("__root")).distinct()
+    repeated = _with_set(kept.filter("__first IS NOT NULL AND __rows > 1").select(*[docs[c] for c in docs.columns]), text)
+    again = repeated.join(sets, (F.col(key) == F.col("__k")) & F.col("__set").eqNullSafe(F.col("__id")))
+    spare = Window.partitionBy("__k", "__root").orderBy(F.length(text).desc_nulls_last(), F.col(text))
+    again = again.withColumn("__turn", F.row_number().over(spare)).filter("__turn = 1")
     return single.union(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

@@ -78,6 +78,15 @@ def test_keep_one(spark):
     assert keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_key_apart(spark):
+    text, other, third = "one two three four five six seven", "other words of another much longer text here", "third text that is quite unlike those two"
+    rows = [(1, text, "a"), (2, text, "b"), (2, other, "c"), (3, third, "d"), (3, other + " x", "e"), (5, third, "f"), (5, "fifth text stands for itself alone", "g"), (5, None, "h")]
+    rows += [(7, "seventh " + text, "i"), (7, "so does this one of the same key", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rows string")
+    assert sorted(r["rows"] for r in keep_one(df).collect()) == ["a", "c", "d", "g", "h", "i", "j"]
+    assert sorted(r["rows"] for r in keep_one(df.filter("rows <> 'c'")).collect()) == ["a", "d", "e", "g", "h", "i", "j"]
+
+
 def test_forest_spans_the_links():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 60, 100).astype(np.uint64))
