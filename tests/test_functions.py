@@ -91,3 +91,15 @@ def test_byte_budget():
         paging.fit({"x": "a" * 2000, "items": []}, 1000, paging.drop_last("items"))
     done = paging.with_token_estimate({"a": "b" * 100})
     assert done["approximate_tokens"] == -(-len(paging.compact(done).encode()) // 4)
+
+
+def test_ranges_of_short_and_null_texts(spark):
+    """The texts that the query content_ranges leaves out."""
+    texts = ["", "\n", "a", "é", "é\n\nb", "x\r\ny", "\n" * 39, "ab" * 19 + "\n"]
+    rows = [(x, a, b) for x in texts for a in (0, 1, 7, 38) for b in (0, 1, 7, 31, 50) if a <= b] + [(None, 0, 5)]
+    df = spark.createDataFrame(rows, "x string, a int, b int").select("x", "a", "b", T.byte_slice(F.col("x"), F.col("a"), F.col("b")).alias("cut"), T.line_of(F.col("x"), F.col("b")).alias("line"))
+    for x, a, b, cut, line in df.collect():
+        if x is None:
+            assert cut is None and line is None
+        else:
+            assert bytes(cut) == x.encode()[a:b] and line == x.encode()[:b].count(b"\n") + 1, (x, a, b)
