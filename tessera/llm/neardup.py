@@ -1,24 +1,32 @@
 """Exact Jaccard join of word n-gram sets by token-combination prefixes, and the classes of its links.
 
 Shingles are ordered by class (in one set only, rare, frequent), then by hash. Two sets whose Jaccard similarity is
-0.8 or more share COMBINE shingles at least among the first n - ceil(0.8 n) + COMBINE of each. So a pair shares a
-rare shingle there, or COMBINE frequent ones: rare shingles are indexed alone, frequent ones in combinations.
+0.8 or more share a shingle among the first n - ceil(0.8 n) + 1 of each. If the first shingle that they share is rare,
+they meet there: the rare shingles of that prefix are indexed alone. If it is frequent, all that they share is frequent.
+Then frequent shingles are indexed in combinations: the range of hashes is cut into more parts than two linked sets can
+differ in shingles, and the shingles of a part are one combination. At most D parts differ, so one of the first D + 1
+combinations of each set is the same in both: the prefix is extended to them. The number of parts goes by bands of the
+size of a set, each a quarter wider than the last; linked sets are in one band or in neighbouring ones, so a set is indexed
+in its own band and in the next. A set of n shingles thus has about n / 2 entries at most, whatever the classes.
 Shingles of one set only come first, link nothing and are not indexed.
 
-Sets that meet in an index entry are compared through the entry's least set, its leader: all sets that meet
-under one leader form a cluster, which is verified in blocks of bounded size and gives a spanning forest of its links.
-So no entry is ever expanded into its pairs, and no link between different sets is lost.
+Sets are first compared with one leader each, the least set of most of its least entries; what links is contracted. An
+entry whose sets are all in one component then can't give a new link and goes. The sets of the others meet in
+clusters that are verified in blocks of bounded size: all pairs but those within the largest component of a
+large cluster. So no entry is expanded into its pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +36,23 @@ from tessera.llm.texthash import mix, ngrams, whitespace_words, word_slices
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Frequent shingles that are indexed together.
-COMBINE = 2
 #: Sets in which a shingle must be to count as frequent.
-FREQUENT = 256
+FREQUENT = 16
 #: Bits of the largest maps of repeated and of frequent shingles. A full map costs speed, not links.
 REPEATED_BITS, FREQUENT_BITS = 27, 24
 #: Bytes and sets of a block of a cluster; a task compares two blocks at most.
 BLOCK_BYTES, BLOCK_SETS = 8 << 20, 1024
 #: Shingles that a task sorts at once while it counts.
 SORTED = 1 << 21
+#: Least entries of a set by which it finds its leader.
+FIRST = 8
+#: The most repeated sets, of which only one row is counted and indexed; of any other a task remembers the last ones.
+COPIED, REMEMBERED = 1 << 17, 1 << 16
+#: Bytes of shingles in an Arrow batch.
+BATCH = 4 << 20
+
+
+_LONG = (1 << 64) - 1
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,6 +70,18 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
+def bands(percent: int = PERCENT) -> list[int]:
+    """The least size of a set of each band: sets that link are in one band or in neighbouring ones."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(-(-100 * starts[-1] // percent))
+        starts[-1] = max(starts[-1], starts[-2] + 1)
+    return starts
+
+
+_BANDS = {PERCENT: bands()}
+
+
 class Classes:
     """Whether shingles are in more than one set, and in many: bits by the first bits of their hash."""
 
@@ -66,29 +93,72 @@ class Classes:
         at = tokens >> np.uint64(64 - int(math.log2(len(table) * 8)))
         return (table[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
 
-    def index_keys(self, tokens: np.ndarray, percent: int = PERCENT, combine: int = COMBINE) -> np.ndarray:
-        """The index entries of a set: its rare prefix shingles, and combinations of its frequent ones."""
+    def index_keys(self, tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+        """The index entries of a set, in order: its rare prefix shingles, and combinations of its frequent ones."""
         n = len(tokens)
-        prefix = min(n, n - (percent * n + 99) // 100 + combine)
+        prefix = n - (percent * n + 99) // 100 + 1
         repeated = tokens[self._bits(self.repeated, tokens)]
         left = prefix - (n - len(repeated))
         if left <= 0:
             return np.empty(0, np.uint64)
         often = self._bits(self.frequent, repeated)
-        rare = repeated[~often][:left]
-        common = repeated[often][: left - len(rare)]
-        i, j = np.triu_indices(len(common), 1)
-        return np.concatenate([rare, mix(common[i] * np.uint64(0x9E3779B97F4A7C15) + common[j])])
+        rare, common = repeated[~often], repeated[often]
+        keys = [rare[:left]]
+        if len(rare) < left:
+            starts = _BANDS.get(percent) or bands(percent)
+            own = bisect_right(starts, n) - 1
+            for band in (own, own + 1):
+                keys.append(self._combinations(common, n, n - len(common), band, starts, percent))
+        return np.unique(np.concatenate(keys))
+
+    @staticmethod
+    def _combinations(common: np.ndarray, n: int, other: int, band: int, starts: list[int], percent: int) -> np.ndarray:
+        """Entries of one band. A set that links to this one by frequent shingles alone differs in `differ` of them at most."""
+        largest, apart, whole = starts[band + 1] - 1, 100 - percent, 100 + percent
+        differ = min(apart * (n + largest) // whole, apart * (n + 100 * n // percent) // whole) - other
+        if differ < 0 or apart * 2 * largest < whole:
+            return np.empty(0, np.uint64)
+        parts = 3 * (apart * 2 * largest // whole) // 2 + 2
+        part = ((common >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(common) else np.empty(0, np.int64)
+        place = mix(np.uint64(band * 0x9E3779B97F4A7C15 & _LONG) + part[first] + np.uint64(1))
+        keys = mix(place + np.add.reduceat(mix(common ^ np.uint64(0xA24BAED4963EE407)), first)) if len(first) else place
+        if len(first) > differ:
+            return keys[: differ + 1]
+        # so few parts hold shingles that all of them may differ: the empty ones are entries, too
+        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first], assume_unique=True)
+        return np.concatenate([keys, mix(np.uint64(band * 0x9E3779B97F4A7C15 & _LONG) + empty + np.uint64(1))])
+
+
+class Copies:
+    """Tells the rows of a set that is there already: for the most repeated sets all rows but those of its least key, else those that a task met."""
+
+    def __init__(self, least: dict[int, int]):
+        self.least, self.met = least, set()
+
+    def again(self, own: int, key: int) -> bool:
+        if self.least.get(own, key) != key or own in self.met:
+            return True
+        if len(self.met) >= REMEMBERED:
+            self.met.clear()
+        self.met.add(own)
+        return False
+
 
+def repeated_sets(info: DataFrame) -> dict[int, int]:
+    """Hash of the least key of each of the COPIED most repeated sets."""
+    sets = info.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("least")).filter("rows > 1")
+    found = sets.orderBy(F.desc("rows"), "id").limit(COPIED).select("id", F.xxhash64("least").alias("h")).toArrow()
+    return dict(zip(found.column("id").to_pylist(), found.column("h").to_pylist(), strict=True))
 
-def count_classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> Classes:
+
+def count_classes(docs: DataFrame, key: str, rows: int, least: Broadcast, text: str = "text", frequent: int = FREQUENT) -> Classes:
     """Counts every shingle over all documents, and keeps two bit maps of fixed largest size.
 
-    Hashes travel sorted and packed, four bytes a shingle, to the task that counts their range. A set that a task
-    has seen before is not counted again, so that a few exact copies don't make rare shingles frequent.
+    Hashes travel sorted and packed, four bytes a shingle, to the task that counts their range. A set is counted once, so
+    that copies don't make rare shingles frequent, however many tasks they are in.
     """
-    spark = docs.sparkSession
-    rows = max(1, docs.count())
+    rows = max(1, rows)
     spread = min(17, max(4, math.ceil(math.log2(rows / 4096 + 1))))  # bits of the range
     inner = max(0, 16 - spread)  # bits between the range and the last 32
     wide = [min(most, max(spread + 3, math.ceil(math.log2(rows * 2048)) - less)) for most, less in ((REPEATED_BITS, 0), (FREQUENT_BITS, 4))]
@@ -104,12 +174,12 @@ def count_classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT)
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(heads, pa.binary()), pa.array(lows, pa.binary())], ["r", "heads", "lows"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held, size = set(), [], 0
+        copies, held, size = Copies(least.value), [], 0
         for batch in batches:
-            for _, tokens in shingle_sets(batch.column(0)):
-                if not len(tokens) or (own := set_id(tokens)) in seen:
+            hashes = batch.column(1).to_pylist()
+            for i, tokens in shingle_sets(batch.column(0)):
+                if not len(tokens) or copies.again(set_id(tokens), hashes[i]):
                     continue
-                seen.add(own)
                 held.append(tokens)
                 size += len(tokens)
                 if size >= SORTED:
@@ -144,7 +214,7 @@ def count_classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT)
         if parts:
             yield count(now, parts)
 
-    packed = docs.select(text_or_empty(text).alias("t")).mapInArrow(gather, "r int, heads binary, lows binary")
+    packed = docs.select(text_or_empty(text).alias("t"), F.xxhash64(key).alias("h")).mapInArrow(gather, "r int, heads binary, lows binary")
     maps = packed.repartition("r").sortWithinPartitions("r").mapInArrow(classify, "r int, repeated binary, frequent binary")
     tables = [bytearray(1 << (w - 3)) for w in wide]
     for row in maps.toLocalIterator():  # of fixed size together: the two maps
@@ -153,25 +223,47 @@ def count_classes(docs: DataFrame, text: str = "text", frequent: int = FREQUENT)
     return Classes(*tables)
 
 
-def _info(docs: DataFrame, key: str, text: str, classes: Classes) -> DataFrame:
-    """(k, n_shingles, id, keys) of every document; keys only for a set that its task meets for the first time."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def _info(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, n_shingles, id) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value, set()
         for batch in batches:
-            sizes, ids, keys = [], [], []
+            sizes, ids = [], []
             for _, tokens in shingle_sets(batch.column(1)):
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens) if len(tokens) else None)
-                new = len(tokens) and ids[-1] not in seen
-                seen.add(ids[-1])
-                found = own.index_keys(tokens) if new else ()
-                keys.append(found.astype(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["k", "n_shingles", "id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["k", "n_shingles", "id"])
 
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    return rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n_shingles long, id long, keys array<bigint>")
+    return rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, n_shingles long, id long")
+
+
+def _index(docs: DataFrame, key: str, text: str, classes: Broadcast, least: Broadcast) -> DataFrame:
+    """(id, size, keys, tokens) of each set that has index entries; once, but for rows that repeat key and text."""
+
+    def batch_of(held: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys = pa.array([k.astype(np.int64) for _, k, _ in held], pa.list_(pa.int64()))
+        columns = [pa.array([i for i, _, _ in held], pa.int64()), pa.array([len(t) for *_, t in held], pa.int64()), keys, pa.array([t.tobytes() for *_, t in held], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "size", "keys", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, copies, held, size = classes.value, Copies(least.value), [], 0
+        for batch in batches:
+            hashes = batch.column(1).to_pylist()
+            for i, tokens in shingle_sets(batch.column(0)):
+                if not len(tokens) or copies.again(number := set_id(tokens), hashes[i]):
+                    continue
+                keys = own.index_keys(tokens)
+                if len(keys):
+                    held.append((number, keys, tokens))
+                    size += tokens.nbytes + keys.nbytes
+                if size >= BATCH:
+                    yield batch_of(held)
+                    held, size = [], 0
+        yield batch_of(held)
+
+    rows = docs.select(text_or_empty(text).alias("t"), F.xxhash64(key).alias("h"))
+    return rows.mapInArrow(run, "id long, size long, keys array<bigint>, tokens binary")
 
 
 def linked(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -241,28 +333,63 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of sets to their leader, which comes first of its group. Memory holds one set beside a batch."""
+    leader, head = None, None
     for batch in batches:
-        sets = [tokens for _, tokens in shingle_sets(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
-
-
-def _links(docs: DataFrame, info: DataFrame, key: str, text: str) -> DataFrame:
-    """Edges (a, b) between set ids: a spanning forest of the links in each cluster."""
-    entries = info.filter("keys IS NOT NULL").select("id", "n_shingles", F.explode("keys").alias("entry"))
-    leaders = entries.groupBy("entry").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("leader", F.col("entry").alias("e"))
-    met = entries.join(leaders, F.col("entry") == F.col("e")).select("leader", "id", "n_shingles").distinct()
-    met = stored(met)
-    sizes = met.groupBy("leader").agg(F.sum(F.col("n_shingles") * 8).alias("bytes"), F.count(F.lit(1)).alias("sets"))
-    blocks = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
-    sizes = sizes.select(F.col("leader").alias("l"), blocks.alias("blocks"))
-    placed = met.join(sizes, F.col("leader") == F.col("l")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    wanted = met.select("id").distinct()
-    firsts = info.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("k").alias("first")).select("first").distinct()
-    texts = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    texts = texts.join(firsts, F.col("k").eqNullSafe(F.col("first")), "left_semi").select("t")
-    sets = texts.mapInArrow(_sets, "id long, tokens binary").withColumnRenamed("id", "own")
-    pairs = placed.join(sets, F.col("id") == F.col("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        edges = []
+        for group, own, tokens in zip(*(batch.column(c).to_pylist() for c in (0, 2, 4)), strict=True):
+            tokens = np.frombuffer(tokens, np.uint64)
+            if own == group:
+                leader, head = own, tokens
+            elif group == leader and PERCENT * max(len(tokens), len(head)) <= 100 * min(len(tokens), len(head)):
+                both = int((head[np.minimum(np.searchsorted(head, tokens), len(head) - 1)] == tokens).sum())
+                if (100 + PERCENT) * both >= PERCENT * (len(tokens) + len(head)):
+                    edges.append((group, own))
+        yield _edges(edges)
+
+
+def _blocks(count: str, size: str) -> Column:
+    """Blocks of a group of sets by its number of sets and of shingles."""
+    return F.greatest(F.ceil(F.col(size) * 8 / BLOCK_BYTES), F.ceil(F.col(count) / BLOCK_SETS)).cast("int")
+
+
+def _stars(index: DataFrame) -> DataFrame:
+    """Edges (a, b) from leaders to sets that link to them, a set with one leader: the least set of most of its least entries."""
+    firsts = index.select("id", F.explode(F.slice("keys", 1, FIRST)).alias("entry"))
+    heads = firsts.groupBy("entry").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("leader", F.col("entry").alias("e"))
+    met = firsts.join(heads, F.col("entry") == F.col("e")).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("id").agg(F.max_by("leader", F.struct("n", F.bitwise_not("leader"))).alias("leader")).filter("id <> leader")
+    best = stored(best.select(F.col("id").alias("i"), "leader"))
+    members = index.join(best, F.col("id") == F.col("i")).select("leader", "id", "size", "tokens")
+    sizes = index.select("id", "size").join(best, F.col("id") == F.col("i")).groupBy("leader").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("sizes"))
+    sizes = sizes.select(F.col("leader").alias("l"), _blocks("sets", "sizes").alias("blocks"))
+    dealt = members.join(sizes, F.col("leader") == F.col("l")).select("leader", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", F.lit(1).alias("turn"), "tokens")
+    first = index.join(sizes, F.col("id") == F.col("l")).select(F.col("id").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(0).alias("turn"), "tokens")
+    groups = dealt.union(first).repartition("leader", "block").sortWithinPartitions("leader", "block", "turn")
+    return groups.mapInArrow(_near_leader, "a long, b long")
+
+
+def _links(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of different components: a spanning forest of the links in each cluster."""
+    named = index.select("id", "size", "keys").join(roots.select(F.col("node").alias("n"), "root"), F.col("id") == F.col("n"), "left")
+    entries = named.select("id", "size", F.coalesce("root", "id").alias("root"), F.explode("keys").alias("entry"))
+    mixed = entries.groupBy("entry").agg(F.min("root").alias("leader"), F.max("root").alias("last")).filter("leader < last").select("leader", F.col("entry").alias("e"))
+    met = stored(entries.join(mixed, F.col("entry") == F.col("e")).groupBy("leader", "id", "root").agg(F.max("size").alias("size")))
+    parts = met.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("sizes"))
+    most = F.max(F.struct("sizes", "sets", F.col("root").alias("main"))).alias("most")
+    plan = parts.groupBy("leader").agg(F.sum("sets").alias("sets"), F.sum("sizes").alias("sizes"), most)
+    plan = plan.select(F.col("leader").alias("l"), "sets", "sizes", "most.main", F.col("most.sets").alias("in_main"), F.col("most.sizes").alias("of_main"))
+    plan = plan.withColumns({"rest": F.col("sets") - F.col("in_main"), "of_rest": F.col("sizes") - F.col("of_main")})
+    whole = _blocks("sets", "sizes") <= 1
+    plan = plan.select("l", "main", F.when(whole, 0).otherwise(_blocks("in_main", "of_main")).alias("main_blocks"), F.when(whole, 1).otherwise(_blocks("rest", "of_rest")).alias("rest_blocks"))
+    # blocks of the rest come first; the largest component is compared with them, not with itself
+    placed = met.join(plan, F.col("leader") == F.col("l"))
+    inside = (F.col("root") == F.col("main")) & (F.col("main_blocks") > 0)
+    block = F.when(inside, F.col("rest_blocks") + F.pmod(F.xxhash64("id"), F.greatest("main_blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest_blocks")))
+    last = F.when(inside, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1
+    placed = placed.select("leader", F.col("id").alias("i"), block.cast("int").alias("block"), last.cast("int").alias("last"))
+    pairs = index.select("id", "tokens").join(placed, F.col("id") == F.col("i")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     groups = pairs.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "tokens")
     return groups.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_verify, "a long, b long")
 
@@ -280,8 +407,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, n_shingles, id, root, component_id) of every document: its set and the set that stands for its component, null without words."""
-    info = stored(_info(docs, key, text, count_classes(docs, text)))
-    edges = stored(_links(docs, info, key, text))
+    context = docs.sparkSession.sparkContext
+    info = stored(_info(docs, key, text))
+    least = context.broadcast(repeated_sets(info))
+    classes = context.broadcast(count_classes(docs, key, info.count(), least, text))
+    index = stored(_index(docs, key, text, classes, least))
+    near = components(_stars(index))
+    edges = near.select(F.col("root").alias("a"), F.col("node").alias("b")).union(_links(index, near))
     roots = components(edges).withColumnRenamed("node", "n")
     own = info.filter("id IS NOT NULL").groupBy("id").agg(F.min("k").alias("least"))
     own = own.join(roots, F.col("id") == F.col("n"), "left").select("id", "least", F.coalesce("root", "id").alias("root"))
