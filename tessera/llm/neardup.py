@@ -363,7 +363,7 @@ def _stars(index: DataFrame) -> DataFrame:
     best = stored(best.select(F.col("id").alias("i"), "leader"))
     members = index.join(best, F.col("id") == F.col("i")).select("leader", "id", "size", "tokens")
     sizes = index.select("id", "size").join(best, F.col("id") == F.col("i")).groupBy("leader").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("sizes"))
-    sizes = sizes.select(F.col("leader").alias("l"), _blocks("sets", "sizes").alias("blocks"))
+    sizes = stored(sizes.select(F.col("leader").alias("l"), _blocks("sets", "sizes").alias("blocks")))  # so that Spark can split the rows of a large leader
     dealt = members.join(sizes, F.col("leader") == F.col("l")).select("leader", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", F.lit(1).alias("turn"), "tokens")
     first = index.join(sizes, F.col("id") == F.col("l")).select(F.col("id").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(0).alias("turn"), "tokens")
     groups = dealt.union(first).repartition("leader", "block").sortWithinPartitions("leader", "block", "turn")
@@ -383,6 +383,7 @@ def _links(index: DataFrame, roots: DataFrame) -> DataFrame:
     plan = plan.withColumns({"rest": F.col("sets") - F.col("in_main"), "of_rest": F.col("sizes") - F.col("of_main")})
     whole = _blocks("sets", "sizes") <= 1
     plan = plan.select("l", "main", F.when(whole, 0).otherwise(_blocks("in_main", "of_main")).alias("main_blocks"), F.when(whole, 1).otherwise(_blocks("rest", "of_rest")).alias("rest_blocks"))
+    plan = stored(plan)
     # blocks of the rest come first; the largest component is compared with them, not with itself
     placed = met.join(plan, F.col("leader") == F.col("l"))
     inside = (F.col("root") == F.col("main")) & (F.col("main_blocks") > 0)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import neardup
 from tessera.llm.components import components
@@ -112,3 +113,58 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert all(got.get(n, n) == r for n, r in root.items())
+
+
+def test_linked_sets_share_an_entry():
+    """Random classes, sizes and overlaps at the least similarity: by the index alone no link is lost, and entries stay few."""
+    rng = np.random.default_rng(8)
+    for turn in range(4000):
+        n = int(rng.integers(2, 400))
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        gone, new = sorted(rng.integers(0, max(2, n // 4), 2))
+        other = np.unique(np.concatenate([rng.choice(base, max(1, len(base) - int(gone)), replace=False), rng.integers(0, 1 << 64, int(new - gone), dtype=np.uint64)]))
+        both = len(np.intersect1d(base, other))
+        if 180 * both < 80 * (len(base) + len(other)):
+            continue
+        whole = np.union1d(base, other)
+        shared, odd = np.isin(whole, np.intersect1d(base, other)), rng.random(len(whole))
+        repeated, frequent = np.zeros(1 << 17, np.uint8), np.zeros(1 << 14, np.uint8)
+        at = whole[shared | (odd < 0.5)] >> np.uint64(44)
+        np.bitwise_or.at(repeated, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        at = whole[rng.random(len(whole)) < rng.choice([0, 0.3, 0.9, 1])] >> np.uint64(47)
+        np.bitwise_or.at(frequent, at >> np.uint64(3), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        classes = neardup.Classes(repeated.tobytes(), frequent.tobytes())
+        a, b = classes.index_keys(base), classes.index_keys(other)
+        assert len(np.intersect1d(a, b)), turn
+        assert max(len(a), len(b)) <= max(len(base), len(other)) + 8
+
+
+def test_entries_of_a_long_text_stay_few():
+    rng = np.random.default_rng(3)
+    classes = neardup.Classes(bytes([255]) * (1 << 10), bytes([255]) * (1 << 10))
+    for n in (1_000, 30_000, 1_000_000):
+        assert len(classes.index_keys(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)))) <= n // 2 + 8
+
+
+def test_copies_are_counted_once(spark):
+    """A long text copied into more tasks than FREQUENT: its shingles are in one set and need no entry."""
+    text = " ".join(f"w{i % 7919}x{i % 104729}" for i in range(100_000))
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    for parts in (10, 60):
+        docs = df.repartition(parts)
+        info = neardup._info(docs, "doc_id", "text")
+        least = spark.sparkContext.broadcast(neardup.repeated_sets(info))
+        classes = spark.sparkContext.broadcast(neardup.count_classes(docs, "doc_id", 60, least))
+        assert neardup._index(docs, "doc_id", "text", classes, least).count() == 0
+    got = near_duplicates(df.repartition(60)).groupBy("component_id", "n_shingles").count().collect()
+    assert [(r["component_id"], r["count"]) for r in got] == [(0, 60)]
+
+
+def test_large_cluster_is_verified_through_its_leader(spark, monkeypatch):
+    """20,000 near copies of one text, and a chain of texts that link to the next one only."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 64)
+    base = [f"w{i}" for i in range(150)]
+    one = [(i, " ".join([*base[: i % 140], f"x{i}", *base[i % 140 + 1 :]])) for i in range(20_000)]
+    chain = [(100_000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 120))) for i in range(300)]
+    got = near_duplicates(spark.createDataFrame(one + chain, "doc_id long, text string").repartition(8)).groupBy("component_id").count().collect()
+    assert sorted((r["component_id"], r["count"]) for r in got) == [(0, 20_000), (100_000, 300)]
