@@ -1,6 +1,10 @@
 from __future__ import annotations
 
-from tessera.llm.htmltext import Block, blocks, extract, main_text, shared_blocks
+import random
+import time
+
+from tessera.llm import htmltext
+from tessera.llm.htmltext import Block, _aligned, blocks, extract, main_text, shared_blocks
 
 
 def text(page):
@@ -107,3 +111,94 @@ def test_pages_of_one_path_pair_with_the_paths_beside_it(spark):
         assert [got[i] for i in range(4)] == [f"{p} text" for p in "abde"]
         assert all(got[100 + i] == f"version {i}" for i in range(40)) and all(got[200 + i] == "copy of one" for i in range(30))
         assert all(got[300 + i] == "Top bar alone Bottom line" for i in range(30))
+
+
+def test_class_words_do_not_drop_parts_of_an_article():
+    assert text('<article><p>Text</p><p class="related-work">Related work section of the paper</p><div class="share-price">ACME rose 3 %</div></article>') == "Text Related work section of the paper ACME rose 3 %"
+    assert text('<article><p>Text of it</p><div class="ad-slot">Buy</div><div class="share-buttons">Tell</div></article>') == "Text of it"
+    assert text("<main><p>" + "lead " * 9 + "</p><article>" + "second part " * 20 + "</article></main>").startswith("lead lead")
+
+
+def test_a_shared_menu_goes_whatever_is_left():
+    page = lambda t: blocks(f"<div>{'menu ' * 50}</div><p>{t}</p>")
+    assert main_text(page("a"), [page("b")]) == "a"
+
+
+def test_alignments_in_parts(monkeypatch):
+    rng = random.Random(4)
+    cases = [([rng.choice("abcd") for _ in range(rng.randint(0, 30))], [rng.choice("abcd") for _ in range(rng.randint(0, 30))]) for _ in range(200)]
+    whole = [len(_aligned(a, b)) for a, b in cases]
+    monkeypatch.setattr(htmltext, "TABLE", 20)
+    for (a, b), size in zip(cases, whole, strict=True):
+        pairs = _aligned(a, b)
+        assert len(pairs) == size and all(a[i] == b[j] for i, j in pairs) and all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_long_pages_end():
+    lines = [f"line {i}" for i in range(20_000)]
+    for page, near in (("<span>" * 40_000 + "</i>" * 40_000 + "x", []), ("<span>" * 30_000 + "<p>a</p>" * 30_000, []), ("<b><div>" * 30_000 + "x", [])):
+        began = time.time()
+        main_text(blocks(page), near)
+        assert time.time() - began < 5
+    for own, other in ((lines, lines[::-1]), (["a", "b"] * 10_000, ["b", "c", "a"] * 7_000)):
+        began = time.time()
+        shared_blocks(own, other)
+        assert time.time() - began < 10
+
+
+def naive(sites):
+    """(key, url) to text, blocks that neighbours share and marked ones, by the definition: sites are (key, url, host, path, [(text, kind)])."""
+    order = sorted(sites, key=lambda s: (s[2], s[3], s[0]))
+
+    def common(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                rows[i][j] = rows[i - 1][j - 1] + 1 if x == y else max(rows[i - 1][j], rows[i][j - 1])
+        return rows[-1][-1]
+
+    out = {}
+    for n, (key, url, host, path, parts) in enumerate(order):
+        near = [next((o for o in side if o[3] != path), None) for side in (order[:n][::-1], order[n + 1 :])]
+        near = [[t for t, _ in o[4]] for o in near if o and o[2] == host]
+        texts, gone = [t for t, _ in parts], set()
+        for other in near:
+            whole = common(texts, other)
+            # lines are distinct within a page here, so a line is in the subsequence if leaving it out shortens it
+            shared = {i for i in range(len(texts)) if common(texts[:i] + texts[i + 1 :], other) < whole}
+            if any(k != "nav" and i not in shared for i, (_, k) in enumerate(parts)):
+                gone |= {i for i in shared if parts[i][1] != "article"}
+        left = [p for i, p in enumerate(parts) if p[1] != "nav" and i not in gone]
+        inside = [t for t, k in left if k == "article"]
+        text = " ".join(inside if sum(map(len, inside)) > 0.5 * sum(len(t) for t, _ in left) else [t for t, _ in left])
+        out[key, url] = text, len(gone), sum(k == "nav" and i not in gone for i, (_, k) in enumerate(parts))
+    return out
+
+
+def test_random_sites_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "RANGE_BYTES", 2000)
+    rng = random.Random(6)
+    sites, rows = [], []
+    for h in range(5):
+        template = [f"site {h} line {i}" for i in range(6)]
+        for k in range(rng.randint(1, 40)):
+            path = f"/p{rng.randint(0, 25):02d}"
+            own = [(t, rng.choice(["nav", "div"])) for t in template if rng.random() < 0.8]
+            at = rng.randint(0, len(own))
+            body = rng.choice(["article", "p"])
+            own[at:at] = [(f"own {h} {k} words {i} " + "more " * rng.randint(0, 3) + "end", body) for i in range(rng.randint(0, 4))]
+            if rng.random() < 0.2 and all(t != "quoted by many" for t, _ in own):
+                own.append(("quoted by many", "article"))
+            url = f"http://h{h}.example{path}?v={k}"
+            sites.append((100 * h + k, url, f"h{h}.example", path, own))
+            rows.append((100 * h + k, url, "<body>" + "".join(f"<{e}>{t}</{e}>" for t, e in own)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = naive(sites)
+    got = {(r["page_id"], r["url"]): (r["text"], r["n_shared"], r["n_marked"]) for r in extract(df).collect()}
+    assert got == want
+    assert sum(v[1] > 0 for v in want.values()) > 20
+
+
+def test_differencing_decides_on_given_pages(spark, folder):
+    got = htmltext.op5_page_differencing(spark, folder.replace("sf0.001", "sf0.01")).collect()
+    assert sum(r["n_shared"] > 0 for r in got) > 0
