@@ -425,7 +425,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Bytes of pages in a range, and ranges at most: each one's ends go through the driver.
-RANGE_BYTES, RANGES = 8 << 20, 1 << 16
+RANGE_BYTES, RANGES = 2 << 20, 1 << 16
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -443,8 +443,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     host, path = url_parts(F.col(url))
     place = pages.select(host.alias("host"), path.alias("path"), F.col(key).alias("k"))
     size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * RANGE_BYTES)))
     count = min(RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    tasks = -(-count // 4)
     kind = pages.schema[key].dataType.simpleString()
     ends = place.repartitionByRange(count, "host", "path", "k").sortWithinPartitions("host", "path", "k")
     ends = ends.mapInArrow(_ends, ", ".join(f"h{n} string, p{n} string, k{n} {kind}" for n in range(4)) + ", more boolean").collect()

@@ -2,19 +2,21 @@
 
 A worklist holds layers: the text, and whatever its URL, Unicode, UTF-16, base64 and compressed parts decode to, bytes
 that are no UTF-8 replaced. Each layer is
-scanned and searched for further encoded parts until none is left; a layer that was met before at the same place is not
-placed again, and one of the same content is not searched again.
+scanned and searched for further encoded parts until none is left; a layer that was met before at the same place closes a
+cycle, and one of the same content is not searched again. The worklist is a stack of searches that go on when the layers below
+are done, so that only the layers around one part are held at once, however many parts a text has.
 Each layer knows the span of the text that it came from, so a secret is reported where it stands in the text.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,8 @@ KINDS = {k: i for i, k in enumerate(BASE)}
 
 #: Bytes that a compressed part may grow to; a part that grows further is not opened, as one row could fill an executor.
 INFLATED = 64 << 20
+#: Characters of a layer, and of all layers, whose own layers are kept for the next place of the same content.
+KEPT, KEPT_ALL = 1 << 16, 1 << 24
 
 _NAMES = ("passw", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -59,35 +63,74 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def _inflate(data: bytes) -> tuple[str, bytes, bytes] | None:
-    """The name and content of a compressed part, in the formats that begin with a mark of their own, and what follows it.
+def _inflate(data: bytes) -> tuple[str, bytes, bytes, bool] | None:
+    """The name and content of a compressed part, in the formats that begin with a mark of their own, what follows it, and whether it is cut off.
 
     Members of one format that follow each other are one content.
     """
-    try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return "zstd", zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(data, max_output_size=INFLATED), b""
-    except Exception as error:  # zstandard has its own
-        if isinstance(error, ImportError):
-            raise
-        if not isinstance(error, (EOFError, ValueError)) and type(error).__name__ != "ZstdError":
-            raise
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return _zstd(data)
     name = "gzip" if data[:2] == b"\x1f\x8b" else "zlib"
     out: list[bytes] = []
-    left = INFLATED
+    left, cut = INFLATED, False
     while left > 0 and (data[:2] == b"\x1f\x8b" if name == "gzip" else len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
         machine = zlib.decompressobj(31 if name == "gzip" else 15)
         try:
             content = machine.decompress(data, left)
         except zlib.error:
-            break
-        if not machine.eof:
+            content = _readable(data, 31 if name == "gzip" else 15, left)
+            if not content:
+                break
+            cut = True
+        if not cut and not machine.eof:
+            if machine.unconsumed_tail or len(content) >= left:  # past the bound
+                break
+            cut = True
+        if cut and not content:
             break
         out.append(content)
-        left, data = left - len(content), machine.unused_data
-    return (name, b"".join(out), data) if out else None
+        left, data = left - len(content), b"" if cut else machine.unused_data
+    return (name, b"".join(out), data, cut) if out else None
+
+
+def _readable(data: bytes, window: int, most: int) -> bytes:
+    """What a broken stream holds before its fault."""
+    machine, out, size = zlib.decompressobj(window), [], 0
+    for i in range(0, len(data), 64):
+        try:
+            out.append(machine.decompress(data[i : i + 64], most - size))
+        except zlib.error:
+            break
+        size += len(out[-1])
+        if size >= most:
+            break
+    return b"".join(out)
+
+
+def _zstd(data: bytes) -> tuple[str, bytes, bytes, bool] | None:
+    """As _inflate, for zstandard frames one after the other."""
+    import zstandard
+
+    out, left, cut = [], INFLATED, False
+    while left > 0 and data[:4] == b"\x28\xb5\x2f\xfd":
+        try:
+            size = zstandard.frame_content_size(data)
+            if size > left:
+                break
+            machine = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(read_across_frames=False)
+            content, at = [], 0
+            while at < len(data) and not machine.eof and left > 0:  # small steps, as their content has no bound of its own
+                content.append(machine.decompress(data[at : at + 1024]))
+                left, at = left - len(content[-1]), at + 1024
+        except zstandard.ZstdError:
+            break
+        if left < 0:
+            break
+        cut = not machine.eof
+        out += content
+        data = b"" if cut else machine.unused_data + data[at:]
+    found = b"".join(out)
+    return ("zstd", found, data, cut) if found else None
 
 
 def _bytes(raw: str) -> bytes:
@@ -97,18 +140,19 @@ def _bytes(raw: str) -> bytes:
     return base64.b64decode(raw + "=" * (-len(raw) % 4))
 
 
-def _opened(data: bytes) -> list[tuple[str, bytes]]:
+def _opened(data: bytes) -> Iterator[tuple[str, bytes]]:
     """The encodings and content of decoded base64: what its compressed parts hold, and what stands behind them."""
-    out, work, seen = [], deque([("base64", data)]), set()
+    work, seen = [("base64", data)], set()
     while work:
-        names, data = work.popleft()
-        opened = None if data in seen else _inflate(data)
-        seen.add(data)
-        if opened is None:
-            out.append((names, data))
-        else:
-            work += [(f"{names}.{opened[0]}", opened[1]), (names, opened[2])]
-    return [(names, data) for names, data in out if data]
+        names, data = work.pop()
+        key = hashlib.blake2b(data, digest_size=16).digest()
+        opened = None if key in seen else _inflate(data)
+        seen.add(key)
+        if opened is None or opened[3]:  # a stream that is cut off may be none
+            if data:
+                yield names, data
+        if opened is not None:
+            work += [(names, opened[2]), (f"{names}.{opened[0]}", opened[1])]
 
 
 def _wrapped(text: str) -> Iterator[list[re.Match]]:
@@ -138,11 +182,10 @@ def _by_line(data: bytes, lines: list[re.Match]) -> list[tuple[str, int, int]]:
     return pieces
 
 
-def _layers(text: str, known: dict[str, list[tuple[str, str]]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(encodings, pieces with their start and end) of each layer that is encoded in this one.
+def _whole(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(encoding, pieces with their start and end) of each layer that is this one with its escapes decoded.
 
     URL and Unicode escapes decode to one layer with all that surrounds them, as a secret may be escaped in part.
-    Base64 parts that were decoded before are taken from known.
     """
     if "%" in text:
         pieces, at = [], 0
@@ -176,11 +219,25 @@ def _layers(text: str, known: dict[str, list[tuple[str, str]]]) -> Iterator[tupl
         if pieces:
             pieces.append((text[at:], at, len(text)))
             yield "utf16", pieces
+
+
+def _parts(text: str, known: Kept) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(encodings, pieces with their start and end) of each base64 part, by line or not, and of what is compressed in it.
+
+    Parts that were decoded before are taken from known.
+    """
     for m in _BASE64.finditer(text):
-        if m[0] not in known:
-            known[m[0]] = [(names, _text(data)) for names, data in _opened(_bytes(m[0]))]
-        for names, body in known[m[0]]:
+        if m[0] in known:
+            yield from ((names, [(body, m.start(), m.end())]) for names, body in known[m[0]])
+            continue
+        kept: list[tuple[str, str]] | None = []
+        for names, data in _opened(_bytes(m[0])):
+            body = _text(data)
+            if kept is not None:
+                kept = [*kept, (names, body)] if sum(len(b) for _, b in kept) + len(body) + len(m[0]) < KEPT else None
             yield names, [(body, m.start(), m.end())]
+        if kept is not None:
+            known.keep(m[0], kept, len(m[0]) + sum(len(body) for _, body in kept))
     for lines in _wrapped(text):
         data = _bytes("".join(line[0] for line in lines))
         for names, content in _opened(data):
@@ -190,6 +247,19 @@ def _layers(text: str, known: dict[str, list[tuple[str, str]]]) -> Iterator[tupl
                 yield names, [(_text(content), lines[0].start(), lines[-1].end())]
 
 
+class Kept(dict):
+    """What was found for contents that were met before, KEPT_ALL characters at most."""
+
+    size = 0
+
+    def keep(self, key: str, value: object, size: int) -> None:
+        if self.size + size > KEPT_ALL:
+            self.clear()
+            self.size = 0
+        self.size += size
+        self[key] = value
+
+
 def _origin(pieces: list[tuple[str, int, int]]) -> tuple[tuple[int, int, int], ...]:
     """Where the characters of a layer come from, however it is cut: lengths, starts and ends; runs that map by character are joined."""
     out: list[tuple[int, int, int]] = []
@@ -201,63 +271,121 @@ def _origin(pieces: list[tuple[str, int, int]]) -> tuple[tuple[int, int, int], .
     return tuple(out)
 
 
+class Layer:
+    """A layer: text in pieces. A piece whose length is that of its origin maps by character, any other as a whole."""
+
+    def __init__(self, name: str, pieces: list[tuple[str, int, int]]):
+        self.name, self.pieces = name, [p for p in pieces if p[0]]
+        self.body = "".join(p[0] for p in self.pieces)
+        self.starts, at = [], 0
+        for p, _, _ in self.pieces:
+            self.starts.append(at)
+            at += len(p)
+
+    def key(self) -> bytes:
+        """The content and where its characters come from."""
+        own = hashlib.blake2b(self.body.encode("utf-8", "surrogatepass"), digest_size=16)
+        own.update(repr(_origin(self.pieces)).encode())
+        return own.digest()
+
+    def place(self, i: int, end: bool) -> tuple[int, bool]:
+        """Where character i of the layer stands in the text, and whether it was decoded."""
+        k = bisect_right(self.starts, i) - 1
+        p, a, b = self.pieces[k]
+        if len(p) == b - a:
+            return a + i - self.starts[k] + end, False
+        return (b if end else a), True
+
+    def decoded(self, a: int, b: int) -> bool:
+        """Whether any of the characters from a to b was."""
+        k = bisect_right(self.starts, a) - 1
+        while k < len(self.pieces) and self.starts[k] < b:
+            p, x, y = self.pieces[k]
+            if len(p) != y - x:
+                return True
+            k += 1
+        return False
+
+    def outer(self, parts: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """The pieces of a layer of this layer, in places of the text."""
+        out = []
+        for p, a, b in parts:
+            if a == b or not p:
+                continue
+            if len(p) == b - a and p == self.body[a:b]:  # not decoded here: keep the places of each piece below
+                k = bisect_right(self.starts, a) - 1
+                while k < len(self.pieces) and self.starts[k] < b:
+                    q, o, e = self.pieces[k]
+                    s = self.starts[k]
+                    lo, hi = max(a, s), min(b, s + len(q))
+                    out.append((q[lo - s : hi - s], o + lo - s, o + hi - s) if len(q) == e - o else (q[lo - s : hi - s], o, e))
+                    k += 1
+            else:
+                out.append((p, self.place(a, False)[0], self.place(b - 1, True)[0]))
+        return out
+
+    def inside(self, layers: Iterable[tuple[str, list[tuple[str, int, int]]]]) -> Iterator[Layer]:
+        for name, parts in layers:
+            yield Layer(f"{self.name}.{name}".lstrip("."), self.outer(parts))
+
+
 def nested(text: str) -> list[tuple[str, int, int]]:
     """Secrets of the layers below the text, where those stand in it: kind.encodings, start, end; once each.
 
-    A layer is text in pieces; a piece whose length is that of its origin maps by character, any other as a whole.
-    The same layer may stand in many places and is placed in each; a layer that is the text again closes a cycle.
+    The same layer may stand in many places and is placed in each; a layer that was at its place before closes a cycle. A layer
+    is searched with its escapes as they are, then decoded; each of its base64 parts is done before the next is decoded.
     """
     found: set[tuple[str, int, int]] = set()
-    seen: set[tuple[str, tuple[tuple[int, int, int], ...]]] = set()
-    known: dict[str, list[tuple[str, str]]] = {}
-    searched: dict[str, tuple[list, list]] = {}
-    work = deque(_layers(text, known))
-    while work:
-        name, pieces = work.popleft()
-        body = "".join(p[0] for p in pieces)
-        origin = _origin(pieces)
-        if body == text or (body, origin) in seen:
-            continue
-        seen.add((body, origin))
-        if body not in searched:
-            searched[body] = scan(body), list(_layers(body, known))
-        secrets, layers = searched[body]
-        starts, at = [], 0
-        for p, _, _ in pieces:
-            starts.append(at)
-            at += len(p)
-
-        def place(i: int, end: bool, starts=starts, pieces=pieces) -> tuple[int, bool]:
-            """Where character i of the layer stands in the text, and whether it was decoded."""
-            k = bisect_right(starts, i) - 1
-            while not pieces[k][0]:
-                k -= 1
-            p, a, b = pieces[k]
-            if len(p) == b - a:
-                return a + i - starts[k] + end, False
-            return (b if end else a), True
-
-        for kind, a, b in secrets:
-            (x, left), (y, right) = place(a, False), place(b - 1, True)
-            touched = left or right or any(s < b and s + len(p) > a and len(p) != q - o for (p, o, q), s in zip(pieces, starts, strict=True) if a <= s < b)
-            if touched:
-                found.add((f"{kind}.{name}", x, y))
-        for inner, parts in layers:
-            outer = []
-            for p, a, b in parts:
-                if a == b:
+    seen: set[bytes] = set()
+    known, searched = Kept(), Kept()
+
+    def below(root: Layer) -> Iterator[Layer]:
+        """Adds the secrets of a layer, and gives the layers of its parts."""
+        queue = deque([root])
+        while queue:
+            layer = queue.popleft()
+            body = layer.body
+            if layer.name:
+                if body == text or (key := layer.key()) in seen:
                     continue
-                if len(p) == b - a and p == body[a:b]:  # not decoded here: keep the places of each piece below
-                    for (q, o, e), s in zip(pieces, starts, strict=True):
-                        lo, hi = max(a, s), min(b, s + len(q))
-                        if lo < hi:
-                            outer.append((q[lo - s : hi - s], o + lo - s, o + hi - s) if len(q) == e - o else (q[lo - s : hi - s], o, e))
-                else:
-                    outer.append((p, place(a, False)[0], place(b - 1, True)[0]))
-            work.append((f"{name}.{inner}", outer))
+                seen.add(key)
+            if body in searched:
+                secrets, whole, parts = searched[body]
+            else:
+                secrets, whole = scan(body) if layer.name else [], list(_whole(body))
+                parts = _remembered(body, secrets, whole, known, searched) if layer.name else _parts(body, known)
+            for kind, a, b in secrets:
+                if layer.decoded(a, b):
+                    found.add((f"{kind}.{layer.name}", layer.place(a, False)[0], layer.place(b - 1, True)[0]))
+            queue += layer.inside(whole)
+            del whole
+            yield from layer.inside(parts)
+
+    work = [below(Layer("", [(text, 0, len(text))]))]
+    while work:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        else:
+            work.append(below(layer))
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
+def _remembered(body: str, secrets: list, whole: list, known: Kept, searched: Kept) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """The parts of a layer, which are kept with its secrets if all of it is small."""
+    kept: list = []
+    size = len(body) * (1 + len(whole))
+    for name, pieces in _parts(body, known):
+        size += sum(len(p[0]) for p in pieces)
+        if size < KEPT:
+            kept.append((name, pieces))
+        else:
+            kept.clear()
+        yield name, pieces
+    if size < KEPT:
+        searched.keep(body, (secrets, whole, kept), size)
+
+
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) in order, in code points, end exclusive."""
     base = scan(text)

@@ -7,6 +7,7 @@ import gzip
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from urllib.parse import quote
 
@@ -145,3 +146,50 @@ def test_rows(spark, run, kinds):
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.cd and 1.2.3.4 é"), (2, None)], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == ["to <email> and <ip> é", None]
+
+
+def test_random_nests_are_found():
+    rng = random.Random(12)
+    b64 = lambda data: base64.b64encode(data).decode()
+    encoders = {
+        "url": lambda t: "".join(f"%{c:02X}" for c in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "base64": lambda t: b64(t.encode()),
+        "base64.gzip": lambda t: b64(gzip.compress(t.encode(), mtime=0)),
+        "base64.zlib": lambda t: b64(zlib.compress(t.encode())),
+        "base64.utf16": lambda t: b64(t.encode("utf-16-be")),
+    }
+    for _ in range(400):
+        chain = [rng.choice(list(encoders)) for _ in range(rng.randint(1, 4))]
+        part = "my password = hunter2secret here"
+        for name in reversed(chain):
+            part = encoders[name](part if name.startswith("base64") or rng.random() < 0.5 else f"a {part} z")
+        before, after = (" ".join(rng.choice(["some", "wörds", "100", "of", "it"]) for _ in range(rng.randint(0, 9))) for _ in range(2))
+        t = f"{before} {part} {after}"
+        got = [(a, b) for k, a, b in secrets.nested(t) if k == "assign." + ".".join(chain)]
+        assert len(got) == 1 and len(before) < got[0][0] + 1 and got[0][1] <= len(before) + 1 + len(part), (chain, got)
+
+
+def test_broken_streams_and_later_frames():
+    zstandard = pytest.importorskip("zstandard")
+    b64 = lambda data: base64.b64encode(data).decode()
+    plain = b"x" * 3000 + b" password = hunter2secret " + bytes(random.Random(1).randbytes(3000))
+    for data, kind in ((gzip.compress(plain, mtime=0)[:-400], "gzip"), (zlib.compress(plain)[:-400], "zlib"), (zlib.compress(plain)[:-2] + b"zz", "zlib")):
+        assert f"assign.base64.{kind}" in {k for k, _ in layers(b64(data))}
+    frames = b64(zstandard.compress(b"first ") + zstandard.compress(b"passw") + zstandard.compress(b"ord = hunter2secret"))
+    assert layers(frames) == [("assign.base64.zstd", frames)]
+
+
+def test_work_and_memory_of_layers(monkeypatch):
+    began = time.time()
+    assert secrets.nested("%2541 " * 200_000) == [] and time.time() - began < 5
+    began = time.time()
+    assert len({s[1:] for s in secrets.nested("%2541 tok%65n=abcdefgh " * 20_000)}) == 20_000 and time.time() - began < 5
+    rng = random.Random(2)
+    parts = [base64.b64encode(gzip.compress((f"{rng.random():.6f} " * 900_000).encode(), mtime=0)).decode() for _ in range(8)]
+    tracemalloc.start()
+    assert secrets.nested(" ".join(parts)) == []
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+    monkeypatch.setattr(secrets, "_inflate", lambda data: ("gzip", data, b"", False))
+    assert secrets.nested(base64.b64encode(b"a part that opens to itself").decode()) == []
