@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import read, text_or_empty
-from tessera.llm.texthash import alnum_words, ngrams, word_slices
+from tessera.llm.common import read, stored, text_or_empty
+from tessera.llm.texthash import _R, alnum_words, mix, ngrams, word_slices
 
 #: Words of a window; a shared span of this many words is always found.
 WINDOW = 13
@@ -38,83 +38,87 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(at + np.arange(n))
 
 
+def _window_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """ngrams() at some positions only."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(size):
+        out = out * np.uint64(_R) + words[starts + i]
+    return mix(out)
+
+
+class Known:
+    """Items by the hash of a window, once each."""
+
+    def __init__(self, hashes: list[np.ndarray], items: list[np.ndarray]):
+        both = np.unique(np.rec.fromarrays([np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *items])], names="h,i"))
+        self.hashes, self.first = np.unique(both["h"], return_index=True)
+        self.items, self.first = both["i"].copy(), np.append(self.first, len(both))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the hashes that are known, and their places among the known ones."""
+        at = np.searchsorted(self.hashes, hashes)
+        met = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes) if len(self.hashes) else np.empty(0, np.int64)
+        return met, at[met]
+
+
 class Index:
-    """The windows of a block of items: fingerprints of long items, whole hashes of items below a window."""
+    """The windows of a block of items, and the fingerprints of those of full length."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram, self.ids = window, gram, ids
-        words = [np.empty(0, np.uint64)] * len(ids)
+        prints, windows = [np.empty(0, np.uint64)], {}
         for row, counts, hashes in word_slices(pa.array(texts, pa.string()), alnum_words()):
-            for i, part in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
-                words[row + i] = part
-        self.words = words
-        prints, items, places, short = [], [], [], {}
-        for i, own in enumerate(words):
-            if len(own) >= window:
-                grams = ngrams(own, gram)
-                kept = winnow(grams, window - gram + 1)
-                prints.append(grams[kept])
-                items.append(np.full(len(kept), i))
-                places.append(kept)
-            elif len(own):
-                short.setdefault(len(own), {}).setdefault(int(ngrams(own, len(own))[0]), []).append(i)
-        whole = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        order = np.argsort(whole, kind="stable")
-        self.prints = whole[order]
-        self.items = np.concatenate(items)[order] if items else np.empty(0, np.int64)
-        self.places = np.concatenate(places)[order] if places else np.empty(0, np.int64)
-        self.short = {n: (np.sort(np.array(list(by), np.uint64)), by) for n, by in short.items()}
+            for i, own in enumerate(np.split(hashes, np.cumsum(counts)[:-1]), row):
+                if len(own) >= window:
+                    grams = ngrams(own, gram)
+                    prints.append(np.unique(grams[winnow(grams, window - gram + 1)]))
+                if len(own):
+                    found = np.unique(ngrams(own, min(window, len(own))))
+                    for part, value in zip(windows.setdefault(min(window, len(own)), ([], [])), (found, np.full(len(found), i)), strict=True):
+                        part.append(value)
+        self.prints = np.unique(np.concatenate(prints))
+        self.windows = {n: Known(*both) for n, both in windows.items()}
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.prints >> np.uint64(44)] = True
 
     def hits(self, counts: np.ndarray, hashes: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """By document of a slice: spans of hit words, end exclusive, and the items that occur."""
+        """By document of a slice: spans of hit words, end exclusive, and the items that occur.
+
+        A fingerprint that both have is extended to the windows around it; these are looked up as a whole, once each, so
+        that words that repeat don't multiply the work.
+        """
         doc = np.repeat(np.arange(len(counts)), counts)
         first = np.cumsum(counts) - counts
-        found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-
-        def add(d: int, start: int, end: int, item: int) -> None:
-            spans, items = found.setdefault(d, ([], set()))
-            spans.append((start - int(first[d]), end - int(first[d])))
-            items.add(item)
-
+        spans: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
+        for n, known in self.windows.items():
+            starts = self._starts(hashes, n)
+            starts = starts[doc[starts] == doc[starts + n - 1]] if len(starts) else starts
+            met, places = known.find(_window_hashes(hashes, starts, n))
+            starts = starts[met]
+            if not len(starts):
+                continue
+            own = doc[starts]
+            breaks = np.flatnonzero((own[1:] != own[:-1]) | (starts[1:] > starts[:-1] + n)) + 1
+            for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(starts)], strict=True):
+                d = int(own[a])
+                spans.setdefault(d, []).append((int(starts[a] - first[d]), int(starts[b - 1] + n - first[d])))
+            for d, place in np.unique(np.stack([own, places], 1), axis=0).tolist():
+                items.setdefault(d, set()).update(known.items[known.first[place] : known.first[place + 1]].tolist())
+        return {d: (spans[d], items[d]) for d in spans}
+
+    def _starts(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """Where windows of n words can begin, in order: all places for short items, those around a shared fingerprint else."""
+        if n < self.window or len(hashes) < n:
+            return np.arange(max(0, len(hashes) - n + 1))
         grams = ngrams(hashes, self.gram)
-        if len(self.prints) and len(hashes) >= self.window:
-            kept = winnow(grams, self.window - self.gram + 1)
-            kept = kept[self.seen[grams[kept] >> np.uint64(44)]]
-            low = np.searchsorted(self.prints, grams[kept], side="left")
-            high = np.searchsorted(self.prints, grams[kept], side="right")
-            kept, low, high = kept[high > low], low[high > low], high[high > low]
-            reached: dict[tuple[int, int, int], int] = {}
-            for p, a, b in zip(kept.tolist(), low.tolist(), high.tolist(), strict=True):
-                d = int(doc[p])
-                if doc[p + self.gram - 1] != d:
-                    continue
-                for m in range(a, b):
-                    item, q = int(self.items[m]), int(self.places[m])
-                    if reached.get((d, item, p - q), -1) > p:
-                        continue
-                    start, end = self._extend(hashes, int(first[d]), int(first[d] + counts[d]), p, self.words[item], q)
-                    reached[d, item, p - q] = end
-                    if end - start >= self.window:
-                        add(d, start, end, item)
-        for n, (known, by) in self.short.items():
-            runs = ngrams(hashes, n)
-            at = np.searchsorted(known, runs)
-            for p in np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == runs)).tolist():
-                if doc[p] == doc[p + n - 1]:
-                    for item in by[int(runs[p])]:
-                        add(int(doc[p]), p, p + n, item)
-        return found
-
-    def _extend(self, hashes: np.ndarray, low: int, high: int, p: int, item: np.ndarray, q: int) -> tuple[int, int]:
-        """The longest run of equal words around position p of the document and q of the item."""
-        back = min(p - low, q)
-        unlike = np.flatnonzero(hashes[p - back : p] != item[q - back : q])
-        start = p if back == 0 else (p - back if not len(unlike) else p - back + int(unlike[-1]) + 1)
-        ahead = min(high - p, len(item) - q)
-        unlike = np.flatnonzero(hashes[p : p + ahead] != item[q : q + ahead])
-        return start, p + (ahead if not len(unlike) else int(unlike[0]))
+        kept = winnow(grams, self.window - self.gram + 1)
+        kept = kept[self.seen[grams[kept] >> np.uint64(44)]]
+        kept = kept[np.isin(grams[kept], self.prints)]
+        can = np.zeros(len(hashes), bool)
+        for back in range(self.window - self.gram + 1):
+            can[np.maximum(kept - back, 0)] = True
+        return np.flatnonzero(can[: len(hashes) - n + 1])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -131,50 +135,116 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 _WORDS, _SPANS, _ITEMS = "__bench_words", "__bench_spans", "__bench_items"
 
 
-def benchmark_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[str], list[str]]]:
-    """Ids and texts of the benchmark, a block of about block_bytes at a time; never more is held at once."""
+def block_count(benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    size = benchmark.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
+    return -(-size // block_bytes) or 1
+
+
+def benchmark_blocks(benchmark: DataFrame, key: str, text: str, blocks: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Ids and texts of the benchmark, a block at a time; never more is held at once."""
     items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("i"), text_or_empty(text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         yield [r["i"] for r in rows], [r["t"] for r in rows]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with the words of whole texts, the spans of words that windows of items cover, and those items' ids.
 
     A window is `window` consecutive words of an item, or all words of one with fewer; items without words have none.
-    Words are runs of ASCII letters, A-Z lowered, digits and characters past ASCII. Adds three columns for evidence();
-    null texts have no words, repeated rows and items stay, an empty benchmark hits nothing.
+    Words are runs of ASCII letters, A-Z lowered, digits and characters past ASCII. Adds three columns for evidence(), whose
+    names begin with __bench_; input columns of these names are replaced. Null texts have no words, repeated rows and items
+    stay, an empty benchmark hits nothing, an empty table gives no rows.
+
+    A benchmark of one block is looked up in one pass. For a larger one, a first pass tells by a bit map of all its
+    fingerprints which documents can have a hit; only these are kept and looked up block by block.
     """
-    spark, out = docs.sparkSession, docs.withColumns({_WORDS: F.lit(0).cast("long"), _SPANS: F.array().cast("array<bigint>"), _ITEMS: F.array().cast("array<string>")})
-    schema = T.StructType([f for f in out.schema if f.name not in (_WORDS, _SPANS, _ITEMS)] + [T.StructField(_WORDS, T.LongType()), T.StructField(_SPANS, T.ArrayType(T.LongType())), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
-    for number, (ids, texts) in enumerate(benchmark_blocks(benchmark, item_key, item_text, block_bytes)):
-        index = spark.sparkContext.broadcast(Index(ids, texts, window, gram))
-        if number:
-            out = out.checkpoint()
+    spark, kept = docs.sparkSession, [f for f in docs.schema if f.name not in (_WORDS, _SPANS, _ITEMS)]
+    schema = T.StructType([*kept, T.StructField(_WORDS, T.LongType()), T.StructField(_SPANS, T.ArrayType(T.LongType())), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
+    out = docs.withColumns({_WORDS: F.lit(0).cast("long"), _SPANS: F.array().cast("array<bigint>"), _ITEMS: F.array().cast("array<string>")}).select(*[F.col(f"`{f.name}`") for f in schema])
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = index.value
+    def look_up(rows: DataFrame, look) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n_words, spans, items = np.zeros(batch.num_rows, np.int64), batch.column(_SPANS).to_pylist(), batch.column(_ITEMS).to_pylist()
                 for row, counts, hashes in word_slices(batch.column(text), alnum_words()):
                     n_words[row : row + len(counts)] = counts
-                    for d, (hit, which) in own.hits(counts, hashes).items():
-                        had = spans[row + d]
-                        spans[row + d] = merged(hit + list(zip(had[::2], had[1::2], strict=True)))
-                        items[row + d] = sorted({*items[row + d], *(own.ids[i] for i in which)})
+                    look(row, counts, hashes, spans, items)
                 columns = {c: batch.column(c) for c in batch.schema.names}
                 columns |= {_WORDS: pa.array(n_words), _SPANS: pa.array(spans, pa.list_(pa.int64())), _ITEMS: pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], [f.name for f in schema])
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return rows.mapInArrow(run, schema)
+
+    def by_block(ids: list[str], texts: list[str]):
+        index = spark.sparkContext.broadcast(Index(ids, texts, window, gram))
+
+        def look(row, counts, hashes, spans, items):
+            own = index.value
+            for d, (hit, which) in own.hits(counts, hashes).items():
+                had = spans[row + d]
+                spans[row + d] = merged(hit + list(zip(had[::2], had[1::2], strict=True)))
+                items[row + d] = sorted({*items[row + d], *(own.ids[i] for i in which)})
+
+        return look
+
+    blocks = block_count(benchmark, item_text, block_bytes)
+    if blocks == 1:
+        return look_up(out, by_block(*next(benchmark_blocks(benchmark, item_key, item_text, 1))))
+    marks = Marks(window, gram)
+    for _, texts in benchmark_blocks(benchmark, item_key, item_text, blocks):
+        marks.add(texts)
+    shared = spark.sparkContext.broadcast(marks)
+
+    def mark(row, counts, hashes, spans, items):
+        for d in shared.value.may_hit(counts, hashes):
+            spans[row + d] = [0, 0]
+
+    marked = look_up(out, mark)
+    none = marked.filter(F.size(_SPANS) == 0)
+    some = stored(marked.filter(F.size(_SPANS) > 0).withColumn(_SPANS, F.array().cast("array<bigint>")))
+    for ids, texts in benchmark_blocks(benchmark, item_key, item_text, blocks):
+        some = stored(look_up(some, by_block(ids, texts)))
+    return none.union(some)
+
+
+class Marks:
+    """A bit map of the fingerprints of all items, and of the whole of those below a window."""
+
+    BITS = 27
+
+    def __init__(self, window: int, gram: int):
+        self.window, self.gram, self.short = window, gram, set()
+        self.bits = np.zeros(1 << (self.BITS - 3), np.uint8)
+
+    def add(self, texts: list[str]) -> None:
+        index = Index([""] * len(texts), texts, self.window, self.gram)
+        self.short |= {n for n in index.windows if n < self.window}
+        for found in (index.prints, *(known.hashes for n, known in index.windows.items() if n < self.window)):
+            at = found >> np.uint64(64 - self.BITS)
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def may_hit(self, counts: np.ndarray, hashes: np.ndarray) -> list[int]:
+        """Documents of a slice with a marked fingerprint, or a run of words that may be a short item."""
+        doc = np.repeat(np.arange(len(counts)), counts)
+        grams = ngrams(hashes, self.gram)
+        found = [self._documents(doc, winnow(grams, self.window - self.gram + 1), grams)]
+        for n in self.short:
+            runs = ngrams(hashes, n)
+            found.append(self._documents(doc, np.arange(len(runs)), runs))
+        return np.unique(np.concatenate(found)).tolist()
+
+    def _documents(self, doc: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes[places] >> np.uint64(64 - self.BITS)
+        return doc[places[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0]]
 
 
 def evidence(found: DataFrame) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and 20 * n_hit >= n_words) beside the other columns."""
+    """n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and 20 * n_hit >= n_words) beside the other columns of find().
+
+    Input columns of these five names are replaced. A text without words has n_words 0 and is clean; item ids are sorted as
+    strings, a null one counts as 'null', repeated ones once. An empty table gives no rows.
+    """
     sums = F.aggregate(F.sequence(F.lit(0), F.size(_SPANS) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at(_SPANS, i + 2) - F.element_at(_SPANS, i + 1))
     n_hit = F.when(F.size(_SPANS) > 0, sums).otherwise(F.lit(0).cast("long"))
     return found.withColumns({
@@ -187,7 +257,10 @@ def evidence(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with their own columns only."""
+    """The documents that are not contaminated, with their own columns only, whatever their names (but for __bench_ ones, see find()).
+
+    Null and empty texts are clean and stay, null itself; repeated rows stay or go together. Without benchmark items all rows stay.
+    """
     found = find(docs, benchmark, text)
     sums = F.aggregate(F.sequence(F.lit(0), F.size(_SPANS) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at(_SPANS, i + 2) - F.element_at(_SPANS, i + 1))
     clean = (F.size(_SPANS) == 0) | (20 * sums < F.col(_WORDS))

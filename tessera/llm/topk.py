@@ -7,21 +7,22 @@ rows above it and, of the rows that tie with it, those of the least ids.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import read, shared_folder, stored
 
 #: Queries of a block, that each executor holds at once, and bins of a query's histogram.
 QUERIES, BINS = 2048, 1024
 #: Candidates that are scored at once.
 TILE = 256
 _SIGN = np.uint64(1 << 63)
+_RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def quantized(embedding: Column) -> Column:
@@ -129,29 +130,31 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec
     Rows that repeat are candidates each, and queries each. Scores past a long are held at its ends. A query with fewer
     candidates gets all; empty tables give no rows. Other columns are not read.
 
-    Queries come to the executors in blocks of about `block`; for each block the candidates are read once a round.
+    Queries come to the executors in blocks of about `block`; for each block the candidates are read once a round, and its
+    rows are appended to one table in the shared folder: the plan of the result is one scan, however many blocks there are.
     """
     spark = candidates.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
         return df.filter(F.col(key).isNotNull() & whole(F.col(vector))).select(F.col(key).cast("long").alias("id"), quantized(F.col(vector)).alias("v"))
 
-    asked = clean(queries).groupBy("id", "v").agg(F.count(F.lit(1)).alias("times"))
+    asked = stored(clean(queries).groupBy("id", "v").agg(F.count(F.lit(1)).alias("times")))
     all_rows = clean(candidates)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = {r["d"]: r["n"] for r in all_rows.groupBy(F.size("v").alias("d")).agg(F.max(norm).alias("n")).collect()}
-    results = []
-    for r in asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("n")).orderBy("d").collect():
+    sizes = asked.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("rows"), F.max(norm).alias("n")).orderBy("d").collect()
+    longest = {r["d"]: r["n"] for r in all_rows.groupBy(F.size("v").alias("d")).agg(F.max(norm).alias("n")).collect()} if sizes else {}
+    results = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    spark.createDataFrame([], _RESULT).write.parquet(results)
+    for r in sizes:
         d, bound = r["d"], min((1 << 62) - 1, int(np.sqrt(r["n"]) * np.sqrt(longest.get(r["d"], 0.0)) * 1.000001) + 1)
         rows, parts = all_rows.filter(F.size("v") == d), -(-r["rows"] // block)
+        of_block = stored(asked.filter(F.size("v") == d).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts))).repartition("part").sortWithinPartitions("part"))
         for part in range(parts):
-            own = asked.filter((F.size("v") == d) & (F.pmod(F.xxhash64("id", "v"), F.lit(parts)) == part)).collect()
+            own = of_block.filter(F.col("part") == part).collect()
             own.sort(key=lambda q: (q["id"], q["v"]))
             if own:
-                results.append(_search(rows, Block([q["id"] for q in own], [q["v"] for q in own], k, bound), [q["times"] for q in own], k))
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.union, results)
+                _search(rows, Block([q["id"] for q in own], [q["v"] for q in own], k, bound), [q["times"] for q in own], k).write.mode("append").parquet(results)
+    return spark.read.schema(_RESULT).parquet(results)
 
 
 def _search(rows: DataFrame, block: Block, times: list[int], k: int) -> DataFrame:

@@ -3,11 +3,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm.decontamination import decontaminate, evidence, find, winnow
+from tessera.llm.decontamination import Index, decontaminate, evidence, find, merged, winnow
+from tessera.llm.texthash import alnum_words, word_slices
 
 
 def words(text):
@@ -72,3 +75,25 @@ def test_winnowing_keeps_one_in_every_window():
     for i in range(493):
         least = grams[i : i + 8].min()
         assert max(j for j in range(i, i + 8) if grams[j] == least) in kept
+
+
+def test_repeated_words_and_long_texts_end():
+    def run(items, docs):
+        index, began, out = Index([str(i) for i in range(len(items))], items), time.time(), {}
+        for row, counts, hashes in word_slices(pa.array(docs, pa.string()), alnum_words()):
+            out |= {row + d: (merged(spans), items) for d, (spans, items) in index.hits(counts, hashes).items()}
+        assert time.time() - began < 5
+        return out
+
+    assert run(["ab " * 30_000], ["ab " * 300_000, "ab " * 12, "x " + "ab " * 13]) == {0: ([0, 300_000], {0}), 2: ([1, 14], {0})}
+    item = " ".join(f"w{i}" for i in range(20))
+    text = " ".join(f"x{i % 997}y{i % 1009}" for i in range(1_500_000)) + " " + item
+    assert run([item, "ab cd"], [text, "ab cd " * 100_000]) == {0: ([1_500_000, 1_500_020], {0}), 1: ([0, 200_000], {1})}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "own", [1]), (None, None, None, None)], "doc_id long, text string, n_words string, __bench_spans array<long>")
+    bench = spark.createDataFrame([(None, "a b", 1)], "item_id long, text string, n_items int")
+    rows = sorted(evidence(find(docs, bench)).collect(), key=lambda r: -r["n_words"])
+    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in rows] == [(2, 2, 1), (0, 0, 0)]
+    assert [r["doc_id"] for r in decontaminate(docs, bench).collect()] == [None]
