@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -28,13 +29,24 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with a short plan: checkpointed in the shared folder where one is named, cached where none is."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is named, a local session gets one of its own; a cluster has no folder to guess."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df.cache()
-        context.setCheckpointDir(folder)
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir: name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with a short plan, checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
