@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.cluster import ship
+from tessera.cluster import shared_folder, ship
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -18,17 +16,6 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    folder = folder or f"file://{os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')}"
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the shared folder, which outlives any executor."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
@@ -40,6 +27,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores after them, until no column of the table has one of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def uniform_bits(*parts: Column) -> Column:
     """52 bits of the MD5 of the parts joined by '|', as a long; a null part counts as 'null'."""
     key = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, text_or_empty, uniform_bits
+from tessera.llm.common import fresh, read, text_or_empty, uniform_bits
 
 #: Exponent of the default target: a source's weight is its size to this power.
 TEMPERATURE = 0.5
@@ -64,15 +64,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     """
     rates = source_rates(docs, weights, source, text, total)
     base = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_key")
+    own, draws, table = fresh(base, "__source", "__draws", "__table")
     drawn = F.transform(
-        F.sequence(F.lit(1), F.col("__draws")),
-        lambda i: F.size(F.filter(F.col("__table"), lambda p: p <= uniform_bits(F.lit(seed), i, F.col(key)) / F.lit(_SPAN))),
+        F.sequence(F.lit(1), F.col(draws)),
+        lambda i: F.size(F.filter(F.col(table), lambda p: p <= uniform_bits(F.lit(seed), i, F.col(key)) / F.lit(_SPAN))),
     )
-    rates = rates.select(F.col("mix_source").alias("__source"), F.col("rate").alias("mix_rate"), F.col("draws").alias("__draws"), F.col("table").alias("__table"))
-    counted = base.join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("mix_copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).filter("mix_copies > 0")
+    rates = rates.select(F.col("mix_source").alias(own), F.col("rate").alias("mix_rate"), F.col("draws").alias(draws), F.col("table").alias(table))
+    counted = base.join(rates, F.col(source).eqNullSafe(F.col(own))).withColumn("mix_copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).filter("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     order = uniform_bits(F.lit(f"{seed}-order"), F.col("mix_copy"), F.col(key))
-    return copies.withColumn("mix_key", order).drop("__source", "__draws", "__table").repartition("mix_key").sortWithinPartitions("mix_key")
+    return copies.withColumn("mix_key", order).drop(own, draws, table).repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import read, stored, text_or_empty
+from tessera.llm.common import fresh, read, stored, text_or_empty
 from tessera.llm.components import components
 from tessera.llm.texthash import mix, ngrams, whitespace_words, word_slices
 
@@ -424,35 +424,38 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
     return whole.select("k", "n_shingles", "id", "root", F.when(F.col("id").isNull(), F.col("k")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _with_set(docs: DataFrame, text: str) -> DataFrame:
+def _with_set(docs: DataFrame, text: str, name: str) -> DataFrame:
     """Documents with the id of their set, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [set_id(tokens) if len(tokens) else None for _, tokens in shingle_sets(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.int64())], [*batch.schema.names[1:], "__set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.int64())], [*batch.schema.names[1:], name])
 
-    rows = docs.select(text_or_empty(text).alias("__words"), *docs.columns)
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__set", T.LongType())]))
+    rows = docs.select(text_or_empty(text).alias(name), *[F.col(f"`{c}`") for c in docs.columns])
+    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that of its least key. Of its rows that repeat this key, one with the longest, then least text stays.
 
     Rows of one key that are in different components are told apart by their sets. Rows without words stay, one of each
-    key, and rows of null key all stay.
+    key, and rows of null key all stay. Columns pass, whatever their names.
     """
     found = stored(_rooted(docs, key, text))
+    first, rows, own, at, root, turn = fresh(docs, "__first", "__rows", "__set", "__key", "__root", "__turn")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     leads = F.col("k").isNull() | F.col("k").eqNullSafe(F.col("component_id"))
-    first = found.groupBy("k").agg(F.count(F.lit(1)).alias("__rows"), F.max(leads).alias("__leads")).filter("__leads").select(F.col("k").alias("__first"), "__rows")
-    kept = docs.join(first, F.col(key).eqNullSafe(F.col("__first")))
-    single = kept.filter(F.col("__first").isNull() | (F.col("__rows") == 1)).select(*[docs[c] for c in docs.columns])
-    sets = found.filter("k IS NOT NULL AND k = component_id").select(F.col("k").alias("__k"), F.col("id").alias("__id"), F.col("root").alias("__root")).distinct()
-    repeated = _with_set(kept.filter("__first IS NOT NULL AND __rows > 1").select(*[docs[c] for c in docs.columns]), text)
-    again = repeated.join(sets, (F.col(key) == F.col("__k")) & F.col("__set").eqNullSafe(F.col("__id")))
-    spare = Window.partitionBy("__k", "__root").orderBy(F.length(text).desc_nulls_last(), F.col(text))
-    again = again.withColumn("__turn", F.row_number().over(spare)).filter("__turn = 1")
-    return single.union(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    heads = found.groupBy("k").agg(F.count(F.lit(1)).alias(rows), F.max(leads).alias("leads")).filter("leads").select(F.col("k").alias(first), rows)
+    kept = docs.join(heads, F.col(key).eqNullSafe(F.col(first)))
+    single = kept.filter(F.col(first).isNull() | (F.col(rows) == 1)).select(*columns)
+    sets = found.filter("k IS NOT NULL AND k = component_id").select(F.col("k").alias(at), F.col("id").alias("own_id"), F.col("root").alias(root)).distinct()
+    repeated = _with_set(kept.filter(F.col(first).isNotNull() & (F.col(rows) > 1)).select(*columns), text, own)
+    sets = sets.withColumnRenamed("own_id", turn)
+    again = repeated.join(sets, (F.col(key) == F.col(at)) & F.col(own).eqNullSafe(F.col(turn))).drop(turn)
+    spare = Window.partitionBy(at, root).orderBy(F.length(text).desc_nulls_last(), F.col(text))
+    again = again.withColumn(turn, F.row_number().over(spare)).filter(F.col(turn) == 1)
+    return single.union(again.select(*columns))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,9 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = {k: i for i, k in enumerate((*BASE, "iban", "ssn"))}
 #: Score of a span before its context, by kind.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
-#: Lower-case words that raise a kind's score when they stand within CONTEXT characters before or after a span.
+#: Lower-case words that raise a kind's score when they stand whole within CONTEXT characters before or after a span.
 WORDS = {
-    "email": ("mail", "contact", "@"),
+    "email": ("mail", "email", "contact"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "credit", "debit", "payment", "karte", "carte", "tarjeta"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
@@ -29,6 +29,7 @@ WORDS = {
 AGAINST = ("version", "example", "test", "isbn", "order", "build")
 CONTEXT, STEP = 40, 0.15
 
+_NEAR = {kind: re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})(?![^\W\d_])") for kind, words in {**WORDS, "against": AGAINST}.items()}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match always begins at the start of a run of digits, as what follows the run decides; so no position inside a run is tried.
@@ -103,7 +104,7 @@ def scored(text: str, span: tuple[str, int, int]) -> float:
     """The kind's prior, raised or lowered once by the words near the span, from 0 to 1."""
     kind, start, end = span
     near = f"{text[max(0, start - CONTEXT) : start]} {text[end : end + CONTEXT]}".lower()
-    step = STEP * (any(w in near for w in WORDS[kind]) - any(w in near for w in AGAINST))
+    step = STEP * (bool(_NEAR[kind].search(near)) - bool(_NEAR["against"].search(near)))
     return round(min(1.0, max(0.0, PRIOR[kind] + step)), 2)
 
 

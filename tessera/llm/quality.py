@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, text_or_empty
+from tessera.llm.common import fresh, read, text_or_empty
 from tessera.llm.texthash import SLICE_BYTES, _buffers, ngrams, whitespace_words, word_slices
 
 #: Buckets of trigrams, dimensions of the latent space, neighbours that vote.
@@ -176,9 +176,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents whose score reaches the threshold, with their own columns only."""
-    scored = score(docs, fit(docs, labels, key, text), text, "__quality")
-    return scored.filter(F.col("__quality") >= threshold).drop("__quality")
+    """The documents whose score reaches the threshold, with their own columns only, whatever their names.
+
+    Null and empty texts have the share of label 1 as their score, and stay or go together, as do repeated rows. Null labels and
+    keys teach nothing; without any label all scores are 0.5. An empty table gives no rows.
+    """
+    (name,) = fresh(docs, "__quality")
+    scored = score(docs, fit(docs, labels, key, text), text, name)
+    return scored.filter(F.col(name) >= threshold).drop(name)
 
 
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

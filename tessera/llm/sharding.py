@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read, stored, text_or_empty, uniform_bits
 
-#: Rows of one slot bucket, about: the largest sort that a task has to do.
+#: Distinct rows of one range of slots, about: the largest sort that a task has to do.
 BUCKET_ROWS = 100_000
+#: Equal rows that one row stands for until slots are given out.
+CHUNK = 1 << 16
 _SPAN = 1 << 52
 
 
@@ -33,38 +35,40 @@ def shard_column(key: Column, weights: list[float], seed: str = "shard") -> Colu
 def shard(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its shard and a gapless slot from 0 inside it.
 
-    Slots follow the order (hash of the key, key, text_crc32, size). They are numbered in two steps,
-    as rows before the bucket plus rows before in the bucket, so that no task holds a shard.
-    Rows with equal keys, null included, share a shard; a null text has size 1 and CRC 0. Rows equal in all
-    of that order get neighbouring slots. An empty table gives no rows. Other columns are not read.
+    Slots follow the order (hash of the key, key, text_crc32, size). Rows that are equal in all of it are counted first and
+    get neighbouring slots; the distinct ones are cut into ranges of this order, so that no task holds a shard, nor a key that
+    has many texts. Slots are numbered in two steps, as rows before the range plus rows before in the range.
+    Rows with equal keys, null included, share a shard; a null text has size 1 and CRC 0. An empty table gives no rows. Other
+    columns are not read.
     Returns key, size, text_crc32, law, shard, slot, grown_shard (the shard if there were one more, of mean weight).
     """
     size, body = F.octet_length(text_or_empty(text)).cast("long") + 1, F.crc32(text_or_empty(text).cast("binary"))
     grown = [*weights, sum(weights) / len(weights)]
-    rows = docs.select(
-        F.col(key).alias("k"),
-        size.alias("size"),
-        body.alias("text_crc32"),
-        shard_column(F.col(key), weights).alias("shard"),
-        shard_column(F.col(key), grown).alias("grown_shard"),
-        uniform_bits(F.lit("slot"), F.col(key)).alias("h"),
-    )
+    rows = docs.select(F.col(key).alias("k"), size.alias("size"), body.alias("text_crc32")).groupBy("k", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("*", shard_column(F.col("k"), weights).alias("shard"), shard_column(F.col("k"), grown).alias("grown_shard"), uniform_bits(F.lit("slot"), F.col("k")).alias("h"))
     rows = stored(rows)
-    buckets = max(1, -(-rows.count() // (len(weights) * BUCKET_ROWS)) * 2)
-    bucketed = rows.withColumn("b", F.floor(F.col("h") * F.lit(float(buckets) / _SPAN)).cast("long"))
-    counts = bucketed.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("shard").alias("s"), F.col("b").alias("c"), before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "b").orderBy("h", "k", "text_crc32", "size"))
-    return (
-        bucketed.withColumn("own", own)
-        .join(starts, (F.col("shard") == F.col("s")) & (F.col("b") == F.col("c")))
-        .select(F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("own") - 1).alias("slot"), "grown_shard")
-    )
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("most")).first()
+    order = ("h", "k", "text_crc32", "size")
+    ranges = max(1, -(-sums["rows"] // BUCKET_ROWS))
+    cut = stored(rows.repartitionByRange(ranges, "shard", *order).withColumn("range", F.spark_partition_id())) if ranges > 1 else rows.withColumn("range", F.lit(0))
+    counts = cut.groupBy("shard", "range").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("shard").alias("s"), F.col("range").alias("r"), before.alias("before"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("shard", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = cut.withColumn("own", own).join(starts, (F.col("shard") == F.col("s")) & (F.col("range") == F.col("r"))).withColumn("slot", F.col("before") + F.col("own"))
+    if (sums["most"] or 0) > CHUNK:
+        dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition("k", "chunk")
+        dealt = dealt.withColumn("slot", F.col("slot") + F.col("chunk") * CHUNK).withColumn("n", F.least(F.col("n") - F.col("chunk") * CHUNK, F.lit(CHUNK)))
+    dealt = dealt.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
+    return dealt.select(F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, weights: list[float], key: str = "doc_id") -> None:
-    """Writes the rows under path/shard=N; files of a shard are written by many tasks."""
+    """Writes the rows under path/shard=N; files of a shard are written by many tasks.
+
+    All columns are written but one named shard, which is replaced. Rows with a null key share a shard; null texts, ties and
+    repeated rows are written as they are. An empty table makes an empty folder. The path must not be there.
+    """
     docs.withColumn("shard", shard_column(F.col(key), weights)).write.partitionBy("shard").parquet(path)
 
 

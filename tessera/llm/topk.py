@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, shared_folder, stored
+from tessera.cluster import shared_folder
+from tessera.llm.common import read, stored
 
 #: Queries of a block, that each executor holds at once, and bins of a query's histogram.
 QUERIES, BINS = 2048, 1024

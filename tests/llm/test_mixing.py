@@ -40,3 +40,9 @@ def test_equal_rows_null_sources_empty_texts_and_names(spark):
 def test_only_native_plans(spark, folder):
     plan = mix(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "s", "t", 1, 2, 3) for i in range(50)], "doc_id long, source string, text string, __source int, __draws int, __TABLE int")
+    got = mix(docs)
+    assert got.columns[:6] == docs.columns and got.count() == mix(docs.select("doc_id", "source", "text")).count()

@@ -168,3 +168,11 @@ def test_large_cluster_is_verified_through_its_leader(spark, monkeypatch):
     chain = [(100_000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 120))) for i in range(300)]
     got = near_duplicates(spark.createDataFrame(one + chain, "doc_id long, text string").repartition(8)).groupBy("component_id").count().collect()
     assert sorted((r["component_id"], r["count"]) for r in got) == [(0, 20_000), (100_000, 300)]
+
+
+def test_keep_one_with_clashing_names(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, 1, 2, 3, 4), (2, text, 1, 2, 3, 4), (1, text, 5, 2, 3, 4), (None, None, 1, None, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __first int, __rows int, __set int, __key int")
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]

@@ -35,3 +35,14 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, folder)
         assert out.count() == 0
+
+
+def test_nulls_and_repeated_rows(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, None, None, "s", 0), (-1, None, None, "s", 0), (-2, "", "en", "s", 0), (None, "a text of null key and more words", "en", "s", 3)], docs.schema)
+    now = docs.union(odd).union(docs.limit(20))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder).cache()
+        assert now.columns == docs.columns, name
+    shards = corpus_pipeline.STAGES[-1][1](spark, now, folder)
+    assert shards.count() == now.count() > 0

@@ -49,3 +49,10 @@ def test_nulls_no_labels_and_clashing_names(spark):
     assert len(got) == 4 and all(r["score"] == model.prior for r in got)
     assert keep_good(docs, labels).columns == docs.columns
     assert score(docs.limit(0), model).count() == 0
+
+
+def test_keep_good_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text", "x"), (1, "some text", "x"), (None, None, None)], "doc_id long, text string, __quality string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert keep_good(docs, labels).columns == docs.columns and keep_good(docs, labels).count() == 3
+    assert keep_good(docs.limit(0), labels).count() == 0

@@ -45,3 +45,17 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 100 and back.select("shard").distinct().count() == 3
     plan = shard(df, [1.0] * 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_equal_rows_and_one_key_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 16)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    rows = [(7, "same")] * 300 + [(8, f"text {i}") for i in range(300)] + [(i, "x") for i in range(100)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), [1.0] * 3).collect()
+    assert len(got) == len(rows)
+    for s in range(3):
+        own = sorted((r["slot"], r["doc_id"], r["text_crc32"], r["size"]) for r in got if r["shard"] == s)
+        assert [o[0] for o in own] == list(range(len(own)))
+        eights = [o[2:] for o in own if o[1] == 8]
+        assert eights == sorted(eights)
+        assert not len({o[0] - i for i, o in enumerate(o for o in own if o[1] == 7)}) > 1
