@@ -425,7 +425,9 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Bytes of pages in a range, and ranges at most: each one's ends go through the driver.
-RANGE_BYTES, RANGES = 2 << 20, 1 << 16
+RANGE_BYTES, RANGES = 8 << 20, 1 << 16
+#: Pages of a range, about, that are sampled for the cuts; they go through the driver, too.
+SAMPLED = 20
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -444,10 +446,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     place = pages.select(host.alias("host"), path.alias("path"), F.col(key).alias("k"))
     size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
     count = min(RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
-    tasks = -(-count // 4)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // 2))
     kind = pages.schema[key].dataType.simpleString()
     ends = place.repartitionByRange(count, "host", "path", "k").sortWithinPartitions("host", "path", "k")
-    ends = ends.mapInArrow(_ends, ", ".join(f"h{n} string, p{n} string, k{n} {kind}" for n in range(4)) + ", more boolean").collect()
+    ends = ends.mapInArrow(_ends, ", ".join(f"h{n} string, p{n} string, k{n} {kind}" for n in range(4)) + ", more boolean")
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(SAMPLED))
+    try:
+        ends = ends.collect()
+    finally:
+        spark.conf.set(setting, before)
     ends = [tuple(tuple(e[3 * n : 3 * n + 3]) if n < 2 or e["more"] else None for n in range(4)) for e in ends]
     shared = spark.sparkContext.broadcast(Ranges(sorted(ends, key=lambda e: _ordered(e[0]))))
 
