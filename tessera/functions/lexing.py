@@ -93,9 +93,9 @@ def tokens(text: str, language: str) -> list[Token]:
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 
 
-def pairs(found: list[Token]) -> tuple[dict[int, int], bool]:
-    """(partner of each bracket, whether all have one); a closing bracket that fits none is skipped."""
-    partner, stack, sound = {}, [], True
+def pairs(found: list[Token]) -> tuple[dict[int, int], list[int]]:
+    """(partner of each bracket, brackets without one in order); a closing bracket that fits none is skipped."""
+    partner, stack, alone = {}, [], []
     for i, t in enumerate(found):
         if t.kind != "op":
             continue
@@ -103,17 +103,16 @@ def pairs(found: list[Token]) -> tuple[dict[int, int], bool]:
             stack.append(i)
         elif t.text in (")", "]", "}"):
             while stack and _CLOSE[found[stack[-1]].text] != t.text and t.text == "}":
+                alone.append(stack[-1])
                 partner[stack.pop()] = i
-                sound = False
             if stack and _CLOSE[found[stack[-1]].text] == t.text:
                 partner[stack[-1]] = i
                 partner[i] = stack.pop()
             else:
-                sound = False
+                alone.append(i)
     for i in stack:
         partner[i] = len(found)
-        sound = False
-    return partner, sound
+    return partner, sorted(alone + stack)
 
 
 class Offsets:

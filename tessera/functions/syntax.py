@@ -8,12 +8,17 @@ read as uses, never as declarations, and unbalanced brackets make the parse part
 from __future__ import annotations
 
 import hashlib
+import time
+from bisect import bisect_right
+from collections import deque
 from dataclasses import dataclass, field
 
 from tessera.functions.lexing import ECMA, Offsets, Token, pairs, tokens
 
-#: Largest source, observations and diagnostics of a file.
-SOURCE_BYTES, OBSERVATIONS, DIAGNOSTICS = 2 << 20, 20_000, 256
+#: Largest source, observations, nodes and diagnostics of a file.
+SOURCE_BYTES, OBSERVATIONS, NODES, DIAGNOSTICS = 2 << 20, 20_000, 200_000, 256
+#: Seconds that a file may take, and characters of a place in the tree before its hash stands for it.
+SECONDS, PLACE = 30.0, 2048
 
 _COMMON = "if else for while do switch case default break continue return try catch finally throw new this super null true false in is as void static const var let final"
 KEYWORDS = {
@@ -61,22 +66,34 @@ class Observation:
 
 
 class Reader:
-    def __init__(self, text: str, language: str, path: str):
+    def __init__(self, text: str, language: str, path: str, seconds: float = SECONDS):
         self.text, self.language, self.path = text, language, path
+        self.until, self.faults = time.monotonic() + seconds, []
+        self.todo: deque[tuple[int, int, Context]] = deque()
         self.family = "ecma" if language in ECMA else language
         self.typed = language in ("typescript", "tsx")
         self.keywords = KEYWORDS[self.family] | (_TYPED if self.typed else frozenset())
         self.t = [x for x in tokens(text, language) if x.kind != "pound"]
         self.pound = [x for x in tokens(text, language) if x.kind == "pound"] if language == "csharp" else []
-        self.partner, self.sound = pairs(self.t)
+        if len(self.t) > NODES:
+            self.fault("node_limit_reached", f"read up to node {NODES}", NODES, NODES + 1)
+            self.t = self.t[:NODES]
+        self.partner, alone = pairs(self.t)
+        for i in alone:
+            self.fault("syntax_error", f"{self.t[i].text} without a partner", i, i + 1)
         self.n = len(self.t)
         self.t += [Token("end", "", len(text), len(text), True)] * 8  # a construct that is cut off looks past the end
         self.out: list[Observation] = []
         self.declared: set[int] = set()
         self.seen: dict[tuple, int] = {}
+        self.full = False
 
     # -- records
 
+    def fault(self, code: str, message: str, a: int, b: int) -> None:
+        """A diagnostic of tokens a..b (end exclusive)."""
+        self.faults.append((code, message, self.t[a].start, self.t[b - 1].end))
+
     def put(self, category: str, kind: str, spelling: str, a: int, b: int, sa: int, sb: int, scope: str | None, where: str, **more) -> Observation:
         """Adds an observation of tokens a..b, of which the construct spans tokens sa..sb (ends exclusive)."""
         t, n = self.t, len(self.text)
@@ -89,8 +106,9 @@ class Reader:
         o.id = hashlib.sha256("\0".join((self.language, self.path, category, kind, spelling, where, str(turn), "")).encode()).hexdigest()
         if len(self.out) < OBSERVATIONS:
             self.out.append(o)
-        else:
-            self.sound = False
+        elif not self.full:
+            self.full = True
+            self.faults.append(("observation_limit_reached", f"read up to observation {OBSERVATIONS}", o.start, o.end))
         return o
 
     def declare(self, kind: str, i: int, sa: int, sb: int, ctx: Context, **more) -> Observation:
@@ -102,7 +120,8 @@ class Reader:
 
     def scope(self, kind: str, a: int, b: int, ctx: Context, name: str = "") -> Context:
         o = self.put("scope", kind, name or kind, a, a + 1, a, b, ctx.scope, ctx.where)
-        return Context(o.id, f"{ctx.where}/{kind}:{name}", ctx.container, ctx.body)
+        where = f"{ctx.where}/{kind}:{name}"
+        return Context(o.id, where if len(where) <= PLACE else hashlib.sha256(where.encode()).hexdigest(), ctx.container, ctx.body)
 
     # -- statements
 
@@ -118,12 +137,21 @@ class Reader:
                 c = self.put("condition", "preprocessor", word, 0, 0, 0, 0, ctx.scope, "", limitations=["active_configuration_not_inferred"])
                 c.start, c.end, c.syntax_start, c.syntax_end = p.start, p.end, p.start, p.end
         self.block(0, n, ctx)
+        while self.todo:
+            self._statements(*self.todo.popleft())
         return self.out
 
     def block(self, i: int, hi: int, ctx: Context) -> None:
-        """Statements of tokens i..hi."""
+        """Puts off the statements of tokens i..hi, so that nested blocks need no nested calls."""
+        self.todo.append((i, hi, ctx))
+
+    def _statements(self, i: int, hi: int, ctx: Context) -> None:
         start = True
         while i < hi:
+            if time.monotonic() > self.until:
+                self.todo.clear()
+                self.fault("time_limit_reached", "the rest of the file is not read", i, i + 1)
+                return
             t = self.t[i]
             if start or (t.first and self._new_line_starts(i)):
                 after = self.statement(i, hi, ctx)
@@ -297,9 +325,10 @@ class Reader:
     def parameters(self, i: int, hi: int, ctx: Context, kind: str = "parameter") -> None:
         """Parameters between the brackets i..hi."""
         j = i + 1
+        typed = self.family == "go" and self._has_typed(j, hi)
         while j < hi:
             end = min(self.find(j, hi, ","), hi)
-            name = self._parameter_name(j, end)
+            name = j if typed and end == j + 1 and self.is_name(j, hi) else self._parameter_name(j, end)
             if name is not None:
                 self.declare(kind, name, j, end, ctx)
             elif self.t[j].kind == "op" and self.t[j].text in "{[":  # a pattern, or Dart's named parameters
@@ -309,6 +338,15 @@ class Reader:
                     self.use(k, end, ctx)
             j = end + 1
 
+    def _has_typed(self, j: int, hi: int) -> bool:
+        """Whether a parameter has a name and a type: then those of one word are names that share the next type."""
+        while j < hi:
+            end = min(self.find(j, hi, ","), hi)
+            if self._parameter_name(j, end) is not None:
+                return True
+            j = end + 1
+        return False
+
     def _parameter_name(self, a: int, b: int) -> int | None:
         if self.family in ("rust", "ecma"):
             j = a
@@ -1104,21 +1142,30 @@ class Context:
 CATEGORIES = ("symbol", "scope", "import", "reference", "call_site", "condition")
 
 
-def extract(text: str, language: str, path: str) -> tuple[list[dict], str, list[tuple[str, str]]]:
+def extract(text: str, language: str, path: str, seconds: float = SECONDS) -> tuple[list[dict], str, list[tuple[str, str, int | None, int | None]]]:
     """(rows, parse status, diagnostics) of one source: rows by category, place, kind and spelling, each id once.
 
-    Uses inside of an import or a condition, or at the name of a declaration, are none.
+    Uses inside of an import or a condition, or at the name of a declaration, are none. Diagnostics are (code, message, first
+    byte, byte past the last), in order: brackets without a partner, and limits of nodes, observations and time that cut
+    the parse off; any makes it partial. A construct that is nested too deep to be read fails the file.
     """
     if len(text.encode()) > SOURCE_BYTES:
-        return [], "failed", [("source_too_large", path)]
-    reader = Reader(text, language, path)
-    found = reader.read()
+        return [], "failed", [("source_too_large", path, None, None)]
+    reader = Reader(text, language, path, seconds)
+    try:
+        found = reader.read()
+    except RecursionError:
+        return [], "failed", [("nested_too_deep", path, None, None)]
     byte = Offsets(text)
     names = {(o.start, o.end) for o in found if o.category == "symbol"}
     closed = sorted((o.syntax_start, o.syntax_end) for o in found if o.category in ("import", "condition") and o.kind not in ("commonjs_require", "dynamic_import", "commonjs_export"))
+    starts, reach = [a for a, _ in closed], []  # the furthest end of the closed ranges that begin before
+    for _, b in closed:
+        reach.append(max(b, reach[-1]) if reach else b)
+    in_closed = lambda o: (k := bisect_right(starts, o.start)) > 0 and reach[k - 1] >= o.end
     rows, ids = [], set()
     for o in sorted(found, key=lambda o: (CATEGORIES.index(o.category), o.start, o.end, o.kind, o.spelling)):
-        if o.id in ids or (o.category == "reference" and ((o.start, o.end) in names or any(a <= o.start and o.end <= b for a, b in closed))):
+        if o.id in ids or (o.category == "reference" and ((o.start, o.end) in names or in_closed(o))):
             continue
         ids.add(o.id)
         rows.append({
@@ -1126,6 +1173,5 @@ def extract(text: str, language: str, path: str) -> tuple[list[dict], str, list[
             "syntax_start_byte": byte(o.syntax_start), "syntax_end_byte": byte(o.syntax_end), "scope_id": o.scope, "container": o.container, "signature": o.signature,
             "receiver": o.receiver, "alias": o.alias, "attributes": o.attributes, "limitations": o.limitations,
         })
-    if reader.sound:
-        return rows, "complete", []
-    return rows, "partial", [("syntax_error", "brackets don't match")][:DIAGNOSTICS]
+    faults = sorted(((code, message, byte(a), byte(b)) for code, message, a, b in reader.faults), key=lambda f: (f[2], f[3], f[0]))
+    return rows, "partial" if faults else "complete", faults[:DIAGNOSTICS]

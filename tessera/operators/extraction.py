@@ -21,14 +21,15 @@ _FIELDS = [f.name for f in OBSERVATIONS if f.name != "relative_path"]
 _LISTS = {"attributes", "limitations"}
 _NUMBERS = {f for f in _FIELDS if f.endswith("_byte")}
 _ROW = pa.struct([(f, pa.list_(pa.string()) if f in _LISTS else pa.int64() if f in _NUMBERS else pa.string()) for f in _FIELDS])
-_NOTE = pa.struct([("code", pa.string()), ("message", pa.string())])
+_NOTE = pa.struct([("code", pa.string()), ("message", pa.string()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 _DDL = "array<struct<" + ",".join(f"{f}:{'array<string>' if f in _LISTS else 'bigint' if f in _NUMBERS else 'string'}" for f in _FIELDS) + ">>"
 
 
 def parsed(sources: DataFrame) -> DataFrame:
     """(relative_path, language, parse_status, byte_length, content_hash, rows, notes) of sources (relative_path, language, content).
 
-    Content that is no UTF-8, or too large, fails; unbalanced brackets make a parse partial. Nulls count as empty content.
+    Content that is no UTF-8, or too large, fails; unbalanced brackets and limits make a parse partial. A file that the reader
+    can't get through fails with a diagnostic of its own, and no other file with it. Nulls count as empty content.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,17 +38,19 @@ def parsed(sources: DataFrame) -> DataFrame:
             for path, language, content in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 try:
                     found, state, said = syntax.extract((content or b"").decode(), language, path)
-                except UnicodeDecodeError:
-                    found, state, said = [], "failed", [("invalid_utf8", path)]
+                except UnicodeDecodeError as error:
+                    found, state, said = [], "failed", [("invalid_utf8", path, error.start, error.end)]
+                except Exception as error:  # a fault of the reader
+                    found, state, said = [], "failed", [("extractor_failed", type(error).__name__, None, None)]
                 states.append(state)
                 rows.append(found)
-                notes.append([{"code": a, "message": b} for a, b in said])
+                notes.append([dict(zip(("code", "message", "start_byte", "end_byte"), n, strict=True)) for n in said])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string()), batch.column(3), batch.column(4), pa.array(rows, pa.list_(_ROW)), pa.array(notes, pa.list_(_NOTE))], ["relative_path", "language", "parse_status", "byte_length", "content_hash", "rows", "notes"])
 
     ship(sources.sparkSession)
     body = F.coalesce("content", F.lit(b"")).cast("binary")
     rows = sources.select("relative_path", "language", body.alias("content"), F.octet_length(body).cast("long").alias("byte_length"), F.sha2(body, 256).alias("content_hash"))
-    return rows.mapInArrow(run, f"relative_path string, language string, parse_status string, byte_length long, content_hash string, rows {_DDL}, notes array<struct<code:string,message:string>>")
+    return rows.mapInArrow(run, f"relative_path string, language string, parse_status string, byte_length long, content_hash string, rows {_DDL}, notes array<struct<code:string,message:string,start_byte:bigint,end_byte:bigint>>")
 
 
 def observations(parses: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def observations(parses: DataFrame) -> DataFrame:
 
 
 def diagnostics(parses: DataFrame) -> DataFrame:
-    return parses.select("relative_path", F.explode("notes").alias("n")).select("relative_path", "n.code", "n.message")
+    return parses.select("relative_path", F.explode("notes").alias("n")).select("relative_path", "n.*")
 
 
 def file_versions(parses: DataFrame) -> DataFrame:

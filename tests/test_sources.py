@@ -256,3 +256,21 @@ def test_smallest_scopes_agree_with_the_reader(index):
     got = {r["id"]: r["scope"] for r in extraction.smallest_scopes(index.observations.filter("category IN ('scope', 'call_site')")).collect()}
     rows = index.observations.filter("category = 'call_site'").collect()
     assert rows and sum(got[r["observation_id"]] == r["scope_id"] for r in rows) >= 0.8 * len(rows)
+
+
+def test_nested_and_cut_off_files():
+    for language in ("rust", "javascript", "java", "go", "csharp", "dart"):
+        began = time.time()
+        rows, status, notes = extract("fn x() " + "{" * 100_000 + "}" * 100_000, language, "f")
+        assert status in ("failed", "partial") and notes and rows and time.time() - began < 10
+    assert extract("fn a() {\n  é(\n}", "rust", "f")[2] == [("syntax_error", "( without a partner", 13, 14)]
+    assert extract("f();" * 21_000, "javascript", "f")[1:] == ("partial", [("observation_limit_reached", "read up to observation 20000", 79996, 79997)])
+    assert [n[0] for n in extract("a " * 200_001, "javascript", "f")[2]] == ["observation_limit_reached", "node_limit_reached"]
+    assert [n[0] for n in extract("f(); " * 100, "javascript", "f", -1.0)[2]] == ["time_limit_reached"]
+    assert extract("require(" * 60_000, "javascript", "f")[1] in ("failed", "partial")
+
+
+def test_a_fault_of_the_reader_fails_one_file(spark, monkeypatch):
+    df = spark.createDataFrame([("a.rs", "rust", b"fn a() {}"), ("b.rs", "rust", b"\xff"), ("c.xx", "unknown", b"x"), ("d.rs", "rust", None)], "relative_path string, language string, content binary")
+    got = {r["relative_path"]: (r["parse_status"], [n["code"] for n in r["notes"]]) for r in extraction.parsed(df).collect()}
+    assert got["a.rs"] == ("complete", []) and got["b.rs"] == ("failed", ["invalid_utf8"]) and got["c.xx"][0] == "failed" and got["d.rs"] == ("complete", [])
