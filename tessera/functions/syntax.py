@@ -1175,3 +1175,9 @@ def extract(text: str, language: str, path: str, seconds: float = SECONDS) -> tu
         })
     faults = sorted(((code, message, byte(a), byte(b)) for code, message, a, b in reader.faults), key=lambda f: (f[2], f[3], f[0]))
     return rows, "partial" if faults else "complete", faults[:DIAGNOSTICS]
+
+
+def fingerprint() -> str:
+    """A hash of what decides how a text is read: the dialects' words and the bounds."""
+    parts = [sorted(KEYWORDS.items(), key=lambda kv: kv[0]), sorted(_TYPES.items()), sorted(MODIFIERS), SOURCE_BYTES, OBSERVATIONS, NODES]
+    return hashlib.sha256(repr([(k, sorted(v)) if isinstance(v, frozenset) else (k, v) for k, v in parts[0]] + parts[1:]).encode()).hexdigest()[:16]

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import __version__
 from tessera.cluster import ship
 from tessera.functions import syntax
 from tessera.functions.text import identifier_tokens
@@ -25,6 +26,11 @@ _NOTE = pa.struct([("code", pa.string()), ("message", pa.string()), ("start_byte
 _DDL = "array<struct<" + ",".join(f"{f}:{'array<string>' if f in _LISTS else 'bigint' if f in _NUMBERS else 'string'}" for f in _FIELDS) + ">>"
 
 
+def analysis_key() -> str:
+    """What a parse depends on besides the content: a file is parsed again when any of it changes."""
+    return f"{__version__}:{syntax.fingerprint()}"
+
+
 def parsed(sources: DataFrame) -> DataFrame:
     """(relative_path, language, parse_status, byte_length, content_hash, rows, notes) of sources (relative_path, language, content).
 

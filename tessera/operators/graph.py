@@ -7,6 +7,8 @@ capped rows reach the driver, where the order-dependent caps are applied.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +39,14 @@ def call_sites(edges: DataFrame, symbol_id: str) -> DataFrame:
     return edges.filter((F.col("relationship") == "calls") & (F.col("target_symbol_id") == symbol_id)).orderBy("edge_id")
 
 
-def walk(edges: DataFrame, roots: list[str], direction: str = "outgoing", relationship: str = "any", include_candidates: bool = True, depth: int = DEFAULTS.depth, max_nodes: int = DEFAULTS.nodes, max_edges: int = DEFAULTS.edges) -> tuple[list[str], list, bool]:
+def walk(edges: DataFrame, roots: list[str], direction: str = "outgoing", relationship: str = "any", include_candidates: bool = True, depth: int = DEFAULTS.depth, max_nodes: int = DEFAULTS.nodes, max_edges: int = DEFAULTS.edges, deadline_ms: int | None = None) -> tuple[list[str], list, bool]:
     """(sorted ids, edges in the order of the walk, whether a cap cut it): breadth first, first in, first out.
 
     A node's edges come in relation order. The edge cap counts every edge, also to nodes met before; a node past the
-    node cap is not entered, but its edge stays.
+    node cap is not entered, but its edge stays. With a deadline, no level begins after it, and the walk counts as cut.
     """
-    check_graph(depth, max_nodes, max_edges, DEFAULTS.deadline_ms)
+    check_graph(depth, max_nodes, max_edges, DEFAULTS.deadline_ms if deadline_ms is None else deadline_ms)
+    until = None if deadline_ms is None else time.monotonic() + deadline_ms / 1000
     near, far = ("source_symbol_id", "target_symbol_id") if direction == "outgoing" else ("target_symbol_id", "source_symbol_id")
     found = relations(edges, relationship, include_candidates)
     visited = dict.fromkeys(roots[:max_nodes])
@@ -52,7 +55,7 @@ def walk(edges: DataFrame, roots: list[str], direction: str = "outgoing", relati
         left = max_edges - len(taken)
         if not level:
             break
-        if left <= 0:
+        if left <= 0 or (until is not None and time.monotonic() > until):
             cut = True
             break
         frontier = found.sparkSession.createDataFrame(list(enumerate(level)), "place int, __node string")

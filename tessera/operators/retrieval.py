@@ -29,6 +29,12 @@ def repository_files(files: DataFrame, symbols: DataFrame, scope: str | None = N
     return found.withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0).cast("long")))
 
 
+def counts(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files, symbols and edges of a generation, in one job."""
+    every = files.select(F.lit("files").alias("t")).unionByName(symbols.select(F.lit("symbols").alias("t"))).unionByName(edges.select(F.lit("edges").alias("t")))
+    return every.agg(*[F.coalesce(F.sum((F.col("t") == t).cast("long")), F.lit(0)).alias(t) for t in ("files", "symbols", "edges")])
+
+
 def coverage(files: DataFrame) -> DataFrame:
     """One row: files by parse status, and the status of the whole."""
     states = {s: F.sum((F.col("parse_status") == s).cast("long")) for s in ("complete", "partial", "failed")}

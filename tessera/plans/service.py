@@ -29,28 +29,39 @@ class Index:
     jobs: dict[str, dict] = field(default_factory=dict)
 
 
+def symbols_of(found: DataFrame, versions: DataFrame) -> DataFrame:
+    """Symbols as a search looks at them, with the language of their file."""
+    languages = versions.select(F.col("relative_path").alias("__p"), "language")
+    return extraction.search_rows(found).join(languages, F.col("relative_path") == F.col("__p")).drop("__p")
+
+
 def build(files: DataFrame, repository_id: str, generation_id: str, rules=None) -> Index:
     """An index of a tree's files (relative_path, byte_length, content): scan, parse, resolve."""
     sound = scan.safe_sources(scan.scan(files, rules)).filter("fault IS NULL")
     parses = extraction.parsed(sound).cache()
     found = extraction.observations(parses)
-    versions = extraction.file_versions(parses).withColumn("generation_id", F.lit(generation_id))
+    versions = extraction.file_versions(parses).withColumns({"analysis_key": F.lit(extraction.analysis_key()), "generation_id": F.lit(generation_id)})
     edges, externals, _ = resolution.resolve(found, versions.select("relative_path", "language"), scan.manifests(files))
-    symbols = extraction.search_rows(found).join(versions.select(F.col("relative_path").alias("__p"), "language"), F.col("relative_path") == F.col("__p")).drop("__p")
+    symbols = symbols_of(found, versions)
     return Index(repository_id, generation_id, versions, symbols, edges.withColumn("generation_id", F.lit(generation_id)), found, externals, sound)
 
 
 def rebuild(before: Index, files: DataFrame, generation_id: str, rules=None) -> Index:
-    """The next generation: only files whose content changed are parsed, all names are resolved again."""
+    """The next generation: only files whose content or analysis changed are parsed, all names are resolved again.
+
+    A scan past its limits is refused, as files that it misses would count as deleted.
+    """
+    if not scan.scan_status(files, rules).first()["complete"]:
+        raise RequestError("INVALID_ARGUMENT", "the scan is incomplete")
     sound = scan.safe_sources(scan.scan(files, rules)).filter("fault IS NULL")
-    keyed = sound.withColumn("analysis_key", F.lit("v1"))
-    fresh = generations.to_parse(keyed, before.files.withColumn("analysis_key", F.lit("v1")))
+    keyed = sound.withColumn("analysis_key", F.lit(extraction.analysis_key()))
+    fresh = generations.to_parse(keyed, before.files)
     parses = extraction.parsed(fresh.select("relative_path", "language", "content")).cache()
-    kept = before.files.join(sound.select("relative_path", "content_hash"), ["relative_path", "content_hash"], "left_semi")
+    kept = before.files.join(keyed.select("relative_path", "content_hash", "analysis_key"), ["relative_path", "content_hash", "analysis_key"], "left_semi")
     found = before.observations.join(kept.select("relative_path"), "relative_path", "left_semi").unionByName(extraction.observations(parses))
-    versions = kept.drop("generation_id").unionByName(extraction.file_versions(parses)).withColumn("generation_id", F.lit(generation_id))
+    versions = kept.drop("generation_id").unionByName(extraction.file_versions(parses).withColumn("analysis_key", F.lit(extraction.analysis_key()))).withColumn("generation_id", F.lit(generation_id))
     edges, externals, _ = resolution.resolve(found, versions.select("relative_path", "language"), scan.manifests(files))
-    symbols = extraction.search_rows(found).join(versions.select(F.col("relative_path").alias("__p"), "language"), F.col("relative_path") == F.col("__p")).drop("__p")
+    symbols = symbols_of(found, versions)
     return Index(before.repository_id, generation_id, versions, symbols, edges.withColumn("generation_id", F.lit(generation_id)), found, externals, sound, before.notes, before.evidence)
 
 
@@ -65,8 +76,9 @@ def _dict(row, names) -> dict:
 class Service:
     """Reads of one pinned generation, and writes of its notes and jobs."""
 
-    def __init__(self, index: Index):
-        self.index = index
+    def __init__(self, index: Index, indexer=None):
+        """indexer: the Indexer of the store that the index was opened from; jobs and generations then outlive the process."""
+        self.index, self.indexer = index, indexer
 
     def _answer(self, value: dict, max_bytes: int, *lists: str) -> dict:
         value |= {"repository_id": self.index.repository_id, "generation_id": self.index.generation_id, "coverage": self.coverage()}
@@ -195,15 +207,23 @@ class Service:
     # -- jobs
 
     def repository_status(self) -> dict:
-        counts = {"files": self.index.files.count(), "symbols": self.index.symbols.count(), "edges": self.index.edges.count()}
+        if self.indexer is not None:
+            return {"repository_id": self.index.repository_id, "generation_id": self.index.generation_id, **self.indexer.status()}
+        counts = retrieval.counts(self.index.files, self.index.symbols, self.index.edges).first().asDict()
         latest = max(self.index.jobs.values(), key=lambda j: (j["created_at"], j["job_id"]), default=None)
         return {"repository_id": self.index.repository_id, "generation_id": self.index.generation_id, **counts, "latest_job": latest}
 
-    def index_repository(self, files: DataFrame, request_key: str, generation_id: str, rules=None) -> dict:
+    def index_repository(self, files: DataFrame, request_key: str, generation_id: str, rules=None, background: bool = False) -> dict:
         """Indexes a tree into the next generation; a key that was asked for before gives its job again.
 
-        The active generation stays as it is until the new one is whole; a run that fails leaves it in place.
+        The active generation stays as it is until the new one is whole; a run that fails leaves it in place. With an indexer
+        the job writes to its store, in the background if wished; refresh() then turns to what became active.
         """
+        if self.indexer is not None:
+            job = self.indexer.run(files, request_key, generation_id, rules, background)
+            if not background:
+                self.refresh()
+            return job
         job_id = f"job-{paging.fingerprint('index', request_key)[:16]}"
         if job_id in self.index.jobs:
             return self.index.jobs[job_id]
@@ -223,12 +243,22 @@ class Service:
         self.index = fresh
         return job
 
+    def refresh(self) -> None:
+        """Turns to the active generation of the store; notes stay."""
+        now = self.index
+        self.index = self.indexer.open(now.sources)
+        self.index.notes, self.index.evidence = now.notes, now.evidence
+
     def job_status(self, job_id: str) -> dict:
+        if self.indexer is not None:
+            return self.indexer.job(job_id)
         if job_id not in self.index.jobs:
             raise RequestError("JOB_NOT_FOUND", job_id)
         return self.index.jobs[job_id]
 
     def cancel_job(self, job_id: str) -> str:
+        if self.indexer is not None:
+            return self.indexer.cancel(job_id)
         job = self.job_status(job_id)
         if job["state"] not in generations.LIVE:
             return "already_finished"

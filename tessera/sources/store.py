@@ -1,8 +1,9 @@
-"""The index on a file system: immutable rows by generation, and one pointer that a rename switches."""
+"""The index on a file system: immutable rows by generation, and one registry that a rename switches."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,37 +20,56 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str, root_id: str = "root"):
         self.spark, self.folder, self.root_id = spark, folder.rstrip("/"), root_id
 
-    # -- the pointer
+    # -- the registry
 
     def _path(self, name: str):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def pointer(self) -> dict | None:
-        path, fs = self._path("CURRENT")
-        if not fs.exists(path):
-            return None
-        found = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/CURRENT").collect()))
+    def registry(self) -> dict:
+        """What the store holds: the active generation and the one before, all generations, all jobs.
+
+        Every change is a file of its own with the next number; the highest one counts. A change is written aside and becomes
+        visible by one rename to a name that isn't there yet, so a crash leaves the last whole state, and of two writers one fails.
+        """
+        numbers = self._numbers()
+        if not numbers:
+            return {"version": schema.VERSION, "root_id": self.root_id, "active": None, "previous": None, "generations": [], "jobs": []}
+        found = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/registry/{numbers[-1]:012d}.json").collect()))
         if found["version"] != schema.VERSION or found["root_id"] != self.root_id:
             raise RequestError("STORAGE_ERROR", "the store is of another version or root")
-        return found
+        return found | {"number": numbers[-1]}
+
+    def _numbers(self) -> list[int]:
+        path, fs = self._path("registry")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def commit(self, registry: dict) -> None:
+        """Makes a registry, changed since it was read, the current one; fails if another writer was first."""
+        number = registry.get("number", 0) + 1
+        aside, fs = self._path(f"registry/next-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps({k: v for k, v in registry.items() if k != "number"}).encode()))
+        out.close()
+        target, _ = self._path(f"registry/{number:012d}.json")
+        if fs.exists(target) or not fs.rename(aside, target):
+            fs.delete(aside, False)
+            raise RequestError("WRITER_BUSY", "another writer was first")
+        registry["number"] = number
+        for old in self._numbers()[:-2]:
+            path, _ = self._path(f"registry/{old:012d}.json")
+            fs.delete(path, False)
+
+    def pointer(self) -> dict | None:
+        found = self.registry()
+        return found if found["active"] is not None else None
 
     def switch(self, generation_id: str) -> None:
-        """Makes a generation the active one: a new file is written aside, then renamed over the old."""
-        now = self.pointer()
-        text = json.dumps({"version": schema.VERSION, "root_id": self.root_id, "active": generation_id, "previous": now and now["active"]})
-        aside, fs = self._path("CURRENT.next")
-        out = fs.create(aside, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        current, _ = self._path("CURRENT")
-        old, _ = self._path("CURRENT.old")
-        fs.delete(old, False)
-        if fs.exists(current):
-            fs.rename(current, old)
-        if not fs.rename(aside, current):
-            raise RequestError("STORAGE_ERROR", "the pointer could not be switched")
+        """Makes a generation the active one."""
+        now = self.registry()
+        self.commit(now | {"active": generation_id, "previous": now["active"]})
 
     def active(self) -> str:
         found = self.pointer()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -52,6 +52,20 @@ def reconciliations(hints: DataFrame, window: str, capacity: int = CAPACITY) ->
     return row.select("start", "hints", F.size("paths").cast("long").alias("path_count"), over.cast("long").alias("overflow"), trigger.alias("trigger"), mode.alias("mode"), F.array_join("paths", ",").alias("paths"))
 
 
+def with_periodic(reconciled: DataFrame, until: Column, period_s: int = PERIOD_S) -> DataFrame:
+    """Reconciliations with the full scans that are due in between: one a period after the last, as each of either kind sets the clock back.
+
+    until: the time up to which scans are due, exclusive.
+    """
+    after = F.least(F.coalesce(F.lead("start").over(Window.orderBy("start")), until), until)
+    first = F.col("start") + F.make_dt_interval(secs=F.lit(period_s))
+    due = F.when(first < after, F.filter(F.sequence(first, after, F.make_dt_interval(secs=F.lit(period_s))), lambda t: t < after))
+    idle = reconciled.withColumn("due", due).filter("due IS NOT NULL").select(F.explode("due").alias("start"))
+    zero = F.lit(0).cast("long")
+    idle = idle.select("start", zero.alias("hints"), zero.alias("path_count"), zero.alias("overflow"), F.lit("periodic").alias("trigger"), F.lit("full").alias("mode"), F.lit("").alias("paths"))
+    return reconciled.unionByName(idle)
+
+
 def counters(reconciled: DataFrame) -> DataFrame:
     """One row: totals of hints, overflow, and scans by trigger and mode."""
     of = lambda c, v: F.coalesce(F.sum((F.col(c) == v).cast("long")), F.lit(0)).alias(f"{c}_{v}")
