@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, modules, searching, sources, states
+from tessera.plans import graphs, modules, searching, sources, states, stored
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**searching.QUERIES, **graphs.QUERIES, **states.QUERIES, **sources.QUERIES, **modules.QUERIES}
+    return {**searching.QUERIES, **graphs.QUERIES, **states.QUERIES, **sources.QUERIES, **modules.QUERIES, **stored.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**searching.SQL, **graphs.SQL, **states.SQL, **sources.SQL, **modules.SQL}
+    return {**searching.SQL, **graphs.SQL, **states.SQL, **sources.SQL, **modules.SQL, **stored.SQL}

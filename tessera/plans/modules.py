@@ -68,7 +68,7 @@ def syntax_diagnostics(spark, folder):
     """Broken files: what is wrong, at which bytes, and the state of the parse."""
     sources = modules.grown(spark, folder, _BROKEN, "relative_path language content").withColumn("content", F.when(F.col("relative_path").startswith("bad/bytes"), F.unhex(F.lit("66FF"))).otherwise(F.encode("content", "UTF-8")))
     parses = extraction.parsed(sources)
-    return parses.select("relative_path", "parse_status", F.explode_outer("notes").alias("n")).select("relative_path", "parse_status", "n.code", "n.start_byte", "n.end_byte")
+    return parses.select("relative_path", "parse_status", F.explode_outer("notes").alias("n")).select("relative_path", "parse_status", F.coalesce("n.code", F.lit("")).alias("code"), F.coalesce("n.start_byte", F.lit(-1)).alias("start_byte"), F.coalesce("n.end_byte", F.lit(-1)).alias("end_byte"))
 
 
 def _lists(spark, folder) -> DataFrame:
@@ -265,9 +265,9 @@ _BROKEN_SQL = """SELECT relative_path, parse_status, code, CAST(a AS BIGINT) AS
   UNION ALL SELECT 'bad/open' || k || '.rs', 'partial', 'syntax_error', 6 + length(k), 7 + length(k) FROM trees
   UNION ALL SELECT 'bad/close' || k || '.js', 'partial', 'syntax_error', 5, 6 FROM trees
   UNION ALL SELECT 'bad/wide' || k || '.go', 'partial', 'syntax_error', 6, 7 FROM trees
-  UNION ALL SELECT 'bad/none' || k || '.ts', 'complete', NULL, NULL, NULL FROM trees
+  UNION ALL SELECT 'bad/none' || k || '.ts', 'complete', '', -1, -1 FROM trees
   UNION ALL SELECT 'bad/bytes' || k || '.java', 'failed', 'invalid_utf8', 1, 2 FROM trees
-  UNION ALL SELECT 'bad/good' || k || '.dart', 'complete', NULL, NULL, NULL FROM trees) x"""
+  UNION ALL SELECT 'bad/good' || k || '.dart', 'complete', '', -1, -1 FROM trees) x"""
 
 
 def _array(values: tuple) -> str:
