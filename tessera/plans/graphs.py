@@ -9,7 +9,7 @@ from tessera.operators import graph, resolution, retrieval
 from tessera.sources import corpus
 from tessera.sources.corpus import sql
 
-ROOT = "sym-7"
+ROOT, PATH = "sym-7", "src/pkg4/file4.rs"
 EDGE = ("edge_id", "relationship", "source_symbol_id", "target_symbol_id", "resolution", "source_path", "target_path", "source_start_byte")
 
 
@@ -34,31 +34,35 @@ def call_sites(spark, folder):
 
 
 def labelled(spark, folder):
-    rows = retrieval.labelled_edges(corpus.sparse_edges(spark, folder), corpus.symbols(spark, folder))
-    return rows.select("edge_id", "source_spelling", "source_kind", "target_spelling", "target_kind")
-
-
-def labelled_all(spark, folder):
     """The whole edge list with the names of both ends."""
     rows = retrieval.labelled_edges(corpus.edges(spark, folder), corpus.symbols(spark, folder))
     return rows.select("edge_id", "source_spelling", "source_kind", "target_spelling", "target_kind")
 
 
-def _walk_nodes(direction: str, edges=corpus.sparse_edges):
-    return lambda spark, folder: graph.walked_nodes(edges(spark, folder), [ROOT], direction=direction, depth=3)
+def _walk_nodes(direction: str, depth: int):
+    """Nodes of a walk over all relations, up to its caps of nodes and edges."""
+    return lambda spark, folder: graph.walked_nodes(corpus.edges(spark, folder), [ROOT], direction=direction, depth=depth)
+
+
+def _trace(depth: int):
+    return lambda spark, folder: graph.trace_calls(corpus.edges(spark, folder), ROOT, depth=depth)[0].select(*EDGE)
 
 
-def _trace(view):
-    return lambda spark, folder: graph.trace_calls(view(spark, folder), ROOT, depth=3)[0].select(*EDGE)
+def _impact(depth: int):
+    return lambda spark, folder: graph.impacted_paths(corpus.edges(spark, folder), corpus.symbols(spark, folder), [ROOT], [PATH], depth=depth)
 
 
-def _impact(view):
-    return lambda spark, folder: graph.impacted_paths(view(spark, folder), corpus.symbols(spark, folder), [ROOT], ["src/pkg4/file4.rs"], depth=2)
+_NODES, _EDGES = 500, 2000
+_STEP = "source_path, source_start_byte, edge_id"
 
 
-def _walk_sql(near: str, far: str, depth: int, body: str, seeds: str = f"SELECT '{ROOT}'") -> str:
-    more = f"walk(node, depth) AS ({seeds.replace('SELECT', 'SELECT', 1)}, 0 UNION SELECT {far}, depth + 1 FROM walk JOIN sparse_edges ON {near} = node WHERE depth < {depth})" if "FROM" not in seeds else f"walk(node, depth) AS ({seeds} UNION SELECT {far}, depth + 1 FROM walk JOIN sparse_edges ON {near} = node WHERE depth < {depth})"
-    return sql("symbols edges sparse_edges", body, recursive=True, more=more)
+def _walk_sql(near: str, far: str, body: str, kind: str = "true") -> str:
+    """Two levels of a walk from the root, first in first out: edges in relation order of nodes in the order that they were met, up to both caps."""
+    more = f"""e1 AS (SELECT *, row_number() OVER (ORDER BY {_STEP}) AS pos FROM edges WHERE {near} = '{ROOT}' AND {kind} QUALIFY pos <= {_EDGES}),
+n1 AS (SELECT node, place FROM (SELECT {far} AS node, row_number() OVER (ORDER BY min(pos)) AS place FROM e1 WHERE {far} <> '{ROOT}' GROUP BY 1) x WHERE place < {_NODES}),
+e2 AS (SELECT e.*, row_number() OVER (ORDER BY place, {_STEP}) AS pos FROM edges e JOIN n1 ON {near} = node WHERE {kind} QUALIFY pos <= {_EDGES} - (SELECT count(*) FROM e1)),
+n2 AS (SELECT node, place FROM (SELECT {far} AS node, row_number() OVER (ORDER BY min(pos)) AS place FROM e2 WHERE {far} <> '{ROOT}' AND {far} NOT IN (SELECT node FROM n1) GROUP BY 1) x WHERE place < {_NODES} - (SELECT count(*) FROM n1))"""
+    return sql("edges", body, more=more)
 
 
 def _observations(spark, folder) -> DataFrame:
@@ -114,16 +118,15 @@ QUERIES = {
     "incoming_to_path": incoming_to_path,
     "call_sites": call_sites,
     "labelled_edges": labelled,
-    "walk_outgoing": _walk_nodes("outgoing"),
-    "walk_incoming": _walk_nodes("incoming"),
-    "trace_calls": _trace(corpus.sparse_edges),
-    "analyze_impact": _impact(corpus.sparse_edges),
-    "labelled_edges_all": labelled_all,
-    # walks over all edges meet their caps, which SQL can't say: tests hold them against a queue
-    "walk_outgoing_all": _walk_nodes("outgoing", corpus.edges),
-    "walk_incoming_all": _walk_nodes("incoming", corpus.edges),
-    "trace_calls_all": _trace(corpus.edges),
-    "analyze_impact_all": _impact(corpus.edges),
+    "walk_outgoing": _walk_nodes("outgoing", 2),
+    "walk_incoming": _walk_nodes("incoming", 2),
+    "trace_calls": _trace(2),
+    "analyze_impact": _impact(1),
+    # deeper walks meet their caps in ways that tests hold against a queue
+    "walk_outgoing_all": _walk_nodes("outgoing", 3),
+    "walk_incoming_all": _walk_nodes("incoming", 3),
+    "trace_calls_all": _trace(3),
+    "analyze_impact_all": _impact(2),
     "containment": containment,
     "scope_chains": scope_chains,
     "smallest_scopes": smallest_scopes,
@@ -140,16 +143,15 @@ SQL = {
     "adjacent_relations": sql("edges", f"SELECT {_E} FROM edges WHERE source_symbol_id = '{ROOT}' AND relationship = 'calls' AND resolution <> 'candidate' ORDER BY {_LIKE} LIMIT 2000"),
     "incoming_to_path": sql("edges", f"SELECT {_E} FROM edges WHERE target_path = 'src/pkg4/file4.rs' ORDER BY {_LIKE} LIMIT 300"),
     "call_sites": sql("edges", f"SELECT {_E} FROM edges WHERE relationship = 'calls' AND target_symbol_id = '{ROOT}'"),
-    "labelled_edges": sql("symbols edges sparse_edges", "SELECT edge_id, a.spelling AS source_spelling, a.kind AS source_kind, b.spelling AS target_spelling, b.kind AS target_kind FROM sparse_edges e LEFT JOIN symbols a ON a.symbol_id = source_symbol_id AND a.relative_path = source_path LEFT JOIN symbols b ON b.symbol_id = target_symbol_id AND b.relative_path = target_path"),
-    "labelled_edges_all": sql("symbols edges", "SELECT edge_id, a.spelling AS source_spelling, a.kind AS source_kind, b.spelling AS target_spelling, b.kind AS target_kind FROM edges e LEFT JOIN symbols a ON a.symbol_id = source_symbol_id AND a.relative_path = source_path LEFT JOIN symbols b ON b.symbol_id = target_symbol_id AND b.relative_path = target_path"),
-    "walk_outgoing": _walk_sql("source_symbol_id", "target_symbol_id", 3, "SELECT DISTINCT node AS symbol_id FROM walk"),
-    "walk_incoming": _walk_sql("target_symbol_id", "source_symbol_id", 3, "SELECT DISTINCT node AS symbol_id FROM walk"),
-    "trace_calls": _walk_sql("target_symbol_id", "source_symbol_id", 2, f"SELECT DISTINCT {_E} FROM sparse_edges WHERE target_symbol_id IN (SELECT node FROM walk)"),
-    "analyze_impact": _walk_sql(
-        "target_symbol_id", "source_symbol_id", 1,
-        "SELECT DISTINCT p AS relative_path FROM (SELECT source_path AS p FROM reached UNION ALL SELECT target_path FROM reached UNION ALL SELECT 'src/pkg4/file4.rs') u",
-        f"SELECT node, 0 FROM (SELECT '{ROOT}' AS node UNION SELECT symbol_id FROM symbols WHERE relative_path = 'src/pkg4/file4.rs' UNION SELECT source_symbol_id FROM sparse_edges WHERE target_path = 'src/pkg4/file4.rs') seeds",
-    ).replace(" SELECT DISTINCT p AS", ", reached AS (SELECT * FROM sparse_edges WHERE target_symbol_id IN (SELECT node FROM walk) OR target_path = 'src/pkg4/file4.rs') SELECT DISTINCT p AS", 1),
+    "labelled_edges": sql("symbols edges", "SELECT edge_id, a.spelling AS source_spelling, a.kind AS source_kind, b.spelling AS target_spelling, b.kind AS target_kind FROM edges e LEFT JOIN symbols a ON a.symbol_id = source_symbol_id AND a.relative_path = source_path LEFT JOIN symbols b ON b.symbol_id = target_symbol_id AND b.relative_path = target_path"),
+    "walk_outgoing": _walk_sql("source_symbol_id", "target_symbol_id", f"SELECT '{ROOT}' AS symbol_id UNION ALL SELECT node FROM n1 UNION ALL SELECT node FROM n2"),
+    "walk_incoming": _walk_sql("target_symbol_id", "source_symbol_id", f"SELECT '{ROOT}' AS symbol_id UNION ALL SELECT node FROM n1 UNION ALL SELECT node FROM n2"),
+    "trace_calls": _walk_sql("target_symbol_id", "source_symbol_id", f"SELECT {_E} FROM e1 UNION ALL SELECT {_E} FROM e2", "relationship = 'calls'"),
+    "analyze_impact": sql("symbols edges", "SELECT DISTINCT p AS relative_path FROM (SELECT source_path AS p FROM reached UNION ALL SELECT target_path FROM reached UNION ALL SELECT '" + PATH + "') u", more=f"""own AS (SELECT DISTINCT symbol_id FROM symbols WHERE relative_path = '{PATH}' ORDER BY 1 LIMIT {_NODES + 1}),
+into_path AS (SELECT * FROM edges WHERE target_path = '{PATH}' ORDER BY {_STEP} LIMIT {_EDGES}),
+seeds AS (SELECT node, row_number() OVER (ORDER BY node) AS place FROM (SELECT '{ROOT}' AS node UNION SELECT symbol_id FROM own UNION SELECT source_symbol_id FROM into_path) x QUALIFY place <= {_NODES}),
+walked AS (SELECT e.*, row_number() OVER (ORDER BY place, {_STEP}) AS pos FROM edges e JOIN seeds ON target_symbol_id = node QUALIFY pos <= greatest(1, {_EDGES} - (SELECT count(*) FROM into_path))),
+reached AS (SELECT source_path, target_path FROM into_path UNION ALL SELECT source_path, target_path FROM walked)"""),
     "containment": sql("symbols", "SELECT relative_path, child_id, container_id FROM (SELECT c.relative_path, c.symbol_id AS child_id, o.symbol_id AS container_id, row_number() OVER (PARTITION BY c.relative_path, c.symbol_id ORDER BY o.syntax_end_byte - o.syntax_start_byte, o.start_byte, o.symbol_id) AS n FROM symbols c JOIN symbols o ON c.relative_path = o.relative_path AND c.symbol_id <> o.symbol_id AND o.syntax_start_byte <= c.start_byte AND o.syntax_end_byte >= c.end_byte AND o.kind IN ('module', 'class', 'function', 'method', 'local')) x WHERE n = 1"),
     "scope_chains": sql("symbols", "SELECT relative_path, s AS scope_id, o AS ancestor_id, row_number() OVER (PARTITION BY s ORDER BY s <> o, size, is_file, o) - 1 AS distance FROM (SELECT s.relative_path, s.id AS s, o.id AS o, o.b - o.a AS size, o.is_file FROM scopes s JOIN scopes o ON s.relative_path = o.relative_path AND (s.id = o.id OR (NOT s.is_file AND o.a <= s.a AND o.b >= s.b AND (o.a, o.b) <> (s.a, s.b)))) x", more=_SCOPES),
     "smallest_scopes": sql("symbols", "SELECT relative_path, symbol_id, scope FROM (SELECT s.relative_path, symbol_id, id AS scope, row_number() OVER (PARTITION BY s.relative_path, symbol_id ORDER BY b - a, is_file, id) AS n FROM symbols s JOIN scopes c ON s.relative_path = c.relative_path AND a <= s.start_byte AND s.end_byte <= b) x WHERE n = 1", more=_SCOPES),

@@ -96,11 +96,6 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sparse_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls of first lines only: a graph in which a walk of a few steps stays small."""
-    return edges(spark, folder).filter("relationship = 'calls' AND line = 1")
-
-
 def scans(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Two scans of the documents as files: some are gone in the second, some new, some changed."""
     docs, key = read(spark, folder, "documents"), F.col("doc_id")
@@ -165,7 +160,6 @@ FROM (SELECT 'sym-' || p_partkey::VARCHAR AS symbol_id, {_path_sql("f")} AS rela
 FROM (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'references' ELSE 'imports' END AS relationship, l_partkey AS source_key,
     (l_orderkey + 7 * l_suppkey) % (SELECT count(*) FROM part) AS target_key, CASE l_linestatus WHEN 'O' THEN 'candidate' ELSE 'lexically_resolved' END AS resolution,
     CAST(l_quantity * 10 AS BIGINT) AS source_start_byte, CAST(l_linenumber AS BIGINT) AS line FROM lineitem) l)""",
-    "sparse_edges": "sparse_edges AS (SELECT * FROM edges WHERE relationship = 'calls' AND line = 1)",
     "scans": """base AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id::VARCHAR || '.txt' AS relative_path, lang AS language, sha256(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS byte_length FROM documents),
 active AS (SELECT relative_path, language, h AS content_hash, 'v1' AS analysis_key, byte_length FROM base WHERE doc_id % 10 <> 0),
 scanned AS (SELECT relative_path, language, CASE WHEN doc_id % 7 = 0 THEN sha256(h || '+') ELSE h END AS content_hash, CASE WHEN doc_id % 13 = 0 THEN 'v2' ELSE 'v1' END AS analysis_key, byte_length FROM base WHERE doc_id % 10 <> 1)""",

@@ -71,7 +71,7 @@ def test_registered_walks_read_all_edges_within_their_caps(spark, folder):
     frame = corpus.edges(spark, folder)
     edges = [tuple(r) for r in frame.select(*order).collect()]
     back = [(e[0], e[1], e[3], e[2], *e[4:]) for e in edges]
-    assert len({e[1] for e in edges}) == 3 and len(run("labelled_edges_all")) == len(edges)
+    assert len({e[1] for e in edges}) == 3 and len(run("labelled_edges")) == len(edges)
     for name, way in (("walk_outgoing_all", edges), ("walk_incoming_all", back)):
         nodes, _, cut = loop(way, [ROOT], 3, DEFAULTS.nodes, DEFAULTS.edges)
         assert cut and [r["symbol_id"] for r in run(name)] == nodes
