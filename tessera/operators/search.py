@@ -123,8 +123,8 @@ def qualified_leaf(query: str) -> str | None:
     return query[at:] or None if at >= 0 else None
 
 
-def ranked(symbols: DataFrame, query: str, tokens: bool = True) -> DataFrame:
-    """Symbols that meet a tier, with tier and score."""
+def ranked(symbols: DataFrame, query: str, tokens: bool = True, postings=None) -> DataFrame:
+    """Symbols that meet a tier, with tier and score. With the Postings of the symbols, their texts are not read."""
     folded, spelling = query.lower(), F.col("spelling")
     low, container = ascii_lower(spelling), F.coalesce("container", F.lit(""))
     qualified = F.lit(False)
@@ -135,23 +135,26 @@ def ranked(symbols: DataFrame, query: str, tokens: bool = True) -> DataFrame:
     terms = python_identifier_tokens(query)
     if not tokens or not terms:
         return direct.filter("tier IS NOT NULL")
-    docs = search_documents(symbols.select("relative_path", "spelling", "kind", "signature"))
     terms = [t for term in terms for t in python_index_tokens(term)]
-    matched = bm25(docs, ["spelling", "relative_path", "content"], terms).filter(~ascii_lower(spelling).startswith(folded))
+    if postings is not None:
+        matched = postings.every(terms)
+    else:
+        matched = bm25(search_documents(symbols.select("relative_path", "spelling", "kind", "signature")), ["spelling", "relative_path", "content"], terms)
+    matched = matched.filter(~ascii_lower(spelling).startswith(folded))
     best = matched.groupBy(F.col("relative_path").alias("__path"), F.col("spelling").alias("__name")).agg(F.min("score").alias("__score"))
     late = direct.filter("tier IS NULL").join(best, (F.col("relative_path") == F.col("__path")) & (spelling == F.col("__name")))
     late = late.withColumns({"tier": F.lit(5), "score": F.col("__score")}).drop("__path", "__name", "__score")
     return direct.filter("tier IS NOT NULL").unionByName(late)
 
 
-def search_symbols(symbols: DataFrame, query: str, language: str | None = None, kind: str | None = None, path_prefix: str | None = None, limit: int = DEFAULTS.results, after: tuple | None = None, tokens: bool = True) -> DataFrame:
+def search_symbols(symbols: DataFrame, query: str, language: str | None = None, kind: str | None = None, path_prefix: str | None = None, limit: int = DEFAULTS.results, after: tuple | None = None, tokens: bool = True, postings=None) -> DataFrame:
     """The first rows of the search order after the key `after`, limit + 1 of them, so that a reader sees if more follow.
 
     Statistics of the token tier are those of all symbols; the filters hold for what is returned.
     """
     check_text(query, LIMITS.query_bytes, "query")
     check_limit(limit, LIMITS.results)
-    found = ranked(symbols, query, tokens)
+    found = ranked(symbols, query, tokens, postings)
     for column, value in (("language", language), ("kind", kind)):
         if check_text(value, LIMITS.filter_bytes, column) is not None:
             found = found.filter(F.col(column) == value)
@@ -161,9 +164,13 @@ def search_symbols(symbols: DataFrame, query: str, language: str | None = None,
     return found.withColumn("match_kind", F.element_at(F.array(*map(F.lit, MATCH_KINDS)), F.col("tier") + 1)).orderBy(*SEARCH_ORDER).limit(limit + 1)
 
 
-def phrase_search(symbols: DataFrame, query: str, limit: int = DEFAULTS.results) -> DataFrame:
-    """Symbols whose name, path or content holds the query as one phrase, best first, then by path and name."""
-    found = bm25(search_documents(symbols), ["spelling", "relative_path", "content"], python_index_tokens(query), phrase=True)
+def phrase_search(symbols: DataFrame, query: str, limit: int = DEFAULTS.results, postings=None) -> DataFrame:
+    """Symbols whose name, path or content holds the query as one phrase, best first, then by path and name.
+
+    With the Postings of the symbols, only the rows of the terms are read, and the result has their columns.
+    """
+    terms = python_index_tokens(query)
+    found = postings.phrase(terms) if postings is not None else bm25(search_documents(symbols), ["spelling", "relative_path", "content"], terms, phrase=True)
     return found.orderBy("score", "relative_path", "spelling", "symbol_id").limit(check_limit(limit, LIMITS.results))
 
 

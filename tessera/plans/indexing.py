@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.limits import RequestError
-from tessera.operators import extraction, generations, paging, resolution, retrieval
+from tessera.operators import extraction, generations, paging, postings, resolution, retrieval
+from tessera.operators.postings import Postings
 from tessera.plans.service import Index, symbols_of
 from tessera.sources import scan
 from tessera.sources.store import Store
 
-TABLES = ("files", "observations", "symbols", "edges", "externals", "diagnostics", "counts")
+TABLES = ("files", "observations", "symbols", "edges", "externals", "diagnostics", "counts", "postings")
 
 
 class Cancelled(Exception):
@@ -193,6 +194,7 @@ class Indexer:
         self.store.write("edges", edges, generation_id)
         self.store.write("externals", externals, generation_id)
         self.store.write("symbols", symbols_of(found, versions), generation_id)
+        postings.write(read("symbols"), f"{self.store.folder}/postings/generation_id={generation_id}")
         row = retrieval.counts(versions, read("symbols"), read("edges")).join(retrieval.coverage(versions).withColumnRenamed("files", "all_files"))  # one row each
         self.store.write("counts", row, generation_id)
 
@@ -239,7 +241,7 @@ class Indexer:
         """The active generation; with the sources, code can be read as well."""
         generation = self.store.active()
         read = lambda t: self.store.read(t, generation)
-        return Index(self.repository_id, generation, read("files"), read("symbols"), read("edges"), read("observations").drop("generation_id"), read("externals"), sources)
+        return Index(self.repository_id, generation, read("files"), read("symbols"), read("edges"), read("observations").drop("generation_id"), read("externals"), sources, postings=Postings(self.spark, f"{self.store.folder}/postings/generation_id={generation}"))
 
     def status(self) -> dict:
         """What is there, from what was stored with the generation: no table is counted."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.cluster import shared_folder
+from tessera.operators import postings as index
 from tessera.operators import retrieval, search
 from tessera.sources import corpus
 from tessera.sources.corpus import sql
@@ -19,6 +23,31 @@ def _search(query, **options):
     return run
 
 
+def _written(spark, folder) -> index.Postings:
+    """The index of the corpus' symbols, written once a session and folder."""
+    key = f"tessera_postings_{folder}"
+    if not hasattr(spark, key):
+        target = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+        index.write(corpus.symbols(spark, folder), target)
+        setattr(spark, key, target)
+    return index.Postings(spark, getattr(spark, key))
+
+
+def _indexed(query, **options):
+    def run(spark, folder):
+        found = search.search_symbols(corpus.symbols(spark, folder), query, postings=_written(spark, folder), **options)
+        return found.select(*SHOWN, F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _indexed_phrase(query):
+    def run(spark, folder):
+        return search.phrase_search(corpus.symbols(spark, folder), query, 200, _written(spark, folder)).select("symbol_id", "relative_path", "spelling", F.round("score", 6).alias("score"))
+
+    return run
+
+
 def _direct_sql(query: str, where: str = "true", limit: int = 201, qualified: str = "", after: str = "true") -> str:
     folded = query.lower()
     tier = f"CASE {qualified} WHEN spelling = '{query}' THEN 1 WHEN lower(spelling) = '{folded}' THEN 2 WHEN starts_with(lower(spelling), '{folded}') THEN CASE WHEN starts_with(spelling, '{query}') THEN 3 ELSE 4 END END"
@@ -175,6 +204,8 @@ QUERIES = {
     "search_symbols_page": _search("old", limit=20, tokens=False, after=(4, 0.0, "src/pkg1/file1.go", "Old", 0, "")),
     "search_symbols_tokens": _search("boltNew", limit=200),
     "phrase_search": _phrase("cold anvil"),
+    "indexed_tokens": _indexed("boltNew", limit=200),
+    "indexed_phrase": _indexed_phrase("cold anvil"),
     "identifier_tokens": identifier_tokens,
     "postings": postings,
     "get_symbol": get_symbol,
@@ -206,6 +237,8 @@ FROM (SELECT relative_path, list({'a': syntax_start_byte, 'b': syntax_end_byte,
     "search_symbols_page": _direct_sql("old", limit=21, after="(tier, 0.0, relative_path, spelling, start_byte, symbol_id) > (4, 0.0, 'src/pkg1/file1.go', 'Old', 0, '')"),
     "search_symbols_tokens": _token_sql("boltNew", ["bolt", "new"], 201),
     "phrase_search": _phrase_sql(["cold", "anvil"], 200),
+    "indexed_tokens": _token_sql("boltNew", ["bolt", "new"], 201),
+    "indexed_phrase": _phrase_sql(["cold", "anvil"], 200),
     "identifier_tokens": sql("symbols", f"SELECT symbol_id, {_PARTS} AS tokens FROM symbols"),
     "postings": sql("symbols", "SELECT term, symbol_id, count(*) AS times, length FROM (SELECT symbol_id, CAST(len(tokens) AS BIGINT) AS length, unnest(tokens) AS term FROM docs) d GROUP BY ALL", more=_DOCS),
     "get_symbol": sql("symbols", "SELECT symbol_id, relative_path, kind, spelling, container, signature, start_byte, end_byte FROM symbols WHERE symbol_id = 'sym-42'"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.limits import DEFAULTS, LIMITS, RequestError, check_graph, check_limit, check_text
 from tessera.operators import extraction, generations, graph, notes, paging, resolution, retrieval, search
+from tessera.operators.postings import Postings
 from tessera.sources import scan
 
 
@@ -26,6 +27,7 @@ class Index:
     sources: DataFrame | None = None
     notes: DataFrame | None = None
     evidence: DataFrame | None = None
+    postings: Postings | None = None
     jobs: dict[str, dict] = field(default_factory=dict)
 
 
@@ -102,7 +104,7 @@ class Service:
         own = paging.fingerprint(query, language, kind, path_prefix)
         key = self._after(cursor, "search_symbols", own, 6)
         after = (int(key[0]), paging.score_of(key[1]), key[2], key[3], int(key[4]), key[5]) if key else None
-        rows = search.search_symbols(self.index.symbols, query, language, kind, path_prefix, limit, after).collect()
+        rows = search.search_symbols(self.index.symbols, query, language, kind, path_prefix, limit, after, postings=self.index.postings).collect()
         shown, more = paging.page(rows, limit)
         last = shown[-1] if more else None
         following = self._cursor("search_symbols", own, [str(last["tier"]), paging.score_text(last["score"]), last["relative_path"], last["spelling"], str(last["start_byte"]), last["symbol_id"]]) if more else None
@@ -157,7 +159,7 @@ class Service:
 
     def build_context(self, query: str, scope=None, include_candidates=True, max_bytes=LIMITS.response_bytes) -> dict:
         """What a reader of a few symbols needs: the symbols, their code, their relations, and a token estimate."""
-        found = search.search_symbols(self.index.symbols, query, path_prefix=scope, limit=LIMITS.context_symbols)
+        found = search.search_symbols(self.index.symbols, query, path_prefix=scope, limit=LIMITS.context_symbols, postings=self.index.postings)
         best, ranges, related = retrieval.context_symbols(found, graph.relations(self.index.edges, "any", include_candidates))
         snippets = retrieval.byte_excerpts(self.index.sources, ranges) if self.index.sources is not None else ranges
         value = {

@@ -119,3 +119,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["status", store], spark) == 0 and main(["doctor", store], spark) == 0
     job, status, checks = (json.loads(line) for line in capsys.readouterr().out.splitlines())
     assert job["state"] == "completed" and status["files"] == 1 and status["symbols"] == 2 and checks["edge_faults"] == checks["membership_faults"] == 0
+
+
+def test_searches_read_the_partitions_of_their_terms(spark, indexer, tmp_path):
+    files, rules = tree(spark, tmp_path / "one", {f"m{i}.rs": f"fn parse_config_{i}() {{ load_file_{i}(); }}\nfn load_file_{i}(path: i32) {{}}\n" for i in range(30)})
+    indexer.run(files, "first", "g1", rules)
+    service = Service(indexer.open(), indexer)
+    plain = Service(build(files, "repository", "g1", rules))
+    for query in ("config", "file load", "loadFile7", "nothing"):
+        a, b = service.search_symbols(query, limit=50), plain.search_symbols(query, limit=50)
+        assert [(s["symbol_id"], s["match_kind"]) for s in a["symbols"]] == [(s["symbol_id"], s["match_kind"]) for s in b["symbols"]], query
+    plan = service.index.postings.terms(["load"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,load)]" in plan
