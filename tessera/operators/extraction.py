@@ -16,6 +16,7 @@ from tessera import __version__
 from tessera.cluster import ship
 from tessera.functions import syntax
 from tessera.functions.text import identifier_tokens
+from tessera.operators.nesting import Open, by_file
 from tessera.schema import OBSERVATIONS
 
 _FIELDS = [f.name for f in OBSERVATIONS if f.name != "relative_path"]
@@ -80,7 +81,13 @@ def search_rows(found: DataFrame) -> DataFrame:
 
 def smallest_scopes(found: DataFrame) -> DataFrame:
     """(path, id, scope): the smallest scope around each observation, the file's only if there is no other of its size."""
-    inner = found.filter("category <> 'scope'").select("relative_path", F.col("observation_id").alias("id"), F.col("start_byte").alias("a"), F.col("end_byte").alias("b"))
-    outer = found.filter("category = 'scope'").select(F.col("relative_path").alias("p"), F.col("observation_id").alias("scope"), F.col("syntax_start_byte").alias("x"), F.col("syntax_end_byte").alias("y"), (F.col("kind") == "file").alias("is_file"))
-    pairs = inner.join(outer, (F.col("relative_path") == F.col("p")) & (F.col("x") <= F.col("a")) & (F.col("b") <= F.col("y")))
-    return pairs.groupBy("relative_path", "id").agg(F.min_by("scope", F.struct((F.col("y") - F.col("x")).alias("size"), "is_file", "scope")).alias("scope"))
+
+    def each(rows: list[dict]) -> Iterator[tuple]:
+        outer = Open([(r["syntax_start_byte"], r["syntax_end_byte"], (r["kind"] == "file", r["observation_id"]), r) for r in rows if r["category"] == "scope"])
+        for c in sorted((r for r in rows if r["category"] != "scope"), key=lambda r: r["start_byte"]):
+            outer.move(c["start_byte"])
+            o = next(outer.around(c["start_byte"], c["end_byte"]), None)
+            if o is not None:
+                yield c["relative_path"], c["observation_id"], o[3]["observation_id"]
+
+    return by_file(found, each, "relative_path string, id string, scope string", [pa.string()] * 3)

@@ -1,20 +1,23 @@
 """Name resolution: observations of source files to edges with evidence.
 
-All rules are joins on keys: containment is an equi-join on the file with a range condition and an arg-min, a scope chain
-is the ranked list of scopes around a scope, bindings are joins on (file, name, scope) with a rank over the distance.
+Containment and scope chains are one pass over each file with the open ranges on a stack; all other rules are joins on
+keys: bindings are joins on (file, name, scope) with a rank over the distance.
 Stages of an occurrence fall back by rank, not by control flow, so every stage runs once over all files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.cluster import cut
 from tessera.functions import kinds as K
 from tessera.functions.text import content_id, last_segment, normalized_path, parent_path
+from tessera.operators.nesting import Open, by_file
 
 #: Candidates kept of a site, depth of re-exports, scopes of a chain, diagnostics kept.
 CANDIDATES, REEXPORTS, CHAIN, DIAGNOSTICS = 32, 16, 512, 1024
@@ -27,32 +30,41 @@ def of(observations: DataFrame, category: str, prefix: str, *columns: str) -> Da
     return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in columns or observations.columns])
 
 
-def _inside(outer: str, inner_start: Column, inner_end: Column) -> Column:
-    return (F.col(f"{outer}syntax_start_byte") <= inner_start) & (F.col(f"{outer}syntax_end_byte") >= inner_end)
+def _ranges(rows: list[dict], category: str, kinds: tuple[str, ...] | None = None) -> Open:
+    """The syntax ranges of a file's rows; of equal sizes the first in source order is smaller."""
+    return Open([(r["syntax_start_byte"], r["syntax_end_byte"], (r["start_byte"], r["observation_id"]), r) for r in rows if r["category"] == category and (kinds is None or r["kind"] in kinds)])
 
 
 def containment(observations: DataFrame) -> DataFrame:
     """(path, child, container): the smallest declaration around the name of each declaration.
 
-    Of equally small ones, the first in source order. Files bound the pairs; the arg-min is a partial aggregate.
+    Of equally small ones, the first in source order. A pass over each file, with the open declarations on a stack.
     """
-    fields = ("relative_path", "observation_id", "kind", "start_byte", "end_byte", "syntax_start_byte", "syntax_end_byte")
-    child, outer = of(observations, "symbol", "c_", *fields), of(observations, "symbol", "o_", *fields).filter(F.col("o_kind").isin(*K.CONTAINER))
-    pairs = child.join(outer, (F.col("c_relative_path") == F.col("o_relative_path")) & (F.col("c_observation_id") != F.col("o_observation_id")) & _inside("o_", F.col("c_start_byte"), F.col("c_end_byte")))
-    size = F.struct((F.col("o_syntax_end_byte") - F.col("o_syntax_start_byte")).alias("size"), "o_start_byte", "o_observation_id")
-    best = pairs.groupBy("c_relative_path", "c_observation_id").agg(F.min_by(F.struct("o_observation_id", "o_start_byte", "o_end_byte"), size).alias("o"), F.first("c_syntax_start_byte").alias("from"), F.first("c_syntax_end_byte").alias("to"))
-    return best.select(F.col("c_relative_path").alias("relative_path"), F.col("c_observation_id").alias("child_id"), F.col("o.o_observation_id").alias("container_id"), F.col("o.o_start_byte").alias("start_byte"), F.col("o.o_end_byte").alias("end_byte"), "from", "to")
+
+    def each(rows: list[dict]) -> Iterator[tuple]:
+        outer = _ranges(rows, "symbol", K.CONTAINER)
+        for c in sorted((r for r in rows if r["category"] == "symbol"), key=lambda r: r["start_byte"]):
+            outer.move(c["start_byte"])
+            o = next((r[3] for r in outer.around(c["start_byte"], c["end_byte"]) if r[3]["observation_id"] != c["observation_id"]), None)
+            if o is not None:
+                yield c["relative_path"], c["observation_id"], o["observation_id"], o["start_byte"], o["end_byte"], c["syntax_start_byte"], c["syntax_end_byte"]
+
+    text, number = pa.string(), pa.int64()
+    return by_file(observations.filter("category = 'symbol'"), each, "relative_path string, child_id string, container_id string, start_byte long, end_byte long, from long, to long", [text, text, text, number, number, number, number])
 
 
 def enclosing(observations: DataFrame, categories: tuple[str, ...] = ("import", "reference", "call_site")) -> DataFrame:
     """(path, category, id, symbol): the smallest callable or type around each occurrence."""
-    fields = ("relative_path", "category", "observation_id", "start_byte", "end_byte")
-    inner = observations.filter(F.col("category").isin(*categories)).select(*[F.col(c).alias(f"i_{c}") for c in fields])
-    outer = of(observations, "symbol", "o_", "relative_path", "observation_id", "kind", "start_byte", "syntax_start_byte", "syntax_end_byte").filter(F.col("o_kind").isin(*K.CALLABLE_CONTAINER))
-    pairs = inner.join(outer, (F.col("i_relative_path") == F.col("o_relative_path")) & _inside("o_", F.col("i_start_byte"), F.col("i_end_byte")))
-    size = F.struct((F.col("o_syntax_end_byte") - F.col("o_syntax_start_byte")).alias("size"), "o_start_byte", "o_observation_id")
-    best = pairs.groupBy("i_relative_path", "i_category", "i_observation_id").agg(F.min_by("o_observation_id", size).alias("source_symbol_id"))
-    return best.select(F.col("i_relative_path").alias("e_path"), F.col("i_category").alias("e_category"), F.col("i_observation_id").alias("e_id"), "source_symbol_id")
+
+    def each(rows: list[dict]) -> Iterator[tuple]:
+        outer = _ranges(rows, "symbol", K.CALLABLE_CONTAINER)
+        for c in sorted((r for r in rows if r["category"] in categories), key=lambda r: r["start_byte"]):
+            outer.move(c["start_byte"])
+            o = next(outer.around(c["start_byte"], c["end_byte"]), None)
+            if o is not None:
+                yield c["relative_path"], c["category"], c["observation_id"], o[3]["observation_id"]
+
+    return by_file(observations.filter(F.col("category").isin("symbol", *categories)), each, "e_path string, e_category string, e_id string, source_symbol_id string", [pa.string()] * 4)
 
 
 def scope_chains(observations: DataFrame) -> DataFrame:
@@ -61,17 +73,26 @@ def scope_chains(observations: DataFrame) -> DataFrame:
     Scopes are nodes of a syntax tree, so the scopes around one nest, and the chain is their list by size: of those of
     one range, one stands in it, not the file if there is another.
     """
-    fields = ("relative_path", "observation_id", "kind", "syntax_start_byte", "syntax_end_byte")
-    inner, outer = of(observations, "scope", "s_", *fields), of(observations, "scope", "o_", *fields)
-    is_file, same = F.col("o_kind") == "file", (F.col("s_syntax_start_byte") == F.col("o_syntax_start_byte")) & (F.col("s_syntax_end_byte") == F.col("o_syntax_end_byte"))
-    itself = F.col("s_observation_id") == F.col("o_observation_id")
-    above = _inside("o_", F.col("s_syntax_start_byte"), F.col("s_syntax_end_byte")) & (F.col("s_kind") != "file") & (~same | is_file)
-    pairs = inner.join(outer, (F.col("s_relative_path") == F.col("o_relative_path")) & (itself | above))
-    one_range = Window.partitionBy("s_relative_path", "s_observation_id", "o_syntax_start_byte", "o_syntax_end_byte", is_file).orderBy(~itself, "o_observation_id")
-    pairs = pairs.withColumn("turn", F.row_number().over(one_range)).filter("turn = 1")
-    chain = Window.partitionBy("s_relative_path", "s_observation_id").orderBy(~itself, F.col("o_syntax_end_byte") - F.col("o_syntax_start_byte"), is_file, "o_observation_id")
-    pairs = pairs.withColumn("distance", F.row_number().over(chain) - 1).filter(F.col("distance") < CHAIN)
-    return pairs.select(F.col("s_relative_path").alias("relative_path"), F.col("s_observation_id").alias("scope_id"), F.col("o_observation_id").alias("ancestor_id"), "distance")
+
+    def each(rows: list[dict]) -> Iterator[tuple]:
+        scopes = [r for r in rows if r["category"] == "scope"]
+        outer = Open([(r["syntax_start_byte"], r["syntax_end_byte"], (r["kind"] == "file", r["observation_id"]), r) for r in scopes])
+        for s in sorted(scopes, key=lambda r: r["syntax_start_byte"]):
+            yield s["relative_path"], s["observation_id"], s["observation_id"], 0
+            if s["kind"] == "file":
+                continue
+            a, b = s["syntax_start_byte"], s["syntax_end_byte"]
+            outer.move(a)
+            distance, last = 0, (a, b, False)
+            for x, y, (is_file, own), _ in outer.around(a, b):
+                if (x, y, is_file) == last or own == s["observation_id"]:
+                    continue
+                distance, last = distance + 1, (x, y, is_file)
+                if distance >= CHAIN:
+                    break
+                yield s["relative_path"], s["observation_id"], own, distance
+
+    return by_file(observations.filter("category = 'scope'"), each, "relative_path string, scope_id string, ancestor_id string, distance int", [pa.string(), pa.string(), pa.string(), pa.int32()])
 
 
 def declared_modules(observations: DataFrame, files: DataFrame) -> DataFrame:
@@ -260,13 +281,14 @@ def _chained(occ: DataFrame, observations: DataFrame) -> DataFrame:
     return known.filter("ancestor_id IS NOT NULL").unionByName(lost)
 
 
-def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, dests: DataFrame | None = None) -> DataFrame:
-    """Candidates of every occurrence that is not dynamic, from the first stage that has any.
+def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, dests: DataFrame | None = None, importing: bool = True) -> DataFrame:
+    """Candidates of every occurrence that is not dynamic, from the first stage that has any. importing: whether there are imports.
 
     Stage 0: the nearest scope with the name, ties kept; for uncertain receivers, members of the file. Stage 1: the
     nearest imports that give the name. Stage 2: other files of the same package or namespace.
     """
-    dests = destinations(observations, files, manifests) if dests is None else dests
+    if importing and dests is None:
+        dests = destinations(observations, files, manifests)
     occ = cut(occurrences(observations, files).filter("NOT dynamic"))
     decl = cut(_declarations(observations, files))
     fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
@@ -283,11 +305,14 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     lexical = lexical.withColumn("rule", F.lit("lexical-scope-v1")).withColumn("evidence", F.array(F.concat(F.lit("scope_distance:"), F.col("distance").cast("string")), F.concat(F.lit("name:"), "name")))
     member = occ.filter("uncertain").join(decl, (F.col("source_path") == F.col("d_relative_path")) & (F.col("name") == F.col("d_spelling"))).filter(fits & F.col("d_kind").isin(*K.MEMBER))
     member = member.withColumn("rule", F.lit("receiver-name-candidate-v1")).withColumn("evidence", F.array(F.concat(F.lit("member_name:"), "name")))
-    imports = dests.filter("kind <> 'export'").select(F.col("relative_path").alias("i_path"), F.col("observation_id").alias("i_id"), F.col("scope_id").alias("i_scope"), F.col("attributes").alias("i_attributes"), F.col("alias").alias("i_alias"), F.col("spelling").alias("i_spelling"), "outcome", "target_path", F.col("rule").alias("rule"))
-    near = chained.join(imports, (F.col("source_path") == F.col("i_path")) & (F.col("ancestor_id") == F.col("i_scope")))
-    near = near.withColumn("wanted", K.imported_name(F.col("language"), F.col("i_attributes"), F.col("i_alias"), F.col("i_spelling"), F.col("qualifier"), F.col("name"))).filter("wanted IS NOT NULL")
-    near = near.withColumn("place", F.rank().over(nearest)).filter("place = 1 AND outcome = 'local'")
-    imported = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
+    stages = [stage(lexical, 0), stage(member, 0)]
+    if importing:
+        imports = dests.filter("kind <> 'export'").select(F.col("relative_path").alias("i_path"), F.col("observation_id").alias("i_id"), F.col("scope_id").alias("i_scope"), F.col("attributes").alias("i_attributes"), F.col("alias").alias("i_alias"), F.col("spelling").alias("i_spelling"), "outcome", "target_path", F.col("rule").alias("rule"))
+        near = chained.join(imports, (F.col("source_path") == F.col("i_path")) & (F.col("ancestor_id") == F.col("i_scope")))
+        near = near.withColumn("wanted", K.imported_name(F.col("language"), F.col("i_attributes"), F.col("i_alias"), F.col("i_spelling"), F.col("qualifier"), F.col("name"))).filter("wanted IS NOT NULL")
+        near = near.withColumn("place", F.rank().over(nearest)).filter("place = 1 AND outcome = 'local'")
+        imported = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
+        stages.append(stage(imported, 1))
     modules = declared_modules(observations, files).filter(F.col("language").isin("go", "java", "csharp"))
     # keyed by language, module, directory for Go, and name, so that only names of one module meet
     place = F.when(F.col("language") == "go", parent_path(F.col("relative_path"))).otherwise(F.lit(""))
@@ -299,7 +324,7 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     same = same.join(open_to_all, (F.col("name") == F.col("d_spelling")) & (F.col("m_language") == F.col("y_language")) & (F.col("module") == F.col("y_module")) & (F.col("m_place") == F.col("y_place")) & (F.col("source_path") != F.col("y_path")))
     same = same.filter(fits & F.when(F.col("uncertain"), F.col("d_kind").isin(*K.MEMBER)).otherwise(F.col("d_top")))
     same = same.withColumn("rule", F.lit("same-module-v1")).withColumn("evidence", F.array(F.concat(F.lit("module:"), "module")))
-    every = stage(lexical, 0).unionByName(stage(member, 0)).unionByName(stage(imported, 1)).unionByName(stage(same, 2))
+    every = reduce(DataFrame.unionByName, [*stages, stage(same, 2)])
     first = Window.partitionBy(*SITE).orderBy("stage")
     return every.withColumn("place", F.rank().over(first)).filter("place = 1").drop("place")
 
@@ -338,7 +363,9 @@ def emitted(candidates: DataFrame, sites: DataFrame, reason: str) -> DataFrame:
 def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, externals, diagnostics) of one generation; edges once by id."""
     observations, files = cut(observations), cut(files)
-    around, dests = cut(enclosing(observations)), cut(destinations(observations, files, manifests))
+    around = cut(enclosing(observations))
+    importing = not observations.filter("category = 'import' AND kind NOT IN ('package', 'library')").isEmpty()
+    dests = cut(destinations(observations, files, manifests)) if importing else None
     nested = containment(observations).select(*_edge(
         "contains", source_path=F.col("relative_path"), source_observation_id=F.col("container_id"), source_category="symbol", source_start_byte=F.col("start_byte"), source_end_byte=F.col("end_byte"), source_symbol_id=F.col("container_id"),
         target_path=F.col("relative_path"), target_symbol_id=F.col("child_id"), resolution="lexically_resolved", rule="lexical-containment-v1", candidate_count=1, reason="smallest enclosing declaration",
@@ -347,7 +374,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     occ = occurrences(observations, files)
     sites = occ.join(around, (F.col("source_path") == F.col("e_path")) & (F.col("source_category") == F.col("e_category")) & (F.col("source_observation_id") == F.col("e_id")), "left")
     sites = sites.withColumn("relationship", F.when(F.col("category") == "call_site", "calls").otherwise("references"))
-    sites, bound = cut(sites), cut(bindings(observations, files, manifests, dests))
+    sites, bound = cut(sites), cut(bindings(observations, files, manifests, dests, importing))
     flags = occ.select(*SITE, "uncertain")
     bound = bound.join(flags, list(SITE)).withColumn("rule", F.when(F.col("uncertain"), "receiver-name-candidate-v1").otherwise(F.col("rule"))).withColumn("evidence", F.when(F.col("uncertain"), F.concat("evidence", K.strings("receiver_type_not_inferred"))).otherwise(F.col("evidence")))
     linked = emitted(bound, sites.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship"), "bounded rules selected declarations")
@@ -357,6 +384,11 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
         F.col("relationship"), source_path=F.col("source_path"), source_observation_id=F.col("source_observation_id"), source_category=F.col("source_category"), source_start_byte=F.col("o_start"), source_end_byte=F.col("o_end"),
         source_symbol_id=F.col("source_symbol_id"), resolution="unresolved", rule=rule, candidate_count=0, reason="no rule selected a declaration", evidence=K.strings(), limitations=F.coalesce("o_limitations", K.strings()),
     ))
+    many = bound.groupBy(*SITE).agg(F.countDistinct("d_relative_path", "d_observation_id").alias("n")).filter(F.col("n") > CANDIDATES).select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message"))
+    if not importing:
+        edges = cut(reduce(DataFrame.unionByName, [nested, linked, loose]).dropDuplicates(["edge_id"]))
+        externals = edges.sparkSession.createDataFrame([], "external_node_id string, language string, kind string, label string")
+        return edges, externals, many.distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
     imports = dests.filter("kind <> 'export'").withColumnsRenamed({"relative_path": "source_path", "category": "source_category", "observation_id": "source_observation_id", "start_byte": "o_start", "end_byte": "o_end", "limitations": "o_limitations", "attributes": "o_attributes"})
     imports = imports.join(around, (F.col("source_path") == F.col("e_path")) & (F.col("source_category") == F.col("e_category")) & (F.col("source_observation_id") == F.col("e_id")), "left").withColumn("relationship", F.lit("imports"))
     specifier = F.array(F.concat(F.lit("specifier:"), "spelling"))
@@ -377,7 +409,6 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     edges = reduce(DataFrame.unionByName, [nested, linked, loose, named_edges, file_edges, outside_edges, lost_edges]).dropDuplicates(["edge_id"])
     edges = cut(edges)
     externals = outside.select(F.col("node").alias("external_node_id"), "language", F.col("node_kind").alias("kind"), F.col("spelling").alias("label")).distinct()
-    many = bound.groupBy(*SITE).agg(F.countDistinct("d_relative_path", "d_observation_id").alias("n")).filter(F.col("n") > CANDIDATES).select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message"))
     diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
     return edges, externals, diagnostics
 

@@ -103,3 +103,33 @@ def test_ranges_of_short_and_null_texts(spark):
             assert cut is None and line is None
         else:
             assert bytes(cut) == x.encode()[a:b] and line == x.encode()[:b].count(b"\n") + 1, (x, a, b)
+
+
+def test_ranges_around_a_place_equal_brute_force():
+    from tessera.operators.nesting import Open
+
+    rng = random.Random(5)
+
+    def split(a, b, out):
+        """Ranges that nest, side by side too."""
+        out.append((a, b))
+        at = a
+        while b - at > 2 and rng.random() < 0.8:
+            end = rng.randint(at + 1, b)
+            split(at + rng.randint(0, 1) if end - at > 2 else at, end, out)
+            at = end
+
+    for turn in range(300):
+        found = []
+        split(0, 60, found)
+        if turn % 3 == 0:
+            found += [tuple(sorted((rng.randint(0, 60), rng.randint(0, 60)))) for _ in range(5)]
+        ranges = [(a, b, (i,), None) for i, (a, b) in enumerate(found)]
+        places = sorted((a, a + rng.randint(1, 3)) for a in rng.sample(range(58), 20))
+        own = Open(list(ranges))
+        assert own.nested
+        for a, b in places:
+            own.move(a)
+            assert [r[2] for r in own.around(a, b)] == [r[2] for r in sorted((r for r in ranges if r[0] <= a and r[1] >= b), key=lambda r: (r[1] - r[0], r[2]))]
+        if turn % 3:
+            assert own.nested
