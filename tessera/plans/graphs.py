@@ -103,7 +103,7 @@ def resolution_stats(spark, folder):
 
 def emission(spark, folder):
     """Candidates counted, labelled and cut at 32 for each site: sources of the corpus' edges as sites."""
-    edges = corpus.edges(spark, folder).filter("relationship = 'references'")
+    edges = corpus.edges(spark, folder)
     candidates = edges.select("source_path", F.lit("reference").alias("source_category"), F.col("source_symbol_id").alias("source_observation_id"), F.col("target_path").alias("d_relative_path"), F.col("target_symbol_id").alias("d_observation_id"), F.col("source_start_byte").alias("d_start_byte"), F.when(F.col("source_start_byte") > 490, "receiver-name-candidate-v1").otherwise("lexical-scope-v1").alias("rule"), F.array().cast("array<string>").alias("evidence"))
     sites = edges.select("source_path", F.lit("reference").alias("source_category"), F.col("source_symbol_id").alias("source_observation_id"), "source_symbol_id").distinct()
     sites = sites.withColumns({"o_start": F.lit(0), "o_end": F.lit(1), "o_limitations": F.array().cast("array<string>"), "relationship": F.lit("references")})
@@ -163,5 +163,5 @@ reached AS (SELECT source_path, target_path FROM into_path UNION ALL SELECT sour
     "candidate_emission": sql("edges", """SELECT source_symbol_id AS source_observation_id, target_path, target_symbol_id, CASE WHEN n = 1 AND NOT forced THEN 'lexically_resolved' ELSE 'candidate' END AS resolution, rule, n AS candidate_count
 FROM (SELECT *, count(*) OVER w AS n, bool_or(rule = 'receiver-name-candidate-v1') OVER w AS forced, row_number() OVER (PARTITION BY source_symbol_id ORDER BY target_path, start, target_symbol_id) AS place FROM (
   SELECT source_symbol_id, target_path, target_symbol_id, min(source_start_byte) AS start, CASE WHEN min(source_start_byte) > 490 THEN 'receiver-name-candidate-v1' ELSE 'lexical-scope-v1' END AS rule
-  FROM edges WHERE relationship = 'references' GROUP BY ALL) g WINDOW w AS (PARTITION BY source_symbol_id)) x WHERE place <= 32"""),
+  FROM edges GROUP BY ALL) g WINDOW w AS (PARTITION BY source_symbol_id)) x WHERE place <= 32"""),
 }

@@ -12,7 +12,7 @@ from tessera.sources.paths import dialect
 def extract_symbols(spark, folder):
     """Declarations, calls and references of nine dialects."""
     found = extraction.observations(extraction.parsed(corpus.dialect_sources(spark, folder)))
-    return found.filter("category IN ('symbol', 'call_site', 'reference') AND spelling <> 'i32'").select("relative_path", "category", "kind", "spelling", "container").filter("kind <> 'type' AND NOT spelling IN ('int', 'number')")
+    return found.filter("category IN ('symbol', 'call_site', 'reference')").select("relative_path", "category", "kind", "spelling", "container")
 
 
 def extract_files(spark, folder):
@@ -66,6 +66,8 @@ def _extract_sql() -> str:
         rows = [("symbol", own, name, box), ("symbol", "parameter", "'a'", name), ("symbol", local, "'v'", name), ("call_site", call, f"'{_NAMES[d]}' || t::VARCHAR", "NULL"), ("reference", "identifier", "'v'", "NULL")]
         if d in ("rust", "java", "typescript", "tsx"):
             rows.append(("reference", "identifier", "'a'", "NULL"))
+        if d in ("rust", "go"):
+            rows += [("reference", "type", "'i32'", "NULL") if d == "rust" else ("reference", "identifier", "'int'", "NULL")] * 2
         if inside:
             rows.append(("symbol", "class", box, "NULL"))
         parts += [f"SELECT 'src/file' || f::VARCHAR || '.{e}' AS relative_path, '{c}' AS category, '{kind}' AS kind, {s} AS spelling, {b} AS container FROM parts WHERE f % 9 = {n}" for c, kind, s, b in rows]
