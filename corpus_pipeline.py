@@ -44,7 +44,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: SQL can't express the classifier; the pipeline is tested stage by stage against brute force.
+#: SQL can't express the classifier; each stage is tested against the operator that it calls, and the n-gram join and the
+#: winnowing below it against brute force.
 ORACLE_SQL = None
 
 
