@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import conversations, decontamination, htmltext, importance, mixing, neardup, pii, quality, secrets, sharding, tokens, topk
+from tessera.llm import conversations, decontamination, htmltext, importance, mixing, neardup, packing, pii, quality, secrets, sharding, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_layers": secrets.op8_secret_layers,
         "op9_rendezvous_shards": sharding.op9_rendezvous_shards,
         "op10_winnowing": decontamination.op10_winnowing,
+        "op11_shortest_pack_first": packing.op11_shortest_pack_first,
         "op12_conversation_repair": conversations.op12_conversation_repair,
         "op13_importance_resampling": importance.op13_importance_resampling,
     }
