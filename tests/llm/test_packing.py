@@ -125,8 +125,9 @@ def test_rows_of_all_kinds(spark):
     got = packed.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
     assert brute(docs, got, 64) < 64
     made = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in op.sequences(packed).collect()}
+    ids = {k: whole(t) for k, t in docs.items()}
     for r in got:
-        assert made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == whole(docs[r["doc_id"]])[r["start"] : r["start"] + r["length"]]
+        assert made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
     assert op.pack(df.limit(0)).count() == 0
     repeated = op.pack(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["length"]) for r in repeated) == [(0, 3), (1, 3), (1, 3)] and len({(r["sequence_id"], r["offset"]) for r in repeated}) == 3
