@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -19,9 +20,9 @@ from tessera.llm.tokens import load
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END = 4096, 2
 #: Characters of text that are tokenized at once; a longer text comes in pieces of about so many.
-SLICE = 1 << 20
-#: Runs without white space that a task remembers with their ids, and the ids; past either it starts anew.
-RUNS, IDS = 1 << 18, 1 << 22
+SLICE = 1 << 22
+#: Runs without white space that a task remembers with their ids, and the ids; past either only those met most are kept.
+RUNS, IDS = 1 << 19, 1 << 23
 #: Where a long text may be cut without a change of its tokens: before ASCII white space, or between a mark that is
 #: part of no special string and an ASCII letter, where a word begins whatever stands around it.
 _CUT = re.compile(r"[ \t\n\x0b\x0c\r]|(?<=[.,;:!?/_=-])(?=[A-Za-z])")
@@ -30,28 +31,33 @@ _CUT = re.compile(r"[ \t\n\x0b\x0c\r]|(?<=[.,;:!?/_=-])(?=[A-Za-z])")
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, with each distinct run of other characters than white space encoded once.
 
-    The vocabulary must drop white space and let no word, normalisation or special string reach over it, as ``word_bpe_49k.json``
-    does: then the ids of a text are those of its runs, one after the other.
+    The vocabulary must drop white space, ignore the case of ASCII letters and let no word, normalisation or special string reach over
+    white space, nor over the place between an ASCII letter or digit and one of ``.,;:!?``; ``word_bpe_49k.json`` does. Then the ids of
+    a text are those of its runs, one after the other.
     """
 
     def __init__(self, vocabulary: str, end: int):
-        self.tokenizer, self.end = load(vocabulary), end
-        self._reset()
-
-    def _reset(self) -> None:
+        self.tokenizer = load(vocabulary)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         # run 0 is the end of a document
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.ids, self.used = [0], [1], [np.array([self.end], np.uint32)], 1
+        self.runs, self.known = [""], {}
+        self.starts, self.lengths, self.hits = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.array([end], np.uint32)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with its end, and where each text begins (and the last ends)."""
-        runs = pc.ascii_split_whitespace(column)
+        runs = pc.ascii_split_whitespace(pc.replace_substring_regex(column, "([A-Za-z0-9])([.,;:!?])", r"\1 \2"))
         flat = pc.dictionary_encode(runs.flatten())
-        self._learn(flat.dictionary)
-        place = np.fromiter((self.known[r] for r in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+        place = self._places(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
+        self.hits += np.bincount(place, minlength=len(self.hits))
         counts = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
-        codes = np.insert(place[flat.indices.to_numpy(zero_copy_only=False)], np.cumsum(counts), 0)
-        ids, ends = self._gather(codes)
+        codes = np.insert(place, np.cumsum(counts), 0)
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.starts[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends[np.cumsum(counts + 1) - 1]]).astype(np.int64)
 
     def long(self, text: str) -> np.ndarray:
@@ -62,27 +68,50 @@ class Encoder:
             stop = cut.start() if cut else len(text)
             parts.append(self.texts(pa.array([text[at:stop]], pa.large_string()))[0][:-1])
             at = stop
-        return np.concatenate([*parts, np.array([self.end], np.uint32)])
-
-    def _learn(self, runs: pa.Array) -> None:
-        if len(self.known) > RUNS or self.used > IDS:
-            self._reset()
-        new = [r for r in runs.to_pylist() if r not in self.known]
-        for run, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = encoding.ids
-            self.known[run] = len(self.starts)
-            self.starts.append(self.used)
-            self.lengths.append(len(ids))
-            self.ids.append(np.array(ids, np.uint32))
-            self.used += len(ids)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array(self.lengths, np.int64)[codes]
+        return np.concatenate([*parts, self.ids[:1]])
+
+    def _places(self, runs: list[str]) -> np.ndarray:
+        if len(self.runs) > RUNS or len(self.ids) > IDS:
+            self._forget()
+        # special strings are found before letters are lowered
+        runs = [r.lower() if r.isascii() and "<" not in r else r for r in runs]
+        new = list(dict.fromkeys(r for r in runs if r not in self.known))
+        self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+
+    def _learn(self, new: list[str]) -> None:
+        """Runs of letters are words, encoded in one text and told apart by the tokens that end words; all others one by one."""
+        words = [r for r in new if r.isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32) if words else np.empty(0, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):  # the library knows other letters: no run of letters has no end, so one has two
+            words, ids, ends = [], ids[:0], ends[:0]
+        plain = set(words)
+        others = [r for r in new if r not in plain]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(f) for f in found], np.int64)]).astype(np.int64)
+        self.known.update(zip([*words, *others], range(len(self.runs), len(self.runs) + len(new)), strict=True))
+        self.runs += [*words, *others]
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths, self.hits = np.concatenate([self.lengths, lengths]), np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.ids = np.concatenate([self.ids, ids, *found])
+
+    def _forget(self) -> None:
+        """Keeps the runs met most, a quarter of what may be kept."""
+        order = 1 + np.argsort(-self.hits[1:], kind="stable")[: RUNS // 4]
+        order = np.concatenate([[0], order[np.cumsum(self.lengths[order]) <= IDS // 4]])
+        lengths = self.lengths[order]
         ends = np.cumsum(lengths)
-        places = np.repeat(np.array(self.starts, np.int64)[codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.ids[0][places], ends
+        self.ids = self.ids[np.repeat(self.starts[order] - ends + lengths, lengths) + np.arange(ends[-1])]
+        self.starts, self.lengths, self.hits = ends - lengths, lengths, self.hits[order] // 2
+        self.runs = [self.runs[i] for i in order.tolist()]
+        self.known = {r: i for i, r in enumerate(self.runs) if i}
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, end: int) -> Encoder:
+    """One for all tasks of a Python worker, so that its runs are learnt once."""
+    return Encoder(vocabulary, end)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -107,7 +136,7 @@ def tokenized(docs: DataFrame, vocabulary: str, key: str, text: str, size: int =
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(vocabulary, end), np.zeros(size + 1, np.int64)
+        encoder, seen = encoder_of(vocabulary, end), np.zeros(size + 1, np.int64)
         for batch in batches:
             texts = batch.column(2).cast(pa.large_string())
             for a, b in _slices(texts):
