@@ -1,6 +1,6 @@
 """Secrets in texts and in the layers that are encoded in them.
 
-A worklist holds layers: the text, and whatever its URL, Unicode, UTF-16, base64 and compressed parts decode to, bytes
+A worklist holds layers: the text, and whatever its URL, Unicode, JSON, UTF-16, base64 and compressed parts decode to, bytes
 that are no UTF-8 replaced. Each layer is
 scanned and searched for further encoded parts until none is left; a layer that was met before at the same place closes a
 cycle, and one of the same content is not searched again. The worklist is a stack of searches that go on when the layers below
@@ -11,13 +11,16 @@ Each layer knows the span of the text that it came from, so a secret is reported
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
-from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,14 +41,21 @@ _NAMES = ("passw", "secret", "token", "api_key", "apikey")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+_PERCENT = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
+_UNICODE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?!=)")
+#: Characters of base64 that also part it from what stands before, as in a path or after an identifier.
+_PARTING = re.compile(r"[-_+/]")
+#: What a part that does not begin a run must hold to be read: no secret is shorter, in one byte a character or two.
+_READABLE = re.compile(rb"[\x20-\x7e]{12}|(?:[\x20-\x7e]\0){12}")
+#: Escapes of JSON and of program texts.
+_ESCAPE = re.compile(r"""(\\[nrt/"'])""")
+_ESCAPED = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\/": "/", '\\"': '"', "\\'": "'"}
 #: Base64 in lines: the first of 16 characters or more, the last one at the end of its line or padded.
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+(?:={1,2}(?![A-Za-z0-9+/_=-])|(?![A-Za-z0-9+/_=-])(?![ \t]+\S))")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: ASCII in UTF-16 of either order, read as UTF-8.
-_WIDE = re.compile(r"\0(?:[\x01-\x7f]\0)+[\x01-\x7f]|(?:[\x01-\x7f]\0){2,}")
+_WIDE = re.compile(r"(\0(?:[\x01-\x7f]\0)+[\x01-\x7f]|(?:[\x01-\x7f]\0){2,})")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -70,6 +80,10 @@ def _inflate(data: bytes) -> tuple[str, bytes, bytes, bool] | None:
     """
     if data[:4] == b"\x28\xb5\x2f\xfd":
         return _zstd(data)
+    if _mark(data) in ("bzip2", "xz"):
+        return _streams(data)
+    if not _mark(data):
+        return _deflated(data)
     name = "gzip" if data[:2] == b"\x1f\x8b" else "zlib"
     out: list[bytes] = []
     left, cut = INFLATED, False
@@ -93,6 +107,57 @@ def _inflate(data: bytes) -> tuple[str, bytes, bytes, bool] | None:
     return (name, b"".join(out), data, cut) if out else None
 
 
+def _mark(data: bytes) -> str:
+    """The format that these bytes begin, or nothing."""
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd"
+    if data[:3] == b"BZh" and data[3:4].isdigit():
+        return "bzip2"
+    if data[:6] == b"\xfd7zXZ\0":
+        return "xz"
+    return "zlib" if len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0 else ""
+
+
+def _streams(data: bytes) -> tuple[str, bytes, bytes, bool] | None:
+    """As _inflate, for bzip2 and xz; what a broken stream holds before its fault counts as cut off."""
+    name, out, left, cut = _mark(data), [], INFLATED, False
+    while left > 0 and not cut and _mark(data) == name:
+        machine = bz2.BZ2Decompressor() if name == "bzip2" else lzma.LZMADecompressor(memlimit=1 << 28)
+        content, at = [], 0
+        try:
+            while not machine.eof and left > 0 and (at < len(data) or not machine.needs_input):
+                step = data[at : at + 4096] if machine.needs_input else b""
+                at += len(step)
+                content.append(machine.decompress(step, left))
+                left -= len(content[-1])
+        except (OSError, EOFError, lzma.LZMAError):
+            cut = True
+        cut = cut or not machine.eof
+        if left <= 0 and cut:  # past the bound
+            break
+        out += content
+        data = b"" if cut else machine.unused_data + data[at:]
+    found = b"".join(out)
+    return (name, found, data, cut) if found else None
+
+
+def _deflated(data: bytes) -> tuple[str, bytes, bytes, bool] | None:
+    """As _inflate, for deflated data without a mark: it must be whole, end with the bytes and be readable."""
+    machine = zlib.decompressobj(-15)
+    try:
+        content = machine.decompress(data[:64], 4096)
+        if machine.eof and len(data) > 64:
+            return None
+        content += machine.decompress(machine.unconsumed_tail + data[64:], INFLATED) if not machine.eof else b""
+    except zlib.error:
+        return None
+    if not machine.eof or machine.unused_data or not _READABLE.search(content):
+        return None
+    return "deflate", content, b"", False
+
+
 def _readable(data: bytes, window: int, most: int) -> bytes:
     """What a broken stream holds before its fault."""
     machine, out, size = zlib.decompressobj(window), [], 0
@@ -169,7 +234,47 @@ def _wrapped(text: str) -> Iterator[list[re.Match]]:
             i = j
 
 
-def _by_line(data: bytes, lines: list[re.Match]) -> list[tuple[str, int, int]]:
+class Cut:
+    """A layer in terms of the one around it: pieces of text, where each stands there, and whether it is the same text there."""
+
+    __slots__ = ("bodies", "a", "b", "same")
+
+    def __init__(self, bodies: list[str], a: np.ndarray, b: np.ndarray, same: np.ndarray):
+        self.bodies, self.a, self.b, self.same = bodies, a, b, same
+
+    @classmethod
+    def decoded(cls, pieces: list[tuple[str, int, int]]) -> Cut:
+        a, b = (np.array([p[i] for p in pieces], np.int64) for i in (1, 2))
+        return cls([p[0] for p in pieces], a, b, np.zeros(len(pieces), bool))
+
+    def size(self) -> int:
+        return sum(map(len, self.bodies))
+
+
+def _replaced(text: str, pattern: re.Pattern, decode: Callable[[str], str | None]) -> Cut | None:
+    """The text with each match decoded; None if there is none. Equal matches are decoded once, and stay where that gives None."""
+    parts = pattern.split(text)  # texts and matches by turns
+    if len(parts) == 1:
+        return None
+    meaning = {m: decode(m) for m in set(parts[1::2])}
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    same = np.ones(len(parts), bool)
+    same[1::2] = [meaning[m] is None for m in parts[1::2]]
+    if same.all():
+        return None
+    begins = np.concatenate([[0], ends[:-1]])
+    parts[1::2] = [m if meaning[m] is None else meaning[m] for m in parts[1::2]]
+    return Cut(parts, begins, ends, same)
+
+
+def _utf16(escapes: str) -> str | None:
+    try:
+        return bytes.fromhex(escapes.replace("\\u", "")).decode("utf-16-be")
+    except UnicodeDecodeError:
+        return None
+
+
+def _by_line(data: bytes, lines: list[re.Match]) -> Cut:
     """The text of bytes in pieces, each with the place of the line that it begins in."""
     pieces, at, count = [], 0, 0
     for line in lines:
@@ -179,72 +284,68 @@ def _by_line(data: bytes, lines: list[re.Match]) -> list[tuple[str, int, int]]:
             end += 1
         pieces.append((_text(data[at:end]), line.start(), line.end()))
         at = end
-    return pieces
+    return Cut.decoded(pieces)
 
 
-def _whole(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(encoding, pieces with their start and end) of each layer that is this one with its escapes decoded.
+def _whole(text: str) -> Iterator[tuple[str, Cut]]:
+    """(encoding, cut) of each layer that is this one with its escapes decoded.
 
-    URL and Unicode escapes decode to one layer with all that surrounds them, as a secret may be escaped in part.
+    Escapes decode to one layer with all that surrounds them, as a secret may be escaped in part.
     """
-    if "%" in text:
-        pieces, at = [], 0
-        for m in _PERCENT.finditer(text):
-            pieces.append((text[at : m.start()], at, m.start()))
-            pieces.append((_text(bytes.fromhex(m[0].replace("%", ""))), m.start(), m.end()))
-            at = m.end()
-        if pieces:
-            pieces.append((text[at:], at, len(text)))
-            yield "url", pieces
-    if "\\u" in text:
-        pieces, at = [], 0
-        for m in _UNICODE.finditer(text):
-            units = bytes.fromhex(m[0].replace("\\u", ""))
-            try:
-                body = units.decode("utf-16-be")
-            except UnicodeDecodeError:
-                continue
-            pieces.append((text[at : m.start()], at, m.start()))
-            pieces.append((body, m.start(), m.end()))
-            at = m.end()
-        if pieces:
-            pieces.append((text[at:], at, len(text)))
-            yield "unicode", pieces
-    if "\0" in text:
-        pieces, at = [], 0
-        for m in _WIDE.finditer(text):
-            pieces.append((text[at : m.start()], at, m.start()))
-            pieces.append((m[0].replace("\0", ""), m.start(), m.end()))
-            at = m.end()
-        if pieces:
-            pieces.append((text[at:], at, len(text)))
-            yield "utf16", pieces
-
-
-def _parts(text: str, known: Kept) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """(encodings, pieces with their start and end) of each base64 part, by line or not, and of what is compressed in it.
+    for name, mark, pattern, decode in (
+        ("url", "%", _PERCENT, lambda m: _text(bytes.fromhex(m.replace("%", "")))),
+        ("unicode", "\\u", _UNICODE, _utf16),
+        ("escape", "\\", _ESCAPE, _ESCAPED.__getitem__),
+        ("utf16", "\0", _WIDE, lambda m: m.replace("\0", "")),
+    ):
+        if mark in text and (cut := _replaced(text, pattern, decode)) is not None:
+            yield name, cut
+
+
+def _aligned(run: str) -> Iterator[tuple[int, str, bytes]]:
+    """(place, encodings, content) of base64 that begins inside of a run, behind one of its parting characters.
+
+    Only three other alignments than that of the run can be: each is decoded once, from its first place on, and read if it holds
+    anything readable. Compressed content must begin at its own first byte, so the bytes at every place are looked at.
+    """
+    ends = [m.end() for m in _PARTING.finditer(run)]
+    for turn in range(4):
+        places = [p for p in ends if p % 4 == turn and len(run) - p >= 16]
+        if not places:
+            continue
+        data = _bytes(run[places[0] :])
+        if turn and _READABLE.search(data):
+            yield places[0], "base64", data
+        for p in places:
+            at = (p - places[0]) // 4 * 3
+            if _mark(data[at : at + 6]) and _inflate(data[at : at + 256]) is not None:
+                yield from ((p, names, content) for names, content in _opened(data[at:]) if names != "base64")
+
+
+def _parts(text: str, known: Kept) -> Iterator[tuple[str, Cut]]:
+    """(encodings, cut) of each base64 part, by line or not, and of what is compressed in it.
 
     Parts that were decoded before are taken from known.
     """
     for m in _BASE64.finditer(text):
         if m[0] in known:
-            yield from ((names, [(body, m.start(), m.end())]) for names, body in known[m[0]])
+            yield from ((names, Cut.decoded([(body, m.start() + at, m.end())])) for at, names, body in known[m[0]])
             continue
-        kept: list[tuple[str, str]] | None = []
-        for names, data in _opened(_bytes(m[0])):
+        kept: list[tuple[int, str, str]] | None = []
+        for at, names, data in chain(((0, *opened) for opened in _opened(_bytes(m[0]))), _aligned(m[0])):
             body = _text(data)
             if kept is not None:
-                kept = [*kept, (names, body)] if sum(len(b) for _, b in kept) + len(body) + len(m[0]) < KEPT else None
-            yield names, [(body, m.start(), m.end())]
+                kept = [*kept, (at, names, body)] if sum(len(b) for _, _, b in kept) + len(body) + len(m[0]) < KEPT else None
+            yield names, Cut.decoded([(body, m.start() + at, m.end())])
         if kept is not None:
-            known.keep(m[0], kept, len(m[0]) + sum(len(body) for _, body in kept))
+            known.keep(m[0], kept, len(m[0]) + sum(len(body) for _, _, body in kept))
     for lines in _wrapped(text):
         data = _bytes("".join(line[0] for line in lines))
         for names, content in _opened(data):
             if content is data or content == data:
                 yield names, _by_line(data, lines)
             else:
-                yield names, [(_text(content), lines[0].start(), lines[-1].end())]
+                yield names, Cut.decoded([(_text(content), lines[0].start(), lines[-1].end())])
 
 
 class Kept(dict):
@@ -260,73 +361,69 @@ class Kept(dict):
         self[key] = value
 
 
-def _origin(pieces: list[tuple[str, int, int]]) -> tuple[tuple[int, int, int], ...]:
-    """Where the characters of a layer come from, however it is cut: lengths, starts and ends; runs that map by character are joined."""
-    out: list[tuple[int, int, int]] = []
-    for p, a, b in pieces:
-        if p and out and len(p) == b - a and out[-1][0] == out[-1][2] - out[-1][1] and out[-1][2] == a:
-            out[-1] = (out[-1][0] + len(p), out[-1][1], b)
-        elif p:
-            out.append((len(p), a, b))
-    return tuple(out)
-
-
 class Layer:
-    """A layer: text in pieces. A piece whose length is that of its origin maps by character, any other as a whole."""
+    """A layer: its text, in pieces that each come from one place. A piece of the length of its origin maps by character, any other as a
+    whole; neighbours that map by character are one piece, however the layer was cut."""
+
+    def __init__(self, name: str, body: str, length: np.ndarray, a: np.ndarray, b: np.ndarray):
+        self.name, self.body, self.length, self.a, self.b = name, body, length, a, b
+        self.starts, self.exact = np.cumsum(length) - length, length == b - a
 
-    def __init__(self, name: str, pieces: list[tuple[str, int, int]]):
-        self.name, self.pieces = name, [p for p in pieces if p[0]]
-        self.body = "".join(p[0] for p in self.pieces)
-        self.starts, at = [], 0
-        for p, _, _ in self.pieces:
-            self.starts.append(at)
-            at += len(p)
+    @classmethod
+    def of(cls, text: str) -> Layer:
+        return cls("", text, np.array([len(text)]), np.array([0]), np.array([len(text)]))
 
     def key(self) -> bytes:
         """The content and where its characters come from."""
         own = hashlib.blake2b(self.body.encode("utf-8", "surrogatepass"), digest_size=16)
-        own.update(repr(_origin(self.pieces)).encode())
+        for numbers in (self.length, self.a, self.b):
+            own.update(numbers.astype("<i8").tobytes())
         return own.digest()
 
-    def place(self, i: int, end: bool) -> tuple[int, bool]:
-        """Where character i of the layer stands in the text, and whether it was decoded."""
-        k = bisect_right(self.starts, i) - 1
-        p, a, b = self.pieces[k]
-        if len(p) == b - a:
-            return a + i - self.starts[k] + end, False
-        return (b if end else a), True
+    def _pieces(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def begin(self, at: np.ndarray) -> np.ndarray:
+        """Where these characters of the layer begin in the text."""
+        k = self._pieces(at)
+        return np.where(self.exact[k], self.a[k] + at - self.starts[k], self.a[k])
+
+    def end(self, at: np.ndarray) -> np.ndarray:
+        """Where the characters before these end in the text."""
+        k = self._pieces(at - 1)
+        return np.where(self.exact[k], self.a[k] + at - self.starts[k], self.b[k])
 
     def decoded(self, a: int, b: int) -> bool:
         """Whether any of the characters from a to b was."""
-        k = bisect_right(self.starts, a) - 1
-        while k < len(self.pieces) and self.starts[k] < b:
-            p, x, y = self.pieces[k]
-            if len(p) != y - x:
-                return True
-            k += 1
-        return False
-
-    def outer(self, parts: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """The pieces of a layer of this layer, in places of the text."""
-        out = []
-        for p, a, b in parts:
-            if a == b or not p:
-                continue
-            if len(p) == b - a and p == self.body[a:b]:  # not decoded here: keep the places of each piece below
-                k = bisect_right(self.starts, a) - 1
-                while k < len(self.pieces) and self.starts[k] < b:
-                    q, o, e = self.pieces[k]
-                    s = self.starts[k]
-                    lo, hi = max(a, s), min(b, s + len(q))
-                    out.append((q[lo - s : hi - s], o + lo - s, o + hi - s) if len(q) == e - o else (q[lo - s : hi - s], o, e))
-                    k += 1
-            else:
-                out.append((p, self.place(a, False)[0], self.place(b - 1, True)[0]))
-        return out
-
-    def inside(self, layers: Iterable[tuple[str, list[tuple[str, int, int]]]]) -> Iterator[Layer]:
-        for name, parts in layers:
-            yield Layer(f"{self.name}.{name}".lstrip("."), self.outer(parts))
+        first, last = self._pieces(np.array([a, b - 1])).tolist()
+        return not self.exact[first : last + 1].all()
+
+    def inner(self, name: str, cut: Cut) -> Layer:
+        """The layer of a cut of this one, with its places in the text."""
+        lengths, a, b, same = np.fromiter(map(len, cut.bodies), np.int64, len(cut.bodies)), cut.a, cut.b, cut.same
+        some = (lengths > 0) & (a < b)
+        lengths, a, b, same = lengths[some], a[some], b[some], same[some]
+        body = "".join(cut.bodies) if some.all() else "".join(compress(cut.bodies, some.tolist()))
+        if not len(lengths):
+            return Layer(name, "", lengths, a, b)
+        # what is the same keeps the places of each piece around it, what is decoded gets those of its whole origin
+        first, last = self._pieces(a), self._pieces(b - 1)
+        counts = np.where(same, last - first + 1, 1)
+        i = np.repeat(np.arange(len(a)), counts)
+        k = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+        low, high = np.maximum(a[i], self.starts[k]), np.minimum(b[i], self.starts[k] + self.length[k])
+        kept, exact = same[i], self.exact[k]
+        begin = np.where(kept, np.where(exact, self.a[k] + low - self.starts[k], self.a[k]), self.begin(a)[i])
+        end = np.where(kept, np.where(exact, self.a[k] + high - self.starts[k], self.b[k]), self.end(b)[i])
+        length = np.where(kept, high - low, lengths[i])
+        exact = length == end - begin
+        new = np.flatnonzero(np.concatenate([[True], ~(exact[1:] & exact[:-1] & (end[:-1] == begin[1:]))]))
+        stop = np.concatenate([new[1:], [len(length)]]) - 1
+        return Layer(name, body, np.add.reduceat(length, new), begin[new], end[stop])
+
+    def inside(self, layers: Iterable[tuple[str, Cut]]) -> Iterator[Layer]:
+        for name, cut in layers:
+            yield self.inner(f"{self.name}.{name}".lstrip("."), cut)
 
 
 def nested(text: str) -> list[tuple[str, int, int]]:
@@ -356,12 +453,12 @@ def nested(text: str) -> list[tuple[str, int, int]]:
                 parts = _remembered(body, secrets, whole, known, searched) if layer.name else _parts(body, known)
             for kind, a, b in secrets:
                 if layer.decoded(a, b):
-                    found.add((f"{kind}.{layer.name}", layer.place(a, False)[0], layer.place(b - 1, True)[0]))
+                    found.add((f"{kind}.{layer.name}", int(layer.begin(np.array([a]))[0]), int(layer.end(np.array([b]))[0])))
             queue += layer.inside(whole)
             del whole
             yield from layer.inside(parts)
 
-    work = [below(Layer("", [(text, 0, len(text))]))]
+    work = [below(Layer.of(text))]
     while work:
         layer = next(work[-1], None)
         if layer is None:
@@ -371,17 +468,17 @@ def nested(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
-def _remembered(body: str, secrets: list, whole: list, known: Kept, searched: Kept) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+def _remembered(body: str, secrets: list, whole: list, known: Kept, searched: Kept) -> Iterator[tuple[str, Cut]]:
     """The parts of a layer, which are kept with its secrets if all of it is small."""
     kept: list = []
     size = len(body) * (1 + len(whole))
-    for name, pieces in _parts(body, known):
-        size += sum(len(p[0]) for p in pieces)
+    for name, cut in _parts(body, known):
+        size += cut.size()
         if size < KEPT:
-            kept.append((name, pieces))
+            kept.append((name, cut))
         else:
             kept.clear()
-        yield name, pieces
+        yield name, cut
     if size < KEPT:
         searched.keep(body, (secrets, whole, kept), size)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
 import time
@@ -193,3 +195,63 @@ def test_work_and_memory_of_layers(monkeypatch):
     tracemalloc.stop()
     monkeypatch.setattr(secrets, "_inflate", lambda data: ("gzip", data, b"", False))
     assert secrets.nested(base64.b64encode(b"a part that opens to itself").decode()) == []
+
+
+PLAIN = "password = hunter2secretvalue"
+
+
+def test_every_alignment_is_decoded():
+    rng = random.Random(21)
+    b64 = lambda data: base64.b64encode(data).decode()
+    prefixes = ["https://host/dl/", "id-", "user_", "a+", "/", "x/y/z_", "deep/er-path/of_many+parts/"]
+    suffixes = ["", " end", "/view", "-2", "_x", "/a/b/c"]
+    contents = {
+        "assign.base64": lambda: PLAIN.encode() + b"." * rng.randint(0, 3),
+        "assign.base64.gzip": lambda: gzip.compress(PLAIN.encode(), mtime=0),
+        "assign.base64.zlib": lambda: zlib.compress(PLAIN.encode() + rng.randbytes(rng.randint(0, 3)).hex().encode()),
+        "assign.base64.bzip2": lambda: bz2.compress(PLAIN.encode()),
+        "assign.base64.xz": lambda: lzma.compress(PLAIN.encode()),
+    }
+    for prefix in [*prefixes, *("".join(rng.choice("abcdef/-_+") for _ in range(rng.randint(1, 40))) + "/" for _ in range(30))]:
+        for kind, content in contents.items():
+            part = b64(content()).rstrip("=") if rng.random() < 0.5 else b64(content())
+            suffix = rng.choice(suffixes)
+            t = f"see {prefix}{part}{suffix}"
+            got = [(a, b) for k, a, b in secrets.nested(t) if k == kind]
+            assert got and all(4 <= a <= t.index(part) and b >= t.index(part) + len(part.rstrip("=")) for a, b in got), (t, kind)
+
+
+def test_escaped_line_breaks_and_other_formats():
+    b64 = lambda data: base64.b64encode(data).decode()
+    part = b64(gzip.compress((PLAIN + "x" * 30 + str(list(range(60)))).encode(), mtime=0))
+    lines = [part[i : i + 64] for i in range(0, len(part), 64)]
+    for turn in (r"\n", r"\r\n"):
+        t = '{"key": "' + turn.join(lines) + '"}'
+        assert [(k, t[a:b]) for k, a, b in secrets.nested(t)] == [("assign.escape.base64.gzip", turn.join(lines))]
+    machine = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = b64(machine.compress(PLAIN.encode() * 3) + machine.flush())
+    assert [(k, f"x {raw} y"[a:b]) for k, a, b in secrets.nested(f"x {raw} y")] == [("assign.base64.deflate", raw)]
+    for data in (bz2.compress(PLAIN.encode() * 50)[:-3], lzma.compress(random.Random(3).randbytes(400).hex().encode() + PLAIN.encode() * 2000)[:-30], bz2.compress(b"") + b"x", lzma.compress(b"a")[:20]):
+        secrets.nested(b64(data))  # broken streams end
+    assert {k for k, _, _ in secrets.nested(b64(bz2.compress(b"first ") + bz2.compress(PLAIN.encode())))} == {"assign.base64.bzip2"}
+    for bomb in (bz2.compress(b"a" * (secrets.INFLATED + 10)), lzma.compress(b"a" * (secrets.INFLATED + 10))):
+        assert secrets.nested(b64(bomb)) == []
+
+
+def test_steps_follow_the_length(monkeypatch):
+    """Pieces that are handled grow as the text, whatever the clock says."""
+    count = [0]
+    inner = secrets.Layer.inner
+
+    def counted(self, name, cut):
+        count[0] += len(cut.bodies)
+        return inner(self, name, cut)
+
+    monkeypatch.setattr(secrets.Layer, "inner", counted)
+    for unit in ("%2541 ", "tok%65n=abcdefgh ", "ab/cd-ef_gh+ij/kl-mn ", "\\u0041\\n", base64.b64encode(PLAIN.encode()).decode() + " ", "eJw/", "H4sI-"):
+        steps = []
+        for n in (500, 4000):
+            count[0] = 0
+            secrets.nested(unit * n)
+            steps.append(count[0])
+        assert steps[1] <= 9 * steps[0] + 100, (unit, steps)
