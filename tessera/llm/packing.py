@@ -20,7 +20,7 @@ from tessera.llm.tokens import load
 #: Tokens of a sequence, and the id that ends a document.
 SIZE, END = 4096, 2
 #: Characters of text that are tokenized at once; a longer text comes in pieces of about so many.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Runs without white space that a task remembers with their ids, and the ids; past either only those met most are kept.
 RUNS, IDS = 1 << 19, 1 << 23
 #: Where a long text may be cut without a change of its tokens: before ASCII white space, or between a mark that is
@@ -114,6 +114,21 @@ def encoder_of(vocabulary: str, end: int) -> Encoder:
     return Encoder(vocabulary, end)
 
 
+def width(vocabulary: str) -> int:
+    """Bytes of an id while documents are ranked: 2, or 4 if there are more than 65,536 ids."""
+    return 2 if load(vocabulary).get_vocab_size() <= 1 << 16 else 4
+
+
+def widened(ids: pa.Array, wide: int) -> pa.Array:
+    """The same numbers with 32 bits each."""
+    ids = ids.cast(pa.large_binary())
+    _, offsets, data = ids.buffers()
+    begins = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    numbers = np.frombuffer(data or b"", np.uint8)[int(begins[0]) : int(begins[-1])].view(f"<u{wide}").astype("<u4")
+    out = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((begins - begins[0]) // wide * 4), pa.py_buffer(numbers)])
+    return out.cast(pa.binary())
+
+
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE characters; a longer text is alone."""
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
@@ -130,10 +145,11 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 def tokenized(docs: DataFrame, vocabulary: str, key: str, text: str, size: int = SIZE, end: int = END) -> DataFrame:
     """The ids of every text, cut at multiples of the size: (part, nth, key, start, length, ids, doc_tokens).
 
-    ids: little-endian unsigned 32-bit numbers. A part is a task; nth counts the rows of one length of a part from 0. So the rows of a
+    ids: little-endian unsigned numbers of the vocabulary's width (see width()). A part is a task; nth counts the rows of one length of a part from 0. So the rows of a
     length can be ranked from counts alone, without moving them.
     """
     ship(docs.sparkSession)
+    wide = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(vocabulary, end), np.zeros(size + 1, np.int64)
@@ -158,8 +174,8 @@ def tokenized(docs: DataFrame, vocabulary: str, key: str, text: str, size: int =
                 nth[order] = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(seen[groups], counts)
                 seen[groups] += counts
                 # pieces follow each other as their ids do
-                offsets = np.concatenate([[0], np.cumsum(length)]) * 4
-                data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+                offsets = np.concatenate([[0], np.cumsum(length)]) * wide
+                data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{wide}"))])
                 where = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(where), pa.array(nth), batch.column(1).take(where), pa.array(start), pa.array(length), data.cast(pa.binary()), pa.array(tokens[row])], ["part", "nth", "key", "start", "length", "ids", "doc_tokens"])
 
@@ -284,7 +300,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", key: str = "doc
     rows = stored(tokenized(docs, vocabulary, key, text, size, end))
     counts = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.filter(F.col("length") < size).groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = Plan(histogram, size)
+    plan, wide = Plan(histogram, size), width(vocabulary)
     # counts of one length: a row a task
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("part", "length", before.alias("before"))
@@ -302,7 +318,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", key: str = "doc
             at, piece = np.concatenate([zeros, at]), np.concatenate([zeros + size, piece])
             sequence, offset = np.concatenate([plan.packs + rank[whole], sequence]), np.concatenate([zeros, offset])
             taken = batch.select([0, 3, 4]).take(pa.array(own))
-            arrays = [taken.column(0), pa.array(start[own] + at), pa.array(piece), pa.array(at), taken.column(1), taken.column(2), pa.array(sequence), pa.array(offset)]
+            arrays = [taken.column(0), pa.array(start[own] + at), pa.array(piece), pa.array(at), widened(taken.column(1), wide), taken.column(2), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "length", "at", "ids", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[key].dataType.simpleString()

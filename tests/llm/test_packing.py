@@ -36,6 +36,14 @@ def test_ids_equal_the_library(monkeypatch, runs):
         assert all(encoder.long(t).tolist() == whole(t) for t in texts)
 
 
+@pytest.mark.parametrize("wide", [2, 4])
+def test_widened_ids(wide):
+    rows = [[1, 65535], [], [7], [2, 3, 4]]
+    column = pa.array([np.array(r, f"<u{wide}").tobytes() for r in rows], pa.binary())
+    for part in (column, column.slice(1), column.slice(2, 1), column.slice(4)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in op.widened(part, wide).to_pylist()] == [np.frombuffer(x, f"<u{wide}").tolist() for x in part.to_pylist()]
+
+
 def one_by_one(histogram, size):
     """Shortest pack first, a row at a time, with as few packs as the tokens need; fills of the packs and the cuts that were made."""
     most = -(-sum(n * c for n, c in histogram.items()) // size)
