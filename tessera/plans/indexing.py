@@ -1,10 +1,13 @@
-"""Indexing into a store: jobs with states, cancellation between stages, and a generation that one commit makes active."""
+"""Indexing into a store: jobs with states, cancellation at any time, and a generation that one commit makes active.
+
+The Spark jobs of an index job carry its tag. While it runs, a watcher looks at the registry, where any process may ask to cancel, and
+cancels what has the tag until the job has ended; half-written tables go with the generation.
+"""
 
 from __future__ import annotations
 
 import threading
 import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +22,32 @@ from tessera.sources.store import Store
 TABLES = ("files", "observations", "symbols", "edges", "externals", "diagnostics", "counts", "postings")
 
 
+#: Seconds between two looks at the registry while a job runs.
+WATCH = 0.25
+
+
 class Cancelled(Exception):
-    """A job that was asked to stop, seen between two stages."""
+    """A job that was asked to stop."""
+
+
+class Watcher(threading.Thread):
+    """Cancels the tagged Spark jobs of an index job once the registry asks for it, and goes on until it has ended."""
+
+    def __init__(self, store: Store, job_id: str, tag: str):
+        super().__init__(daemon=True)
+        self.store, self.job_id, self.tag = store, job_id, tag
+        self.over, self.asked = threading.Event(), False
+
+    def run(self) -> None:
+        while not self.over.wait(WATCH):
+            try:
+                job = next((j for j in self.store.registry()["jobs"] if j["job_id"] == self.job_id), None)
+            except RequestError:  # read again
+                continue
+            # past its last stage a job commits whatever was asked
+            if job is not None and job["cancel_requested"] and job["state"] in generations.LIVE and job["state"] != "committing":
+                self.asked = True
+                self.store.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 class Indexer:
@@ -31,20 +58,6 @@ class Indexer:
 
     # -- jobs
 
-    def _change(self, change: Callable[[dict], object]) -> object:
-        """Applies a change to the registry, again if another writer was first."""
-        for _ in range(20):
-            registry = self.store.registry()
-            got = change(registry)
-            try:
-                self.store.commit(registry)
-            except RequestError as error:
-                if "WRITER_BUSY" not in str(error):
-                    raise
-                continue
-            return got
-        raise RequestError("WRITER_BUSY")
-
     def jobs(self) -> list[dict]:
         return self.store.registry()["jobs"]
 
@@ -55,7 +68,7 @@ class Indexer:
         return found
 
     def cancel(self, job_id: str) -> str:
-        """requested, already_requested or already_finished; a running job ends at its next stage."""
+        """requested, already_requested or already_finished; the Spark jobs of a running job are cancelled where they are."""
 
         def change(registry: dict) -> str:
             job = next((j for j in registry["jobs"] if j["job_id"] == job_id), None)
@@ -68,7 +81,7 @@ class Indexer:
             job["cancel_requested"] = True
             return "requested"
 
-        return self._change(change)
+        return self.store.change(change)
 
     def _move(self, job_id: str, state: str, **more) -> None:
         def change(registry: dict) -> None:
@@ -80,7 +93,7 @@ class Indexer:
             job["state"] = state
             job |= more
 
-        self._change(change)
+        self.store.change(change)
 
     def request(self, request_key: str, generation_id: str) -> tuple[dict, bool]:
         """(job, whether it is new): a key that was asked for before gives its job again."""
@@ -96,7 +109,7 @@ class Indexer:
             registry["generations"].append({"generation_id": generation_id, "parent_id": registry["active"], "status": "building", "scan_complete": False, "resolved": False})
             return job, True
 
-        return self._change(change)
+        return self.store.change(change)
 
     def run(self, files: DataFrame, request_key: str, generation_id: str, rules=None, background: bool = False) -> dict:
         """Indexes a tree into a new generation. The active one stays as it is until the new one is whole.
@@ -125,6 +138,20 @@ class Indexer:
             return
 
     def _run(self, job_id: str, files: DataFrame, generation_id: str, rules) -> None:
+        context, tag = self.spark.sparkContext, f"tessera-{job_id}"
+        watcher = Watcher(self.store, job_id, tag)
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        watcher.start()
+        try:
+            self._stages(job_id, files, generation_id, rules, watcher)
+        finally:
+            watcher.over.set()
+            watcher.join()
+            context.removeJobTag(tag)
+            context.setInterruptOnCancel(False)
+
+    def _stages(self, job_id: str, files: DataFrame, generation_id: str, rules, watcher: Watcher) -> None:
         try:
             self._move(job_id, "scanning")
             status = scan.scan_status(files, rules).first()
@@ -141,6 +168,9 @@ class Indexer:
         except Cancelled:
             self._end(job_id, generation_id, "cancelled")
         except Exception as error:
+            if watcher.asked:  # a Spark job that was cancelled fails where it was started
+                self._end(job_id, generation_id, "cancelled")
+                return
             self._end(job_id, generation_id, "failed", message=str(error)[:500])
             raise
         else:
@@ -150,7 +180,7 @@ class Indexer:
         def change(registry: dict) -> None:
             next(g for g in registry["generations"] if g["generation_id"] == generation_id)[name] = True
 
-        self._change(change)
+        self.store.change(change)
 
     def _end(self, job_id: str, generation_id: str, state: str, **more) -> None:
         """The job is over and its generation is given up; the active one was never touched."""
@@ -161,7 +191,7 @@ class Indexer:
                 if g["generation_id"] == generation_id and g["status"] == "building":
                     g["status"] = "abandoned"
 
-        self._change(change)
+        self.store.change(change)
         self.store.drop([generation_id], TABLES)
 
     # -- stages
@@ -211,7 +241,7 @@ class Indexer:
             registry["previous"], registry["active"] = registry["active"], generation_id
             job["state"] = "completed"
 
-        self._change(change)
+        self.store.change(change)
 
     def collect_garbage(self) -> list[str]:
         """Drops the tables of generations that nothing needs; returns their ids."""
@@ -233,7 +263,7 @@ class Indexer:
                 j["state"] = "interrupted" if j["state"] in generations.LIVE else j["state"]
             return left
 
-        self.store.drop(self._change(change), TABLES)
+        self.store.drop(self.store.change(change), TABLES)
 
     # -- reading
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,11 @@ from tessera.limits import RequestError
 from tessera.operators.generations import new_versions
 
 
+T_ = TypeVar("T_")
+#: Writers of one process take turns; between processes the rename decides.
+_COMMITS = threading.Lock()
+
+
 class Store:
     """Tables below a folder of any file system that Spark writes; rows of a generation are a partition of their own."""
 
@@ -32,14 +41,35 @@ class Store:
 
         Every change is a file of its own with the next number; the highest one counts. A change is written aside and becomes
         visible by one rename to a name that isn't there yet, so a crash leaves the last whole state, and of two writers one fails.
+        Between processes this holds on file systems that refuse to rename onto a file, as HDFS does; local disks and object stores
+        may not, and there one process at a time may write.
         """
-        numbers = self._numbers()
-        if not numbers:
-            return {"version": schema.VERSION, "root_id": self.root_id, "active": None, "previous": None, "generations": [], "jobs": []}
-        found = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/registry/{numbers[-1]:012d}.json").collect()))
-        if found["version"] != schema.VERSION or found["root_id"] != self.root_id:
-            raise RequestError("STORAGE_ERROR", "the store is of another version or root")
-        return found | {"number": numbers[-1]}
+        for _ in range(20):
+            numbers = self._numbers()
+            if not numbers:
+                return {"version": schema.VERSION, "root_id": self.root_id, "active": None, "previous": None, "generations": [], "jobs": []}
+            text = self._text(f"registry/{numbers[-1]:012d}.json")
+            if text is None:  # two commits came between the list and the read
+                continue
+            found = json.loads(text)
+            if found["version"] != schema.VERSION or found["root_id"] != self.root_id:
+                raise RequestError("STORAGE_ERROR", "the store is of another version or root")
+            return found | {"number": numbers[-1]}
+        raise RequestError("STORAGE_ERROR", "the registry changes faster than it can be read")
+
+    def _text(self, name: str) -> str | None:
+        """A small file, read by the file system without a job; None if it is gone."""
+        path, fs = self._path(name)
+        try:
+            stream = fs.open(path)
+        except Py4JJavaError as error:
+            if "FileNotFound" in error.java_exception.getClass().getName():
+                return None
+            raise
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def _numbers(self) -> list[int]:
         path, fs = self._path("registry")
@@ -54,14 +84,30 @@ class Store:
         out.write(bytearray(json.dumps({k: v for k, v in registry.items() if k != "number"}).encode()))
         out.close()
         target, _ = self._path(f"registry/{number:012d}.json")
-        if fs.exists(target) or not fs.rename(aside, target):
+        with _COMMITS:
+            first = not fs.exists(target) and (self._numbers() or [0])[-1] < number and fs.rename(aside, target)
+        if not first:
             fs.delete(aside, False)
             raise RequestError("WRITER_BUSY", "another writer was first")
         registry["number"] = number
-        for old in self._numbers()[:-2]:
+        for old in self._numbers()[:-3]:
             path, _ = self._path(f"registry/{old:012d}.json")
             fs.delete(path, False)
 
+    def change(self, change: Callable[[dict], T_]) -> T_:
+        """Applies a change to the registry, again on what is there then if another writer was first."""
+        for _ in range(20):
+            registry = self.registry()
+            got = change(registry)
+            try:
+                self.commit(registry)
+            except RequestError as error:
+                if error.code != "WRITER_BUSY":
+                    raise
+                continue
+            return got
+        raise RequestError("WRITER_BUSY")
+
     def pointer(self) -> dict | None:
         found = self.registry()
         return found if found["active"] is not None else None
@@ -85,12 +131,9 @@ class Store:
 
     def append_versions(self, rows: DataFrame, kind: T.StructType) -> None:
         """Adds file versions that are not there yet; versions never change."""
-        try:
-            have = self.spark.read.schema(kind).parquet(f"{self.folder}/file_versions")
-            rows = new_versions(rows, have)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        path, fs = self._path("file_versions")
+        if fs.exists(path):
+            rows = new_versions(rows, self.spark.read.schema(kind).parquet(f"{self.folder}/file_versions"))
         rows.select(*kind.names).write.mode("append").parquet(f"{self.folder}/file_versions")
 
     def read(self, table: str, generation_id: str | None = None) -> DataFrame:

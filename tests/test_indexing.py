@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 
 import pytest
 
 from tessera.__main__ import main
 from tessera.limits import RequestError
+from tessera.operators import extraction
 from tessera.plans.indexing import Indexer
 from tessera.plans.service import Service, build
 from tessera.sources import scan
@@ -131,3 +134,57 @@ def test_searches_read_the_partitions_of_their_terms(spark, indexer, tmp_path):
         assert [(s["symbol_id"], s["match_kind"]) for s in a["symbols"]] == [(s["symbol_id"], s["match_kind"]) for s in b["symbols"]], query
     plan = service.index.postings.terms(["load"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,load)]" in plan
+
+
+def test_cancel_in_the_middle_of_a_parse(spark, indexer, tmp_path, monkeypatch):
+    files, rules = tree(spark, tmp_path / "one", {"a.rs": "fn a() {}"})
+    indexer.run(files, "first", "g1", rules)
+    slow = extraction.parsed
+
+    def parsed(sources):
+        """A parse of an hour: every row waits."""
+        return slow(sources.mapInPandas(lambda frames: (time.sleep(3600) or f for f in frames), sources.schema))
+
+    monkeypatch.setattr(extraction, "parsed", parsed)
+    files, rules = tree(spark, tmp_path / "two", {"a.rs": "fn b() {}", "b.rs": "fn c() {}"})
+    job = indexer.run(files, "second", "g2", rules, background=True)
+    until = time.monotonic() + 60
+    while not (indexer.job(job["job_id"])["state"] == "parsing" and spark.sparkContext.statusTracker().getActiveJobsIds()):
+        assert time.monotonic() < until
+        time.sleep(0.1)
+    time.sleep(1)  # the task has begun
+    # another process asks, over the registry alone
+    assert Indexer(Store(spark, indexer.store.folder)).cancel(job["job_id"]) == "requested"
+    began = time.monotonic()
+    assert indexer.wait(job["job_id"], 20)["state"] == "cancelled" and time.monotonic() - began < 5
+    assert indexer.store.active() == "g1" and indexer.store.read("files").count() == 1
+    assert indexer.store.registry()["generations"][-1]["status"] == "abandoned"
+    monkeypatch.undo()
+    job = indexer.run(files, "third", "g3", rules)
+    assert job["state"] == "completed" and indexer.store.read("files").count() == 2
+
+
+def test_registry_without_jobs_and_with_two_writers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    for i in range(6):
+        store.change(lambda r, i=i: r.update(previous=f"p{i}"))
+    assert store.registry()["previous"] == "p5" and set(tracker.getJobIdsForGroup(None)) == before
+    names = [f"w{i}-{k}" for i in range(3) for k in range(5)]
+
+    def write(i):
+        for k in range(5):
+            while True:
+                try:
+                    store.change(lambda r, k=k: r["jobs"].append(f"w{i}-{k}"))
+                    break
+                except RequestError as error:
+                    assert error.code == "WRITER_BUSY"
+
+    writers = [threading.Thread(target=write, args=(i,)) for i in range(3)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(store.registry()["jobs"]) == sorted(names)
