@@ -17,6 +17,7 @@ from tessera.operators import extraction, generations, paging, postings, resolut
 from tessera.operators.postings import Postings
 from tessera.plans.service import Index, symbols_of
 from tessera.sources import scan
+from tessera.sources.notebook import Notebook
 from tessera.sources.store import Store
 
 TABLES = ("files", "observations", "symbols", "edges", "externals", "diagnostics", "counts", "postings")
@@ -55,6 +56,7 @@ class Indexer:
 
     def __init__(self, store: Store, repository_id: str = "repository"):
         self.store, self.spark, self.repository_id = store, store.spark, repository_id
+        self.notebook = Notebook(store)
 
     # -- jobs
 
@@ -268,10 +270,11 @@ class Indexer:
     # -- reading
 
     def open(self, sources: DataFrame | None = None) -> Index:
-        """The active generation; with the sources, code can be read as well."""
+        """The active generation and the notes; with the sources, code can be read as well."""
         generation = self.store.active()
+        notes, evidence = self.notebook.read()
         read = lambda t: self.store.read(t, generation)
-        return Index(self.repository_id, generation, read("files"), read("symbols"), read("edges"), read("observations").drop("generation_id"), read("externals"), sources, postings=Postings(self.spark, f"{self.store.folder}/postings/generation_id={generation}"))
+        return Index(self.repository_id, generation, read("files"), read("symbols"), read("edges"), read("observations").drop("generation_id"), read("externals"), sources, notes, evidence, postings=Postings(self.spark, f"{self.store.folder}/postings/generation_id={generation}"))
 
     def status(self) -> dict:
         """What is there, from what was stored with the generation: no table is counted."""

@@ -181,12 +181,17 @@ class Service:
         return [r.asDict() for r in search.search_notes(self.index.notes, status, query, scope, include_stale, limit).collect()]
 
     def upsert_memory(self, write: DataFrame, evidence: DataFrame | None = None) -> dict:
-        """Writes one note (the columns of notes, expected_revision); its evidence must hold in this generation."""
+        """Writes one note (the columns of notes, expected_revision); its evidence must hold in this generation.
+
+        With an indexer the note goes to its store, where the revision is checked at the moment of the commit.
+        """
         write = write.withColumn("delete", F.lit(False))
         if evidence is not None and not notes.valid_evidence(evidence, self.index.files, self.index.symbols).filter("NOT valid").isEmpty():
             raise RequestError("MEMORY_EVIDENCE_INVALID")
         if not notes.bound_faults(write, evidence if evidence is not None else self.index.evidence.limit(0)).isEmpty():
             raise RequestError("MEMORY_LIMIT_EXCEEDED")
+        if self.indexer is not None:
+            return self._noted(write, evidence)
         done = notes.decide(self.index.notes, write).first()
         if done["outcome"] in ("conflict", "revision_required"):
             raise RequestError("MEMORY_REVISION_CONFLICT", done["outcome"])
@@ -195,9 +200,22 @@ class Service:
             self.index.evidence = notes.replace_evidence(self.index.evidence, evidence)
         return done.asDict()
 
+    def _noted(self, write: DataFrame, evidence: DataFrame | None = None) -> dict:
+        (done,) = self.indexer.notebook.write(write, evidence)
+        if done["outcome"] == "limit":
+            raise RequestError("MEMORY_LIMIT_EXCEEDED", "notes")
+        if done["outcome"] == "not_found":
+            raise RequestError("MEMORY_NOT_FOUND", done["id"])
+        if done["outcome"] in ("conflict", "revision_required"):
+            raise RequestError("MEMORY_REVISION_CONFLICT", done["outcome"])
+        self.index.notes, self.index.evidence = self.indexer.notebook.read()
+        return done
+
     def forget_memory(self, note_id: str, expected_revision: int) -> dict:
         spark = self.index.files.sparkSession
         write = spark.createDataFrame([(note_id, expected_revision, True)], "id string, expected_revision long, delete boolean")
+        if self.indexer is not None:
+            return {"id": note_id, "outcome": self._noted(write)["outcome"]}
         done = notes.decide(self.index.notes, write).first()
         if done["outcome"] == "not_found":
             raise RequestError("MEMORY_NOT_FOUND", note_id)
@@ -246,10 +264,8 @@ class Service:
         return job
 
     def refresh(self) -> None:
-        """Turns to the active generation of the store; notes stay."""
-        now = self.index
-        self.index = self.indexer.open(now.sources)
-        self.index.notes, self.index.evidence = now.notes, now.evidence
+        """Turns to the active generation and the notes of the store."""
+        self.index = self.indexer.open(self.index.sources)
 
     def job_status(self, job_id: str) -> dict:
         if self.indexer is not None:
