@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import under
 from tessera.limits import DEFAULTS, LIMITS, check_graph
+from tessera.operators.lookups import Adjacency
 
 RELATION_ORDER = ("source_path", "source_start_byte", "edge_id")
 
@@ -39,16 +40,16 @@ def call_sites(edges: DataFrame, symbol_id: str) -> DataFrame:
     return edges.filter((F.col("relationship") == "calls") & (F.col("target_symbol_id") == symbol_id)).orderBy("edge_id")
 
 
-def walk(edges: DataFrame, roots: list[str], direction: str = "outgoing", relationship: str = "any", include_candidates: bool = True, depth: int = DEFAULTS.depth, max_nodes: int = DEFAULTS.nodes, max_edges: int = DEFAULTS.edges, deadline_ms: int | None = None) -> tuple[list[str], list, bool]:
+def walk(edges: DataFrame, roots: list[str], direction: str = "outgoing", relationship: str = "any", include_candidates: bool = True, depth: int = DEFAULTS.depth, max_nodes: int = DEFAULTS.nodes, max_edges: int = DEFAULTS.edges, deadline_ms: int | None = None, index: Adjacency | None = None) -> tuple[list[str], list, bool]:
     """(sorted ids, edges in the order of the walk, whether a cap cut it): breadth first, first in, first out.
 
     A node's edges come in relation order. The edge cap counts every edge, also to nodes met before; a node past the
     node cap is not entered, but its edge stays. With a deadline, no level begins after it, and the walk counts as cut.
+    With the edges' index, a level reads the partitions of its frontier instead of all edges.
     """
     check_graph(depth, max_nodes, max_edges, DEFAULTS.deadline_ms if deadline_ms is None else deadline_ms)
     until = None if deadline_ms is None else time.monotonic() + deadline_ms / 1000
     near, far = ("source_symbol_id", "target_symbol_id") if direction == "outgoing" else ("target_symbol_id", "source_symbol_id")
-    found = relations(edges, relationship, include_candidates)
     visited = dict.fromkeys(roots[:max_nodes])
     level, taken, ids, cut = list(visited), [], set(), len(roots) > max_nodes
     for _ in range(depth):
@@ -58,7 +59,8 @@ def walk(edges: DataFrame, roots: list[str], direction: str = "outgoing", relati
         if left <= 0 or (until is not None and time.monotonic() > until):
             cut = True
             break
-        frontier = found.sparkSession.createDataFrame(list(enumerate(level)), "place int, __node string")
+        found = relations(edges if index is None else index.of(near, level), relationship, include_candidates)
+        frontier = edges.sparkSession.createDataFrame(list(enumerate(level)), "place int, __node string")
         rows = found.join(F.broadcast(frontier), F.col(near) == F.col("__node")).orderBy("place", *RELATION_ORDER).limit(left + 1).drop("__node").collect()
         last = rows[left - 1]["place"] if len(rows) >= left else None
         if len(rows) > left or (last is not None and last < len(level) - 1):
@@ -101,7 +103,7 @@ def trace_calls(edges: DataFrame, symbol_id: str, direction: str = "incoming", *
     return _frame(edges, taken), warnings
 
 
-def analyze_impact(edges: DataFrame, symbols: DataFrame, symbol_ids: list[str], paths: list[str], depth: int = DEFAULTS.depth, max_nodes: int = DEFAULTS.nodes, max_edges: int = DEFAULTS.edges, include_candidates: bool = True) -> tuple[list[str], DataFrame, list[str], bool]:
+def analyze_impact(edges: DataFrame, symbols: DataFrame, symbol_ids: list[str], paths: list[str], depth: int = DEFAULTS.depth, max_nodes: int = DEFAULTS.nodes, max_edges: int = DEFAULTS.edges, include_candidates: bool = True, index: Adjacency | None = None) -> tuple[list[str], DataFrame, list[str], bool]:
     """(symbols, edges, paths, cut) that changes of symbols and files reach against the direction of relations.
 
     Seeds are the ids, the symbols of the files, and the sources of the edges into the files. Edges into the files count
@@ -111,11 +113,11 @@ def analyze_impact(edges: DataFrame, symbols: DataFrame, symbol_ids: list[str],
     seeds, into, cut = dict.fromkeys(symbol_ids), [], False
     if paths:
         own = symbols.filter(F.col("relative_path").isin(paths)).select("symbol_id").distinct().orderBy("symbol_id").limit(max_nodes + 1).collect()
-        into = relations(edges, "any", include_candidates).filter(F.col("target_path").isin(paths)).orderBy(*RELATION_ORDER).limit(max_edges + 1).collect()
+        into = relations(edges if index is None else index.of("target_path", paths), "any", include_candidates).filter(F.col("target_path").isin(paths)).orderBy(*RELATION_ORDER).limit(max_edges + 1).collect()
         cut = len(own) > max_nodes or len(into) > max_edges
         into = into[:max_edges]
         seeds |= dict.fromkeys(r["symbol_id"] for r in own) | dict.fromkeys(r["source_symbol_id"] for r in into if r["source_symbol_id"])
-    ids, taken, more = walk(edges, sorted(seeds), direction="incoming", include_candidates=include_candidates, depth=depth, max_nodes=max_nodes, max_edges=max(1, max_edges - len(into)))
+    ids, taken, more = walk(edges, sorted(seeds), direction="incoming", include_candidates=include_candidates, depth=depth, max_nodes=max_nodes, max_edges=max(1, max_edges - len(into)), index=index)
     both = {r["edge_id"]: r for r in [*into, *taken]}
     ordered = sorted(both.values(), key=lambda r: tuple(r[c] for c in RELATION_ORDER))
     reached = {*paths, *(r["source_path"] for r in ordered), *(r["target_path"] for r in ordered if r["target_path"])}

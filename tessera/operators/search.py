@@ -57,6 +57,11 @@ def python_identifier_tokens(text: str) -> list[str]:
     return [t.lower() for t in [*out, now] if t]
 
 
+def python_ascii_lower(text: str) -> str:
+    """functions.text.ascii_lower of a query."""
+    return "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def search_documents(symbols: DataFrame) -> DataFrame:
     """The indexed text of each symbol: kind, spelling, its parts, and signature."""
     content = F.concat_ws(" ", "kind", "spelling", F.array_join(identifier_tokens(F.col("spelling")), " "), F.coalesce("signature", F.lit("")))
@@ -123,18 +128,24 @@ def qualified_leaf(query: str) -> str | None:
     return query[at:] or None if at >= 0 else None
 
 
-def ranked(symbols: DataFrame, query: str, tokens: bool = True, postings=None) -> DataFrame:
-    """Symbols that meet a tier, with tier and score. With the Postings of the symbols, their texts are not read."""
+def ranked(symbols: DataFrame, query: str, tokens: bool = True, postings=None, names=None) -> DataFrame:
+    """Symbols that meet a tier, with tier and score.
+
+    With the Names of the symbols, the tiers of names read the files of these names alone; with the Postings, texts are not read.
+    """
     folded, spelling = query.lower(), F.col("spelling")
     low, container = ascii_lower(spelling), F.coalesce("container", F.lit(""))
     qualified = F.lit(False)
     if qualified_leaf(query):
         qualified = (spelling == qualified_leaf(query)) & ((F.concat(container, F.lit("."), spelling) == query) | (F.concat(container, F.lit("::"), spelling) == query))
     tier = F.when(qualified, 0).when(spelling == query, 1).when(low == folded, 2).when(low.startswith(folded), F.when(spelling.startswith(query), 3).otherwise(4))
-    direct = symbols.withColumn("tier", tier).withColumn("score", F.lit(0.0))
+    exact = [python_ascii_lower(n) for n in (query, qualified_leaf(query)) if n]
+    named = symbols if names is None else names.find(folded, *exact)
+    tiered = lambda rows: rows.withColumn("tier", tier).withColumn("score", F.lit(0.0))
+    direct = tiered(named).filter("tier IS NOT NULL")
     terms = python_identifier_tokens(query)
     if not tokens or not terms:
-        return direct.filter("tier IS NOT NULL")
+        return direct
     terms = [t for term in terms for t in python_index_tokens(term)]
     if postings is not None:
         matched = postings.every(terms)
@@ -142,19 +153,19 @@ def ranked(symbols: DataFrame, query: str, tokens: bool = True, postings=None) -
         matched = bm25(search_documents(symbols.select("relative_path", "spelling", "kind", "signature")), ["spelling", "relative_path", "content"], terms)
     matched = matched.filter(~ascii_lower(spelling).startswith(folded))
     best = matched.groupBy(F.col("relative_path").alias("__path"), F.col("spelling").alias("__name")).agg(F.min("score").alias("__score"))
-    late = direct.filter("tier IS NULL").join(best, (F.col("relative_path") == F.col("__path")) & (spelling == F.col("__name")))
+    late = tiered(symbols).filter("tier IS NULL").join(best, (F.col("relative_path") == F.col("__path")) & (spelling == F.col("__name")))
     late = late.withColumns({"tier": F.lit(5), "score": F.col("__score")}).drop("__path", "__name", "__score")
-    return direct.filter("tier IS NOT NULL").unionByName(late)
+    return direct.unionByName(late)
 
 
-def search_symbols(symbols: DataFrame, query: str, language: str | None = None, kind: str | None = None, path_prefix: str | None = None, limit: int = DEFAULTS.results, after: tuple | None = None, tokens: bool = True, postings=None) -> DataFrame:
+def search_symbols(symbols: DataFrame, query: str, language: str | None = None, kind: str | None = None, path_prefix: str | None = None, limit: int = DEFAULTS.results, after: tuple | None = None, tokens: bool = True, postings=None, names=None) -> DataFrame:
     """The first rows of the search order after the key `after`, limit + 1 of them, so that a reader sees if more follow.
 
     Statistics of the token tier are those of all symbols; the filters hold for what is returned.
     """
     check_text(query, LIMITS.query_bytes, "query")
     check_limit(limit, LIMITS.results)
-    found = ranked(symbols, query, tokens, postings)
+    found = ranked(symbols, query, tokens, postings, names)
     for column, value in (("language", language), ("kind", kind)):
         if check_text(value, LIMITS.filter_bytes, column) is not None:
             found = found.filter(F.col(column) == value)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, resolution, retrieval
+from tessera.cluster import shared_folder
+from tessera.operators import graph, lookups, resolution, retrieval
 from tessera.sources import corpus
 from tessera.sources.corpus import sql
 
@@ -65,6 +68,60 @@ n2 AS (SELECT node, place FROM (SELECT {far} AS node, row_number() OVER (ORDER B
     return sql("edges", body, more=more)
 
 
+def _levels(near: str, far: str, levels: int, kind: str = "true", met: str = f"SELECT '{ROOT}' AS node, 1 AS place", edges: str = str(_EDGES)) -> str:
+    """Tables e1, n1, e2, n2, ... of a walk from the nodes met at first (n0), first in first out: edges in relation order of nodes in the
+    order that they were met, up to the caps of edges and nodes over all levels."""
+    said = [f"n0 AS ({met})"]
+    for i in range(1, levels + 1):
+        taken = "".join(f" - (SELECT count(*) FROM e{k})" for k in range(1, i))
+        known = " UNION ALL ".join(f"SELECT node FROM n{k}" for k in range(i))
+        held = "".join(f" - (SELECT count(*) FROM n{k})" for k in range(i))
+        said.append(f"e{i} AS (SELECT e.*, row_number() OVER (ORDER BY place, {_STEP}) AS pos FROM edges e JOIN n{i - 1} ON {near} = node WHERE {kind} QUALIFY pos <= {edges}{taken})")
+        said.append(f"n{i} AS (SELECT node, place FROM (SELECT {far} AS node, row_number() OVER (ORDER BY min(pos)) AS place FROM e{i} WHERE {far} NOT IN ({known}) GROUP BY 1) x WHERE place <= {_NODES}{held})")
+    return ",\n".join(said)
+
+
+def _walked_sql(near: str, far: str, levels: int) -> str:
+    return sql("edges", " UNION ALL ".join(f"SELECT node AS symbol_id FROM n{k}" for k in range(levels + 1)), more=_levels(near, far, levels))
+
+
+def _traced_sql(levels: int) -> str:
+    return sql("edges", " UNION ALL ".join(f"SELECT {', '.join(EDGE)} FROM e{k}" for k in range(1, levels + 1)), more=_levels("target_symbol_id", "source_symbol_id", levels, "relationship = 'calls'"))
+
+
+def _impact_sql(levels: int) -> str:
+    seeds = f"SELECT node, row_number() OVER (ORDER BY node) AS place FROM (SELECT '{ROOT}' AS node UNION SELECT symbol_id FROM own UNION SELECT source_symbol_id FROM into_path) x QUALIFY place <= {_NODES}"
+    walked = _levels("target_symbol_id", "source_symbol_id", levels, met=seeds, edges=f"greatest(1, {_EDGES} - (SELECT count(*) FROM into_path))")
+    reached = " UNION ALL ".join(f"SELECT source_path, target_path FROM {t}" for t in ("into_path", *(f"e{k}" for k in range(1, levels + 1))))
+    return sql("symbols edges", f"SELECT DISTINCT p AS relative_path FROM (SELECT source_path AS p FROM reached UNION ALL SELECT target_path FROM reached UNION ALL SELECT '{PATH}') u", more=f"""own AS (SELECT DISTINCT symbol_id FROM symbols WHERE relative_path = '{PATH}' ORDER BY 1 LIMIT {_NODES + 1}),
+into_path AS (SELECT * FROM edges WHERE target_path = '{PATH}' ORDER BY {_STEP} LIMIT {_EDGES}),
+{walked},
+reached AS ({reached})""")
+
+
+def _adjacency(spark, folder) -> lookups.Adjacency:
+    """The index of the corpus' edges, written once a session and folder."""
+    key = f"tessera_adjacency_{folder}"
+    if not hasattr(spark, key):
+        target = f"{shared_folder(spark)}/adjacency-{uuid.uuid4().hex}"
+        lookups.write_edges(corpus.edges(spark, folder), target)
+        setattr(spark, key, target)
+    return lookups.Adjacency(spark, getattr(spark, key))
+
+
+def _indexed_walk(direction: str, depth: int):
+    """A walk of which each level reads the partitions of its frontier."""
+    return lambda spark, folder: graph.walked_nodes(corpus.edges(spark, folder), [ROOT], direction=direction, depth=depth, index=_adjacency(spark, folder))
+
+
+def indexed_impact(spark, folder):
+    return graph.impacted_paths(corpus.edges(spark, folder), corpus.symbols(spark, folder), [ROOT], [PATH], depth=2, index=_adjacency(spark, folder))
+
+
+def indexed_references(spark, folder):
+    return retrieval.references_to(_adjacency(spark, folder).of("target_symbol_id", [ROOT]), ROOT, limit=200).select(*EDGE)
+
+
 def _observations(spark, folder) -> DataFrame:
     """Symbols of the corpus as observations; classes and modules are scopes as well."""
     s = corpus.symbols(spark, folder)
@@ -122,11 +179,15 @@ QUERIES = {
     "walk_incoming": _walk_nodes("incoming", 2),
     "trace_calls": _trace(2),
     "analyze_impact": _impact(1),
-    # deeper walks meet their caps in ways that tests hold against a queue
+    # deeper walks, to their caps of nodes and edges
     "walk_outgoing_all": _walk_nodes("outgoing", 3),
     "walk_incoming_all": _walk_nodes("incoming", 3),
     "trace_calls_all": _trace(3),
     "analyze_impact_all": _impact(2),
+    "indexed_walk_outgoing": _indexed_walk("outgoing", 3),
+    "indexed_walk_incoming": _indexed_walk("incoming", 3),
+    "indexed_impact": indexed_impact,
+    "indexed_references": indexed_references,
     "containment": containment,
     "scope_chains": scope_chains,
     "smallest_scopes": smallest_scopes,
@@ -152,6 +213,14 @@ into_path AS (SELECT * FROM edges WHERE target_path = '{PATH}' ORDER BY {_STEP}
 seeds AS (SELECT node, row_number() OVER (ORDER BY node) AS place FROM (SELECT '{ROOT}' AS node UNION SELECT symbol_id FROM own UNION SELECT source_symbol_id FROM into_path) x QUALIFY place <= {_NODES}),
 walked AS (SELECT e.*, row_number() OVER (ORDER BY place, {_STEP}) AS pos FROM edges e JOIN seeds ON target_symbol_id = node QUALIFY pos <= greatest(1, {_EDGES} - (SELECT count(*) FROM into_path))),
 reached AS (SELECT source_path, target_path FROM into_path UNION ALL SELECT source_path, target_path FROM walked)"""),
+    "walk_outgoing_all": _walked_sql("source_symbol_id", "target_symbol_id", 3),
+    "walk_incoming_all": _walked_sql("target_symbol_id", "source_symbol_id", 3),
+    "trace_calls_all": _traced_sql(3),
+    "analyze_impact_all": _impact_sql(2),
+    "indexed_walk_outgoing": _walked_sql("source_symbol_id", "target_symbol_id", 3),
+    "indexed_walk_incoming": _walked_sql("target_symbol_id", "source_symbol_id", 3),
+    "indexed_impact": _impact_sql(2),
+    "indexed_references": sql("edges", f"SELECT {_E} FROM edges WHERE target_symbol_id = '{ROOT}' AND relationship IN ('references', 'calls') ORDER BY {_LIKE} LIMIT 201"),
     "containment": sql("symbols", "SELECT relative_path, child_id, container_id FROM (SELECT c.relative_path, c.symbol_id AS child_id, o.symbol_id AS container_id, row_number() OVER (PARTITION BY c.relative_path, c.symbol_id ORDER BY o.syntax_end_byte - o.syntax_start_byte, o.start_byte, o.symbol_id) AS n FROM symbols c JOIN symbols o ON c.relative_path = o.relative_path AND c.symbol_id <> o.symbol_id AND o.syntax_start_byte <= c.start_byte AND o.syntax_end_byte >= c.end_byte AND o.kind IN ('module', 'class', 'function', 'method', 'local')) x WHERE n = 1"),
     "scope_chains": sql("symbols", "SELECT relative_path, s AS scope_id, o AS ancestor_id, row_number() OVER (PARTITION BY s ORDER BY s <> o, size, is_file, o) - 1 AS distance FROM (SELECT s.relative_path, s.id AS s, o.id AS o, o.b - o.a AS size, o.is_file FROM scopes s JOIN scopes o ON s.relative_path = o.relative_path AND (s.id = o.id OR (NOT s.is_file AND o.a <= s.a AND o.b >= s.b AND (o.a, o.b) <> (s.a, s.b)))) x", more=_SCOPES),
     "smallest_scopes": sql("symbols", "SELECT relative_path, symbol_id, scope FROM (SELECT s.relative_path, symbol_id, id AS scope, row_number() OVER (PARTITION BY s.relative_path, symbol_id ORDER BY b - a, is_file, id) AS n FROM symbols s JOIN scopes c ON s.relative_path = c.relative_path AND a <= s.start_byte AND s.end_byte <= b) x WHERE n = 1", more=_SCOPES),

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.limits import RequestError
-from tessera.operators import extraction, generations, paging, postings, resolution, retrieval
+from tessera.operators import extraction, generations, lookups, paging, postings, resolution, retrieval
 from tessera.operators.postings import Postings
 from tessera.plans.service import Index, symbols_of
 from tessera.sources import scan
 from tessera.sources.notebook import Notebook
 from tessera.sources.store import Store
 
-TABLES = ("files", "observations", "symbols", "edges", "externals", "diagnostics", "counts", "postings")
+TABLES = ("files", "observations", "symbols", "edges", "externals", "diagnostics", "counts", "postings", "names", "adjacency")
 
 
 #: Seconds between two looks at the registry while a job runs.
@@ -226,7 +226,9 @@ class Indexer:
         self.store.write("edges", edges, generation_id)
         self.store.write("externals", externals, generation_id)
         self.store.write("symbols", symbols_of(found, versions), generation_id)
-        postings.write(read("symbols"), f"{self.store.folder}/postings/generation_id={generation_id}")
+        postings.write(read("symbols"), self._folder("postings", generation_id))
+        lookups.write_names(read("symbols"), self._folder("names", generation_id))
+        lookups.write_edges(read("edges"), self._folder("adjacency", generation_id))
         row = retrieval.counts(versions, read("symbols"), read("edges")).join(retrieval.coverage(versions).withColumnRenamed("files", "all_files"))  # one row each
         self.store.write("counts", row, generation_id)
 
@@ -267,6 +269,9 @@ class Indexer:
 
         self.store.drop(self.store.change(change), TABLES)
 
+    def _folder(self, index: str, generation_id: str) -> str:
+        return f"{self.store.folder}/{index}/generation_id={generation_id}"
+
     # -- reading
 
     def open(self, sources: DataFrame | None = None) -> Index:
@@ -274,7 +279,7 @@ class Indexer:
         generation = self.store.active()
         notes, evidence = self.notebook.read()
         read = lambda t: self.store.read(t, generation)
-        return Index(self.repository_id, generation, read("files"), read("symbols"), read("edges"), read("observations").drop("generation_id"), read("externals"), sources, notes, evidence, postings=Postings(self.spark, f"{self.store.folder}/postings/generation_id={generation}"))
+        return Index(self.repository_id, generation, read("files"), read("symbols"), read("edges"), read("observations").drop("generation_id"), read("externals"), sources, notes, evidence, postings=Postings(self.spark, self._folder("postings", generation)), names=lookups.Names(self.spark, self._folder("names", generation)), adjacency=lookups.Adjacency(self.spark, self._folder("adjacency", generation)))
 
     def status(self) -> dict:
         """What is there, from what was stored with the generation: no table is counted."""

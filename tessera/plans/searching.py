@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.cluster import shared_folder
+from tessera.operators import lookups, retrieval, search
 from tessera.operators import postings as index
-from tessera.operators import retrieval, search
 from tessera.sources import corpus
 from tessera.sources.corpus import sql
 
@@ -41,6 +41,21 @@ def _indexed(query, **options):
     return run
 
 
+def _named(query, **options):
+    """The tiers of names from the files that can hold them; the dictionary is written once a session and folder."""
+
+    def run(spark, folder):
+        key = f"tessera_names_{folder}"
+        if not hasattr(spark, key):
+            target = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+            lookups.write_names(corpus.symbols(spark, folder), target)
+            setattr(spark, key, target)
+        names = lookups.Names(spark, getattr(spark, key))
+        return search.search_symbols(corpus.symbols(spark, folder), query, tokens=False, names=names, **options).select(*SHOWN, "score")
+
+    return run
+
+
 def _indexed_phrase(query):
     def run(spark, folder):
         return search.phrase_search(corpus.symbols(spark, folder), query, 200, _written(spark, folder)).select("symbol_id", "relative_path", "spelling", F.round("score", 6).alias("score"))
@@ -206,6 +221,9 @@ QUERIES = {
     "phrase_search": _phrase("cold anvil"),
     "indexed_tokens": _indexed("boltNew", limit=200),
     "indexed_phrase": _indexed_phrase("cold anvil"),
+    "indexed_direct": _named("redring", limit=200),
+    "indexed_prefix": _named("red", limit=200),
+    "indexed_qualified": _named("Brand17.RedWidget", limit=200),
     "identifier_tokens": identifier_tokens,
     "postings": postings,
     "get_symbol": get_symbol,
@@ -231,6 +249,9 @@ SELECT relative_path, CAST(0 AS BIGINT) AS start_byte, CAST(strlen(code) AS BIGI
 FROM (SELECT relative_path, list({'a': syntax_start_byte, 'b': syntax_end_byte, 'id': symbol_id} ORDER BY spelling || ':' || symbol_id) AS rows FROM symbols WHERE kind <> 'module' GROUP BY 1) g) x"""),
     "value_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1",
     "search_symbols_direct": _direct_sql("redring"),
+    "indexed_direct": _direct_sql("redring"),
+    "indexed_prefix": _direct_sql("red"),
+    "indexed_qualified": _direct_sql("Brand17.RedWidget", qualified="WHEN spelling = 'RedWidget' AND (coalesce(container, '') || '.' || spelling = 'Brand17.RedWidget' OR coalesce(container, '') || '::' || spelling = 'Brand17.RedWidget') THEN 0"),
     "search_symbols_prefix": _direct_sql("red"),
     "search_symbols_filtered": _direct_sql("hot", "language = 'rust' AND kind = 'class' AND (relative_path = 'src' OR starts_with(lower(relative_path), 'src/'))"),
     "search_symbols_qualified": _direct_sql("Brand17.RedWidget", qualified="WHEN spelling = 'RedWidget' AND (coalesce(container, '') || '.' || spelling = 'Brand17.RedWidget' OR coalesce(container, '') || '::' || spelling = 'Brand17.RedWidget') THEN 0"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.limits import DEFAULTS, LIMITS, RequestError, check_graph, check_limit, check_text
 from tessera.operators import extraction, generations, graph, notes, paging, resolution, retrieval, search
+from tessera.operators.lookups import Adjacency, Names
 from tessera.operators.postings import Postings
 from tessera.sources import scan
 
@@ -28,6 +29,8 @@ class Index:
     notes: DataFrame | None = None
     evidence: DataFrame | None = None
     postings: Postings | None = None
+    names: Names | None = None
+    adjacency: Adjacency | None = None
     jobs: dict[str, dict] = field(default_factory=dict)
 
 
@@ -86,6 +89,10 @@ class Service:
         value |= {"repository_id": self.index.repository_id, "generation_id": self.index.generation_id, "coverage": self.coverage()}
         return paging.fit(value, max_bytes, paging.drop_last(*lists))
 
+    def _edges(self, end: str, key: str) -> DataFrame:
+        """Edges that hold all with this key at that end: its partition, or all if there is no index."""
+        return self.index.edges if self.index.adjacency is None else self.index.adjacency.of(end, [key])
+
     def coverage(self) -> dict:
         return retrieval.coverage(self.index.files).first().asDict()
 
@@ -104,7 +111,7 @@ class Service:
         own = paging.fingerprint(query, language, kind, path_prefix)
         key = self._after(cursor, "search_symbols", own, 6)
         after = (int(key[0]), paging.score_of(key[1]), key[2], key[3], int(key[4]), key[5]) if key else None
-        rows = search.search_symbols(self.index.symbols, query, language, kind, path_prefix, limit, after, postings=self.index.postings).collect()
+        rows = search.search_symbols(self.index.symbols, query, language, kind, path_prefix, limit, after, postings=self.index.postings, names=self.index.names).collect()
         shown, more = paging.page(rows, limit)
         last = shown[-1] if more else None
         following = self._cursor("search_symbols", own, [str(last["tier"]), paging.score_text(last["score"]), last["relative_path"], last["spelling"], str(last["start_byte"]), last["symbol_id"]]) if more else None
@@ -126,13 +133,13 @@ class Service:
         self.get_symbol(symbol_id)
         own = paging.fingerprint(symbol_id, include_candidates)
         key = self._after(cursor, "find_references", own, 3)
-        rows, more = paging.page(retrieval.references_to(self.index.edges, symbol_id, include_candidates, limit, (key[0], int(key[1]), key[2]) if key else None).collect(), limit)
+        rows, more = paging.page(retrieval.references_to(self._edges("target_symbol_id", symbol_id), symbol_id, include_candidates, limit, (key[0], int(key[1]), key[2]) if key else None).collect(), limit)
         following = self._cursor("find_references", own, [rows[-1]["source_path"], str(rows[-1]["source_start_byte"]), rows[-1]["edge_id"]]) if more else None
         return self._answer({"references": [_dict(r, _EDGE) for r in rows], "cursor": following, "truncated": more}, max_bytes, "references")
 
     def trace_calls(self, symbol_id: str, direction="incoming", max_bytes=LIMITS.response_bytes, **options) -> dict:
         self.get_symbol(symbol_id)
-        edges, warnings = graph.trace_calls(self.index.edges, symbol_id, direction, **options)
+        edges, warnings = graph.trace_calls(self.index.edges, symbol_id, direction, index=self.index.adjacency, **options)
         return self._answer({"edges": [_dict(r, _EDGE) for r in edges.orderBy("position").collect()], "warnings": warnings, "truncated": "graph_truncated" in warnings}, max_bytes, "edges")
 
     def get_repo_map(self, scope=None, depth=DEFAULTS.depth, limit=DEFAULTS.repo_entries, max_bytes=LIMITS.response_bytes) -> dict:
@@ -144,7 +151,7 @@ class Service:
             raise RequestError("INVALID_ARGUMENT", "symbols or paths")
         for s in symbol_ids:
             self.get_symbol(s)
-        ids, edges, reached, cut = graph.analyze_impact(self.index.edges, self.index.symbols, list(symbol_ids), list(paths), **options)
+        ids, edges, reached, cut = graph.analyze_impact(self.index.edges, self.index.symbols, list(symbol_ids), list(paths), index=self.index.adjacency, **options)
         return self._answer({"symbols": ids, "edges": [_dict(r, _EDGE) for r in edges.orderBy("position").collect()], "paths": reached, "truncated": cut}, max_bytes, "edges", "symbols", "paths")
 
     def read_code(self, path: str, content_hash: str, first_line: int, last_line: int) -> dict:
@@ -159,7 +166,7 @@ class Service:
 
     def build_context(self, query: str, scope=None, include_candidates=True, max_bytes=LIMITS.response_bytes) -> dict:
         """What a reader of a few symbols needs: the symbols, their code, their relations, and a token estimate."""
-        found = search.search_symbols(self.index.symbols, query, path_prefix=scope, limit=LIMITS.context_symbols, postings=self.index.postings)
+        found = search.search_symbols(self.index.symbols, query, path_prefix=scope, limit=LIMITS.context_symbols, postings=self.index.postings, names=self.index.names)
         best, ranges, related = retrieval.context_symbols(found, graph.relations(self.index.edges, "any", include_candidates))
         snippets = retrieval.byte_excerpts(self.index.sources, ranges) if self.index.sources is not None else ranges
         value = {

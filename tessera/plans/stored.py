@@ -14,6 +14,7 @@ from tessera.limits import RequestError
 from tessera.operators import generations, graph, notes, paging, retrieval
 from tessera.sources import corpus, modules, scan
 from tessera.sources.corpus import sql
+from tessera.sources.notebook import Notebook
 from tessera.sources.store import Store
 from tessera.streaming import hints
 
@@ -148,6 +149,28 @@ def replaced_evidence(spark, folder):
     return notes.replace_evidence(have, fresh).select("memory_id", "relative_path", "symbol_id")
 
 
+def _written_notes(spark, folder, **options) -> tuple[Notebook, list[dict]]:
+    """A store to which all notes of the corpus were written in one call, and the answers."""
+    have = notes.latest(corpus.notes(spark, folder))
+    book = Notebook(_store(spark), have.schema, **options)
+    return book, book.write(have.withColumns({"expected_revision": F.lit(None).cast("long"), "delete": F.lit(False)}))
+
+
+def stored_notes(spark, folder):
+    """Notes of a store after a second round of writes: some expect a revision that is not there, some delete, one note in four is left alone."""
+    book, _ = _written_notes(spark, folder)
+    have, n = notes.latest(corpus.notes(spark, folder)), F.regexp_extract("id", r"(\d+)", 1).cast("long")
+    writes = have.filter(n % 4 != 0).withColumns({"body": F.concat(F.lit("again "), "body"), "expected_revision": F.when(n % 3 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long"), "delete": n % 5 == 0})
+    book.write(writes)
+    return book.read()[0].select("id", "revision", "body")
+
+
+def capped_notes(spark, folder):
+    """Answers of a store that holds 60 notes at most."""
+    answers = _written_notes(spark, folder, most=60)[1]
+    return spark.createDataFrame([(a["id"], a["outcome"], a["revision"]) for a in answers], "id string, outcome string, revision long")
+
+
 def note_bounds(spark, folder):
     """Notes whose body or evidence is past the bounds."""
     have = notes.latest(corpus.notes(spark, folder)).withColumn("body", F.repeat("body", (F.regexp_extract("id", r"(\d+)", 1).cast("int") % 40) * 10))
@@ -206,6 +229,7 @@ QUERIES = {
     "scanned_files": scanned_files, "targeted_scan": targeted_scan, "scan_state": scan_state, "source_faults": source_faults, "root_manifests": root_manifests, "written_tree": written_tree,
     "activated_files": activated_files, "appended_versions": appended_versions, "replaced_edges": replaced_edges, "activated_generation": activated_generation, "abandoned_generation": abandoned_generation,
     "recovered_generations": recovered_generations, "recovered_jobs": recovered_jobs, "latest_job": latest_job, "cancelled_job": cancelled_job, "replaced_evidence": replaced_evidence, "note_bounds": note_bounds,
+    "stored_notes": stored_notes, "capped_notes": capped_notes,
     "generation_counts": generation_counts, "neighbours": neighbours, "content_ids": content_ids, "cursor_checks": cursor_checks, "periodic_scans": periodic_scans,
 }
 
@@ -244,6 +268,8 @@ SQL = {
     "cancelled_job": f"WITH {_JOBS} SELECT cancel_requested OR job_id = 'job-1' AS cancel_requested, count(*) AS n FROM jobs GROUP BY 1",
     "replaced_evidence": sql("files note_evidence", "SELECT memory_id, relative_path, symbol_id FROM note_evidence WHERE memory_id NOT LIKE '%1' UNION ALL SELECT DISTINCT memory_id, 'new.rs', NULL FROM note_evidence WHERE memory_id LIKE '%1'"),
     "note_bounds": sql("notes edges", "SELECT id, 'body' AS fault FROM latest WHERE strlen(body) * (CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) % 40) * 10 > 16384 UNION ALL SELECT memory_id, 'evidence' FROM (SELECT 'note-' || (CAST(regexp_extract(source_symbol_id, '([0-9]+)', 1) AS BIGINT) % 50)::VARCHAR AS memory_id, * FROM edges) e WHERE memory_id LIKE '%3' GROUP BY memory_id HAVING count(*) > 32 OR sum(strlen(target_path) + 1 + strlen(target_symbol_id)) > 8192", more=_LATEST),
+    "stored_notes": sql("notes", "SELECT id, CASE WHEN n % 4 = 0 OR n % 3 = 0 THEN 1 ELSE 2 END AS revision, CASE WHEN n % 4 = 0 OR n % 3 = 0 THEN body ELSE 'again ' || body END AS body FROM (SELECT *, CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) AS n FROM latest ORDER BY id LIMIT 10000) x WHERE NOT (n % 5 = 0 AND n % 4 <> 0 AND n % 3 <> 0)", more=_LATEST.replace(" AS n FROM notes) x WHERE n = 1", " AS r FROM notes) x WHERE r = 1")),
+    "capped_notes": sql("notes", "SELECT id, CASE WHEN place <= 60 THEN 'created' ELSE 'limit' END AS outcome, CASE WHEN place <= 60 THEN 1 END AS revision FROM (SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT DISTINCT id FROM notes) d) x"),
     "generation_counts": sql("symbols files edges", "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges"),
     "neighbours": sql("edges", f"SELECT edge_id, direction, row_number() OVER (PARTITION BY direction ORDER BY {_STEP}) - 1 AS position FROM (SELECT *, 'outgoing' AS direction FROM edges WHERE source_symbol_id = 'sym-7' UNION ALL SELECT *, 'incoming' FROM edges WHERE target_symbol_id = 'sym-7') e"),
     "content_ids": sql("symbols", "SELECT symbol_id, sha256(symbol_id || chr(0) || coalesce(container, '') || chr(0) || start_byte::VARCHAR || chr(0)) AS id FROM symbols"),

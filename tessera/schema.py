@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERSION = 7
+VERSION = 8
 
 CATEGORIES = ("symbol", "scope", "import", "reference", "call_site", "condition")
 RELATIONSHIPS = ("contains", "imports", "references", "calls")
