@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     A row's number depends on its key, its source's rate and the seed: rows equal in these, null included, share it. Rows of null source are a source of their own. Sources that hold only empty
     texts have rate 0 and vanish, as no number of copies reaches their weight. An empty table gives no rows.
     The copies are dealt to partitions by the hash of mix_key, a random order, and sorted by it there: a global shuffle
-    that needs no sampling of ranges. Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key; other columns pass.
+    that needs no sampling of ranges. A key with very many rows, null included, is split by adaptive execution. Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key; other columns pass.
     Columns of these names in the input are replaced.
     """
     rates = source_rates(docs, weights, source, text, total)
@@ -73,7 +73,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     counted = base.join(rates, F.col(source).eqNullSafe(F.col(own))).withColumn("mix_copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).filter("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     order = uniform_bits(F.lit(f"{seed}-order"), F.col("mix_copy"), F.col(key))
-    return copies.withColumn("mix_key", order).drop(own, draws, table).repartition("mix_key").sortWithinPartitions("mix_key")
+    # rows of one key share a hash: as a rebalance, a partition that they fill is split among tasks at run time
+    return copies.withColumn("mix_key", order).drop(own, draws, table).hint("rebalance", F.col("mix_key")).sortWithinPartitions("mix_key")
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

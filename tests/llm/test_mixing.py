@@ -46,3 +46,19 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(i, "s", "t", 1, 2, 3) for i in range(50)], "doc_id long, source string, text string, __source int, __draws int, __TABLE int")
     got = mix(docs)
     assert got.columns[:6] == docs.columns and got.count() == mix(docs.select("doc_id", "source", "text")).count()
+
+
+def test_rows_of_one_key_are_split(spark):
+    names = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 40_000, 1, 16).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("x" * 100)).alias("text"), F.lit("s").alias("source"))
+        mixed = next(m for m in (mix(docs, seed=str(i)) for i in range(20)) if m.limit(1).count())
+        # the texts are shuffled as well, else the partitions would be too small to be split
+        sizes = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("text").alias("n"), F.max("text")).collect()]
+        assert sum(sizes) == 40_000 * mixed.select("mix_copies").first()[0] and max(sizes) < sum(sizes) / 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
