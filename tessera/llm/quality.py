@@ -65,14 +65,18 @@ def term_counts(column: pa.Array) -> Iterator[np.ndarray]:
 class Model:
     """Inverse document frequencies, projection, and the labelled vectors with their labels."""
 
-    def __init__(self, raw: np.ndarray, labels: list[int], share: float | None = None, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS):
-        """share: of label 1 among all rows that labels may be learnt from; neighbours of a label that was chosen less often weigh more."""
+    def __init__(self, raw: np.ndarray, labels: list[int], share: float | None = None, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, in_place: bool = False):
+        """in_place: raw may be overwritten, so that one matrix is held. share: of label 1 among all rows that labels may be learnt from; neighbours of a label that was chosen less often weigh more."""
         self.labels, self.neighbours = np.array(labels, np.float32), neighbours
         own = float(self.labels.mean()) if len(labels) else 0.5
         self.prior = own if share is None else share
         self.weights = np.where(self.labels > 0, self.prior / (own or 1), (1 - self.prior) / ((1 - own) or 1))
-        self.idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
-        weighted = self.weigh(raw)
+        held, weighted = np.zeros(raw.shape[1], np.int64), raw if in_place else np.empty(raw.shape, np.float32)
+        for i in range(0, len(raw), BLOCK):  # in blocks, so that no other matrix is held
+            held += (raw[i : i + BLOCK] > 0).sum(0)
+        self.idf = (np.log((1 + len(raw)) / (1 + held)) + 1).astype(np.float32)
+        for i in range(0, len(raw), BLOCK):
+            weighted[i : i + BLOCK] = self.weigh(raw[i : i + BLOCK])
         if not len(raw):
             self.basis, self.vectors = np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32)
             return
@@ -136,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     found.sort(key=lambda r: r["k"])
     for row, r in zip(raw, found, strict=True):
         row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-    return Model(raw, [r["label"] for r in found], share)
+    return Model(raw, [r["label"] for r in found], share, in_place=True)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
