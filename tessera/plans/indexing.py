@@ -9,6 +9,7 @@ from __future__ import annotations
 import threading
 import time
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tessera.limits import RequestError
 from tessera.operators import extraction, generations, lookups, paging, postings, resolution, retrieval
 from tessera.operators.postings import Postings
 from tessera.plans.service import Index, symbols_of
+from tessera.schema import GENERATIONS, JOBS
 from tessera.sources import scan
 from tessera.sources.notebook import Notebook
 from tessera.sources.store import Store
@@ -39,6 +41,10 @@ class Watcher(threading.Thread):
         self.store, self.job_id, self.tag = store, job_id, tag
         self.over, self.asked = threading.Event(), False
 
+    def stop(self) -> None:
+        self.over.set()
+        self.join()
+
     def run(self) -> None:
         while not self.over.wait(WATCH):
             try:
@@ -73,18 +79,25 @@ class Indexer:
         """requested, already_requested or already_finished; the Spark jobs of a running job are cancelled where they are."""
 
         def change(registry: dict) -> str:
-            job = next((j for j in registry["jobs"] if j["job_id"] == job_id), None)
-            if job is None:
-                raise RequestError("JOB_NOT_FOUND", job_id)
-            if job["state"] not in generations.LIVE:
-                return "already_finished"
-            if job["cancel_requested"]:
-                return "already_requested"
-            job["cancel_requested"] = True
-            return "requested"
+            jobs, outcome = generations.request_cancel(self._frame(registry["jobs"], JOBS), job_id)
+            self._put(registry["jobs"], jobs, "job_id", "cancel_requested")
+            return outcome
 
         return self.store.change(change)
 
+    def _frame(self, rows: list[dict], kind) -> DataFrame:
+        """Rows of the registry as a local relation, which needs no job to be filtered or changed."""
+        kinds = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+        named = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in kind])
+        return self.spark.createDataFrame(pa.Table.from_pylist([{n: r.get(n) for n in kind.names} for r in rows], schema=named))
+
+    @staticmethod
+    def _put(rows: list[dict], changed: DataFrame, key: str, column: str) -> None:
+        """Takes a column of the changed table back into the rows of the registry."""
+        new = {r[key]: r[column] for r in changed.select(key, column).collect()}
+        for r in rows:
+            r[column] = new[r[key]]
+
     def _move(self, job_id: str, state: str, **more) -> None:
         def change(registry: dict) -> None:
             job = next(j for j in registry["jobs"] if j["job_id"] == job_id)
@@ -148,8 +161,7 @@ class Indexer:
         try:
             self._stages(job_id, files, generation_id, rules, watcher)
         finally:
-            watcher.over.set()
-            watcher.join()
+            watcher.stop()
             context.removeJobTag(tag)
             context.setInterruptOnCancel(False)
 
@@ -168,8 +180,10 @@ class Indexer:
             self._move(job_id, "committing")
             self._activate(job_id, generation_id)
         except Cancelled:
+            watcher.stop()
             self._end(job_id, generation_id, "cancelled")
         except Exception as error:
+            watcher.stop()  # it must not cancel what ends the job
             if watcher.asked:  # a Spark job that was cancelled fails where it was started
                 self._end(job_id, generation_id, "cancelled")
                 return
@@ -189,9 +203,8 @@ class Indexer:
 
         def change(registry: dict) -> None:
             next(j for j in registry["jobs"] if j["job_id"] == job_id).update(state=state, **more)
-            for g in registry["generations"]:
-                if g["generation_id"] == generation_id and g["status"] == "building":
-                    g["status"] = "abandoned"
+            abandoned = generations.abandon(self._frame(registry["generations"], GENERATIONS), generation_id)
+            self._put(registry["generations"], abandoned, "generation_id", "status")
 
         self.store.change(change)
         self.store.drop([generation_id], TABLES)
@@ -236,12 +249,9 @@ class Indexer:
         """One commit: the generation becomes active, the one before superseded, the job completed."""
 
         def change(registry: dict) -> None:
-            from tessera.schema import GENERATIONS
-
-            names = GENERATIONS.names
-            now = self.spark.createDataFrame([tuple(g[n] for n in names) for g in registry["generations"]], GENERATIONS)
+            now = self._frame(registry["generations"], GENERATIONS)
             job = next(j for j in registry["jobs"] if j["job_id"] == job_id)
-            registry["generations"] = [{n: r[n] for n in names} for r in generations.activate(now, generation_id, job["state"]).collect()]
+            self._put(registry["generations"], generations.activate(now, generation_id, job["state"]), "generation_id", "status")
             registry["previous"], registry["active"] = registry["active"], generation_id
             job["state"] = "completed"
 
@@ -261,10 +271,9 @@ class Indexer:
 
         def change(registry: dict) -> list[str]:
             left = [g["generation_id"] for g in registry["generations"] if g["status"] == "building"]
-            for g in registry["generations"]:
-                g["status"] = "abandoned" if g["status"] == "building" else g["status"]
-            for j in registry["jobs"]:
-                j["state"] = "interrupted" if j["state"] in generations.LIVE else j["state"]
+            after, jobs = generations.recover(self._frame(registry["generations"], GENERATIONS), self._frame(registry["jobs"], JOBS))
+            self._put(registry["generations"], after, "generation_id", "status")
+            self._put(registry["jobs"], jobs, "job_id", "state")
             return left
 
         self.store.drop(self.store.change(change), TABLES)
