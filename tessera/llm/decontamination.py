@@ -6,18 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import read, stored, text_or_empty
+from tessera.cluster import ship
+from tessera.llm.common import fresh, read, stored, text_or_empty
 from tessera.llm.texthash import _R, alnum_words, mix, ngrams, word_slices
 
 #: Words of a window; a shared span of this many words is always found.
 WINDOW = 13
 #: Words of a fingerprint. One of every WINDOW - GRAM + 1 consecutive ones is kept at least.
 GRAM = 6
-#: Bytes of benchmark text in a block; the documents are read once for each.
+#: Bytes of benchmark text up to which its index is broadcast.
 BLOCK_BYTES = 8 << 20
 
 
@@ -62,7 +63,7 @@ class Known:
 
 
 class Index:
-    """The windows of a block of items, and the fingerprints of those of full length."""
+    """The windows of items, and the fingerprints of those of full length."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram, self.ids = window, gram, ids
@@ -132,111 +133,215 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-_WORDS, _SPANS, _ITEMS = "__bench_words", "__bench_spans", "__bench_items"
+def bytes_of(benchmark: DataFrame, text: str = "text") -> int:
+    return benchmark.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
 
 
-def block_count(benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    size = benchmark.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
-    return -(-size // block_bytes) or 1
+def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), text_or_empty(text).alias("t"))
 
 
-def benchmark_blocks(benchmark: DataFrame, key: str, text: str, blocks: int) -> Iterator[tuple[list[str], list[str]]]:
-    """Ids and texts of the benchmark, a block at a time; never more is held at once."""
-    items = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("i"), text_or_empty(text).alias("t"))
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        yield [r["i"] for r in rows], [r["t"] for r in rows]
+def _added(found: DataFrame) -> list[str]:
+    """The names that find() gave to its three columns: they are the last."""
+    return found.columns[-3:]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with the words of whole texts, the spans of words that windows of items cover, and those items' ids.
 
     A window is `window` consecutive words of an item, or all words of one with fewer; items without words have none.
-    Words are runs of ASCII letters, A-Z lowered, digits and characters past ASCII. Adds three columns for evidence(), whose
-    names begin with __bench_; input columns of these names are replaced. Null texts have no words, repeated rows and items
-    stay, an empty benchmark hits nothing, an empty table gives no rows.
+    Words are runs of ASCII letters, A-Z lowered, digits and characters past ASCII. Adds three columns for evidence() after
+    those of the input, named __bench_words, __bench_spans and __bench_items, with underscores after them where the input has
+    such a column. Null texts have no words, repeated rows and items stay, an empty benchmark hits nothing, an empty table
+    gives no rows.
 
-    A benchmark of one block is looked up in one pass. For a larger one, a first pass tells by a bit map of all its
-    fingerprints which documents can have a hit; only these are kept and looked up block by block.
+    A benchmark of up to block_bytes is indexed once and broadcast, and the documents are read in one pass. A larger one is never
+    held by a process: see joined(). Both give the same rows.
     """
-    spark, kept = docs.sparkSession, [f for f in docs.schema if f.name not in (_WORDS, _SPANS, _ITEMS)]
-    schema = T.StructType([*kept, T.StructField(_WORDS, T.LongType()), T.StructField(_SPANS, T.ArrayType(T.LongType())), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
-    out = docs.withColumns({_WORDS: F.lit(0).cast("long"), _SPANS: F.array().cast("array<bigint>"), _ITEMS: F.array().cast("array<string>")}).select(*[F.col(f"`{f.name}`") for f in schema])
-
-    def look_up(rows: DataFrame, look) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n_words, spans, items = np.zeros(batch.num_rows, np.int64), batch.column(_SPANS).to_pylist(), batch.column(_ITEMS).to_pylist()
-                for row, counts, hashes in word_slices(batch.column(text), alnum_words()):
-                    n_words[row : row + len(counts)] = counts
-                    look(row, counts, hashes, spans, items)
-                columns = {c: batch.column(c) for c in batch.schema.names}
-                columns |= {_WORDS: pa.array(n_words), _SPANS: pa.array(spans, pa.list_(pa.int64())), _ITEMS: pa.array(items, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], [f.name for f in schema])
-
-        return rows.mapInArrow(run, schema)
-
-    def by_block(ids: list[str], texts: list[str]):
-        index = spark.sparkContext.broadcast(Index(ids, texts, window, gram))
-
-        def look(row, counts, hashes, spans, items):
-            own = index.value
-            for d, (hit, which) in own.hits(counts, hashes).items():
-                had = spans[row + d]
-                spans[row + d] = merged(hit + list(zip(had[::2], had[1::2], strict=True)))
-                items[row + d] = sorted({*items[row + d], *(own.ids[i] for i in which)})
-
-        return look
-
-    blocks = block_count(benchmark, item_text, block_bytes)
-    if blocks == 1:
-        return look_up(out, by_block(*next(benchmark_blocks(benchmark, item_key, item_text, 1))))
-    marks = Marks(window, gram)
-    for _, texts in benchmark_blocks(benchmark, item_key, item_text, blocks):
-        marks.add(texts)
-    shared = spark.sparkContext.broadcast(marks)
-
-    def mark(row, counts, hashes, spans, items):
-        for d in shared.value.may_hit(counts, hashes):
-            spans[row + d] = [0, 0]
-
-    marked = look_up(out, mark)
-    none = marked.filter(F.size(_SPANS) == 0)
-    some = stored(marked.filter(F.size(_SPANS) > 0).withColumn(_SPANS, F.array().cast("array<bigint>")))
-    for ids, texts in benchmark_blocks(benchmark, item_key, item_text, blocks):
-        some = stored(look_up(some, by_block(ids, texts)))
-    return none.union(some)
+    spark = docs.sparkSession
+    ship(spark)
+    names = fresh(docs, "__bench_words", "__bench_spans", "__bench_items")
+    if bytes_of(benchmark, item_text) > block_bytes:
+        return joined(docs, _items(benchmark, item_key, item_text), text, window, gram, names)
+    rows = _items(benchmark, item_key, item_text).collect()
+    index = spark.sparkContext.broadcast(Index([r["item"] for r in rows], [r["t"] for r in rows], window, gram))
+    schema = T.StructType([*docs.schema, *(T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType())), strict=True))])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            n_words, spans, items = np.zeros(batch.num_rows, np.int64), [[]] * batch.num_rows, [[]] * batch.num_rows
+            for row, counts, hashes in word_slices(batch.column(text), alnum_words()):
+                n_words[row : row + len(counts)] = counts
+                for d, (hit, which) in own.hits(counts, hashes).items():
+                    spans[row + d], items[row + d] = merged(hit), sorted({own.ids[i] for i in which})
+            found = (pa.array(n_words), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [f.name for f in schema])
+
+    return docs.mapInArrow(look_up, schema)
+
+
+#: Bits of the map of fingerprints that is broadcast, as a power of two: 16 MB, whatever the benchmark's size.
+MAP_BITS = 27
 
 
 class Marks:
-    """A bit map of the fingerprints of all items, and of the whole of those below a window."""
+    """A bit map of hashes, from the words of it that are not zero."""
 
-    BITS = 27
+    def __init__(self, at: np.ndarray, words: np.ndarray):
+        self.bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+        self.bits[at] = words
 
-    def __init__(self, window: int, gram: int):
-        self.window, self.gram, self.short = window, gram, set()
-        self.bits = np.zeros(1 << (self.BITS - 3), np.uint8)
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may be known."""
+        bit = hashes >> np.uint64(64 - MAP_BITS)
+        return np.flatnonzero((self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)).astype(np.int64)) & 1)
 
-    def add(self, texts: list[str]) -> None:
-        index = Index([""] * len(texts), texts, self.window, self.gram)
-        self.short |= {n for n in index.windows if n < self.window}
-        for found in (index.prints, *(known.hashes for n, known in index.windows.items() if n < self.window)):
-            at = found >> np.uint64(64 - self.BITS)
-            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-    def may_hit(self, counts: np.ndarray, hashes: np.ndarray) -> list[int]:
-        """Documents of a slice with a marked fingerprint, or a run of words that may be a short item."""
-        doc = np.repeat(np.arange(len(counts)), counts)
-        grams = ngrams(hashes, self.gram)
-        found = [self._documents(doc, winnow(grams, self.window - self.gram + 1), grams)]
-        for n in self.short:
-            runs = ngrams(hashes, n)
-            found.append(self._documents(doc, np.arange(len(runs)), runs))
-        return np.unique(np.concatenate(found)).tolist()
+def _marks(hashes: DataFrame) -> Marks:
+    """The bit map of a column h, made by one aggregate; at most 2^(MAP_BITS - 6) words reach the driver."""
+    bit = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    words = hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - MAP_BITS}) & 63 AS int))")).alias("w")).toArrow()
+    return Marks(words["at"].to_numpy(), words["w"].to_numpy())
+
+
+def _batch(columns: list, schema: T.StructType) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
+    arrays = [pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c, kinds.get(f.dataType.typeName(), pa.list_(pa.int32()))) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    def _documents(self, doc: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = hashes[places] >> np.uint64(64 - self.BITS)
-        return doc[places[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0]]
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """(batch, row, its word hashes), one text at a time."""
+    for batch in batches:
+        for row, counts, hashes in word_slices(batch.column(text), alnum_words()):
+            for d, own in enumerate(np.split(hashes, np.cumsum(counts)[:-1])):
+                yield batch, row + d, own
+
+
+_PRINTS = T.StructType().add("id", "long").add("h", "long")
+_WINDOWS = T.StructType().add("n", "integer").add("h", "long").add("item", "string")
+_PLACES = T.StructType().add("id", "long").add("n", "integer").add("h", "long").add("starts", T.ArrayType(T.IntegerType()))
+
+
+def joined(docs: DataFrame, items: DataFrame, text: str, window: int, gram: int, names: list[str]) -> DataFrame:
+    """find() for a benchmark of any size (columns item and t), by joins on fingerprints and then on the windows around them.
+
+    Fingerprints and windows of items are tables of distinct hashes. A bit map of the fingerprints, of fixed size, keeps most document
+    fingerprints from being shuffled; once full it keeps all, and results are the same. Document fingerprints that are in the
+    benchmark come back to their document, whose words around them are hashed as whole windows, once each with
+    their places; these are joined with the windows of items. All documents that the map can't clear are written once with an id,
+    so that lost executors change none. The benchmark's sides hold each key a few times only and are written tables, so a key
+    that many documents have is split by Spark's skew join, as nothing but a shuffle stands below the join.
+    """
+    spark = docs.sparkSession
+
+    def print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, own in _slices(batches, "t"):
+            if len(own) >= window:
+                grams = ngrams(own, gram)
+                kept = np.unique(grams[winnow(grams, window - gram + 1)])
+                yield _batch([np.zeros(len(kept), np.int64), kept], _PRINTS)
+
+    def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, own in _slices(batches, "t"):
+            if len(own):
+                n = min(window, len(own))
+                found = np.unique(ngrams(own, n))
+                yield _batch([np.full(len(found), n), found, [batch.column("item")[row].as_py()] * len(found)], _WINDOWS)
+
+    prints = stored(items.mapInArrow(print_rows, _PRINTS).select("h").distinct())
+    windows = stored(items.mapInArrow(window_rows, _WINDOWS).distinct())
+    known = stored(windows.select("n", "h").distinct())
+    short = sorted(r["n"] for r in known.filter(F.col("n") < window).select("n").distinct().collect())  # below window in number
+    marks = spark.sparkContext.broadcast(_marks(prints.union(known.filter(F.col("n") < window).select("h"))))
+
+    def kept_prints(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of a text's fingerprints that the map can't clear."""
+        if len(own) < window:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        grams = ngrams(own, gram)
+        kept = winnow(grams, window - gram + 1)
+        kept = kept[marks.value.places(grams[kept])]
+        return kept, grams[kept]
+
+    n_words, spans, which = names
+    ident, mark = fresh(docs, "__bench_id", "__bench_mark")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, open_ = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+            for _, row, own in _slices(iter([batch]), text):
+                sizes[row] = len(own)
+                open_[row] = len(kept_prints(own)[0]) > 0 or any(len(marks.value.places(ngrams(own, n))) for n in short)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), pa.array(open_)], [*batch.schema.names, n_words, mark])
+
+    counted = docs.mapInArrow(count, T.StructType([*docs.schema, T.StructField(n_words, T.LongType()), T.StructField(mark, T.BooleanType())]))
+    own_columns = [F.col(f"`{c}`") for c in docs.columns]
+    clear = counted.filter(~F.col(mark)).select(*own_columns, n_words, F.array().cast("array<bigint>").alias(spans), F.array().cast("array<string>").alias(which))
+    rest = stored(counted.filter(mark).drop(mark).withColumn(ident, F.monotonically_increasing_id()))
+
+    def document_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, own in _slices(batches, "t"):
+            hashes = np.unique(kept_prints(own)[1])
+            if len(hashes):
+                yield _batch([np.full(len(hashes), batch.column("id")[row].as_py()), hashes], _PRINTS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows that may be an item's, by document: around a fingerprint that was met, and short ones that the map can't clear."""
+        for batch, row, own in _slices(batches, "t"):
+            met = batch.column("met")[row].values
+            found = {n: np.arange(max(0, len(own) - n + 1)) for n in short}
+            if met is not None:
+                at, hashes = kept_prints(own)
+                at = at[np.isin(hashes.view(np.int64), met.to_numpy(zero_copy_only=False))]
+                can = np.zeros(len(own), bool)
+                for back in range(window - gram + 1):
+                    can[np.maximum(at - back, 0)] = True
+                found[window] = np.flatnonzero(can[: len(own) - window + 1])
+            for n, starts in found.items():
+                hashes = _window_hashes(own, starts, n) if len(starts) else np.empty(0, np.uint64)
+                if n < window:
+                    kept = marks.value.places(hashes)
+                    starts, hashes = starts[kept], hashes[kept]
+                if not len(starts):
+                    continue
+                order = np.argsort(hashes, kind="stable")
+                once, first = np.unique(hashes[order], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(starts[order], pa.int32()))
+                ids = np.full(len(once), batch.column("id")[row].as_py())
+                yield _batch([ids, np.full(len(once), n), once, lists], _PLACES)
+
+    texts = rest.select(F.col(ident).alias("id"), F.col(f"`{text}`").alias("t"))
+    met = texts.mapInArrow(document_prints, _PRINTS).join(prints, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("met"))
+    around = stored(texts.join(met, "id", "left" if short else "inner").mapInArrow(places, _PLACES))
+    found = around.join(known, ["n", "h"], "left_semi").groupBy("id").agg(F.collect_list(F.struct("n", "starts")).alias("found"))
+    by_item = around.select("id", "n", "h").join(windows, ["n", "h"]).select("id", "item").distinct().groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hits in batch.column("found").to_pylist():
+                starts = np.concatenate([h["starts"] for h in hits])
+                ends = np.concatenate([np.asarray(h["starts"]) + h["n"] for h in hits])
+                order = np.argsort(starts, kind="stable")
+                starts, reach = starts[order], np.maximum.accumulate(ends[order])
+                breaks = np.flatnonzero(starts[1:] > reach[:-1]) + 1
+                out.append(np.stack([starts[np.r_[0, breaks]], reach[np.r_[breaks - 1, len(reach) - 1]]], 1).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64())), batch.column("items")], ["id", "spans", "items"])
+
+    hit = found.join(by_item, "id").mapInArrow(spread, "id long, spans array<bigint>, items array<string>")
+    hit = hit.select(F.col("id").alias(ident), F.col("spans").alias(spans), F.col("items").alias(which))
+    looked_up = rest.join(hit, ident, "left").select(
+        *own_columns, n_words, F.coalesce(spans, F.array().cast("array<bigint>")).alias(spans), F.coalesce(which, F.array().cast("array<string>")).alias(which)
+    )
+    return clear.union(looked_up)
+
+
+def _hit_words(spans: str) -> Column:
+    """The number of words in the spans of a row."""
+    sums = F.aggregate(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at(spans, i + 2) - F.element_at(spans, i + 1))
+    return F.when(F.size(spans) > 0, sums).otherwise(F.lit(0).cast("long"))
 
 
 def evidence(found: DataFrame) -> DataFrame:
@@ -245,25 +350,25 @@ def evidence(found: DataFrame) -> DataFrame:
     Input columns of these five names are replaced. A text without words has n_words 0 and is clean; item ids are sorted as
     strings, a null one counts as 'null', repeated ones once. An empty table gives no rows.
     """
-    sums = F.aggregate(F.sequence(F.lit(0), F.size(_SPANS) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at(_SPANS, i + 2) - F.element_at(_SPANS, i + 1))
-    n_hit = F.when(F.size(_SPANS) > 0, sums).otherwise(F.lit(0).cast("long"))
+    n_words, spans, items = _added(found)
+    n_hit = _hit_words(spans)
     return found.withColumns({
-        "n_words": F.col(_WORDS),
+        "n_words": F.col(n_words),
         "n_hit": n_hit,
-        "n_items": F.size(_ITEMS).cast("long"),
-        "items_sha256": F.sha2(F.array_join(F.array_sort(_ITEMS), ",").cast("binary"), 256),
-        "contaminated": (n_hit > 0) & (20 * n_hit >= F.col(_WORDS)),
-    }).drop(_WORDS, _SPANS, _ITEMS)
+        "n_items": F.size(items).cast("long"),
+        "items_sha256": F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256),
+        "contaminated": (n_hit > 0) & (20 * n_hit >= F.col(n_words)),
+    }).drop(n_words, spans, items)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with their own columns only, whatever their names (but for __bench_ ones, see find()).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that are not contaminated, with their own columns only, whatever their names.
 
     Null and empty texts are clean and stay, null itself; repeated rows stay or go together. Without benchmark items all rows stay.
     """
-    found = find(docs, benchmark, text)
-    sums = F.aggregate(F.sequence(F.lit(0), F.size(_SPANS) - 2, F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.element_at(_SPANS, i + 2) - F.element_at(_SPANS, i + 1))
-    clean = (F.size(_SPANS) == 0) | (20 * sums < F.col(_WORDS))
+    found = find(docs, benchmark, text, block_bytes=block_bytes)
+    n_words, spans, _ = _added(found)
+    clean = (F.size(spans) == 0) | (20 * _hit_words(spans) < F.col(n_words))
     return found.filter(clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

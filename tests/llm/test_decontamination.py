@@ -48,14 +48,14 @@ def corpus(seed):
     return [*docs, (100, None), (101, ""), (None, "É! ñ? É."), (5, docs[5][1])], items
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 8 << 20), (2, 8 << 20), (3, 400)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 8 << 20), (2, 8 << 20), (2, 0), (3, 400)])
 def test_equals_brute_force(spark, seed, block):
     docs, items = corpus(seed)
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n_words string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = evidence(find(df.select("doc_id", "text"), bench, block_bytes=block)).drop("text")
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs, items)
-    clean = decontaminate(df, bench)
+    clean = decontaminate(df, bench, block_bytes=block)
     assert clean.columns == df.columns
     assert clean.count() == sum(not r[-1] for r in brute(docs, items))
 
@@ -66,6 +66,10 @@ def test_empty_tables(spark):
     row = evidence(find(docs, none)).first()
     assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
     assert evidence(find(docs.limit(0), none)).count() == 0
+    one = spark.createDataFrame([(1, "so few")], "item_id long, text string")
+    for texts in (docs, docs.limit(0)):
+        rows = evidence(find(texts, one, block_bytes=0)).collect()
+        assert [(r["n_words"], r["n_hit"]) for r in rows] == [(2, 0)] * texts.count()
 
 
 def test_winnowing_keeps_one_in_every_window():
@@ -91,9 +95,40 @@ def test_repeated_words_and_long_texts_end():
     assert run([item, "ab cd"], [text, "ab cd " * 100_000]) == {0: ([1_500_000, 1_500_020], {0}), 1: ([0, 200_000], {1})}
 
 
-def test_clashing_names(spark):
+def test_joins_of_long_and_repeated_texts(spark):
+    shared = [" ".join(f"s{i}x{j}" for j in range(15)) for i in range(3)]
+    items = [(i, f"{shared[i % 3]} only{i} " + " ".join(f"i{i}y{j}" for j in range(30))) for i in range(40)] + [(99, "ab " * 20_000)]
+    long = " ".join(f"d{j % 997}e{j % 1009}" for j in range(60_000))
+    docs = [(0, f"{long} {shared[0]} {long}"), (1, "ab " * 50_000), *((k, f"k{k} {shared[1]}") for k in range(2, 400))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    one, two = (sorted(map(tuple, evidence(find(df, bench, block_bytes=b)).select(columns).collect())) for b in (8 << 20, 0))
+    assert one == two
+    assert [r[1:4] for r in two[:3]] == [(120_015, 15, 14), (50_000, 50_000, 1), (16, 15, 13)]
+
+
+def test_a_large_benchmark_stays_off_the_driver(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the driver built an index")
+
+    monkeypatch.setattr("tessera.llm.decontamination.Index", refuse)
+    docs, items = corpus(4)
+    found = find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=0)
+    assert found.count() == len(docs)
+
+
+def test_own_columns_come_back(spark):
+    docs = spark.createDataFrame([(1, "a c", [7], 5), (2, "a b", [8], 6)], "doc_id long, text string, __bench_spans array<long>, __bench_id long")
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for block in (8 << 20, 0):
+        assert [tuple(r) for r in decontaminate(docs, bench, block_bytes=block).collect()] == [(1, "a c", [7], 5)]
+
+
+@pytest.mark.parametrize("block", [8 << 20, 0])
+def test_clashing_names(spark, block):
     docs = spark.createDataFrame([(1, "a b", "own", [1]), (None, None, None, None)], "doc_id long, text string, n_words string, __bench_spans array<long>")
     bench = spark.createDataFrame([(None, "a b", 1)], "item_id long, text string, n_items int")
-    rows = sorted(evidence(find(docs, bench)).collect(), key=lambda r: -r["n_words"])
+    rows = sorted(evidence(find(docs, bench, block_bytes=block)).collect(), key=lambda r: -r["n_words"])
     assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in rows] == [(2, 2, 1), (0, 0, 0)]
-    assert [r["doc_id"] for r in decontaminate(docs, bench).collect()] == [None]
+    assert [r["doc_id"] for r in decontaminate(docs, bench, block_bytes=block).collect()] == [None]
