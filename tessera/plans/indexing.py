@@ -126,18 +126,19 @@ class Indexer:
 
         return self.store.change(change)
 
-    def run(self, files: DataFrame, request_key: str, generation_id: str, rules=None, background: bool = False) -> dict:
+    def run(self, files: DataFrame, request_key: str, generation_id: str, rules=None, background: bool = False, only: DataFrame | None = None) -> dict:
         """Indexes a tree into a new generation. The active one stays as it is until the new one is whole.
 
+        only: (relative_path) of a targeted scan. Files of other paths stay as the active generation has them, whatever `files` holds.
         In the background, the job returns at once as queued; job() tells its state, cancel() stops it.
         """
         job, new = self.request(request_key, generation_id)
         if not new:
             return job
         if background:
-            threading.Thread(target=self._guarded, args=(job["job_id"], files, generation_id, rules), daemon=True).start()
+            threading.Thread(target=self._guarded, args=(job["job_id"], files, generation_id, rules, only), daemon=True).start()
             return job
-        self._run(job["job_id"], files, generation_id, rules)
+        self._run(job["job_id"], files, generation_id, rules, only)
         return self.job(job["job_id"])
 
     def wait(self, job_id: str, seconds: float) -> dict:
@@ -152,20 +153,20 @@ class Indexer:
         except Exception:  # the job says so
             return
 
-    def _run(self, job_id: str, files: DataFrame, generation_id: str, rules) -> None:
+    def _run(self, job_id: str, files: DataFrame, generation_id: str, rules, only: DataFrame | None) -> None:
         context, tag = self.spark.sparkContext, f"tessera-{job_id}"
         watcher = Watcher(self.store, job_id, tag)
         context.addJobTag(tag)
         context.setInterruptOnCancel(True)
         watcher.start()
         try:
-            self._stages(job_id, files, generation_id, rules, watcher)
+            self._stages(job_id, files, generation_id, rules, only, watcher)
         finally:
             watcher.stop()
             context.removeJobTag(tag)
             context.setInterruptOnCancel(False)
 
-    def _stages(self, job_id: str, files: DataFrame, generation_id: str, rules, watcher: Watcher) -> None:
+    def _stages(self, job_id: str, files: DataFrame, generation_id: str, rules, only: DataFrame | None, watcher: Watcher) -> None:
         try:
             self._move(job_id, "scanning")
             status = scan.scan_status(files, rules).first()
@@ -173,7 +174,7 @@ class Indexer:
                 raise RequestError("INVALID_ARGUMENT", "the scan is incomplete: missing files are no deletions")
             self._flag(generation_id, "scan_complete")
             self._move(job_id, "parsing", discovered=status["found"])
-            found = self._parse(files, generation_id, rules)
+            found = self._parse(files, generation_id, rules, only)
             self._move(job_id, "resolving", parsed=found)
             self._resolve(files, generation_id)
             self._flag(generation_id, "resolved")
@@ -211,17 +212,31 @@ class Indexer:
 
     # -- stages
 
-    def _parse(self, files: DataFrame, generation_id: str, rules) -> int:
-        """Writes files and observations; what did not change is taken from the active generation. Returns the number of parsed files."""
-        sound = scan.safe_sources(scan.scan(files, rules)).filter("fault IS NULL").withColumn("analysis_key", F.lit(extraction.analysis_key()))
+    def _scope(self, files: DataFrame, rules, only: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """What a scan finds sound, the active files, and those of them that the scan is about."""
         active = self.store.registry()["active"]
+        if only is not None and not active:
+            raise RequestError("INDEX_NOT_READY", "a targeted scan follows a full one")
+        taken = scan.scan(files, rules) if only is None else scan.scan_paths(files, only, rules)
+        sound = scan.safe_sources(taken).filter("fault IS NULL").withColumn("analysis_key", F.lit(extraction.analysis_key()))
         before = self.store.read("files", active) if active else None
+        return sound, before, before if only is None else before.join(only.select("relative_path"), "relative_path", "left_semi")
+
+    def stale(self, files: DataFrame, rules=None, only: DataFrame | None = None) -> bool:
+        """Whether a run would change anything: some file is new, changed or gone."""
+        sound, before, about = self._scope(files, rules, only)
+        return before is None or not generations.diff(sound, about).filter("state <> 'reused'").isEmpty()
+
+    def _parse(self, files: DataFrame, generation_id: str, rules, only: DataFrame | None) -> int:
+        """Writes files and observations; what did not change is taken from the active generation. Returns the number of parsed files."""
+        sound, before, about = self._scope(files, rules, only)
+        active = self.store.registry()["active"]
         fresh = generations.to_parse(sound, before) if active else sound
         parses = resolution.cut(extraction.parsed(fresh.select("relative_path", "language", "content")))
         versions = extraction.file_versions(parses).withColumn("analysis_key", F.lit(extraction.analysis_key()))
         found, said = extraction.observations(parses), extraction.diagnostics(parses)
         if active:
-            gone = generations.deleted_paths(sound, before)
+            gone = generations.deleted_paths(sound, about)
             members = generations.begin(before, generation_id, gone)
             versions = generations.staged(members, versions, generation_id)
             kept = versions.select("relative_path").join(parses.select("relative_path"), "relative_path", "left_anti")

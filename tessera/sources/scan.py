@@ -16,6 +16,14 @@ FILE_BYTES, FILES, DIRECTORIES = 2 << 20, 100_000, 100_000
 SPECIAL_BYTES = 64 << 20
 
 
+def _content(spark: SparkSession, fs, status) -> bytes:
+    stream = fs.open(status.getPath())
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def _special(spark: SparkSession, root: str, wanted: tuple[str, ...]) -> tuple[list[str], list[tuple[str, bytes]]]:
     """(paths, files with content) that Spark's own listing leaves out, as a name in them begins with '_' or '.'.
 
@@ -35,11 +43,7 @@ def _special(spark: SparkSession, root: str, wanted: tuple[str, ...]) -> tuple[l
             size += status.getLen()
             if size > SPECIAL_BYTES:
                 raise RequestError("INVALID_ARGUMENT", "too many files whose names begin with '_' or '.'")
-            stream = fs.open(status.getPath())
-            try:
-                files.append((status.getPath().toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            finally:
-                stream.close()
+            files.append((status.getPath().toString(), _content(spark, fs, status)))
 
     for _ in range(PARTS):
         for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/[_.]*")) or []:
@@ -62,9 +66,44 @@ def tree(spark: SparkSession, root: str, wanted: tuple[str, ...] = IGNORE_FILES)
     are there.
     """
     root = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    return _relative(spark, root, files, *_special(spark, root, wanted))
+
+
+def named(spark: SparkSession, root: str, names: list[str], wanted: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """tree() of some paths alone, with the wanted files of the directories above them and the manifests of the root.
+
+    Nothing else is listed. Names of what is gone, of directories, and names that no path of a tree can have are left out.
+    The driver looks each name up, so that there should be few (a watch names 1,024 at most).
+    """
+    root = root.rstrip("/")
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted({n for n in names if n and not n.startswith("/") and not {"", ".", ".."} & set(n.split("/"))})
+    above = {"/".join(parts[:i]) for n in names for parts in [n.split("/")] for i in range(len(parts))}
+    asked = {*names, *MANIFESTS, *(f"{a}/{w}".lstrip("/") for a in above for w in wanted)}
+    paths, special, size = [], [], 0
+    for name in sorted(asked):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if not fs.exists(path):
+            continue
+        status = fs.getFileStatus(path)
+        if not status.isFile():
+            continue
+        if not path.getName().startswith(("_", ".")):
+            paths.append(path.toString())
+        elif status.getLen() <= FILE_BYTES:
+            size += status.getLen()
+            if size > SPECIAL_BYTES:
+                raise RequestError("INVALID_ARGUMENT", "too many files whose names begin with '_' or '.'")
+            special.append((path.toString(), _content(spark, fs, status)))
+    none = spark.createDataFrame([], "path string, length long, content binary")
+    return _relative(spark, root, none, paths, special)
+
+
+def _relative(spark: SparkSession, root: str, files: DataFrame, paths: list[str], special: list[tuple[str, bytes]]) -> DataFrame:
+    """The files, those that Spark reads by their paths, and those that were read already, by their paths below the root."""
     columns = ("path", "length", "content")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(*columns)
-    paths, special = _special(spark, root, wanted)
     if paths:
         files = files.unionByName(spark.read.format("binaryFile").load(paths).select(*columns))
     if special:

@@ -55,15 +55,20 @@ def reconciliations(hints: DataFrame, window: str, capacity: int = CAPACITY) ->
 def with_periodic(reconciled: DataFrame, until: Column, period_s: int = PERIOD_S) -> DataFrame:
     """Reconciliations with the full scans that are due in between: one a period after the last, as each of either kind sets the clock back.
 
-    until: the time up to which scans are due, exclusive.
+    until: the time up to which scans are due, exclusive. The next reconciliation is looked for within a day; that of a day's
+    last one is the first of the next day that has any, from a table of one row a day.
     """
-    after = F.least(F.coalesce(F.lead("start").over(Window.orderBy("start")), until), until)
+    names = reconciled.columns
+    reconciled = reconciled.withColumn("day", F.date_trunc("day", "start"))
+    days = reconciled.groupBy("day").agg(F.min("start").alias("first")).select("day", F.lead("first").over(Window.orderBy("day")).alias("next_day"))
+    reconciled = reconciled.withColumn("next", F.lead("start").over(Window.partitionBy("day").orderBy("start"))).join(days, "day")
+    after = F.least(F.coalesce("next", "next_day", until), until)
     first = F.col("start") + F.make_dt_interval(secs=F.lit(period_s))
     due = F.when(first < after, F.filter(F.sequence(first, after, F.make_dt_interval(secs=F.lit(period_s))), lambda t: t < after))
     idle = reconciled.withColumn("due", due).filter("due IS NOT NULL").select(F.explode("due").alias("start"))
     zero = F.lit(0).cast("long")
     idle = idle.select("start", zero.alias("hints"), zero.alias("path_count"), zero.alias("overflow"), F.lit("periodic").alias("trigger"), F.lit("full").alias("mode"), F.lit("").alias("paths"))
-    return reconciled.unionByName(idle)
+    return reconciled.select(*names).unionByName(idle)
 
 
 def counters(reconciled: DataFrame) -> DataFrame:
