@@ -59,9 +59,13 @@ def qualifier(spelling: Column) -> Column:
 
 def role_compatible(occurrence: Column, declaration: Column, kind: Column) -> Column:
     """An occurrence in a type place needs a type, one in a value place needs a value."""
+    return roles_fit(has(occurrence, "role:type"), has(occurrence, "role:value"), declaration, kind)
+
+
+def roles_fit(needs_type: Column, needs_value: Column, declaration: Column, kind: Column) -> Column:
     is_type = has(declaration, "role:type") | kind.isin(*TYPE)
     is_value = has(declaration, "role:value") | ~kind.isin(*NO_VALUE)
-    return (~has(occurrence, "role:type") | is_type) & (~has(occurrence, "role:value") | is_value)
+    return (~needs_type | is_type) & (~needs_value | is_value)
 
 
 def module_visible(language: Column, attributes: Column, spelling: Column, signature: Column) -> Column:

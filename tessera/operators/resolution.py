@@ -224,6 +224,38 @@ def _declarations(observations: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("d_language", *[F.col(c).alias(f"d_{c}") for c in names])
 
 
+def _need() -> Column:
+    """What a use asks of a declaration, as bits: a type, a value, something callable, a member instead of a name of the module level."""
+    asks = (K.has(F.col("o_attributes"), "role:type"), K.has(F.col("o_attributes"), "role:value"), F.col("category") == "call_site", F.col("uncertain"))
+    return reduce(Column.__add__, [F.when(a, 1 << i).otherwise(0) for i, a in enumerate(asks)])
+
+
+def _meets(need: Column) -> Column:
+    asks = lambda i: need.bitwiseAND(F.lit(1 << i)) != 0
+    level = F.when(asks(3), F.col("d_kind").isin(*K.MEMBER)).otherwise(F.col("d_top"))
+    return K.roles_fit(asks(0), asks(1), F.col("d_attributes"), F.col("d_kind")) & (~asks(2) | F.col("d_kind").isin(*K.CALLABLE)) & level
+
+
+def elsewhere(uses: DataFrame, declared: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """uses with `total` and `first`: how many declarations in other files meet a use, and CANDIDATES of them, the first in source order.
+
+    Declarations are counted and cut by key and need before a use meets them, so each use is joined with one row however common
+    its name is. A file adds CANDIDATES to a list at most and a list holds twice as many, so it is still whole without the use's own file.
+    uses: key, need, source_path; declared: key and the columns of a declaration. Uses that nothing meets are left out.
+    """
+    group, file = [*key, "need"], [*key, "need", "d_relative_path"]
+    in_file = ("d_start_byte", "d_observation_id")
+    fitting = declared.join(uses.select(*group).distinct(), list(key)).filter(_meets(F.col("need")))  # 16 needs of a key at most
+    by_file = fitting.groupBy(*file).agg(F.count(F.lit(1)).alias("own"))
+    whole = by_file.groupBy(*group).agg(F.sum("own").alias("all"))
+    kept = fitting.withColumn("place", F.row_number().over(Window.partitionBy(*file).orderBy(*in_file))).filter(F.col("place") <= CANDIDATES)
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("d_relative_path", *in_file))).filter(F.col("place") <= 2 * CANDIDATES)
+    lists = kept.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("d_relative_path", *in_file))).alias("first"))
+    met = uses.join(lists.join(whole, group), group).join(by_file.withColumnRenamed("d_relative_path", "source_path"), [*group, "source_path"], "left")
+    others = F.slice(F.filter("first", lambda d: d["d_relative_path"] != F.col("source_path")), 1, CANDIDATES)
+    return met.withColumn("total", F.col("all") - F.coalesce("own", F.lit(0))).withColumn("first", others).filter("total > 0").drop("all", "own")
+
+
 def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, dests: DataFrame, decl: DataFrame | None = None) -> DataFrame:
     """Declarations that files give out under a name, also through re-exports of re-exports.
 
@@ -285,7 +317,8 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     """Candidates of every occurrence that is not dynamic, from the first stage that has any. importing: whether there are imports.
 
     Stage 0: the nearest scope with the name, ties kept; for uncertain receivers, members of the file. Stage 1: the
-    nearest imports that give the name. Stage 2: other files of the same package or namespace.
+    nearest imports that give the name. Stage 2: other files of the same package or namespace, where `total` counts all and
+    the rows are the first CANDIDATES; elsewhere the rows are all.
     """
     if importing and dests is None:
         dests = destinations(observations, files, manifests)
@@ -296,7 +329,8 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     out = [*site, "d_relative_path", "d_observation_id", "d_start_byte", "rule", "evidence"]
 
     def stage(df: DataFrame, n: int) -> DataFrame:
-        return df.select(*out).withColumn("stage", F.lit(n))
+        total = F.col("total") if "total" in df.columns else F.lit(None)
+        return df.select(*out, total.cast("long").alias("total"), F.lit(n).alias("stage"))
 
     nearest = Window.partitionBy(*SITE).orderBy("distance")
     chained = cut(_chained(occ, observations))
@@ -315,14 +349,12 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
         stages.append(stage(imported, 1))
     modules = declared_modules(observations, files).filter(F.col("language").isin("go", "java", "csharp"))
     # keyed by language, module, directory for Go, and name, so that only names of one module meet
+    key = ("m_language", "module", "m_place", "name")
     place = F.when(F.col("language") == "go", parent_path(F.col("relative_path"))).otherwise(F.lit(""))
-    modules = modules.select("relative_path", F.col("language").alias("m_language"), "module", place.alias("m_place"))
-    mine = modules.withColumnRenamed("relative_path", "m_path")
-    theirs = modules.select(F.col("relative_path").alias("y_path"), F.col("m_language").alias("y_language"), F.col("module").alias("y_module"), F.col("m_place").alias("y_place"))
-    open_to_all = decl.filter(F.col("d_top") | F.col("d_kind").isin(*K.MEMBER)).join(theirs, F.col("d_relative_path") == F.col("y_path"))
-    same = occ.join(mine, F.col("source_path") == F.col("m_path"))
-    same = same.join(open_to_all, (F.col("name") == F.col("d_spelling")) & (F.col("m_language") == F.col("y_language")) & (F.col("module") == F.col("y_module")) & (F.col("m_place") == F.col("y_place")) & (F.col("source_path") != F.col("y_path")))
-    same = same.filter(fits & F.when(F.col("uncertain"), F.col("d_kind").isin(*K.MEMBER)).otherwise(F.col("d_top")))
+    modules = modules.select(F.col("relative_path").alias("m_path"), F.col("language").alias("m_language"), "module", place.alias("m_place"))
+    open_to_all = decl.filter(F.col("d_top") | F.col("d_kind").isin(*K.MEMBER)).join(modules, F.col("d_relative_path") == F.col("m_path")).withColumnRenamed("d_spelling", "name")
+    same = elsewhere(occ.join(modules, F.col("source_path") == F.col("m_path")).withColumn("need", _need()), open_to_all, key)
+    same = same.select(*site, "total", "module", "name", F.explode("first").alias("f")).select("*", "f.*")
     same = same.withColumn("rule", F.lit("same-module-v1")).withColumn("evidence", F.array(F.concat(F.lit("module:"), "module")))
     every = reduce(DataFrame.unionByName, [*stages, stage(same, 2)])
     first = Window.partitionBy(*SITE).orderBy("stage")
@@ -344,12 +376,13 @@ def emitted(candidates: DataFrame, sites: DataFrame, reason: str) -> DataFrame:
     """Edges of candidate rows: counted, labelled, the first CANDIDATES of a site in source order.
 
     One candidate resolves a site unless its receiver is uncertain. sites: SITE, o_start, o_end, o_limitations,
-    source_symbol_id, relationship.
+    source_symbol_id, relationship. A `total` of candidates stands for their number where they were cut before.
     """
     key = (*SITE, "d_relative_path", "d_observation_id")
-    once = candidates.groupBy(*key).agg(F.min(F.struct("d_start_byte", "rule", "evidence")).alias("c")).select(*key, "c.*")
+    known = F.max("total" if "total" in candidates.columns else F.lit(None).cast("long"))
+    once = candidates.groupBy(*key).agg(F.min(F.struct("d_start_byte", "rule", "evidence")).alias("c"), known.alias("total")).select(*key, "c.*", "total")
     all_ = Window.partitionBy(*SITE)
-    once = once.withColumn("n", F.count(F.lit(1)).over(all_)).withColumn("forced", F.max(F.col("rule") == "receiver-name-candidate-v1").over(all_))
+    once = once.withColumn("n", F.coalesce(F.max("total").over(all_), F.count(F.lit(1)).over(all_))).withColumn("forced", F.max(F.col("rule") == "receiver-name-candidate-v1").over(all_))
     once = once.withColumn("place", F.row_number().over(all_.orderBy("d_relative_path", "d_start_byte", "d_observation_id"))).filter(F.col("place") <= CANDIDATES)
     rows = once.join(sites, list(SITE))
     more = F.concat(F.coalesce("o_limitations", K.strings()), F.when(F.col("n") > 1, K.strings("ambiguous_candidate_set")).otherwise(K.strings()))
@@ -384,7 +417,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
         F.col("relationship"), source_path=F.col("source_path"), source_observation_id=F.col("source_observation_id"), source_category=F.col("source_category"), source_start_byte=F.col("o_start"), source_end_byte=F.col("o_end"),
         source_symbol_id=F.col("source_symbol_id"), resolution="unresolved", rule=rule, candidate_count=0, reason="no rule selected a declaration", evidence=K.strings(), limitations=F.coalesce("o_limitations", K.strings()),
     ))
-    many = bound.groupBy(*SITE).agg(F.countDistinct("d_relative_path", "d_observation_id").alias("n")).filter(F.col("n") > CANDIDATES).select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message"))
+    many = bound.groupBy(*SITE).agg(F.coalesce(F.max("total"), F.countDistinct("d_relative_path", "d_observation_id")).alias("n")).filter(F.col("n") > CANDIDATES).select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message"))
     if not importing:
         edges = cut(reduce(DataFrame.unionByName, [nested, linked, loose]).dropDuplicates(["edge_id"]))
         externals = edges.sparkSession.createDataFrame([], "external_node_id string, language string, kind string, label string")
