@@ -19,8 +19,8 @@ from tessera.functions import kinds as K
 from tessera.functions.text import content_id, last_segment, normalized_path, parent_path
 from tessera.operators.nesting import Open, by_file
 
-#: Candidates kept of a site, depth of re-exports, scopes of a chain, diagnostics kept.
-CANDIDATES, REEXPORTS, CHAIN, DIAGNOSTICS = 32, 16, 512, 1024
+#: Candidates kept of a site, depth, places and steps of a search through re-exports, scopes of a chain, diagnostics kept.
+CANDIDATES, REEXPORTS, NODES, STEPS, CHAIN, DIAGNOSTICS = 32, 16, 1024, 4096, 512, 1024
 ECMA_EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "d.ts")
 SITE = ("source_path", "source_category", "source_observation_id")
 
@@ -256,40 +256,74 @@ def elsewhere(uses: DataFrame, declared: DataFrame, key: tuple[str, ...]) -> Dat
     return met.withColumn("total", F.col("all") - F.coalesce("own", F.lit(0))).withColumn("first", others).filter("total > 0").drop("all", "own")
 
 
-def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, dests: DataFrame, decl: DataFrame | None = None) -> DataFrame:
-    """Declarations that files give out under a name, also through re-exports of re-exports.
+def closure(searches: DataFrame, steps: DataFrame, depth: int = REEXPORTS, nodes: int = NODES, most: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """(reached, limits): the files and names that each search comes to through re-exports, breadth first, each once.
 
-    requests: SITE, category, o_attributes, file, name, rule. A pair of file and name that is on the way already ends that
-    way, so cycles end; a way has REEXPORTS steps at most. Steps without open requests end the loop.
+    searches: root_file, root_name. steps: x_path, x_start, x_id, x_alias, x_attributes, x_language, target.
+    A search is a queue: re-exports of a file follow in source order, each counts as one of `most` steps, also if it leads to
+    a known place, and each new place as one of `nodes`. What is past a bound is left and told in limits (root_file, root_name,
+    file, code). Counters and positions are columns of the open places, so all searches go on together, one level a round.
+    reached: root_file, root_name, file, name, level.
+    """
+    root, place = ("root_file", "root_name"), ("root_file", "root_name", "file", "name")
+    whole, steps = Window.partitionBy(*root), cut(steps)
+    open_ = cut(searches.select(*root).distinct().select(*root, F.col("root_file").alias("file"), F.col("root_name").alias("name"), *[F.lit(n).alias(c) for c, n in (("level", 0), ("position", 1), ("nodes", 1), ("steps", 0))]))
+    reached, limits = [open_.select(*place, "level")], []
+
+    def limit(df: DataFrame, code: str) -> None:
+        limits.append(df.select(*root, "file", F.lit(f"import_{code}_limit_reached").alias("code")))
+
+    for level in range(1, depth + 2):
+        if steps.isEmpty() or open_.isEmpty():
+            break
+        ways = open_.join(steps, F.col("file") == F.col("x_path"))
+        ways = ways.filter(((F.col("x_language") != "dart") | K.combinators_allow(F.col("x_attributes"), F.col("name"))) & (F.col("x_alias").isNull() | (F.col("x_alias") == F.col("name"))))
+        order = whole.orderBy("position", "x_start", "x_id", "target")
+        ways = ways.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most + 1).withColumn("n", F.col("n") + F.col("steps")).filter(F.col("n") <= most + 1)
+        ways = cut(ways.select(*root, "file", "nodes", "n", "target", F.coalesce(K.attribute(F.col("x_attributes"), "local:"), "name").alias("local")))
+        limit(ways.filter(F.col("n") > most), "edge")
+        taken = ways.filter(F.col("n") <= most).withColumn("steps", F.max("n").over(whole))
+        new = taken.groupBy(*root, F.col("target").alias("file"), F.col("local").alias("name")).agg(F.min(F.struct("n", F.col("file").alias("by"))).alias("first"), F.max("nodes").alias("nodes"), F.max("steps").alias("steps"))
+        new = new.join(reduce(DataFrame.unionByName, reached).select(*place), list(place), "left_anti").withColumn("position", F.row_number().over(whole.orderBy("first.n"))).withColumn("node", F.col("nodes") + F.col("position"))
+        if level > depth:
+            limit(new.select(*root, F.col("first.by").alias("file")), "depth")
+            break
+        new = cut(new.filter(F.col("node") <= nodes + 1).withColumn("nodes", F.max(F.least("node", F.lit(nodes))).over(whole)))
+        limit(new.filter(F.col("node") > nodes).select(*root, F.col("first.by").alias("file")), "node")
+        open_ = new.filter(F.col("node") <= nodes).select(*place, F.lit(level).alias("level"), "position", "nodes", "steps")
+        reached.append(open_.select(*place, "level"))
+    none = open_.filter(F.lit(False)).select(*root, "file", F.lit("").alias("code"))
+    return reduce(DataFrame.unionByName, reached), reduce(DataFrame.unionByName, limits, none).distinct()
+
+
+def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, dests: DataFrame, decl: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, limits): declarations that files give out under a name, also through re-exports of re-exports.
+
+    requests: SITE, category, o_attributes, file, name, rule. What a search comes to depends on file and name alone: all
+    requests of one share it, and differ in what fits them. limits: source_path, code, message.
     """
     decl = _declarations(observations, files) if decl is None else decl
-    lang = files.select(F.col("relative_path").alias("l_path"), "language")
-    exports = observations.filter("category = 'import' AND kind IN ('reexport', 'export')").select(F.col("relative_path").alias("x_path"), F.col("observation_id").alias("x_id"), F.col("kind").alias("x_kind"), F.col("spelling").alias("x_spelling"), F.col("alias").alias("x_alias"), F.col("attributes").alias("x_attributes"))
-    targets = dests.filter("outcome = 'local'").select(F.col("relative_path").alias("t_path"), F.col("observation_id").alias("t_id"), F.col("target_path").alias("t_target"))
+    lang = files.select(F.col("relative_path").alias("l_path"), F.col("language").alias("x_language"))
+    exports = observations.filter("category = 'import' AND kind IN ('reexport', 'export')").select(*[F.col(c).alias(n) for c, n in (("relative_path", "x_path"), ("observation_id", "x_id"), ("kind", "x_kind"), ("start_byte", "x_start"), ("spelling", "x_spelling"), ("alias", "x_alias"), ("attributes", "x_attributes"))])
+    exports = exports.join(lang, F.col("x_path") == F.col("l_path")).drop("l_path").withColumn("plain", (F.col("x_kind") == "export") & (F.col("x_language") != "dart"))
+    targets = dests.filter("outcome = 'local'").select(F.col("relative_path").alias("t_path"), F.col("observation_id").alias("t_id"), F.col("target_path").alias("target"))
+    steps = exports.filter("NOT plain").join(targets, (F.col("x_path") == F.col("t_path")) & (F.col("x_id") == F.col("t_id")))
     site = [*SITE, "category", "o_attributes"]
-    open_ = requests.join(lang, F.col("file") == F.col("l_path")).select(*site, "file", "name", "rule", "language", F.array(F.concat_ws("\0", "file", "name")).alias("way"))
-    open_ = cut(open_)
-    found = [open_.filter(F.lit(False)).select(*site, F.col("file").alias("d_relative_path"), F.col("file").alias("d_observation_id"), F.lit(0).cast("long").alias("d_start_byte"), "rule", K.strings().alias("evidence"))]
-    for _ in range(REEXPORTS + 1):
-        if open_.isEmpty():
-            break
-        fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
-        visible = K.module_visible(F.col("language"), F.col("d_attributes"), F.col("d_spelling"), F.col("d_signature"))
-        level = (F.col("language") == "rust") | F.col("d_top") | K.has(F.col("o_attributes"), "static_import")
-        own = open_.join(decl, (F.col("file") == F.col("d_relative_path")) & (F.col("name") == F.col("d_spelling"))).filter(fits & visible & level)
-        found.append(own.select(*site, "d_relative_path", "d_observation_id", "d_start_byte", "rule", F.array(F.concat(F.lit("export_name:"), "name"), F.concat(F.lit("module:"), "file")).alias("evidence")))
-        out = open_.join(exports, F.col("file") == F.col("x_path")).filter(((F.col("language") != "dart") | K.combinators_allow(F.col("x_attributes"), F.col("name"))) & (F.col("x_alias").isNull() | (F.col("x_alias") == F.col("name"))))
-        plain = (F.col("x_kind") == "export") & (F.col("language") != "dart")
-        local = F.coalesce(K.attribute(F.col("x_attributes"), "local:"), F.when(plain, F.col("x_spelling")).otherwise(F.col("name")))
-        out = out.withColumn("local", local)
-        named = out.filter(plain & (F.col("x_alias").isNotNull() | (F.col("x_spelling") == F.col("name"))))
-        named = named.join(decl, (F.col("file") == F.col("d_relative_path")) & (F.col("local") == F.col("d_spelling"))).filter(fits & F.col("d_top"))
-        found.append(named.select(*site, "d_relative_path", "d_observation_id", "d_start_byte", F.lit("local-export-v2").alias("rule"), F.array(F.concat(F.lit("export_name:"), "name"), F.concat(F.lit("local_name:"), "local")).alias("evidence")))
-        step = out.filter(~plain).join(targets, (F.col("x_path") == F.col("t_path")) & (F.col("x_id") == F.col("t_id"))).join(lang.withColumnRenamed("language", "t_language"), F.col("t_target") == F.col("l_path"))
-        mark = F.concat_ws("\0", "t_target", "local")
-        step = step.filter(~F.array_contains("way", mark))
-        open_ = cut(step.select(*site, F.col("t_target").alias("file"), F.col("local").alias("name"), F.lit("bounded-reexport-v1").alias("rule"), F.col("t_language").alias("language"), F.concat("way", F.array(mark)).alias("way")).distinct())
-    return reduce(DataFrame.unionByName, found)
+    asked = cut(requests.select(*site, F.col("file").alias("root_file"), F.col("name").alias("root_name"), "rule"))
+    reached, limits = closure(asked, steps.select("x_path", "x_start", "x_id", "x_alias", "x_attributes", "x_language", "target"))
+    declared = (F.col("file") == F.col("d_relative_path")) & (F.col("wanted") == F.col("d_spelling"))
+    given = ["root_file", "root_name", "d_relative_path", "d_observation_id", "d_start_byte", "d_kind", "d_attributes", "open", "own_rule", "evidence"]
+    visible = K.module_visible(F.col("d_language"), F.col("d_attributes"), F.col("d_spelling"), F.col("d_signature"))
+    own = reached.withColumn("wanted", F.col("name")).join(decl, declared).filter(visible).withColumn("open", (F.col("d_language") == "rust") | F.col("d_top"))
+    own = own.withColumn("own_rule", F.when(F.col("level") > 0, "bounded-reexport-v1")).withColumn("evidence", F.array(F.concat(F.lit("export_name:"), "name"), F.concat(F.lit("module:"), "file")))
+    named = reached.join(exports.filter("plain"), F.col("file") == F.col("x_path")).filter(F.coalesce("x_alias", "x_spelling") == F.col("name"))
+    named = named.withColumn("wanted", F.coalesce(K.attribute(F.col("x_attributes"), "local:"), "x_spelling")).join(decl, declared).filter("d_top").withColumn("open", F.lit(True))
+    named = named.withColumn("own_rule", F.lit("local-export-v2")).withColumn("evidence", F.array(F.concat(F.lit("export_name:"), "name"), F.concat(F.lit("local_name:"), "wanted")))
+    fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
+    found = asked.join(own.select(*given).unionByName(named.select(*given)), ["root_file", "root_name"]).filter(fits & (F.col("open") | K.has(F.col("o_attributes"), "static_import")))
+    found = found.select(*site, "d_relative_path", "d_observation_id", "d_start_byte", F.coalesce("own_rule", "rule").alias("rule"), "evidence")
+    told = asked.select("source_path", "root_file", "root_name").distinct().join(limits, ["root_file", "root_name"]).select("source_path", "code", F.concat_ws("#", "root_file", "root_name").alias("message"))
+    return found, told.distinct()
 
 
 def occurrences(observations: DataFrame, files: DataFrame) -> DataFrame:
@@ -313,8 +347,8 @@ def _chained(occ: DataFrame, observations: DataFrame) -> DataFrame:
     return known.filter("ancestor_id IS NOT NULL").unionByName(lost)
 
 
-def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, dests: DataFrame | None = None, importing: bool = True) -> DataFrame:
-    """Candidates of every occurrence that is not dynamic, from the first stage that has any. importing: whether there are imports.
+def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, dests: DataFrame | None = None, importing: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(candidates, limits) of every occurrence that is not dynamic, from the first stage that has any. importing: whether there are imports.
 
     Stage 0: the nearest scope with the name, ties kept; for uncertain receivers, members of the file. Stage 1: the
     nearest imports that give the name. Stage 2: other files of the same package or namespace, where `total` counts all and
@@ -339,13 +373,13 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     lexical = lexical.withColumn("rule", F.lit("lexical-scope-v1")).withColumn("evidence", F.array(F.concat(F.lit("scope_distance:"), F.col("distance").cast("string")), F.concat(F.lit("name:"), "name")))
     member = occ.filter("uncertain").join(decl, (F.col("source_path") == F.col("d_relative_path")) & (F.col("name") == F.col("d_spelling"))).filter(fits & F.col("d_kind").isin(*K.MEMBER))
     member = member.withColumn("rule", F.lit("receiver-name-candidate-v1")).withColumn("evidence", F.array(F.concat(F.lit("member_name:"), "name")))
-    stages = [stage(lexical, 0), stage(member, 0)]
+    stages, limits = [stage(lexical, 0), stage(member, 0)], None
     if importing:
         imports = dests.filter("kind <> 'export'").select(F.col("relative_path").alias("i_path"), F.col("observation_id").alias("i_id"), F.col("scope_id").alias("i_scope"), F.col("attributes").alias("i_attributes"), F.col("alias").alias("i_alias"), F.col("spelling").alias("i_spelling"), "outcome", "target_path", F.col("rule").alias("rule"))
         near = chained.join(imports, (F.col("source_path") == F.col("i_path")) & (F.col("ancestor_id") == F.col("i_scope")))
         near = near.withColumn("wanted", K.imported_name(F.col("language"), F.col("i_attributes"), F.col("i_alias"), F.col("i_spelling"), F.col("qualifier"), F.col("name"))).filter("wanted IS NOT NULL")
         near = near.withColumn("place", F.rank().over(nearest)).filter("place = 1 AND outcome = 'local'")
-        imported = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
+        imported, limits = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
         stages.append(stage(imported, 1))
     modules = declared_modules(observations, files).filter(F.col("language").isin("go", "java", "csharp"))
     # keyed by language, module, directory for Go, and name, so that only names of one module meet
@@ -358,7 +392,7 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     same = same.withColumn("rule", F.lit("same-module-v1")).withColumn("evidence", F.array(F.concat(F.lit("module:"), "module")))
     every = reduce(DataFrame.unionByName, [*stages, stage(same, 2)])
     first = Window.partitionBy(*SITE).orderBy("stage")
-    return every.withColumn("place", F.rank().over(first)).filter("place = 1").drop("place")
+    return every.withColumn("place", F.rank().over(first)).filter("place = 1").drop("place"), limits
 
 
 def _edge(relationship: Column | str, **columns) -> list[Column]:
@@ -407,7 +441,9 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     occ = occurrences(observations, files)
     sites = occ.join(around, (F.col("source_path") == F.col("e_path")) & (F.col("source_category") == F.col("e_category")) & (F.col("source_observation_id") == F.col("e_id")), "left")
     sites = sites.withColumn("relationship", F.when(F.col("category") == "call_site", "calls").otherwise("references"))
-    sites, bound = cut(sites), cut(bindings(observations, files, manifests, dests, importing))
+    sites = cut(sites)
+    bound, limits = bindings(observations, files, manifests, dests, importing)
+    bound = cut(bound)
     flags = occ.select(*SITE, "uncertain")
     bound = bound.join(flags, list(SITE)).withColumn("rule", F.when(F.col("uncertain"), "receiver-name-candidate-v1").otherwise(F.col("rule"))).withColumn("evidence", F.when(F.col("uncertain"), F.concat("evidence", K.strings("receiver_type_not_inferred"))).otherwise(F.col("evidence")))
     linked = emitted(bound, sites.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship"), "bounded rules selected declarations")
@@ -428,7 +464,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     base = {"source_path": F.col("source_path"), "source_observation_id": F.col("source_observation_id"), "source_category": F.col("source_category"), "source_start_byte": F.col("o_start"), "source_end_byte": F.col("o_end"), "source_symbol_id": F.col("source_symbol_id"), "evidence": specifier, "limitations": F.coalesce("o_limitations", K.strings())}
     local = imports.filter("outcome = 'local'")
     asked = local.withColumn("name", K.binding_name(F.col("language"), F.col("o_attributes"), F.col("spelling"))).filter("name IS NOT NULL")
-    named = exported(asked.select(*SITE, F.lit("reference").alias("category"), "o_attributes", F.col("target_path").alias("file"), "name", F.lit("explicit-import-v1").alias("rule")), observations, files, dests)
+    named, more_limits = exported(asked.select(*SITE, F.lit("reference").alias("category"), "o_attributes", F.col("target_path").alias("file"), "name", F.lit("explicit-import-v1").alias("rule")), observations, files, dests)
     named = cut(named)
     named_edges = emitted(named, imports.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship").distinct(), "an import names declarations")
     whole = local.join(named.select(*SITE).distinct(), list(SITE), "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SITE)))
@@ -442,7 +478,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     edges = reduce(DataFrame.unionByName, [nested, linked, loose, named_edges, file_edges, outside_edges, lost_edges]).dropDuplicates(["edge_id"])
     edges = cut(edges)
     externals = outside.select(F.col("node").alias("external_node_id"), "language", F.col("node_kind").alias("kind"), F.col("spelling").alias("label")).distinct()
-    diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
+    diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).unionByName(limits).unionByName(more_limits).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
     return edges, externals, diagnostics
 
 

@@ -45,3 +45,59 @@ def test_a_common_name_is_joined_once_a_use(spark):
     got = resolution.elsewhere(uses, declared, KEY)
     rows = got.groupBy((F.substring("source_path", 2, 9).cast("int") < 50).alias("own"), "total", F.size("first").alias("n")).count().collect()
     assert sorted(tuple(x) for x in rows) == [(False, 5_000, 32, 10_000), (True, 4_900, 32, 10_000)]
+
+
+STEPS = "x_path string, x_start long, x_id string, x_alias string, x_attributes array<string>, x_language string, target string"
+
+
+def queue(root, steps, depth, nodes, most):
+    """One search with a queue: places with their level, and what bounds it met."""
+    seen, waiting, taken, limits = {root: 0}, [root], 0, set()
+    while waiting:
+        file, name = waiting.pop(0)
+        level = seen[file, name] + 1
+        for s in sorted((s for s in steps if s[0] == file and s[3] in (None, name)), key=lambda s: (s[1], s[2], s[6])):
+            taken += 1
+            if taken > most:
+                limits.add((file, "import_edge_limit_reached"))
+                break
+            local = next((a[6:] for a in s[4] if a.startswith("local:")), name)
+            if (s[6], local) in seen:
+                continue
+            if level > depth:
+                limits.add((file, "import_depth_limit_reached"))
+            elif len(seen) >= nodes:
+                limits.add((file, "import_node_limit_reached"))
+            else:
+                seen[s[6], local] = level
+                waiting.append((s[6], local))
+        if taken > most:
+            break
+    return {(*k, v) for k, v in seen.items()}, limits
+
+
+@pytest.mark.parametrize("depth, nodes, most", [(16, 1024, 4096), (2, 1024, 4096), (16, 9, 4096), (16, 1024, 12)])
+def test_searches_equal_a_queue(spark, depth, nodes, most):
+    r = random.Random(depth * nodes + most)
+    steps = [(f"f{r.randrange(12)}", i, f"x{i}", r.choice([None, None, "p", "q"]), r.choice([[], ["local:p"], ["local:r"]]), "typescript", f"f{r.randrange(12)}") for i in range(30)]
+    roots = [(f"f{i}", n) for i in range(12) for n in "pqr"]
+    reached, limits = resolution.closure(spark.createDataFrame(roots, "root_file string, root_name string"), spark.createDataFrame(steps, STEPS), depth, nodes, most)
+    got, told = {}, {}
+    for row in reached.collect():
+        got.setdefault((row["root_file"], row["root_name"]), []).append((row["file"], row["name"], row["level"]))
+    for row in limits.collect():
+        told.setdefault((row["root_file"], row["root_name"]), set()).add(row["code"])
+    for root in roots:
+        want, bounds = queue(root, steps, depth, nodes, most)
+        assert sorted(got[root]) == sorted(want), root
+        assert told.get(root, set()) == {code for _, code in bounds}, root
+
+
+def test_a_diamond_of_twenty_levels_ends(spark):
+    """2^20 ways lead to the last file; each file is one place."""
+    steps = [(f"f{i}{a}", n, f"x{i}{a}{b}", None, [], "typescript", f"f{i + 1}{b}") for i in range(20) for a in "ab" for n, b in enumerate("ab")]
+    search = spark.createDataFrame([("f0a", "p")], "root_file string, root_name string")
+    reached, limits = resolution.closure(search, spark.createDataFrame(steps, STEPS), 20)
+    assert reached.count() == 41 and limits.count() == 0
+    reached, limits = resolution.closure(search, spark.createDataFrame(steps, STEPS))
+    assert reached.count() == 33 and [r["code"] for r in limits.select("code").distinct().collect()] == ["import_depth_limit_reached"]
