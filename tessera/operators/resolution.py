@@ -119,7 +119,8 @@ def _joined(directory: Column, rest: Column) -> Column:
 def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
     """One row for each import and file that it leads to; or one row that tells why there is none.
 
-    (path, import, outcome, rule, target_path, node_kind): outcome is local, external or unresolved.
+    (path, import, outcome, rule, target_path, node_kind, total): outcome is local, external or unresolved. Of a package or
+    namespace, the first NODES files by path have rows, and total counts all; elsewhere it is null.
     """
     lang = files.select(F.col("relative_path").alias("f_path"), "language")
     imports = of(observations, "import", "").filter(~F.col("kind").isin("package", "library"))
@@ -158,14 +159,16 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     suffix = F.regexp_replace(F.expr("substring(spelling, length(g_name) + 1)"), "^/+", "")
     go = go.withColumn("g_target", F.when(suffix == "", F.col("g_dir")).otherwise(F.coalesce(_joined(F.col("g_dir"), suffix), F.col("g_dir"))))
     go_files = files.filter("language = 'go'").select(F.col("relative_path").alias("target_path"), parent_path(F.col("relative_path")).alias("g_parent"))
-    by_go = go.join(go_files, F.col("g_target") == F.col("g_parent")).select(*key, "target_path")
+    by_go, go_sums = _members(go.select(*key, F.col("g_target").alias("group")), go_files.select(F.col("g_parent").alias("group"), "target_path"), ("group",))
     # Java and C#: the files that declare the package or namespace
     owner = F.when(F.col("language") == "csharp", F.regexp_replace(spec, r"(\.\*)+$", "")).when(K.has(F.col("attributes"), "wildcard_import"), spec).otherwise(F.regexp_extract(spec, r"^(.*)\.[^.]*$", 1))
     spaces = declared_modules(observations, files).select(F.col("relative_path").alias("target_path"), F.col("language").alias("s_language"), "module")
-    by_space = keyed.filter(F.col("language").isin("java", "csharp")).join(spaces, (F.col("language") == F.col("s_language")) & (owner == F.col("module"))).select(*key, "target_path")
+    by_space, space_sums = _members(keyed.filter(F.col("language").isin("java", "csharp")).select(*key, F.col("language").alias("s_language"), owner.alias("module")), spaces, ("s_language", "module"))
+    sums = go_sums.unionByName(space_sums).withColumnsRenamed({"relative_path": "n_path", "observation_id": "n_id"})
     found = reduce(DataFrame.unionByName, [by_path, inline, by_go, by_space]).distinct().withColumnsRenamed({"relative_path": "t_path", "observation_id": "t_id"})
     go_known = go.select(*key).distinct().withColumn("go_known", F.lit(True)).withColumnsRenamed({"relative_path": "k_path", "observation_id": "k_id"})
     out = keyed.join(found, (F.col("relative_path") == F.col("t_path")) & (F.col("observation_id") == F.col("t_id")), "left").join(go_known, (F.col("relative_path") == F.col("k_path")) & (F.col("observation_id") == F.col("k_id")), "left")
+    out = out.join(sums, (F.col("relative_path") == F.col("n_path")) & (F.col("observation_id") == F.col("n_id")), "left")
     language, relative = F.col("language"), spec.startswith(".")
     external = (
         F.when(ecma & ~relative, "package")
@@ -197,7 +200,20 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     outcome = F.when(F.col("dynamic"), "unresolved").when(F.col("target_path").isNotNull(), "local").when(external.isNotNull(), "external").otherwise("unresolved")
     code = F.when(F.col("dynamic"), "dynamic_module_specifier").when((language == "dart") & spec.rlike("^package:[^/]*$"), "invalid_package_uri").when(local_rule.isNull(), "unsupported_language_rule").otherwise("local_module_not_found")
     out = out.withColumn("outcome", outcome)
-    return out.select(*imports.columns, "language", "outcome", F.when(F.col("outcome") == "local", F.col("target_path")).alias("target_path"), F.when(F.col("outcome") == "external", external).alias("node_kind"), F.when(F.col("outcome") == "local", local_rule).when(F.col("outcome") == "external", external_rule).otherwise("unsupported-import-v1").alias("rule"), F.when(F.col("outcome") == "unresolved", code).alias("code"))
+    return out.select(*imports.columns, "language", "outcome", F.when(F.col("outcome") == "local", F.col("target_path")).alias("target_path"), F.when(F.col("outcome") == "external", external).alias("node_kind"), F.when(F.col("outcome") == "local", local_rule).when(F.col("outcome") == "external", external_rule).otherwise("unsupported-import-v1").alias("rule"), F.when(F.col("outcome") == "unresolved", code).alias("code"), F.when(F.col("outcome") == "local", F.col("total")).alias("total"))
+
+
+def _members(asked: DataFrame, members: DataFrame, group: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(targets, totals): the files of the groups that imports name, the first NODES of each by path, and how many there are in all.
+
+    No search looks at more, so an import meets NODES rows of a group at most, however large it is.
+    """
+    members = members.distinct()
+    first = members.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("target_path"))).filter(F.col("place") <= NODES)
+    key = ("relative_path", "observation_id")
+    asked = asked.distinct()
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    return asked.join(first, list(group)).select(*key, "target_path"), asked.join(sizes, list(group)).groupBy(*key).agg(F.sum("size").alias("total"))
 
 
 def _crate_roots(files: DataFrame) -> DataFrame:
@@ -464,10 +480,11 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     base = {"source_path": F.col("source_path"), "source_observation_id": F.col("source_observation_id"), "source_category": F.col("source_category"), "source_start_byte": F.col("o_start"), "source_end_byte": F.col("o_end"), "source_symbol_id": F.col("source_symbol_id"), "evidence": specifier, "limitations": F.coalesce("o_limitations", K.strings())}
     local = imports.filter("outcome = 'local'")
     asked = local.withColumn("name", K.binding_name(F.col("language"), F.col("o_attributes"), F.col("spelling"))).filter("name IS NOT NULL")
+    wide = local.filter(F.col("total") > NODES).select("source_path", F.lit("import_node_limit_reached").alias("code"), F.col("spelling").alias("message"))
     named, more_limits = exported(asked.select(*SITE, F.lit("reference").alias("category"), "o_attributes", F.col("target_path").alias("file"), "name", F.lit("explicit-import-v1").alias("rule")), observations, files, dests)
     named = cut(named)
     named_edges = emitted(named, imports.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship").distinct(), "an import names declarations")
-    whole = local.join(named.select(*SITE).distinct(), list(SITE), "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*SITE)))
+    whole = local.join(named.select(*SITE).distinct(), list(SITE), "left_anti").withColumn("n", F.coalesce("total", F.count(F.lit(1)).over(Window.partitionBy(*SITE))))
     whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*SITE).orderBy("target_path"))).filter(F.col("place") <= CANDIDATES)
     file_edges = whole.select(*_edge("imports", **base, target_path=F.col("target_path"), resolution=F.when(F.col("n") == 1, "lexically_resolved").otherwise("candidate"), rule=F.col("rule"), candidate_count=F.col("n"), reason="a module rule selected files"))
     node = F.concat(F.lit("external:"), content_id(F.col("language"), F.col("node_kind"), F.col("spelling")))
@@ -478,7 +495,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) ->
     edges = reduce(DataFrame.unionByName, [nested, linked, loose, named_edges, file_edges, outside_edges, lost_edges]).dropDuplicates(["edge_id"])
     edges = cut(edges)
     externals = outside.select(F.col("node").alias("external_node_id"), "language", F.col("node_kind").alias("kind"), F.col("spelling").alias("label")).distinct()
-    diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).unionByName(limits).unionByName(more_limits).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
+    diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).unionByName(limits).unionByName(more_limits).unionByName(wide).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
     return edges, externals, diagnostics
 
 

@@ -57,6 +57,45 @@ def site_scores(spark, folder):
     return resolution.evaluate(edges, labels, observations).select("language", "sites", "exact", "hits", "returned", "expected", "precision", "recall")
 
 
+#: Bounds of the registered searches, low enough to be met.
+_DEPTH, _NODES, _STEPS = 2, 24, 40
+
+
+def export_searches(spark, folder):
+    """Where searches for two names of each supplier's file come to, and the bounds that they meet.
+
+    A file gives on to another one for each line number that it has; alias and local name come from its last order.
+    """
+    lines = corpus.read(spark, folder, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("x_start"), F.max("l_orderkey").alias("last"))
+    named = lambda by: F.when(F.col("last") % by == 0, "n").when(F.col("last") % by == 1, "r")
+    local = F.when(named(5).isNotNull(), F.array(F.concat(F.lit("local:"), named(5)))).otherwise(F.array().cast("array<string>"))
+    target = F.concat(F.lit("s"), F.floor(F.col("l_suppkey") / 2) + F.col("l_linenumber"))
+    steps = lines.select(F.concat(F.lit("s"), "l_suppkey").alias("x_path"), "x_start", F.col("x_start").cast("string").alias("x_id"), named(4).alias("x_alias"), local.alias("x_attributes"), F.lit("typescript").alias("x_language"), target.alias("target"))
+    roots = corpus.read(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("root_file"), F.explode(F.array(F.lit("n"), F.lit("r"))).alias("root_name"))
+    reached, limits = resolution.closure(roots, steps, _DEPTH, _NODES, _STEPS)
+    met = limits.groupBy("root_file", "root_name").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("limits"))
+    return reached.join(met, ["root_file", "root_name"], "left").select("root_file", "root_name", "file", "name", F.col("level").cast("long").alias("level"), F.coalesce("limits", F.lit("")).alias("limits"))
+
+
+def _searches_sql() -> str:
+    parts = ["""steps AS (SELECT 's' || l_suppkey AS x_path, min(l_orderkey * 8 + l_linenumber) AS x_start, CASE max(l_orderkey) % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'r' END AS x_alias,
+  CASE max(l_orderkey) % 5 WHEN 0 THEN 'n' WHEN 1 THEN 'r' END AS local, 's' || (l_suppkey // 2 + l_linenumber) AS target FROM lineitem GROUP BY l_suppkey, l_linenumber)""",
+        "o0 AS (SELECT 's' || s_suppkey AS rf, rn, 's' || s_suppkey AS file, rn AS name, 1 AS position, 1 AS nodes, 0 AS taken FROM supplier, (VALUES ('n'), ('r')) v(rn))", "seen0 AS (SELECT rf, rn, file, name, 0 AS level FROM o0)"]
+    limits = []
+    for k in range(1, _DEPTH + 2):
+        parts += [
+            f"w{k} AS (SELECT rf, rn, nodes, target, coalesce(local, name) AS local, taken + row_number() OVER (PARTITION BY rf, rn ORDER BY position, x_start) AS n FROM o{k - 1} JOIN steps ON file = x_path AND (x_alias IS NULL OR x_alias = name))",
+            f"f{k} AS (SELECT rf, rn, target AS file, local AS name, min(n) AS n, any_value(nodes) AS nodes, any_value(least({_STEPS}, total)) AS taken FROM (SELECT *, max(n) OVER (PARTITION BY rf, rn) AS total FROM w{k}) w WHERE n <= {_STEPS} GROUP BY rf, rn, target, local)",
+            f"n{k} AS (SELECT *, row_number() OVER (PARTITION BY rf, rn ORDER BY n) AS position FROM f{k} ANTI JOIN seen{k - 1} USING (rf, rn, file, name))",
+            f"o{k} AS (SELECT rf, rn, file, name, position, max(nodes + position) OVER (PARTITION BY rf, rn) AS nodes, taken FROM n{k} WHERE nodes + position <= {_NODES})",
+            f"seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT rf, rn, file, name, {k} FROM o{k})",
+        ]
+        limits.append(f"SELECT rf, rn, 'import_edge_limit_reached' AS code FROM w{k} WHERE n > {_STEPS}")
+        limits.append(f"SELECT rf, rn, 'import_node_limit_reached' FROM n{k} WHERE nodes + position > {_NODES}" if k <= _DEPTH else f"SELECT rf, rn, 'import_depth_limit_reached' FROM n{k}")
+    parts.append(f"met AS (SELECT rf, rn, string_agg(DISTINCT code, ',' ORDER BY code) AS limits FROM ({' UNION ALL '.join(limits)}) l GROUP BY rf, rn)")
+    return f"WITH {', '.join(parts)} SELECT rf AS root_file, rn AS root_name, file, name, CAST(level AS BIGINT) AS level, coalesce(limits, '') AS limits FROM seen{_DEPTH} LEFT JOIN met USING (rf, rn)"
+
+
 def declared_kinds(spark, folder):
     """Declarations, imports and conditions of seven dialects, of many kinds, with what contains them."""
     sources = modules.grown(spark, folder, modules.KINDS, "relative_path language content").withColumn("content", F.encode("content", "UTF-8"))
@@ -133,6 +172,7 @@ def split_names(spark, folder):
 
 
 QUERIES = {
+    "export_searches": export_searches,
     "import_destinations": import_destinations,
     "import_edges": import_edges,
     "imported_calls": imported_calls,
@@ -283,6 +323,7 @@ _IMPORTED = "CASE WHEN list_contains(attributes, 'imported:Foo') THEN 'Foo' WHEN
 _LAST_OF = "CASE WHEN spelling LIKE '%::%' THEN split_part(spelling, '::', -1) ELSE spelling END"
 _ALIASED = "CASE WHEN alias = qualifier OR (alias IS NULL AND qualifier IS NULL) THEN wanted END"
 SQL = {
+    "export_searches": _searches_sql(),
     "import_destinations": modules.sql_rows(_DESTINATIONS, "relative_path spelling alias outcome rule target_path node_kind code"),
     "import_edges": modules.sql_rows(_IMPORTS, "source_path site target_path target resolution rule candidate_count"),
     "imported_calls": modules.sql_rows(_CALLS, "source_path site target_path target resolution rule candidate_count"),

@@ -101,3 +101,15 @@ def test_a_diamond_of_twenty_levels_ends(spark):
     assert reached.count() == 41 and limits.count() == 0
     reached, limits = resolution.closure(search, spark.createDataFrame(steps, STEPS))
     assert reached.count() == 33 and [r["code"] for r in limits.select("code").distinct().collect()] == ["import_depth_limit_reached"]
+
+
+@pytest.mark.parametrize("most", [2, 1024])
+def test_members_of_a_package(spark, monkeypatch, most):
+    monkeypatch.setattr(resolution, "NODES", most)
+    asked = spark.createDataFrame([("a", "i1", "p"), ("a", "i1", "p"), ("b", "i2", "p"), ("b", "i3", "q"), ("c", "i4", "gone"), ("c", "i5", None), ("d", "i6", "p"), ("d", "i6", "q")], "relative_path string, observation_id string, module string")
+    members = spark.createDataFrame([(f"f{i}", "p") for i in range(4)] + [("g", "q"), ("g", "q"), ("h", None)], "target_path string, module string")
+    targets, totals = resolution._members(asked, members, ("module",))
+    p = [f"f{i}" for i in range(min(most, 4))]
+    want = [("a", "i1", t) for t in p] + [("b", "i2", t) for t in p] + [("b", "i3", "g"), ("d", "i6", "g")] + [("d", "i6", t) for t in p]
+    assert sorted(tuple(r) for r in targets.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in totals.collect()) == [("a", "i1", 4), ("b", "i2", 4), ("b", "i3", 1), ("d", "i6", 5)]
