@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from tessera.limits import RequestError
 from tessera.plans.indexing import Indexer
-from tessera.sources import scan
+from tessera.sources import guarded, scan
 from tessera.sources.store import Store
 
 
@@ -35,6 +35,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         command = commands.add_parser(name)
         if name == "index":
             command.add_argument("tree")
+            command.add_argument("--guarded", action="store_true", help="follow no links, and take no file that changes while it is read")
             command.add_argument("--key", default=None, help="a request of the same key is not run again")
         command.add_argument("store")
     asked = parser.parse_args(arguments)
@@ -42,7 +43,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     indexer = Indexer(Store(spark, asked.store))
     try:
         if asked.command == "index":
-            files = scan.tree(spark, asked.tree)
+            files = (guarded if asked.guarded else scan).tree(spark, asked.tree)
             own = uuid.uuid4().hex
             answer = indexer.run(files, asked.key or own, f"g-{own}", scan.ignore_rules(files))
         else:

@@ -12,6 +12,9 @@ from tessera.sources.paths import DENIED_DIRECTORIES, DIALECTS, IGNORE_FILES, MA
 FILE_BYTES, FILES, DIRECTORIES = 2 << 20, 100_000, 100_000
 
 
+#: Faults of a read by which files may be missing (see guarded.py).
+BROKEN = ("unlisted", "changed", "unreadable")
+
 #: Bytes of files whose names begin with '_' or '.', that the driver reads itself.
 SPECIAL_BYTES = 64 << 20
 
@@ -139,14 +142,21 @@ def scan(files: DataFrame, rules: list[tuple[str, bool, bool]] | None = None) ->
 
 
 def scan_status(files: DataFrame, rules: list[tuple[str, bool, bool]] | None = None) -> DataFrame:
-    """One row: files that a scan takes, directories, files too large, and whether it is complete within its limits."""
+    """One row: files that a scan takes, directories, files too large, and whether it is complete.
+
+    It is not past its limits, nor where files could not be listed or read, as a `fault` column may tell.
+    """
     path = F.col("relative_path")
-    sources = files.filter(valid_path(path) & supported(path) & ~denied(path))
+    source = valid_path(path) & supported(path) & ~denied(path) & F.col("byte_length").isNotNull()
+    broken = F.coalesce(F.col("fault").isin(*BROKEN), F.lit(False)) if "fault" in files.columns else F.lit(False)
+    rows = files.withColumn("source", source).withColumn("broken", broken).filter("source OR broken")
     if rules:
-        sources = ignored(sources, rules).filter(~F.col("ignored"))
-    large = F.col("byte_length") > FILE_BYTES
-    row = sources.agg(F.count(F.lit(1)).alias("found"), F.coalesce(F.sum(large.cast("long")), F.lit(0)).alias("too_large"), F.countDistinct(F.regexp_replace("relative_path", "/?[^/]*$", "")).alias("directories"))
-    return row.select("found", "too_large", "directories", ((F.col("found") - F.col("too_large") <= FILES) & (F.col("directories") <= DIRECTORIES)).alias("complete"))
+        rows = ignored(rows, rules).filter(~F.col("ignored"))
+    number = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    large = F.col("source") & (F.col("byte_length") > FILE_BYTES)
+    directory = F.when(F.col("source"), F.regexp_replace("relative_path", "/?[^/]*$", ""))
+    row = rows.agg(number(F.col("source")).alias("found"), number(large).alias("too_large"), F.countDistinct(directory).alias("directories"), number(F.col("broken")).alias("faults"))
+    return row.select("found", "too_large", "directories", ((F.col("found") - F.col("too_large") <= FILES) & (F.col("directories") <= DIRECTORIES) & (F.col("faults") == 0)).alias("complete"))
 
 
 def scan_paths(files: DataFrame, wanted: DataFrame, rules: list[tuple[str, bool, bool]] | None = None) -> DataFrame:
@@ -157,16 +167,19 @@ def scan_paths(files: DataFrame, wanted: DataFrame, rules: list[tuple[str, bool,
 def safe_sources(files: DataFrame) -> DataFrame:
     """(relative_path, language, content, content_hash, fault): fault is null for what may be parsed.
 
-    Faults: excluded, too_large, binary (a NUL byte), invalid_utf8, unsupported_dialect (.RS passes the scan, but has none).
+    Faults: those of a guarded tree, excluded, too_large, binary (a NUL byte), invalid_utf8, unsupported_dialect (.RS passes the scan, but has none).
     """
     path, content = F.col("relative_path"), F.col("content")
+    size = F.coalesce(F.col("byte_length") > FILE_BYTES, F.lit(False)) if "byte_length" in files.columns else F.lit(False)
     fault = (
         F.when(~valid_path(path) | denied(path) | ~supported(path), "excluded")
-        .when(F.octet_length(content) > FILE_BYTES, "too_large")
+        .when((F.octet_length(content) > FILE_BYTES) | size, "too_large")
         .when(F.contains(content, F.lit(b"\x00")), "binary")
         .when(~F.is_valid_utf8(content.cast("string")), "invalid_utf8")
         .when(dialect(path).isNull(), "unsupported_dialect")
     )
+    if "fault" in files.columns:
+        fault = F.coalesce("fault", fault)
     return files.select("relative_path", dialect(path).alias("language"), "content", F.sha2(content, 256).alias("content_hash"), fault.alias("fault"))
 
 
