@@ -88,26 +88,40 @@ def wire_bytes(value: object) -> int:
     return len(compact({"structuredContent": value, "content": [{"type": "text", "text": text}]}).encode())
 
 
-def fit(value: dict, most: int, shrink: Callable[[dict], bool]) -> dict:
-    """The value, made smaller by shrink() until it fits; shrink tells whether there was anything left to drop."""
+#: Bytes by which the number of an estimate, written twice, may shrink.
+ESTIMATE_BYTES = 16
+
+
+def fit(value: dict, most: int, shrink: Callable[[dict], int], settle: Callable[[dict], object] | None = None) -> dict:
+    """The value, made smaller by shrink() until it fits.
+
+    shrink tells how many bytes it has dropped at most, 0 if nothing was left. Only once so many are dropped as are too many is the
+    whole looked at again, so that a long answer is written out a few times, not once for each item, and keeps all that fits.
+    settle: renews an estimate that is part of the value, before each look.
+    """
     if not 512 <= most <= LIMITS.response_bytes:
         raise RequestError("INVALID_ARGUMENT", "max_bytes")
-    while wire_bytes(value) > most:
-        if not shrink(value):
-            raise RequestError("RESPONSE_TOO_LARGE")
+    while (over := wire_bytes(value) - most) > 0:
+        while over > 0:
+            dropped = shrink(value)
+            if not dropped:
+                raise RequestError("RESPONSE_TOO_LARGE")
+            over -= dropped + (ESTIMATE_BYTES if settle else 0)
+        if settle:
+            settle(value)
     return value
 
 
-def drop_last(*names: str) -> Callable[[dict], bool]:
+def drop_last(*names: str) -> Callable[[dict], int]:
     """A shrink() that drops the last item of the first list of these names that has any, and marks the cut."""
 
-    def shrink(value: dict) -> bool:
+    def shrink(value: dict) -> int:
         for name in names:
             if value[name]:
-                value[name].pop()
+                text = compact(value[name].pop())
                 value["truncated"] = True
-                return True
-        return False
+                return len(text.encode()) + len(compact(text).encode()) + 2  # with a comma in both, and true for false
+        return 0
 
     return shrink
 

@@ -32,6 +32,7 @@ class Index:
     names: Names | None = None
     adjacency: Adjacency | None = None
     jobs: dict[str, dict] = field(default_factory=dict)
+    known: dict = field(default_factory=dict)
 
 
 def symbols_of(found: DataFrame, versions: DataFrame) -> DataFrame:
@@ -94,7 +95,10 @@ class Service:
         return self.index.edges if self.index.adjacency is None else self.index.adjacency.of(end, [key])
 
     def coverage(self) -> dict:
-        return retrieval.coverage(self.index.files).first().asDict()
+        """Counted once for a generation, which never changes."""
+        if not self.index.known:
+            self.index.known.update(retrieval.coverage(self.index.files).first().asDict())
+        return dict(self.index.known)
 
     def _after(self, cursor: str | None, operation: str, query: str, size: int) -> tuple[str, ...] | None:
         if cursor is None:
@@ -178,7 +182,7 @@ class Service:
         }
         paging.with_token_estimate(value)
         drop = paging.drop_last("relations", "snippets", "symbols")
-        return paging.fit(value, max_bytes, lambda v: drop(v) and bool(paging.with_token_estimate(v)))
+        return paging.fit(value, max_bytes, drop, paging.with_token_estimate)
 
     # -- notes
 

@@ -170,10 +170,10 @@ def safe_sources(files: DataFrame) -> DataFrame:
     Faults: those of a guarded tree, excluded, too_large, binary (a NUL byte), invalid_utf8, unsupported_dialect (.RS passes the scan, but has none).
     """
     path, content = F.col("relative_path"), F.col("content")
-    size = F.coalesce(F.col("byte_length") > FILE_BYTES, F.lit(False)) if "byte_length" in files.columns else F.lit(False)
+    size = F.coalesce(F.octet_length(content), F.col("byte_length") if "byte_length" in files.columns else F.lit(None))  # not all content is read
     fault = (
         F.when(~valid_path(path) | denied(path) | ~supported(path), "excluded")
-        .when((F.octet_length(content) > FILE_BYTES) | size, "too_large")
+        .when(size > FILE_BYTES, "too_large")
         .when(F.contains(content, F.lit(b"\x00")), "binary")
         .when(~F.is_valid_utf8(content.cast("string")), "invalid_utf8")
         .when(dialect(path).isNull(), "unsupported_dialect")

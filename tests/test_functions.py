@@ -133,3 +133,29 @@ def test_ranges_around_a_place_equal_brute_force():
             assert [r[2] for r in own.around(a, b)] == [r[2] for r in sorted((r for r in ranges if r[0] <= a and r[1] >= b), key=lambda r: (r[1] - r[0], r[2]))]
         if turn % 3:
             assert own.nested
+
+
+def test_a_long_answer_is_written_out_a_few_times_and_keeps_what_fits(monkeypatch):
+    looks, real = [], paging.wire_bytes
+
+    def look(value):
+        looks.append(1)
+        return real(value)
+
+    monkeypatch.setattr(paging, "wire_bytes", look)
+    r = random.Random(5)
+    for settle in (None, paging.with_token_estimate):
+        for _ in range(20):
+            items = [{"s": r.choice(['"', "\\", "é", "x", "\n"]) * r.randrange(40), "n": r.randrange(10**6)} for _ in range(r.choice([0, 3, 400]))]
+            most, value = r.randrange(512, 30_000), {"items": items, "truncated": False}
+            if settle:
+                settle(value)
+            want = {"items": list(items), "truncated": False}
+            while True:
+                if settle:
+                    settle(want)
+                if real(want) <= most:
+                    break
+                want = {"items": want["items"][:-1], "truncated": True}
+            looks.clear()
+            assert paging.fit(value, most, paging.drop_last("items"), settle) == want and len(looks) < 20
