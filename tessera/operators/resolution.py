@@ -136,7 +136,7 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     rest = F.when(parts[0] == "super", F.filter(parts, lambda p: p != "super")).when(local_root, F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     modules = F.when(F.size(rest) > 1, F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(1)))).otherwise(K.strings())
     roots = _crate_roots(files)
-    rows = rows.join(roots, F.col("relative_path") == F.col("r_path"), "left").drop("r_path")
+    rows = rows.join(roots.hint("merge"), F.col("relative_path") == F.col("r_path"), "left").drop("r_path")
     start = F.when(parts[0] == "crate", F.coalesce("crate_root", root)).when(parts[0] == "super", parent_path(root)).otherwise(root)
     module_path = _joined(start, F.array_join(modules, "/"))
     rust = F.when(F.size(rest) == 0, K.strings()).when(F.size(modules) == 0, F.array(path)).otherwise(F.array(F.concat(module_path, F.lit(".rs")), F.concat(module_path, F.lit("/mod.rs"))))
@@ -213,7 +213,7 @@ def _members(asked: DataFrame, members: DataFrame, group: tuple[str, ...]) -> tu
     key = ("relative_path", "observation_id")
     asked = asked.distinct()
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
-    return asked.join(first, list(group)).select(*key, "target_path"), asked.join(sizes, list(group)).groupBy(*key).agg(F.sum("size").alias("total"))
+    return asked.join(first.hint("merge"), list(group)).select(*key, "target_path"), asked.join(sizes.hint("merge"), list(group)).groupBy(*key).agg(F.sum("size").alias("total"))
 
 
 def _crate_roots(files: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from tessera.sources import corpus, modules
 
 
 def _found(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(observations, files, manifests) of the module trees."""
+    """(observations, files, manifests) of the module trees, parsed once."""
     sources = modules.sources(spark, folder)
-    return extraction.observations(extraction.parsed(sources)), sources.select("relative_path", "language"), modules.manifests(spark)
+    return resolution.cut(extraction.observations(extraction.parsed(sources))), resolution.cut(sources.select("relative_path", "language")), modules.manifests(spark)
 
 
 def import_destinations(spark, folder):
@@ -25,7 +25,6 @@ def import_destinations(spark, folder):
 def _edges(spark, folder) -> tuple[DataFrame, DataFrame]:
     """(edges, observations), read once."""
     observations, files, manifests = _found(spark, folder)
-    observations = resolution.cut(observations)
     return resolution.resolve(observations, files, manifests)[0], observations
 
 

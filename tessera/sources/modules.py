@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.cluster import spread
 from tessera.sources.corpus import PER_FILE, read
 
 #: (path, dialect, text) of each file of a tree.
@@ -50,7 +51,7 @@ GO_MOD = "module example.org/app\n\ngo 1.22\n"
 
 def trees(spark: SparkSession, folder: str) -> DataFrame:
     """k of every tree: a file of the corpus' symbols."""
-    return read(spark, folder, "part").select(F.floor(F.col("p_partkey") / PER_FILE).alias("k")).distinct()
+    return spread(read(spark, folder, "part").select(F.floor(F.col("p_partkey") / PER_FILE).alias("k")), "k").distinct()
 
 
 def grown(spark: SparkSession, folder: str, rows: tuple[tuple, ...], columns: str) -> DataFrame:
