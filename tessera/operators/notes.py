@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.limits import RequestError
-
 #: Bytes of a body, evidence rows of a note, bytes of its evidence, notes of a project.
 BODY, EVIDENCE, EVIDENCE_BYTES, NOTES = 16 << 10, 32, 8 << 10, 10_000
 
@@ -72,9 +70,7 @@ def evidence_status(notes: DataFrame, evidence: DataFrame, files: DataFrame, sym
 
 
 def bound_faults(notes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(id, fault) of notes past the bounds of body and evidence; raises if there are more than NOTES."""
-    if notes.limit(NOTES + 1).count() > NOTES:
-        raise RequestError("MEMORY_LIMIT_EXCEEDED", "notes")
+    """(id, fault) of all notes past the bounds of body and evidence. How many notes a project may have is checked where they are committed."""
     size = F.octet_length("relative_path") + F.octet_length(F.coalesce("content_hash", F.lit(""))) + F.octet_length(F.coalesce("symbol_id", F.lit("")))
     sums = evidence.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
     long = notes.filter(F.octet_length("body") > BODY).select("id", F.lit("body").alias("fault"))

@@ -34,3 +34,10 @@ def test_trees_are_dealt_before_they_grow(spark, folder):
     rows = modules.sources(spark, folder)
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert rows.select("relative_path").distinct().count() == rows.count()
+
+
+def test_bounds_of_very_many_notes(spark, monkeypatch):
+    monkeypatch.setattr(notes, "NOTES", 2)
+    have = spark.createDataFrame([(k, "x" * 20000 if k == "c" else "y") for k in "abcd"], "id string, body string")
+    evidence = spark.createDataFrame([("d", f"p{i}", "h", None) for i in range(33)], "memory_id string, relative_path string, content_hash string, symbol_id string")
+    assert {(r["id"], r["fault"]) for r in notes.bound_faults(have, evidence).collect()} == {("c", "body"), ("d", "evidence")}
