@@ -170,7 +170,7 @@ class Indexer:
         try:
             self._move(job_id, "scanning")
             status = scan.scan_status(files, rules).first()
-            if not status["complete"]:
+            if not scan.whole(status):
                 raise RequestError("INVALID_ARGUMENT", "the scan is incomplete: missing files are no deletions")
             self._flag(generation_id, "scan_complete")
             self._move(job_id, "parsing", discovered=status["found"])

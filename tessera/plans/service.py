@@ -57,7 +57,7 @@ def rebuild(before: Index, files: DataFrame, generation_id: str, rules=None) ->
 
     A scan past its limits is refused, as files that it misses would count as deleted.
     """
-    if not scan.scan_status(files, rules).first()["complete"]:
+    if not scan.whole(scan.scan_status(files, rules).first()):
         raise RequestError("INVALID_ARGUMENT", "the scan is incomplete")
     sound = scan.safe_sources(scan.scan(files, rules)).filter("fault IS NULL")
     keyed = sound.withColumn("analysis_key", F.lit(extraction.analysis_key()))

@@ -41,3 +41,12 @@ def test_bounds_of_very_many_notes(spark, monkeypatch):
     have = spark.createDataFrame([(k, "x" * 20000 if k == "c" else "y") for k in "abcd"], "id string, body string")
     evidence = spark.createDataFrame([("d", f"p{i}", "h", None) for i in range(33)], "memory_id string, relative_path string, content_hash string, symbol_id string")
     assert {(r["id"], r["fault"]) for r in notes.bound_faults(have, evidence).collect()} == {("c", "body"), ("d", "evidence")}
+
+
+def test_a_scan_of_very_many_files_is_complete(spark, monkeypatch):
+    files = spark.createDataFrame([(f"d{i}/{n}.rs", 1) for i in range(3) for n in "ab"], "relative_path string, byte_length long")
+    monkeypatch.setattr(scan, "FILES", 5)
+    row = scan.scan_status(files).first()
+    assert (row["found"], row["complete"]) == (6, True) and not scan.whole(row)
+    monkeypatch.setattr(scan, "FILES", 6)
+    assert scan.whole(row)
