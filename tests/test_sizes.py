@@ -57,3 +57,12 @@ def test_notes_of_a_common_word_come_by_date(spark):
     status = spark.createDataFrame([], "memory_id string, evidence_status string")
     found = [(r["id"], r["score"]) for r in search.search_notes(have, status, "the", limit=8).collect()]
     assert [n for n, _ in found] == sorted((n for n, _ in found), key=lambda n: (dict(found)[n], -int(n[1:]))) and len({s for _, s in found}) < 4
+
+
+def test_lines_are_counted_in_one_pass(spark):
+    rows = spark.range(40).select(F.repeat(F.lit("é\n"), 200_000).alias("x"), F.lit(599_999).alias("at"))
+    begun = time.monotonic()
+    assert {r[0] for r in rows.select(T.line_of(F.col("x"), F.col("at"))).collect()} == {200_000}
+    assert time.monotonic() - begun < 10
+    odd = spark.createDataFrame([("\n\né", 1), ("\n\né", 3), ("", 5), (None, 1), ("\n0A\n", -4)], "x string, at int")
+    assert [r[0] for r in odd.select(T.line_of(F.col("x"), F.col("at"))).collect()] == [2, 3, 1, None, 1]
