@@ -19,6 +19,8 @@ from tessera.functions.text import identifier_tokens
 from tessera.operators.nesting import Open, by_file
 from tessera.schema import OBSERVATIONS
 
+#: Observations after which a task gives on the files that it has read.
+HELD = 4096
 _FIELDS = [f.name for f in OBSERVATIONS if f.name != "relative_path"]
 _LISTS = {"attributes", "limitations"}
 _NUMBERS = {f for f in _FIELDS if f.endswith("_byte")}
@@ -36,13 +38,15 @@ def parsed(sources: DataFrame) -> DataFrame:
     """(relative_path, language, parse_status, byte_length, content_hash, rows, notes) of sources (relative_path, language, content).
 
     Content that is no UTF-8, or too large, fails; unbalanced brackets and limits make a parse partial. A file that the reader
-    can't get through fails with a diagnostic of its own, and no other file with it. Nulls count as empty content.
+    can't get through fails with a diagnostic of its own, and no other file with it. Nulls count as empty content. A task holds the
+    observations of a few files, whatever Spark's batches hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            states, rows, notes = [], [], []
-            for path, language, content in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            states, rows, notes, held, first = [], [], [], 0, 0
+            for i in range(batch.num_rows):
+                path, language, content = (c[i].as_py() for c in batch.columns[:3])
                 try:
                     found, state, said = syntax.extract((content or b"").decode(), language, path)
                 except UnicodeDecodeError as error:
@@ -52,7 +56,14 @@ def parsed(sources: DataFrame) -> DataFrame:
                 states.append(state)
                 rows.append(found)
                 notes.append([dict(zip(("code", "message", "start_byte", "end_byte"), n, strict=True)) for n in said])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string()), batch.column(3), batch.column(4), pa.array(rows, pa.list_(_ROW)), pa.array(notes, pa.list_(_NOTE))], ["relative_path", "language", "parse_status", "byte_length", "content_hash", "rows", "notes"])
+                held += len(found) + len(said)
+                if held >= HELD:
+                    yield out(batch.slice(first, i + 1 - first), states, rows, notes)
+                    states, rows, notes, held, first = [], [], [], 0, i + 1
+            yield out(batch.slice(first), states, rows, notes)
+
+    def out(files: pa.RecordBatch, states: list, rows: list, notes: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([files.column(0), files.column(1), pa.array(states, pa.string()), files.column(3), files.column(4), pa.array(rows, pa.list_(_ROW)), pa.array(notes, pa.list_(_NOTE))], ["relative_path", "language", "parse_status", "byte_length", "content_hash", "rows", "notes"])
 
     ship(sources.sparkSession)
     body = F.coalesce("content", F.lit(b"")).cast("binary")

@@ -36,6 +36,15 @@ def test_trees_are_dealt_before_they_grow(spark, folder):
     assert rows.select("relative_path").distinct().count() == rows.count()
 
 
+def test_lines_are_counted_in_one_pass(spark):
+    rows = spark.range(40).select(F.repeat(F.lit("é\n"), 200_000).alias("x"), F.lit(599_999).alias("at"))
+    begun = time.monotonic()
+    assert {r[0] for r in rows.select(T.line_of(F.col("x"), F.col("at"))).collect()} == {200_000}
+    assert time.monotonic() - begun < 10
+    odd = spark.createDataFrame([("\n\né", 1), ("\n\né", 3), ("", 5), (None, 1), ("\n0A\n", -4)], "x string, at int")
+    assert [r[0] for r in odd.select(T.line_of(F.col("x"), F.col("at"))).collect()] == [2, 3, 1, None, 1]
+
+
 def test_bounds_of_very_many_notes(spark, monkeypatch):
     monkeypatch.setattr(notes, "NOTES", 2)
     have = spark.createDataFrame([(k, "x" * 20000 if k == "c" else "y") for k in "abcd"], "id string, body string")
@@ -59,10 +68,12 @@ def test_notes_of_a_common_word_come_by_date(spark):
     assert [n for n, _ in found] == sorted((n for n, _ in found), key=lambda n: (dict(found)[n], -int(n[1:]))) and len({s for _, s in found}) < 4
 
 
-def test_lines_are_counted_in_one_pass(spark):
-    rows = spark.range(40).select(F.repeat(F.lit("é\n"), 200_000).alias("x"), F.lit(599_999).alias("at"))
-    begun = time.monotonic()
-    assert {r[0] for r in rows.select(T.line_of(F.col("x"), F.col("at"))).collect()} == {200_000}
-    assert time.monotonic() - begun < 10
-    odd = spark.createDataFrame([("\n\né", 1), ("\n\né", 3), ("", 5), (None, 1), ("\n0A\n", -4)], "x string, at int")
-    assert [r[0] for r in odd.select(T.line_of(F.col("x"), F.col("at"))).collect()] == [2, 3, 1, None, 1]
+def test_a_task_holds_observations_of_few_files(spark, monkeypatch):
+    sources = spark.createDataFrame([(f"f{i}.go", "go", bytearray(b"package p\nfunc A() { B() }\n" * 40)) for i in range(300)], "relative_path string, language string, content binary")
+    ran, own = [], type(sources).mapInArrow
+    monkeypatch.setattr(type(sources), "mapInArrow", lambda df, run, schema: (ran.append(run), own(df, run, schema))[1])
+    found = extraction.parsed(sources)
+    batch = sources.selectExpr("relative_path", "language", "content", "CAST(0 AS LONG) AS byte_length", "'' AS content_hash").toArrow().combine_chunks().to_batches()
+    parts = [(b.num_rows, len(b.column(5).flatten())) for b in ran[0](iter(batch))]
+    assert sum(n for n, _ in parts) == 300 and len(parts) > 3 and max(r for _, r in parts) < 2 * extraction.HELD
+    assert found.select("relative_path").distinct().count() == 300
