@@ -77,3 +77,12 @@ def test_a_task_holds_observations_of_few_files(spark, monkeypatch):
     parts = [(b.num_rows, len(b.column(5).flatten())) for b in ran[0](iter(batch))]
     assert sum(n for n, _ in parts) == 300 and len(parts) > 3 and max(r for _, r in parts) < 2 * extraction.HELD
     assert found.select("relative_path").distinct().count() == 300
+
+
+def test_an_index_for_one_query_holds_the_ends_that_it_looks_up(spark, folder):
+    from pathlib import Path
+
+    from tessera.plans import graphs
+
+    index = graphs._adjacency(spark, folder, "target_symbol_id")
+    assert {p.name for p in Path(index.folder.removeprefix("file:")).iterdir()} == {"target_symbol_id", "numbers"}
