@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.search import LEAST_IDF, B, K1, index_tokens, search_documents
+from tessera.operators.search import LEAST_IDF, B, K1, index_tokens, once, search_documents
 
 #: Partitions of the terms, and the place of a field's number.
 BUCKETS, FIELD = 64, 20
@@ -25,14 +25,14 @@ def bucket(term: Column) -> Column:
 
 
 def posted(symbols: DataFrame) -> DataFrame:
-    """(bucket, term, KEY, length, places) of all terms. A symbol's terms are gathered in its row: nothing is exchanged."""
+    """(bucket, term, KEY, length, places) of all terms. Symbols are dealt, then a symbol's terms are gathered in its row."""
     docs = search_documents(symbols)
 
     def placed(number: int, name: str) -> Column:
         return F.transform(index_tokens(F.col(name)), lambda t, i: F.struct(t.alias("t"), (i + F.lit(number << FIELD)).alias("p")))
 
     fields = [placed(n, c) for n, c in enumerate(FIELDS)]
-    rows = docs.select(*KEY, F.concat(*fields).alias("all"))
+    rows = once(docs.select(*KEY, *[c for c in FIELDS if c not in KEY]), all=F.concat(*fields)).select(*KEY, "all")
     rows = rows.select(*KEY, F.size("all").alias("length"), "all", F.explode(F.array_distinct(F.transform("all", lambda x: x["t"]))).alias("term"))
     places = F.transform(F.filter("all", lambda x: x["t"] == F.col("term")), lambda x: x["p"])
     return rows.select(bucket(F.col("term")).alias("bucket"), "term", *KEY, "length", places.alias("places"))
@@ -43,8 +43,9 @@ def write(symbols: DataFrame, folder: str) -> None:
     rows = posted(symbols)
     spread = F.pmod(F.xxhash64(*KEY), F.lit(4))  # a very frequent term is shared out
     rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
-    tokens = reduce(lambda a, b: a + b, [F.size(index_tokens(F.col(c))) for c in FIELDS])
-    numbers = search_documents(symbols).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(tokens.cast("long")), F.lit(0)).alias("length"))
+    written = symbols.sparkSession.read.schema(rows.schema).parquet(f"{folder}/terms")  # every word of a text is a place of one term
+    length = written.agg(F.coalesce(F.sum(F.size("places").cast("long")), F.lit(0)).cast("long").alias("length"))
+    numbers = symbols.agg(F.count(F.lit(1)).alias("rows")).crossJoin(length)  # of one row each
     numbers.write.mode("overwrite").parquet(f"{folder}/numbers")
 
 

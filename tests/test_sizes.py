@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.cluster import cut
 from tessera.functions import text as T
-from tessera.operators import extraction, notes, resolution, search
+from tessera.operators import extraction, notes, postings, resolution, search
 from tessera.sources import corpus, modules, scan
 
 
@@ -102,3 +102,13 @@ def test_terms_are_counted_in_the_task_of_their_key(spark, folder):
     found = plan(got)
     assert found.count("Exchange") == 1 and found.index("Generate") < found.index("Exchange")
     assert sorted(map(tuple, got.collect())) == [("x", "a", 1, 2), ("x", "a", 4, 3), ("x", "c", 1, 1), ("y", "a", 2, 3), ("z", "a", 1, 2)]
+
+
+def test_an_index_of_words_is_made_in_all_tasks_and_counts_every_word(spark, folder, tmp_path):
+    symbols = corpus.symbols(spark, folder).limit(60).coalesce(1)
+    assert postings.posted(symbols).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    for name, rows in (("some", symbols), ("none", symbols.limit(0))):
+        postings.write(rows, f"file://{tmp_path}/{name}")
+        words = [r for r in search.search_documents(rows).select(*(F.size(search.index_tokens(F.col(c))).alias(c) for c in postings.FIELDS)).collect()]
+        numbers = spark.read.parquet(f"file://{tmp_path}/{name}/numbers").first()
+        assert (numbers["rows"], numbers["length"]) == (len(words), sum(map(sum, words)))
