@@ -112,3 +112,8 @@ def test_an_index_of_words_is_made_in_all_tasks_and_counts_every_word(spark, fol
         words = [r for r in search.search_documents(rows).select(*(F.size(search.index_tokens(F.col(c))).alias(c) for c in postings.FIELDS)).collect()]
         numbers = spark.read.parquet(f"file://{tmp_path}/{name}/numbers").first()
         assert (numbers["rows"], numbers["length"]) == (len(words), sum(map(sum, words)))
+
+
+def test_edges_are_told_apart_by_numbers_and_named_after_that(spark, folder):
+    found = plan(corpus.edges(spark, folder))
+    assert "lexically_resolved" not in found[found.index("Exchange hashpartitioning") :]
