@@ -10,6 +10,7 @@ from tessera.cluster import cut
 from tessera.functions import text as T
 from tessera.operators import extraction, notes, postings, resolution, search
 from tessera.sources import corpus, modules, scan
+from tessera.sources.store import Store
 
 
 def plan(df) -> str:
@@ -117,3 +118,11 @@ def test_an_index_of_words_is_made_in_all_tasks_and_counts_every_word(spark, fol
 def test_edges_are_told_apart_by_numbers_and_named_after_that(spark, folder):
     found = plan(corpus.edges(spark, folder))
     assert "lexically_resolved" not in found[found.index("Exchange hashpartitioning") :]
+
+
+def test_a_store_writes_ids_in_half_their_bytes(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    rows = spark.range(20000).select(F.sha2(F.col("id").cast("string"), 256).alias("edge_id")).coalesce(1)
+    store.write("edges", rows, "g1")
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 20000 * 45
+    assert store.read("edges", "g1").select("edge_id").exceptAll(rows).count() == 0
