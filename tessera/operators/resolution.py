@@ -13,16 +13,20 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.cluster import cut
 from tessera.functions import kinds as K
 from tessera.functions.text import content_id, last_segment, normalized_path, parent_path
 from tessera.operators.nesting import Open, by_file
+from tessera.schema import EDGES, EXTERNALS, RELATIONSHIPS
 
 #: Candidates kept of a site, depth, places and steps of a search through re-exports, scopes of a chain, diagnostics kept.
 CANDIDATES, REEXPORTS, NODES, STEPS, CHAIN, DIAGNOSTICS = 32, 16, 1024, 4096, 512, 1024
 ECMA_EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "d.ts")
 SITE = ("source_path", "source_category", "source_observation_id")
+#: Edges of no generation yet.
+EDGE_ROWS = T.StructType([f for f in EDGES.fields if f.name != "generation_id"])
 
 
 def of(observations: DataFrame, category: str, prefix: str, *columns: str) -> DataFrame:
@@ -42,12 +46,13 @@ def containment(observations: DataFrame) -> DataFrame:
     """
 
     def each(rows: list[dict]) -> Iterator[tuple]:
-        outer = _ranges(rows, "symbol", K.CONTAINER)
+        outer, said = _ranges(rows, "symbol", K.CONTAINER), set()
         for c in sorted((r for r in rows if r["category"] == "symbol"), key=lambda r: r["start_byte"]):
             outer.move(c["start_byte"])
             o = next((r[3] for r in outer.around(c["start_byte"], c["end_byte"]) if r[3]["observation_id"] != c["observation_id"]), None)
-            if o is not None:
-                yield c["relative_path"], c["observation_id"], o["observation_id"], o["start_byte"], o["end_byte"], c["syntax_start_byte"], c["syntax_end_byte"]
+            if o is not None and (pair := (c["observation_id"], o["observation_id"])) not in said:
+                said.add(pair)
+                yield c["relative_path"], *pair, o["start_byte"], o["end_byte"], c["syntax_start_byte"], c["syntax_end_byte"]
 
     text, number = pa.string(), pa.int64()
     return by_file(observations.filter("category = 'symbol'"), each, "relative_path string, child_id string, container_id string, start_byte long, end_byte long, from long, to long", [text, text, text, number, number, number, number])
@@ -64,7 +69,8 @@ def enclosing(observations: DataFrame, categories: tuple[str, ...] = ("import",
             if o is not None:
                 yield c["relative_path"], c["category"], c["observation_id"], o[3]["observation_id"]
 
-    return by_file(observations.filter(F.col("category").isin("symbol", *categories)), each, "e_path string, e_category string, e_id string, source_symbol_id string", [pa.string()] * 4)
+    held = F.col("category").isin(*categories) | ((F.col("category") == "symbol") & F.col("kind").isin(*K.CALLABLE_CONTAINER))
+    return by_file(observations.filter(held), each, "e_path string, e_category string, e_id string, source_symbol_id string", [pa.string()] * 4)
 
 
 def scope_chains(observations: DataFrame) -> DataFrame:
@@ -342,10 +348,10 @@ def exported(requests: DataFrame, observations: DataFrame, files: DataFrame, des
     return found, told.distinct()
 
 
-def occurrences(observations: DataFrame, files: DataFrame) -> DataFrame:
+def occurrences(observations: DataFrame, files: DataFrame, categories: tuple[str, ...] = ("reference", "call_site")) -> DataFrame:
     """References and calls with their name, qualifier, and whether they are dynamic or of an uncertain receiver."""
     lang = files.select(F.col("relative_path").alias("f_path"), "language")
-    rows = observations.filter(F.col("category").isin("reference", "call_site")).join(lang, F.col("relative_path") == F.col("f_path"))
+    rows = observations.filter(F.col("category").isin(*categories)).join(lang, F.col("relative_path") == F.col("f_path"))
     return rows.select(
         F.col("relative_path").alias("source_path"), F.col("category").alias("source_category"), F.col("observation_id").alias("source_observation_id"), "category", "language",
         F.col("start_byte").alias("o_start"), F.col("end_byte").alias("o_end"), F.col("scope_id").alias("o_scope"), F.col("attributes").alias("o_attributes"), F.col("limitations").alias("o_limitations"),
@@ -363,17 +369,14 @@ def _chained(occ: DataFrame, observations: DataFrame) -> DataFrame:
     return known.filter("ancestor_id IS NOT NULL").unionByName(lost)
 
 
-def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, dests: DataFrame | None = None, importing: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """(candidates, limits) of every occurrence that is not dynamic, from the first stage that has any. importing: whether there are imports.
+def bindings(occ: DataFrame, decl: DataFrame, observations: DataFrame, files: DataFrame, dests: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(candidates, limits) of every occurrence that is not dynamic, from the first stage that has any. dests: none where nothing is imported.
 
     Stage 0: the nearest scope with the name, ties kept; for uncertain receivers, members of the file. Stage 1: the
     nearest imports that give the name. Stage 2: other files of the same package or namespace, where `total` counts all and
-    the rows are the first CANDIDATES; elsewhere the rows are all.
+    the rows are the first CANDIDATES; elsewhere the rows are all. Those of uncertain receivers say so, whatever stage they are of.
     """
-    if importing and dests is None:
-        dests = destinations(observations, files, manifests)
-    occ = cut(occurrences(observations, files).filter("NOT dynamic"))
-    decl = cut(_declarations(observations, files))
+    occ = occ.filter("NOT dynamic")
     fits = K.role_compatible(F.col("o_attributes"), F.col("d_attributes"), F.col("d_kind")) & ((F.col("category") != "call_site") | F.col("d_kind").isin(*K.CALLABLE))
     site = [*SITE, "category", "o_attributes"]
     out = [*site, "d_relative_path", "d_observation_id", "d_start_byte", "rule", "evidence"]
@@ -382,21 +385,25 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
         total = F.col("total") if "total" in df.columns else F.lit(None)
         return df.select(*out, total.cast("long").alias("total"), F.lit(n).alias("stage"))
 
+    def unsure(df: DataFrame) -> DataFrame:
+        told = F.concat("evidence", K.strings("receiver_type_not_inferred"))
+        return df.withColumns({"rule": F.when(F.col("uncertain"), "receiver-name-candidate-v1").otherwise(F.col("rule")), "evidence": F.when(F.col("uncertain"), told).otherwise(F.col("evidence"))})
+
     nearest = Window.partitionBy(*SITE).orderBy("distance")
-    chained = cut(_chained(occ, observations))
+    chained = cut(_chained(occ.select(*site, "language", "o_start", "o_scope", "name", "qualifier", "uncertain"), observations).drop("o_scope"))
     lexical = chained.filter("NOT uncertain").join(decl, (F.col("source_path") == F.col("d_relative_path")) & (F.col("name") == F.col("d_spelling")) & (F.col("ancestor_id") == F.col("d_scope_id")))
     lexical = lexical.filter(fits & ~(F.col("d_kind").isin(*K.ORDER_SENSITIVE) & (F.col("d_start_byte") > F.col("o_start")))).withColumn("place", F.rank().over(nearest)).filter("place = 1")
     lexical = lexical.withColumn("rule", F.lit("lexical-scope-v1")).withColumn("evidence", F.array(F.concat(F.lit("scope_distance:"), F.col("distance").cast("string")), F.concat(F.lit("name:"), "name")))
     member = occ.filter("uncertain").join(decl, (F.col("source_path") == F.col("d_relative_path")) & (F.col("name") == F.col("d_spelling"))).filter(fits & F.col("d_kind").isin(*K.MEMBER))
     member = member.withColumn("rule", F.lit("receiver-name-candidate-v1")).withColumn("evidence", F.array(F.concat(F.lit("member_name:"), "name")))
-    stages, limits = [stage(lexical, 0), stage(member, 0)], None
-    if importing:
+    stages, limits = [stage(lexical, 0), stage(unsure(member), 0)], None
+    if dests is not None:
         imports = dests.filter("kind <> 'export'").select(F.col("relative_path").alias("i_path"), F.col("observation_id").alias("i_id"), F.col("scope_id").alias("i_scope"), F.col("attributes").alias("i_attributes"), F.col("alias").alias("i_alias"), F.col("spelling").alias("i_spelling"), "outcome", "target_path", F.col("rule").alias("rule"))
         near = chained.join(imports, (F.col("source_path") == F.col("i_path")) & (F.col("ancestor_id") == F.col("i_scope")))
         near = near.withColumn("wanted", K.imported_name(F.col("language"), F.col("i_attributes"), F.col("i_alias"), F.col("i_spelling"), F.col("qualifier"), F.col("name"))).filter("wanted IS NOT NULL")
         near = near.withColumn("place", F.rank().over(nearest)).filter("place = 1 AND outcome = 'local'")
         imported, limits = exported(near.select(*site, F.col("target_path").alias("file"), F.col("wanted").alias("name"), "rule"), observations, files, dests, decl)
-        stages.append(stage(imported, 1))
+        stages.append(stage(unsure(imported.join(occ.select(*SITE, "uncertain"), list(SITE))), 1))
     modules = declared_modules(observations, files).filter(F.col("language").isin("go", "java", "csharp"))
     # keyed by language, module, directory for Go, and name, so that only names of one module meet
     key = ("m_language", "module", "m_place", "name")
@@ -404,9 +411,9 @@ def bindings(observations: DataFrame, files: DataFrame, manifests: DataFrame, de
     modules = modules.select(F.col("relative_path").alias("m_path"), F.col("language").alias("m_language"), "module", place.alias("m_place"))
     open_to_all = decl.filter(F.col("d_top") | F.col("d_kind").isin(*K.MEMBER)).join(modules, F.col("d_relative_path") == F.col("m_path")).withColumnRenamed("d_spelling", "name")
     same = elsewhere(occ.join(modules, F.col("source_path") == F.col("m_path")).withColumn("need", _need()), open_to_all, key)
-    same = same.select(*site, "total", "module", "name", F.explode("first").alias("f")).select("*", "f.*")
+    same = same.select(*site, "uncertain", "total", "module", "name", F.explode("first").alias("f")).select("*", "f.*")
     same = same.withColumn("rule", F.lit("same-module-v1")).withColumn("evidence", F.array(F.concat(F.lit("module:"), "module")))
-    every = reduce(DataFrame.unionByName, [*stages, stage(same, 2)])
+    every = reduce(DataFrame.unionByName, [*stages, stage(unsure(same), 2)])
     first = Window.partitionBy(*SITE).orderBy("stage")
     return every.withColumn("place", F.rank().over(first)).filter("place = 1").drop("place"), limits
 
@@ -443,60 +450,73 @@ def emitted(candidates: DataFrame, sites: DataFrame, reason: str) -> DataFrame:
     ))
 
 
-def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, externals, diagnostics) of one generation; edges once by id."""
+def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame, relationships: tuple[str, ...] = RELATIONSHIPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, externals, diagnostics) of one generation, or of some relationships of it; edges once by id.
+
+    An edge comes once where its site does, so sites are told apart before they meet anything. Each kind of edge is a table by itself, written
+    when the shuffles of the one before are gone.
+    """
     observations, files = cut(observations), cut(files)
-    around = cut(enclosing(observations))
-    importing = not observations.filter("category = 'import' AND kind NOT IN ('package', 'library')").isEmpty()
+    uses = tuple(c for c, r in (("reference", "references"), ("call_site", "calls")) if r in relationships)
+    binding = bool(uses) or "imports" in relationships
+    importing = binding and not observations.filter("category = 'import' AND kind NOT IN ('package', 'library')").isEmpty()
     dests = cut(destinations(observations, files, manifests)) if importing else None
-    nested = containment(observations).select(*_edge(
-        "contains", source_path=F.col("relative_path"), source_observation_id=F.col("container_id"), source_category="symbol", source_start_byte=F.col("start_byte"), source_end_byte=F.col("end_byte"), source_symbol_id=F.col("container_id"),
-        target_path=F.col("relative_path"), target_symbol_id=F.col("child_id"), resolution="lexically_resolved", rule="lexical-containment-v1", candidate_count=1, reason="smallest enclosing declaration",
-        evidence=F.array(F.concat(F.lit("child_range:"), F.col("from").cast("string"), F.lit(".."), F.col("to").cast("string"))), limitations=K.strings(),
-    ))
-    occ = occurrences(observations, files)
-    sites = occ.join(around, (F.col("source_path") == F.col("e_path")) & (F.col("source_category") == F.col("e_category")) & (F.col("source_observation_id") == F.col("e_id")), "left")
-    sites = sites.withColumn("relationship", F.when(F.col("category") == "call_site", "calls").otherwise("references"))
-    sites = cut(sites)
-    bound, limits = bindings(observations, files, manifests, dests, importing)
-    bound = cut(bound)
-    flags = occ.select(*SITE, "uncertain")
-    bound = bound.join(flags, list(SITE)).withColumn("rule", F.when(F.col("uncertain"), "receiver-name-candidate-v1").otherwise(F.col("rule"))).withColumn("evidence", F.when(F.col("uncertain"), F.concat("evidence", K.strings("receiver_type_not_inferred"))).otherwise(F.col("evidence")))
-    linked = emitted(bound, sites.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship"), "bounded rules selected declarations")
-    none = sites.join(bound.select(*SITE).distinct(), list(SITE), "left_anti")
-    rule = F.when(F.col("dynamic"), "dynamic-target-v1").when(F.col("uncertain"), "receiver-uncertainty-v1").otherwise("no-supported-binding-v1")
-    loose = none.select(*_edge(
-        F.col("relationship"), source_path=F.col("source_path"), source_observation_id=F.col("source_observation_id"), source_category=F.col("source_category"), source_start_byte=F.col("o_start"), source_end_byte=F.col("o_end"),
-        source_symbol_id=F.col("source_symbol_id"), resolution="unresolved", rule=rule, candidate_count=0, reason="no rule selected a declaration", evidence=K.strings(), limitations=F.coalesce("o_limitations", K.strings()),
-    ))
-    many = bound.groupBy(*SITE).agg(F.coalesce(F.max("total"), F.countDistinct("d_relative_path", "d_observation_id")).alias("n")).filter(F.col("n") > CANDIDATES).select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message"))
-    if not importing:
-        edges = cut(reduce(DataFrame.unionByName, [nested, linked, loose]).dropDuplicates(["edge_id"]))
-        externals = edges.sparkSession.createDataFrame([], "external_node_id string, language string, kind string, label string")
-        return edges, externals, many.distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
-    imports = dests.filter("kind <> 'export'").withColumnsRenamed({"relative_path": "source_path", "category": "source_category", "observation_id": "source_observation_id", "start_byte": "o_start", "end_byte": "o_end", "limitations": "o_limitations", "attributes": "o_attributes"})
-    imports = imports.join(around, (F.col("source_path") == F.col("e_path")) & (F.col("source_category") == F.col("e_category")) & (F.col("source_observation_id") == F.col("e_id")), "left").withColumn("relationship", F.lit("imports"))
-    specifier = F.array(F.concat(F.lit("specifier:"), "spelling"))
-    base = {"source_path": F.col("source_path"), "source_observation_id": F.col("source_observation_id"), "source_category": F.col("source_category"), "source_start_byte": F.col("o_start"), "source_end_byte": F.col("o_end"), "source_symbol_id": F.col("source_symbol_id"), "evidence": specifier, "limitations": F.coalesce("o_limitations", K.strings())}
-    local = imports.filter("outcome = 'local'")
-    asked = local.withColumn("name", K.binding_name(F.col("language"), F.col("o_attributes"), F.col("spelling"))).filter("name IS NOT NULL")
-    wide = local.filter(F.col("total") > NODES).select("source_path", F.lit("import_node_limit_reached").alias("code"), F.col("spelling").alias("message"))
-    named, more_limits = exported(asked.select(*SITE, F.lit("reference").alias("category"), "o_attributes", F.col("target_path").alias("file"), "name", F.lit("explicit-import-v1").alias("rule")), observations, files, dests)
-    named = cut(named)
-    named_edges = emitted(named, imports.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship").distinct(), "an import names declarations")
-    whole = local.join(named.select(*SITE).distinct(), list(SITE), "left_anti").withColumn("n", F.coalesce("total", F.count(F.lit(1)).over(Window.partitionBy(*SITE))))
-    whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*SITE).orderBy("target_path"))).filter(F.col("place") <= CANDIDATES)
-    file_edges = whole.select(*_edge("imports", **base, target_path=F.col("target_path"), resolution=F.when(F.col("n") == 1, "lexically_resolved").otherwise("candidate"), rule=F.col("rule"), candidate_count=F.col("n"), reason="a module rule selected files"))
-    node = F.concat(F.lit("external:"), content_id(F.col("language"), F.col("node_kind"), F.col("spelling")))
-    outside = imports.filter("outcome = 'external'").withColumn("node", node)
-    outside_edges = outside.select(*_edge("imports", **base, external_node_id=F.col("node"), resolution="syntax_observation", rule=F.col("rule"), candidate_count=1, reason="outside of the indexed modules"))
-    lost = imports.filter("outcome = 'unresolved'")
-    lost_edges = lost.select(*_edge("imports", **base, resolution="unresolved", rule=F.col("rule"), candidate_count=0, reason=F.col("code")))
-    edges = reduce(DataFrame.unionByName, [nested, linked, loose, named_edges, file_edges, outside_edges, lost_edges]).dropDuplicates(["edge_id"])
-    edges = cut(edges)
-    externals = outside.select(F.col("node").alias("external_node_id"), "language", F.col("node_kind").alias("kind"), F.col("spelling").alias("label")).distinct()
-    diagnostics = lost.select("source_path", "code", F.col("spelling").alias("message")).unionByName(many).unionByName(limits).unionByName(more_limits).unionByName(wide).distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
-    return edges, externals, diagnostics
+    decl = cut(_declarations(observations, files)) if binding else None
+    spark = observations.sparkSession
+    edges, told, externals = [], [], spark.createDataFrame([], EXTERNALS)
+
+    def add(df: DataFrame) -> None:
+        edges.append(cut(df))
+
+    def enclosed(occ: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+        around = enclosing(observations, categories).withColumnsRenamed(dict(zip(("e_path", "e_category", "e_id"), SITE, strict=True)))
+        return occ.join(around, list(SITE), "left")
+
+    if "contains" in relationships:
+        add(containment(observations).select(*_edge(
+            "contains", source_path=F.col("relative_path"), source_observation_id=F.col("container_id"), source_category="symbol", source_start_byte=F.col("start_byte"), source_end_byte=F.col("end_byte"), source_symbol_id=F.col("container_id"),
+            target_path=F.col("relative_path"), target_symbol_id=F.col("child_id"), resolution="lexically_resolved", rule="lexical-containment-v1", candidate_count=1, reason="smallest enclosing declaration",
+            evidence=F.array(F.concat(F.lit("child_range:"), F.col("from").cast("string"), F.lit(".."), F.col("to").cast("string"))), limitations=K.strings(),
+        )))
+    if uses:
+        sites = enclosed(occurrences(observations, files, uses), uses).dropDuplicates(SITE)
+        sites = cut(sites.withColumn("relationship", F.when(F.col("category") == "call_site", "calls").otherwise("references")))
+        bound, limits = bindings(sites, decl, observations, files, dests)
+        bound = cut(bound)
+        add(emitted(bound.repartition(*SITE), sites.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship"), "bounded rules selected declarations"))
+        rule = F.when(F.col("dynamic"), "dynamic-target-v1").when(F.col("uncertain"), "receiver-uncertainty-v1").otherwise("no-supported-binding-v1")
+        add(sites.join(bound.select(*SITE), list(SITE), "left_anti").select(*_edge(
+            F.col("relationship"), source_path=F.col("source_path"), source_observation_id=F.col("source_observation_id"), source_category=F.col("source_category"), source_start_byte=F.col("o_start"), source_end_byte=F.col("o_end"),
+            source_symbol_id=F.col("source_symbol_id"), resolution="unresolved", rule=rule, candidate_count=0, reason="no rule selected a declaration", evidence=K.strings(), limitations=F.coalesce("o_limitations", K.strings()),
+        )))
+        many = bound.groupBy(*SITE).agg(F.coalesce(F.max("total"), F.countDistinct("d_relative_path", "d_observation_id")).alias("n")).filter(F.col("n") > CANDIDATES)
+        told += [many.select("source_path", F.lit("candidate_limit_reached").alias("code"), F.col("n").cast("string").alias("message")), *([] if limits is None else [limits])]
+    if importing and "imports" in relationships:
+        imports = dests.filter("kind <> 'export'").withColumnsRenamed({"relative_path": "source_path", "category": "source_category", "observation_id": "source_observation_id", "start_byte": "o_start", "end_byte": "o_end", "limitations": "o_limitations", "attributes": "o_attributes"})
+        imports = enclosed(imports, ("import",)).dropDuplicates([*SITE, "target_path"])
+        imports = cut(imports.select(*SITE, "o_start", "o_end", "o_limitations", "o_attributes", "source_symbol_id", "spelling", "language", "outcome", "target_path", "node_kind", "rule", "code", "total", F.lit("imports").alias("relationship")))
+        specifier = F.array(F.concat(F.lit("specifier:"), "spelling"))
+        base = {"source_path": F.col("source_path"), "source_observation_id": F.col("source_observation_id"), "source_category": F.col("source_category"), "source_start_byte": F.col("o_start"), "source_end_byte": F.col("o_end"), "source_symbol_id": F.col("source_symbol_id"), "evidence": specifier, "limitations": F.coalesce("o_limitations", K.strings())}
+        local = imports.filter("outcome = 'local'")
+        asked = local.withColumn("name", K.binding_name(F.col("language"), F.col("o_attributes"), F.col("spelling"))).filter("name IS NOT NULL")
+        wide = local.filter(F.col("total") > NODES).select("source_path", F.lit("import_node_limit_reached").alias("code"), F.col("spelling").alias("message"))
+        named, more_limits = exported(asked.select(*SITE, F.lit("reference").alias("category"), "o_attributes", F.col("target_path").alias("file"), "name", F.lit("explicit-import-v1").alias("rule")), observations, files, dests, decl)
+        named = cut(named)
+        add(emitted(named.repartition(*SITE), imports.select(*SITE, "o_start", "o_end", "o_limitations", "source_symbol_id", "relationship").distinct(), "an import names declarations"))
+        whole = local.join(named.select(*SITE).distinct(), list(SITE), "left_anti").withColumn("n", F.coalesce("total", F.count(F.lit(1)).over(Window.partitionBy(*SITE))))
+        whole = whole.withColumn("place", F.row_number().over(Window.partitionBy(*SITE).orderBy("target_path"))).filter(F.col("place") <= CANDIDATES)
+        add(whole.select(*_edge("imports", **base, target_path=F.col("target_path"), resolution=F.when(F.col("n") == 1, "lexically_resolved").otherwise("candidate"), rule=F.col("rule"), candidate_count=F.col("n"), reason="a module rule selected files")))
+        node = F.concat(F.lit("external:"), content_id(F.col("language"), F.col("node_kind"), F.col("spelling")))
+        outside = imports.filter("outcome = 'external'").withColumn("node", node)
+        outside_edges = outside.select(*_edge("imports", **base, external_node_id=F.col("node"), resolution="syntax_observation", rule=F.col("rule"), candidate_count=1, reason="outside of the indexed modules"))
+        lost = imports.filter("outcome = 'unresolved'")
+        add(outside_edges.unionByName(lost.select(*_edge("imports", **base, resolution="unresolved", rule=F.col("rule"), candidate_count=0, reason=F.col("code")))))
+        externals = outside.select(F.col("node").alias("external_node_id"), "language", F.col("node_kind").alias("kind"), F.col("spelling").alias("label")).distinct()
+        told += [lost.select("source_path", "code", F.col("spelling").alias("message")), more_limits, wide]
+    every = reduce(DataFrame.unionByName, edges, spark.createDataFrame([], EDGE_ROWS)).hint("merge")
+    every._tessera_cut = True
+    diagnostics = reduce(DataFrame.unionByName, told, spark.createDataFrame([], "source_path string, code string, message string"))
+    return every, externals, diagnostics.distinct().orderBy("source_path", "code", "message").limit(DIAGNOSTICS)
 
 
 def stats(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.cluster import spread
 from tessera.operators import extraction, resolution
 from tessera.sources import corpus
 from tessera.sources.paths import dialect
@@ -30,13 +31,13 @@ def extract_ranges(spark, folder):
 def resolve_calls(spark, folder):
     """Calls of Go functions: in the file, in another file of the package, or nowhere."""
     sources = corpus.go_sources(spark, folder)
-    found = extraction.observations(extraction.parsed(sources)).cache()
+    found = resolution.cut(extraction.observations(extraction.parsed(spread(sources, "relative_path"))))
     files = sources.select("relative_path", "language")
     manifests = spark.createDataFrame([], "relative_path string, contents string")
-    edges, _, _ = resolution.resolve(found, files, manifests)
+    edges, _, _ = resolution.resolve(found, files, manifests, ("calls",))
     names = found.filter("category IN ('symbol', 'call_site')").select(F.col("relative_path").alias("p"), F.col("observation_id").alias("id"), "spelling")
     own, to = names.select(F.col("p").alias("p1"), F.col("id").alias("id1"), F.col("spelling").alias("source")), names.select(F.col("p").alias("p2"), F.col("id").alias("id2"), F.col("spelling").alias("target"))
-    rows = edges.filter("relationship = 'calls'").join(own, (F.col("source_path") == F.col("p1")) & (F.col("source_symbol_id") == F.col("id1")))
+    rows = edges.join(own, (F.col("source_path") == F.col("p1")) & (F.col("source_symbol_id") == F.col("id1")))
     rows = rows.join(to, (F.col("target_path") == F.col("p2")) & (F.col("target_symbol_id") == F.col("id2")), "left")
     return rows.select("source_path", "source", "target_path", "target", "resolution", "rule", "candidate_count")
 
