@@ -45,9 +45,9 @@ def resolve_calls(spark, folder):
 def resolved_stats(spark, folder):
     """Sites of all Go sources by outcome."""
     sources = corpus.go_sources(spark, folder)
-    found = extraction.observations(extraction.parsed(sources)).cache()
-    edges, _, _ = resolution.resolve(found, sources.select("relative_path", "language"), spark.createDataFrame([], "relative_path string, contents string"))
-    return resolution.stats(edges.filter("relationship = 'calls'"))
+    found = resolution.cut(extraction.observations(extraction.parsed(spread(sources, "relative_path"))))
+    edges, _, _ = resolution.resolve(found, sources.select("relative_path", "language"), spark.createDataFrame([], "relative_path string, contents string"), ("calls",))
+    return resolution.stats(edges)
 
 
 QUERIES = {"extract_symbols": extract_symbols, "extract_files": extract_files, "extract_ranges": extract_ranges, "resolve_calls": resolve_calls, "resolved_stats": resolved_stats}
