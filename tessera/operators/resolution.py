@@ -151,10 +151,14 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     dart_dirs = F.broadcast(named.filter("kind = 'dart'").groupBy(F.col("name").alias("d_name")).agg(F.min("directory").alias("d_dir")))  # of root manifests
     rows = rows.join(dart_dirs, (F.col("language") == "dart") & (package == F.col("d_name")), "left")
     dart = F.when(spec.startswith("package:"), F.when(F.col("d_dir").isNotNull(), F.array(_joined(F.col("d_dir"), F.concat(F.lit("lib/"), F.regexp_extract(spec, r"^package:[^/]+/(.+)$", 1)))))).when(~spec.startswith("dart:"), tried(("dart",)))
-    candidates = F.when(dynamic, K.strings()).when(ecma, F.when(spec.startswith("."), tried(ECMA_EXTENSIONS))).when(F.col("language") == "dart", dart).when(F.col("language") == "rust", rust)
-    keyed = rows.withColumn("dynamic", dynamic).withColumn("local_root", local_root).withColumn("candidates", F.coalesce(candidates, K.strings()))
+    candidates = F.when(dynamic, K.strings()).when(ecma, F.when(spec.startswith("."), F.array(base))).when(F.col("language") == "dart", dart).when(F.col("language") == "rust", rust)
+    keyed = cut(rows.withColumns({"dynamic": dynamic, "local_root": local_root, "candidates": F.coalesce(candidates, K.strings()), "open": ecma & plain}).drop("r_path", "crate_root", "d_name"))
     key = ("relative_path", "observation_id")
-    by_path = keyed.select(*key, F.explode(F.array_distinct("candidates")).alias("candidate")).join(files.select(F.col("relative_path").alias("target_path")), F.col("candidate") == F.col("target_path")).select(*key, "target_path")
+    # an ECMAScript path without an ending is met by the files that may be meant, under what is left of their paths, instead of being tried with every ending
+    own = F.col("relative_path")
+    short = [F.when(own.endswith(end), F.expr(f"left(relative_path, length(relative_path) - {len(end)})")) for end in (f"{s}.{e}" for s in ("", "/index") for e in ECMA_EXTENSIONS)]
+    names = files.select(own.alias("target_path"), F.explode(F.array_distinct(F.filter(F.array(own, *short), lambda n: n.isNotNull()))).alias("candidate"))
+    by_path = keyed.select(*key, "open", F.explode(F.array_distinct("candidates")).alias("candidate")).join(names, "candidate").filter((F.col("candidate") == F.col("target_path")) | F.col("open")).select(*key, "target_path")
     # Rust: a module of that name inside the same file
     inline = keyed.filter("language = 'rust'").select(*key, F.get(F.filter(parts, lambda p: ~p.isin("crate", "self", "super")), 0).alias("inline"))
     inside = of(observations, "symbol", "i_", "relative_path", "kind", "spelling").filter("i_kind = 'module'").select("i_relative_path", "i_spelling").distinct()

@@ -22,34 +22,34 @@ def import_destinations(spark, folder):
     return resolution.destinations(*_found(spark, folder)).select("relative_path", "spelling", "alias", "outcome", "rule", "target_path", "node_kind", "code")
 
 
-def _edges(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """(edges, observations), read once."""
+def _edges(spark, folder, *relationships: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, observations), read once; edges of the named relationships."""
     observations, files, manifests = _found(spark, folder)
-    return resolution.resolve(observations, files, manifests)[0], observations
+    return resolution.resolve(observations, files, manifests, relationships)[0], observations
 
 
-def _named(edges: DataFrame, observations: DataFrame, relationship: str) -> DataFrame:
+def _named(edges: DataFrame, observations: DataFrame) -> DataFrame:
     names = observations.filter("category IN ('symbol', 'import', 'call_site', 'reference')").select(F.col("relative_path").alias("p"), F.col("category").alias("c"), F.col("observation_id").alias("id"), "spelling")
     site = names.select(F.col("p").alias("p1"), F.col("c").alias("c1"), F.col("id").alias("id1"), F.col("spelling").alias("site"))
     target = names.filter("c = 'symbol'").select(F.col("p").alias("p2"), F.col("id").alias("id2"), F.col("spelling").alias("target"))
-    rows = edges.filter(F.col("relationship") == relationship).join(site, (F.col("source_path") == F.col("p1")) & (F.col("source_category") == F.col("c1")) & (F.col("source_observation_id") == F.col("id1")))
+    rows = edges.join(site, (F.col("source_path") == F.col("p1")) & (F.col("source_category") == F.col("c1")) & (F.col("source_observation_id") == F.col("id1")))
     rows = rows.join(target, (F.col("target_path") == F.col("p2")) & (F.col("target_symbol_id") == F.col("id2")), "left")
     return rows.select("source_path", "site", "target_path", "target", "resolution", "rule", "candidate_count")
 
 
 def import_edges(spark, folder):
     """Edges of imports: to the declarations that they name, through re-exports too, else to files, or outside."""
-    return _named(*_edges(spark, folder), "imports")
+    return _named(*_edges(spark, folder, "imports"))
 
 
 def imported_calls(spark, folder):
     """Edges of calls: bound in the file, through imports and re-exports, in the same package, or not at all."""
-    return _named(*_edges(spark, folder), "calls")
+    return _named(*_edges(spark, folder, "calls"))
 
 
 def site_scores(spark, folder):
     """Labelled sites, by the nth occurrence of a spelling, against the edges: exact ones, precision and recall by language."""
-    edges, observations = _edges(spark, folder)
+    edges, observations = _edges(spark, folder, "imports", "calls", "references")
     rows = modules.grown(spark, folder, _LABELS, "language source_path source_category source_spelling occurrence relationship resolution candidate_count path name")
     target = F.when(F.col("path") == "", F.array().cast("array<struct<path:string,name:string>>")).otherwise(F.array(F.struct("path", "name")))
     labels = rows.withColumn("targets", target).withColumn("candidate_count", F.col("candidate_count").cast("long")).drop("path", "name")
