@@ -122,11 +122,11 @@ def _joined(directory: Column, rest: Column) -> Column:
     return normalized_path(F.when(directory == "", rest).otherwise(F.concat(directory, F.lit("/"), rest)))
 
 
-def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame) -> DataFrame:
+def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame, whole: bool = True) -> DataFrame:
     """One row for each import and file that it leads to; or one row that tells why there is none.
 
-    (path, import, outcome, rule, target_path, node_kind, total): outcome is local, external or unresolved. Of a package or
-    namespace, the first NODES files by path have rows, and total counts all; elsewhere it is null.
+    (path, import, outcome, rule, target_path, node_kind, total): outcome is local, external or unresolved. If not whole, the first
+    NODES files by path of a package or namespace have rows, as a search for a name looks at no more; total counts all of them, and is null elsewhere.
     """
     lang = files.select(F.col("relative_path").alias("f_path"), "language")
     imports = of(observations, "import", "").filter(~F.col("kind").isin("package", "library"))
@@ -169,11 +169,11 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     suffix = F.regexp_replace(F.expr("substring(spelling, length(g_name) + 1)"), "^/+", "")
     go = go.withColumn("g_target", F.when(suffix == "", F.col("g_dir")).otherwise(F.coalesce(_joined(F.col("g_dir"), suffix), F.col("g_dir"))))
     go_files = files.filter("language = 'go'").select(F.col("relative_path").alias("target_path"), parent_path(F.col("relative_path")).alias("g_parent"))
-    by_go, go_sums = _members(go.select(*key, F.col("g_target").alias("group")), go_files.select(F.col("g_parent").alias("group"), "target_path"), ("group",))
+    by_go, go_sums = _members(go.select(*key, F.col("g_target").alias("group")), go_files.select(F.col("g_parent").alias("group"), "target_path"), ("group",), whole)
     # Java and C#: the files that declare the package or namespace
     owner = F.when(F.col("language") == "csharp", F.regexp_replace(spec, r"(\.\*)+$", "")).when(K.has(F.col("attributes"), "wildcard_import"), spec).otherwise(F.regexp_extract(spec, r"^(.*)\.[^.]*$", 1))
     spaces = declared_modules(observations, files).select(F.col("relative_path").alias("target_path"), F.col("language").alias("s_language"), "module")
-    by_space, space_sums = _members(keyed.filter(F.col("language").isin("java", "csharp")).select(*key, F.col("language").alias("s_language"), owner.alias("module")), spaces, ("s_language", "module"))
+    by_space, space_sums = _members(keyed.filter(F.col("language").isin("java", "csharp")).select(*key, F.col("language").alias("s_language"), owner.alias("module")), spaces, ("s_language", "module"), whole)
     sums = go_sums.unionByName(space_sums).withColumnsRenamed({"relative_path": "n_path", "observation_id": "n_id"})
     found = reduce(DataFrame.unionByName, [by_path, inline, by_go, by_space]).distinct().withColumnsRenamed({"relative_path": "t_path", "observation_id": "t_id"})
     go_known = go.select(*key).distinct().withColumn("go_known", F.lit(True)).withColumnsRenamed({"relative_path": "k_path", "observation_id": "k_id"})
@@ -213,13 +213,13 @@ def destinations(observations: DataFrame, files: DataFrame, manifests: DataFrame
     return out.select(*imports.columns, "language", "outcome", F.when(F.col("outcome") == "local", F.col("target_path")).alias("target_path"), F.when(F.col("outcome") == "external", external).alias("node_kind"), F.when(F.col("outcome") == "local", local_rule).when(F.col("outcome") == "external", external_rule).otherwise("unsupported-import-v1").alias("rule"), F.when(F.col("outcome") == "unresolved", code).alias("code"), F.when(F.col("outcome") == "local", F.col("total")).alias("total"))
 
 
-def _members(asked: DataFrame, members: DataFrame, group: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(targets, totals): the files of the groups that imports name, the first NODES of each by path, and how many there are in all.
+def _members(asked: DataFrame, members: DataFrame, group: tuple[str, ...], whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(targets, totals): the files of the groups that imports name, and how many there are in all: every file, or the first NODES of each group by path.
 
-    No search looks at more, so an import meets NODES rows of a group at most, however large it is.
+    No search for a name looks at more than these, so its imports meet NODES rows of a group at most, however large it is.
     """
     members = members.distinct()
-    first = members.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("target_path"))).filter(F.col("place") <= NODES)
+    first = members if whole else members.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("target_path"))).filter(F.col("place") <= NODES)
     key = ("relative_path", "observation_id")
     asked = asked.distinct()
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
@@ -464,7 +464,7 @@ def resolve(observations: DataFrame, files: DataFrame, manifests: DataFrame, rel
     uses = tuple(c for c, r in (("reference", "references"), ("call_site", "calls")) if r in relationships)
     binding = bool(uses) or "imports" in relationships
     importing = binding and not observations.filter("category = 'import' AND kind NOT IN ('package', 'library')").isEmpty()
-    dests = cut(destinations(observations, files, manifests)) if importing else None
+    dests = cut(destinations(observations, files, manifests, whole=False)) if importing else None
     decl = cut(_declarations(observations, files)) if binding else None
     spark = observations.sparkSession
     edges, told, externals = [], [], spark.createDataFrame([], EXTERNALS)

@@ -32,3 +32,15 @@ def test_paths_without_an_ending_equal_all_that_are_tried(spark):
         hits = [] if a.startswith("..") else [f"s/{f}" for f in files if f"s/{f}" in tried]
         want |= {(a, h) for h in hits} or {(a, None)}
     assert sorted(((r["spelling"], r["target_path"]) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_every_file_of_a_large_package_is_a_destination(spark):
+    """1,100 files of a package and of a namespace: more than a search for a name looks at."""
+    java = [(f"p/F{i}.java", "java", f"package p;\nclass F{i} {{ }}\n") for i in range(1_100)]
+    go = [(f"g/f{i}.go", "go", f"package g\nfunc F{i}() {{}}\n") for i in range(1_030)]
+    observations, have = found(spark, [*java, *go, ("Main.java", "java", "import p.*;\nclass Main { }\n"), ("main.go", "go", 'package main\nimport "example.org/g"\n')])
+    manifests = spark.createDataFrame([("go.mod", "module example.org\n")], MANIFESTS)
+    rows = {(r["relative_path"], r["outcome"]): r["n"] for r in resolution.destinations(observations, have, manifests).groupBy("relative_path", "outcome").agg({"target_path": "count"}).withColumnRenamed("count(target_path)", "n").collect()}
+    assert rows == {("Main.java", "local"): 1_100, ("main.go", "local"): 1_030}
+    bounded = resolution.destinations(observations, have, manifests, whole=False)
+    assert sorted((r["relative_path"], r["total"]) for r in bounded.select("relative_path", "total").distinct().collect()) == [("Main.java", 1_100), ("main.go", 1_030)] and bounded.count() == 2 * resolution.NODES
