@@ -175,7 +175,7 @@ def note_bounds(spark, folder):
     """Notes whose body or evidence is past the bounds."""
     have = notes.latest(corpus.notes(spark, folder)).withColumn("body", F.repeat("body", (F.regexp_extract("id", r"(\d+)", 1).cast("int") % 40) * 10))
     evidence = corpus.edges(spark, folder).select(F.concat(F.lit("note-"), (F.regexp_extract("source_symbol_id", r"(\d+)", 1).cast("long") % 50).cast("string")).alias("memory_id"), F.col("target_path").alias("relative_path"), F.lit("0").alias("content_hash"), F.col("target_symbol_id").alias("symbol_id"))
-    return notes.bound_faults(have, evidence.filter("memory_id LIKE '%3'"))
+    return notes.bound_faults(have, evidence)
 
 
 def generation_counts(spark, folder):
@@ -267,7 +267,7 @@ SQL = {
     "latest_job": f"WITH {_JOBS} SELECT job_id, state FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 1",
     "cancelled_job": f"WITH {_JOBS} SELECT cancel_requested OR job_id = 'job-1' AS cancel_requested, count(*) AS n FROM jobs GROUP BY 1",
     "replaced_evidence": sql("files note_evidence", "SELECT memory_id, relative_path, symbol_id FROM note_evidence WHERE memory_id NOT LIKE '%1' UNION ALL SELECT DISTINCT memory_id, 'new.rs', NULL FROM note_evidence WHERE memory_id LIKE '%1'"),
-    "note_bounds": sql("notes edges", "SELECT id, 'body' AS fault FROM latest WHERE strlen(body) * (CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) % 40) * 10 > 16384 UNION ALL SELECT memory_id, 'evidence' FROM (SELECT 'note-' || (CAST(regexp_extract(source_symbol_id, '([0-9]+)', 1) AS BIGINT) % 50)::VARCHAR AS memory_id, * FROM edges) e WHERE memory_id LIKE '%3' GROUP BY memory_id HAVING count(*) > 32 OR sum(strlen(target_path) + 1 + strlen(target_symbol_id)) > 8192", more=_LATEST),
+    "note_bounds": sql("notes edges", "SELECT id, 'body' AS fault FROM latest WHERE strlen(body) * (CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) % 40) * 10 > 16384 UNION ALL SELECT memory_id, 'evidence' FROM (SELECT 'note-' || (CAST(regexp_extract(source_symbol_id, '([0-9]+)', 1) AS BIGINT) % 50)::VARCHAR AS memory_id, * FROM edges) e GROUP BY memory_id HAVING count(*) > 32 OR sum(strlen(target_path) + 1 + strlen(target_symbol_id)) > 8192", more=_LATEST),
     "stored_notes": sql("notes", "SELECT id, CASE WHEN n % 4 = 0 OR n % 3 = 0 THEN 1 ELSE 2 END AS revision, CASE WHEN n % 4 = 0 OR n % 3 = 0 THEN body ELSE 'again ' || body END AS body FROM (SELECT *, CAST(regexp_extract(id, '([0-9]+)', 1) AS BIGINT) AS n FROM latest ORDER BY id LIMIT 10000) x WHERE NOT (n % 5 = 0 AND n % 4 <> 0 AND n % 3 <> 0)", more=_LATEST.replace(" AS n FROM notes) x WHERE n = 1", " AS r FROM notes) x WHERE r = 1")),
     "capped_notes": sql("notes", "SELECT id, CASE WHEN place <= 60 THEN 'created' ELSE 'limit' END AS outcome, CASE WHEN place <= 60 THEN 1 END AS revision FROM (SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT DISTINCT id FROM notes) d) x"),
     "generation_counts": sql("symbols files edges", "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges"),
